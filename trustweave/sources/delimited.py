@@ -41,7 +41,8 @@ def load_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def store_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
+def store_delimited(df: DataFrame, path: str, sep: str = "\t", codec: str | None = None) -> None:
     """Write fields joined by ``sep`` without quoting; null is an empty field."""
     fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
-    df.select(F.array_join(F.array(*fields), sep).alias("value")).write.mode(mode).text(path)
+    lines = df.select(F.array_join(F.array(*fields), sep).alias("value"))
+    lines.write.text(path, compression=codec)
