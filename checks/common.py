@@ -47,16 +47,15 @@ def day() -> Column:
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of lineitem; a run is a quarter."""
-    rows = table(spark, sf_dir, "lineitem")
-    keys = {"scope": F.lit("sales"), "var": F.lit("shipped"), "run_id": quarter()}
-    return trust.observations(rows, SHIPPED, {2}, keys)
+    return trust.observations(table(spark, sf_dir, "lineitem"), SHIPPED, {2}, quarter())
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of events; a run is a day."""
-    rows = table(spark, sf_dir, "events")
-    keys = {"scope": F.lit("web"), "var": F.lit("visits"), "run_id": day()}
-    return trust.observations(rows, VISITS, {1}, keys)
+    return trust.observations(table(spark, sf_dir, "events"), VISITS, {1}, day())
+
+
+VARIABLES = (("sales", "shipped", shipped, SHIPPED), ("web", "visits", visits, VISITS))
 
 
 def first_run(obs: DataFrame) -> DataFrame:

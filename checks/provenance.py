@@ -105,14 +105,14 @@ def _named(paths: DataFrame, operations: DataFrame) -> DataFrame:
 @query(f"""WITH RECURSIVE {PATHS_SQL} SELECT run_id, 'v' || target AS target, 'v' || k AS dst_var FROM paths""")
 def lineage_ancestors(spark, d):
     operations = durable(order_operations(spark, d), "operations")
-    found = lineage.lineage_ancestors(lineage.lineage_edges(operations), last_nodes(operations))
+    found = lineage.lineage_ancestors(operations, last_nodes(operations))
     return _named(found, operations).select("run_id", "target", "dst_var")
 
 
 @query(f"""WITH RECURSIVE {PATHS_SQL} SELECT run_id, 'v' || target AS target, 'v' || k AS dst_var, paths FROM paths""")
 def path_counts(spark, d):
     operations = durable(order_operations(spark, d), "operations")
-    counted = lineage.path_counts(lineage.lineage_edges(operations), last_nodes(operations))
+    counted = lineage.path_counts(operations, last_nodes(operations))
     return _named(counted, operations).select("run_id", "target", "dst_var", "paths")
 
 

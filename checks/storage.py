@@ -156,11 +156,11 @@ def persist_distribution(spark, d):
     """Profiles are written in two steps; the second finds only what is missing."""
     tables = Tables(spark, shared_path(spark, "profiles"))
     obs = shipped(spark, d)
-    spec = durable(trust.bucket_spec(first_run(obs)), "spec")
+    spec = durable(trust.bucket_spec(first_run(obs), "sales", "shipped"), "spec")
     early = F.col("run_id") < "19980"
     for part in (obs.where(early), obs):
-        missing = part.join(tables.read("profile").select(*trust.RUN).distinct(), trust.RUN, "left_anti")
-        counts = durable(trust.histogram_counts(missing, spec, list(SHIPPED)), "counts")
+        missing = part.join(tables.read("profile").select("run_id").distinct(), "run_id", "left_anti")
+        counts = durable(trust.histogram_counts(missing, spec, list(SHIPPED), "sales", "shipped"), "counts")
         tables.write("dist", trust.relative_frequency(counts))
         tables.write("profile", trust.profile_counts(counts))
     sums = tables.read("dist").groupBy(*trust.RUN_COL).agg(
@@ -174,6 +174,6 @@ def persist_bucket_spec(spark, d):
     tables = Tables(spark, shared_path(spark, "specs"))
     obs = first_run(shipped(spark, d))
     for columns in ([0], list(SHIPPED)):
-        wanted = trust.bucket_spec(obs.where(F.col("col_idx").isin(columns)))
+        wanted = trust.bucket_spec(obs.where(F.col("col_idx").isin(columns)), "sales", "shipped")
         tables.write("bucket_spec", wanted.join(tables.read("bucket_spec"), trust.COL, "left_anti"))
     return tables.read("bucket_spec")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VISITS, first_run, jsd_sql, shipped, visits
+from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VARIABLES, first_run, jsd_sql, shipped
 from trustweave.operators import trust
 from trustweave.session import durable
 
@@ -28,9 +28,10 @@ def query(sql: str | None = None):
 def both_counts(spark, d) -> DataFrame:
     """Bucket counts of both variables, written once: raw data is read once."""
     frames = []
-    for observe, columns in ((shipped, SHIPPED), (visits, VISITS)):
+    for scope, var, observe, columns in VARIABLES:
         obs = observe(spark, d)
-        frames.append(trust.histogram_counts(obs, trust.bucket_spec(first_run(obs)), list(columns)))
+        spec = trust.bucket_spec(first_run(obs), scope, var)
+        frames.append(trust.histogram_counts(obs, spec, list(columns), scope, var))
     return durable(frames[0].unionByName(frames[1]), "counts")
 
 
@@ -60,12 +61,15 @@ ROUNDED = "round(jsd, 9) AS jsd, round(mu, 9) AS mu, round(sd, 9) AS sd, round(l
 
 @query(f"WITH {OBS_SQL} SELECT scope, var, run_id, col_idx, min(value) AS lo, max(value) AS hi FROM obs GROUP BY ALL")
 def min_max(spark, d):
-    return trust.min_max(shipped(spark, d).unionByName(visits(spark, d)), trust.RUN_COL)
+    frames = [
+        trust.of_variable(trust.min_max(observe(spark, d), "run_id", "col_idx"), scope, var)
+        for scope, var, observe, _ in VARIABLES]
+    return frames[0].unionByName(frames[1])
 
 
 @query(f"WITH {OBS_SQL}, {SPEC_SQL} SELECT scope, var, col_idx, base, step FROM spec")
 def bucket_spec(spark, d):
-    frames = [trust.bucket_spec(first_run(observe(spark, d))) for observe in (shipped, visits)]
+    frames = [trust.bucket_spec(first_run(observe(spark, d)), scope, var) for scope, var, observe, _ in VARIABLES]
     return frames[0].unionByName(frames[1])
 
 
@@ -82,8 +86,8 @@ def relative_frequency(spark, d):
 @query(f"{CHAIN} SELECT scope, var, run_id, col_idx, bucket, round(p, 12) AS p FROM dist WHERE var = 'shipped'")
 def histogram(spark, d):
     obs = shipped(spark, d)
-    spec = trust.bucket_spec(first_run(obs))
-    return trust.histogram(obs, spec, list(SHIPPED)).withColumn("p", F.round("p", 12))
+    spec = trust.bucket_spec(first_run(obs), "sales", "shipped")
+    return trust.histogram(obs, spec, list(SHIPPED), "sales", "shipped").withColumn("p", F.round("p", 12))
 
 
 @query(f"""{CHAIN} SELECT DISTINCT scope, var, run_id FROM dist

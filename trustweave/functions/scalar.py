@@ -74,11 +74,15 @@ def six_digits(value: Column) -> Column:
     return F.format_string("%g", value).cast("double")
 
 
+def literal_pattern(sep: str) -> str:
+    """Pattern for a literal separator, in the form that splits without a regex engine."""
+    return sep if len(sep) == 1 and sep.isalnum() or sep in ",:;\t " else f"\\{sep}" if len(sep) == 1 else f"\\Q{sep}\\E"
+
+
 def split_csv(text: Column, sep: str = ",") -> Column:
     """Comma list to array; trailing empty items are dropped, '' gives ['']."""
-    literal = f"\\Q{sep}\\E"
-    trimmed = F.regexp_replace(text, F.lit(f"(?:{literal})+\\z"), F.lit(""))
-    return F.split(trimmed, literal, -1)
+    trimmed = F.when(text.endswith(sep), F.rtrim(text, F.lit(sep))).otherwise(text)
+    return F.split(trimmed, literal_pattern(sep), -1)
 
 
 def parse_confidence(text: Column) -> Column:
@@ -101,9 +105,10 @@ def confidence_string(col_idx: Column, confidence: Column) -> Column:
 
 def clock_tenths(text: Column) -> Column:
     """``mm:ss.s`` to tenths of a second; null when it does not look like that."""
-    shape = r"\A(\d+):(\d{1,2})(?:\.(\d))?\z"
-    part = lambda i: F.nullif(F.regexp_extract(text, shape, i), F.lit("")).cast("long")
-    return part(1) * 600 + part(2) * 10 + F.coalesce(part(3), F.lit(0).cast("long"))
+    parts = F.split(text, ":", -1)
+    minutes = F.get(parts, F.lit(0)).try_cast("long")
+    tenths = (F.get(parts, F.lit(1)).try_cast("decimal(5,1)") * 10).cast("long")
+    return F.when(F.size(parts) == 2, minutes * 600 + tenths)
 
 
 def duration(first: Column, last: Column) -> Column:

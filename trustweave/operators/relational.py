@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustweave.functions.scalar import literal_pattern
+
 
 def positional(df: DataFrame, *positions: int) -> DataFrame:
     """``$0, $2``: columns by position."""
@@ -40,10 +42,13 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def field_count(line: Column, sep: str = ",", quoted: bool = False) -> Column:
-    """Number of separated fields in a line, optionally honouring double quotes."""
+    """Number of fields in a line by its one-character separator.
+
+    With ``quoted``, separators between double quotes do not count.
+    """
     if quoted:
         line = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
-    return F.size(F.split(line, f"\\Q{sep}\\E", -1))
+    return F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit(""))) + 1
 
 
 def with_arity(lines: DataFrame, arity: int, column: str = "value", sep: str = ",", quoted: bool = False) -> DataFrame:
@@ -53,7 +58,7 @@ def with_arity(lines: DataFrame, arity: int, column: str = "value", sep: str = "
 
 def split_fields(lines: DataFrame, arity: int, column: str = "value", sep: str = ",") -> DataFrame:
     """Fields of each line as ``_c0``, ``_c1`` ... (strings, no quote handling)."""
-    parts = F.split(F.col(column), f"\\Q{sep}\\E", -1)
+    parts = F.split(F.col(column), literal_pattern(sep), -1)
     return lines.select(*[F.get(parts, F.lit(i)).alias(f"_c{i}") for i in range(arity)])
 
 

@@ -8,7 +8,7 @@ thousand rows per run and column in each map task, whatever the table's size.
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,68 +38,78 @@ def observations(
     df: DataFrame,
     columns: Mapping[int, str],
     textual: Collection[int] = (),
-    keys: Mapping[str, Column] | None = None,
+    run_id: str | Column = "run_id",
 ) -> DataFrame:
-    """Unpivot inspected columns to ``scope, var, run_id, col_idx, value``.
+    """Unpivot one variable's inspected columns to ``run_id, col_idx, value``.
 
     ``columns`` maps column numbers to names; those in ``textual`` are hashed,
     the others read as numbers.  A missing or unreadable value becomes null.
-    ``keys`` gives scope, variable and run where they are not columns of ``df``.
     Only the named columns are read from the source.
     """
-    named = {c: F.col(c) for c in RUN} | dict(keys or {})
     values = [
         (S.string_hash(F.col(f"`{c}`").cast("string")).cast("double")
          if i in textual else S.to_double(F.col(f"`{c}`"))).alias(f"_v{i}")
         for i, c in columns.items()
     ]
-    wide = df.select(*[named[c].alias(c) for c in RUN], *values)
+    run = run_id if isinstance(run_id, Column) else F.col(run_id)
+    wide = df.select(run.alias("run_id"), *values)
     pairs = ", ".join(f"{i}, _v{i}" for i in columns)
-    return wide.select(*RUN, F.expr(f"stack({len(columns)}, {pairs}) AS (col_idx, value)"))
+    return wide.select("run_id", F.expr(f"stack({len(columns)}, {pairs}) AS (col_idx, value)"))
 
 
-def min_max(obs: DataFrame, keys: Sequence[str] = COL) -> DataFrame:
+def of_variable(df: DataFrame, scope: str, var: str) -> DataFrame:
+    """Put scope and variable in front of a table about one variable.
+
+    They are constants, so they are added after an aggregate, not carried
+    through it as grouping keys.
+    """
+    return df.select(F.lit(scope).alias("scope"), F.lit(var).alias("var"), "*")
+
+
+def min_max(obs: DataFrame, *keys: str) -> DataFrame:
     """Smallest and largest usable value per key."""
     usable = F.when(~F.isnan("value"), F.col("value"))
     return obs.groupBy(*keys).agg(F.min(usable).alias("lo"), F.max(usable).alias("hi"))
 
 
-def bucket_spec(first_run: DataFrame, compat: bool = False) -> DataFrame:
+def bucket_spec(first_run: DataFrame, scope: str, var: str, compat: bool = False) -> DataFrame:
     """``base`` and ``step`` per column from the observations of one run.
 
     A column without a usable value gets no spec.  ``compat`` starts the search
     for the maximum at the smallest positive double and keeps six significant
     digits, like the original.
     """
-    bounds = min_max(first_run).where("lo IS NOT NULL")
+    bounds = min_max(first_run, "col_idx").where("lo IS NOT NULL")
     hi, keep = F.col("hi"), lambda c: c
     if compat:
         hi, keep = F.greatest(hi, F.lit(4.9e-324)), S.six_digits
-    return bounds.select(
-        *COL, keep(F.col("lo")).alias("base"), keep((hi - F.col("lo")) / RESOLUTION).alias("step")
+    spec = bounds.select(
+        "col_idx", keep(F.col("lo")).alias("base"), keep((hi - F.col("lo")) / RESOLUTION).alias("step")
     )
+    return of_variable(spec, scope, var)
 
 
-def histogram_counts(obs: DataFrame, spec: DataFrame, columns: Sequence[int]) -> DataFrame:
+def histogram_counts(obs: DataFrame, spec: DataFrame, columns: Collection[int], scope: str, var: str) -> DataFrame:
     """Rows per ``(run, column, bucket)``; unusable values have a null bucket.
 
-    ``obs`` holds one variable; a column without a spec has unusable values
-    only.  The spec side of the join has one row per inspected column of that
-    variable, so broadcasting it is bounded by the schema's width.
+    A column without a spec has unusable values only.  The spec side of the
+    join has one row per inspected column of one variable, so broadcasting it
+    is bounded by the schema's width.
     """
     narrow = (
-        spec.where(F.col("col_idx").isin(list(columns)))
-        .groupBy(*COL)
+        spec.where((F.col("scope") == scope) & (F.col("var") == var) & F.col("col_idx").isin(list(columns)))
+        .groupBy("col_idx")
         .agg(F.min(F.struct("base", "step")).alias("s"))
-        .select(*COL, "s.base", "s.step")
+        .select("col_idx", "s.base", "s.step")
     )
     bucket = S.bucketize(F.col("value"), F.col("base"), F.col("step"))
-    return (
-        obs.join(F.broadcast(narrow), COL, "left")
-        .select(*RUN_COL, bucket.alias("bucket"))
-        .groupBy(*RUN_COL, "bucket")
+    counts = (
+        obs.join(F.broadcast(narrow), "col_idx", "left")
+        .select("run_id", "col_idx", bucket.alias("bucket"))
+        .groupBy("run_id", "col_idx", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return of_variable(counts, scope, var)
 
 
 def profile_counts(counts: DataFrame) -> DataFrame:
@@ -127,9 +137,11 @@ def relative_frequency(counts: DataFrame, compat: bool = False) -> DataFrame:
     )
 
 
-def histogram(obs: DataFrame, spec: DataFrame, columns: Sequence[int], compat: bool = False) -> DataFrame:
+def histogram(
+    obs: DataFrame, spec: DataFrame, columns: Collection[int], scope: str, var: str, compat: bool = False
+) -> DataFrame:
     """Distribution of every observed run and column."""
-    return relative_frequency(histogram_counts(obs, spec, columns), compat)
+    return relative_frequency(histogram_counts(obs, spec, columns, scope, var), compat)
 
 
 def history_select(captures: DataFrame, sample_run: str | Column, corrupted: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def _profile_pending(tables, scope, run_id, operations, variables, compat) -> No
     for row in todo:
         columns = testable[row["var"]]["columns"]
         obs = _observe(tables, scope, row["var"], row["runs"], columns, testable[row["var"]]["kinds"])
-        counts.append(trust.histogram_counts(obs, spec.where(F.col("var") == row["var"]), columns))
+        counts.append(trust.histogram_counts(obs, spec, columns, scope, row["var"]))
     # captures are read once; distribution and profile both come from the counts
     counted = durable(reduce(DataFrame.unionByName, counts), "counts")
     complete = pending.join(trust.profile_counts(counted), trust.RUN_COL, "left")
@@ -127,7 +127,7 @@ def _fill_specs(tables, scope, testable, first, compat) -> None:
         missing = [i for i in row["columns"] if (var, i) not in known]
         if missing and first[var]["run"] is not None:
             obs = _observe(tables, scope, var, [first[var]["run"]], missing, row["kinds"])
-            specs.append(trust.bucket_spec(obs, compat))
+            specs.append(trust.bucket_spec(obs, scope, var, compat))
     if specs:
         tables.write("bucket_spec", reduce(DataFrame.unionByName, specs))
 
@@ -138,5 +138,5 @@ def _observe(tables, scope, var, runs, columns, kinds) -> DataFrame:
         frame,
         {i: frame.columns[i] for i in columns},
         {i for i in columns if kinds[i] == "s"},
-        {"scope": F.lit(scope), "var": F.lit(var), "run_id": F.col(CAPTURE_RUN)},
+        CAPTURE_RUN,
     )

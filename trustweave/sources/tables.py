@@ -1,9 +1,8 @@
 """Where runs, operations, captures and profiles are kept.
 
 All of it is parquet below one root folder.  Metadata tables only ever grow;
-tables that a repeated job would write again (captures, distributions,
-confidences) are partitioned so that the repetition replaces its own partition
-and nothing else.
+what a repeated job would write again (captures, distributions, confidences) is
+partitioned so that the repetition replaces its own partition and nothing else.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 import re
 from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -25,10 +25,12 @@ _LAYOUT = {
     "scores": (schema.SCORES, ["scope"]),
     "bucket_spec": (schema.BUCKET_SPEC, ["scope", "var"]),
     "dist": (schema.DIST, ["scope", "var", "run_id"]),
-    "profile": (schema.PROFILE, ["scope", "var", "run_id"]),
+    "profile": (schema.PROFILE, ["scope", "var"]),
     "confidence": (schema.CONFIDENCE, ["scope", "run_id"]),
 }
-_REPLACED = {"dist", "profile", "confidence"}
+_REPLACED = {"dist", "confidence"}
+# A repeated job writes the same rows once more; they are the same in every column.
+_REPEATABLE = {"profile"}
 
 
 class Tables:
@@ -37,18 +39,21 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        for name, (columns, parts) in _LAYOUT.items():
-            empty = spark.createDataFrame([], columns)
-            empty.write.mode("ignore").partitionBy(*parts).parquet(self._path(name))
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        """A metadata or profile table as it is now."""
+        """A metadata or profile table as it is now; empty before its first write."""
         columns, _ = _LAYOUT[name]
-        frame = self.spark.read.schema(columns).parquet(self._path(name))
-        return frame.select(*_names(columns))
+        try:
+            frame = self.spark.read.schema(columns).parquet(self._path(name))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], columns)
+        frame = frame.select(*_names(columns))
+        return frame.distinct() if name in _REPEATABLE else frame
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Append rows, or replace the partitions they belong to.
