@@ -151,8 +151,8 @@ def group_all_count(spark, d):
 
 @query("SELECT l_returnflag, l_shipdate, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC")
 def order_desc(spark, d):
-    return table(spark, d, "lineitem").select("l_returnflag", "l_shipdate", "l_extendedprice").orderBy(
-        F.desc("l_extendedprice"))
+    items = table(spark, d, "lineitem").select("l_returnflag", "l_shipdate", "l_extendedprice")
+    return R.ordered_desc(items, "l_extendedprice")
 
 
 # -- scalars -----------------------------------------------------------------------------------

@@ -112,6 +112,15 @@ def _null_safe(keys: Sequence[str]) -> Column:
     return condition
 
 
+def ordered_desc(df: DataFrame, column: str) -> DataFrame:
+    """Global order by one column, largest first.
+
+    Ties are ordered by a hash of the row, so that the range partitioning can
+    also cut through one value that many rows share.
+    """
+    return df.orderBy(F.desc(column), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def ranked(df: DataFrame, key: str, order: Sequence[str], chunk: Column, name: str) -> DataFrame:
     """1-based rank of each row within its key, in ``order``.
 

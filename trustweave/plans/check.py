@@ -93,10 +93,8 @@ def _profile_pending(tables, scope, run_id, operations, variables, compat) -> No
         [captures.where(F.col("var") == v).withColumn(
             "col_idx", F.explode(F.lit(list(r["columns"])).cast("array<int>"))) for v, r in testable.items()],
     ).select(*trust.RUN_COL)
-    pending = durable(
-        wanted.join(corrupted.where(F.col("run_id") != run_id), trust.RUN, "left_anti")
-        .join(tables.read("profile").where(F.col("scope") == scope), trust.RUN_COL, "left_anti"),
-        "pending",
+    pending = wanted.join(corrupted.where(F.col("run_id") != run_id), trust.RUN, "left_anti").join(
+        tables.read("profile").where(F.col("scope") == scope), trust.RUN_COL, "left_anti"
     )
     todo = pending.groupBy("var").agg(F.collect_set("run_id").alias("runs")).collect()
     if not todo:

@@ -38,12 +38,12 @@ def score(timed: DataFrame, accessed: DataFrame) -> DataFrame:
 
 def time_rank(lines: DataFrame) -> DataFrame:
     """Locations by total connection time."""
-    return total(time(name(clean(lines))), "Duration", "TotalDuration").orderBy(F.desc("TotalDuration"))
+    return R.ordered_desc(total(time(name(clean(lines))), "Duration", "TotalDuration"), "TotalDuration")
 
 
 def access_rank(lines: DataFrame) -> DataFrame:
     """Locations by total number of accesses."""
-    return total(name(clean(lines)), "AccessCount", "TotalAccesses").orderBy(F.desc("TotalAccesses"))
+    return R.ordered_desc(total(name(clean(lines)), "AccessCount", "TotalAccesses"), "TotalAccesses")
 
 
 def density_rank(lines: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def density_rank(lines: DataFrame) -> DataFrame:
     both = named.where(F.col("LocationID").isNotNull()).groupBy("LocationID").agg(
         F.sum(seconds).alias("TotalDuration"), F.sum("AccessCount").alias("TotalAccesses"))
     density = S.density_ratio(F.col("TotalAccesses"), F.col("TotalDuration")).alias("Density")
-    return both.select("LocationID", density).orderBy(F.desc("Density"))
+    return R.ordered_desc(both.select("LocationID", density), "Density")
 
 
 def captured_rank(run: Run, path: str, part_rows: int = 100_000) -> DataFrame:
@@ -84,4 +84,4 @@ def captured_rank(run: Run, path: str, part_rows: int = 100_000) -> DataFrame:
     ratio = S.density_ratio(F.col("TotalAccesses"), F.col("TotalDuration")).alias("Density")
     scored = run.capture(
         density.select("LocationID", ratio), "density_scored", ["density"], "DensityScoring", inspected=["Density"])
-    return scored.orderBy(F.desc("Density"))
+    return R.ordered_desc(scored, "Density")

@@ -52,7 +52,7 @@ class Workspace:
         return Run(self, scope, run_id)
 
     def _run_event(self, scope: str, run_id: str, info: str | None, event: str) -> None:
-        self.tables.write("runs", one_row(self.spark, schema.RUNS, {
+        self.tables.write_row("runs", one_row(self.spark, schema.RUNS, {
             "scope": scope, "run_id": run_id, "info": info, "event": event, "at": F.current_timestamp(),
         }))
 
@@ -277,7 +277,7 @@ class Run:
             "column_types": column_types or column_classes(df), "inspected_columns": columns,
             "started": F.current_timestamp(), "path": path,
         })
-        self._tables.write("operations", row)
+        self._tables.write_row("operations", row)
         self._known[var] = index or row.first()["dst_idx"]
 
     def finish(self, check: bool = True, compat: bool = False) -> DataFrame | None:

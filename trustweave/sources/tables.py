@@ -61,8 +61,16 @@ class Tables:
         Rows are rebalanced by partition first: small partitions get one file,
         a large one is split over several tasks.
         """
+        _, parts = _LAYOUT[name]
+        self._save(name, rows.hint("rebalance", *parts))
+
+    def write_row(self, name: str, row: DataFrame) -> None:
+        """Append a single row."""
+        self._save(name, row)
+
+    def _save(self, name: str, rows: DataFrame) -> None:
         columns, parts = _LAYOUT[name]
-        writer = rows.select(*_names(columns)).hint("rebalance", *parts).write.partitionBy(*parts)
+        writer = rows.select(*_names(columns)).write.partitionBy(*parts)
         if name in _REPLACED:
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._path(name))
         else:
