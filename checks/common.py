@@ -42,7 +42,7 @@ def quarter() -> Column:
 
 
 def day() -> Column:
-    return F.date_format("ts", "yyyyMMdd")
+    return (F.year("ts") * 10000 + F.month("ts") * 100 + F.dayofmonth("ts")).cast("string")
 
 
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,11 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIABLES = (("sales", "shipped", shipped, SHIPPED), ("web", "visits", visits, VISITS))
 
 
-def first_run(obs: DataFrame) -> DataFrame:
+def first_run(spark: SparkSession, sf_dir: str, observe) -> DataFrame:
     """Observations of the earliest run."""
-    return obs.where(F.col("run_id") == obs.select(F.min("run_id")).scalar())
+    name, run = {shipped: ("lineitem", quarter()), visits: ("events", day())}[observe]
+    earliest = table(spark, sf_dir, name).select(F.min(run)).scalar()
+    return observe(spark, sf_dir).where(F.col("run_id") == earliest)
 
 
 QUARTER_SQL = "CAST(year(l_shipdate) * 10 + quarter(l_shipdate) AS VARCHAR)"

@@ -156,7 +156,7 @@ def persist_distribution(spark, d):
     """Profiles are written in two steps; the second finds only what is missing."""
     tables = Tables(spark, shared_path(spark, "profiles"))
     obs = shipped(spark, d)
-    spec = durable(trust.bucket_spec(first_run(obs), "sales", "shipped"), "spec")
+    spec = durable(trust.bucket_spec(first_run(spark, d, shipped), "sales", "shipped"), "spec")
     early = F.col("run_id") < "19980"
     for part in (obs.where(early), obs):
         missing = part.join(tables.read("profile").select("run_id").distinct(), "run_id", "left_anti")
@@ -172,7 +172,7 @@ def persist_distribution(spark, d):
 def persist_bucket_spec(spark, d):
     """A spec saved for one column stays; a later check adds only the others."""
     tables = Tables(spark, shared_path(spark, "specs"))
-    obs = first_run(shipped(spark, d))
+    obs = first_run(spark, d, shipped)
     for columns in ([0], list(SHIPPED)):
         wanted = trust.bucket_spec(obs.where(F.col("col_idx").isin(columns)), "sales", "shipped")
         tables.write("bucket_spec", wanted.join(tables.read("bucket_spec"), trust.COL, "left_anti"))

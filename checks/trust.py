@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VARIABLES, first_run, jsd_sql, shipped
 from trustweave.operators import trust
-from trustweave.session import durable
+from trustweave.session import durable, empty
 
 QUERIES, ORACLES = {}, {}
 SAMPLES = ["20014", "20011", "19983"]
@@ -29,14 +29,13 @@ def both_counts(spark, d) -> DataFrame:
     """Bucket counts of both variables, written once: raw data is read once."""
     frames = []
     for scope, var, observe, columns in VARIABLES:
-        obs = observe(spark, d)
-        spec = trust.bucket_spec(first_run(obs), scope, var)
-        frames.append(trust.histogram_counts(obs, spec, list(columns), scope, var))
+        spec = trust.bucket_spec(first_run(spark, d, observe), scope, var)
+        frames.append(trust.histogram_counts(observe(spark, d), spec, list(columns), scope, var))
     return durable(frames[0].unionByName(frames[1]), "counts")
 
 
 def no_runs(spark) -> DataFrame:
-    return spark.createDataFrame([], "scope STRING, var STRING, run_id STRING")
+    return empty(spark, "scope STRING, var STRING, run_id STRING")
 
 
 def known_corrupted(profile: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def min_max(spark, d):
 
 @query(f"WITH {OBS_SQL}, {SPEC_SQL} SELECT scope, var, col_idx, base, step FROM spec")
 def bucket_spec(spark, d):
-    frames = [trust.bucket_spec(first_run(observe(spark, d)), scope, var) for scope, var, observe, _ in VARIABLES]
+    frames = [trust.bucket_spec(first_run(spark, d, observe), scope, var) for scope, var, observe, _ in VARIABLES]
     return frames[0].unionByName(frames[1])
 
 
@@ -85,9 +84,8 @@ def relative_frequency(spark, d):
 
 @query(f"{CHAIN} SELECT scope, var, run_id, col_idx, bucket, round(p, 12) AS p FROM dist WHERE var = 'shipped'")
 def histogram(spark, d):
-    obs = shipped(spark, d)
-    spec = trust.bucket_spec(first_run(obs), "sales", "shipped")
-    return trust.histogram(obs, spec, list(SHIPPED), "sales", "shipped").withColumn("p", F.round("p", 12))
+    spec = trust.bucket_spec(first_run(spark, d, shipped), "sales", "shipped")
+    return trust.histogram(shipped(spark, d), spec, list(SHIPPED), "sales", "shipped").withColumn("p", F.round("p", 12))
 
 
 @query(f"""{CHAIN} SELECT DISTINCT scope, var, run_id FROM dist
@@ -102,56 +100,53 @@ def history_select(spark, d):
            WHERE NOT ({CORRUPTED_SQL}) OR run_id = {LAST} GROUP BY ALL""")
 def anti_corrupted_history(spark, d):
     dist, profile = both(spark, d)
-    rows = trust.usable(dist, last_run(profile), known_corrupted(profile))
+    rows = trust.usable(dist, trust.history_members(profile, last_run(profile), known_corrupted(profile)))
     return rows.groupBy(*trust.RUN_COL).agg(F.count(F.lit(1)).alias("buckets"))
 
 
 def _means(spark, d, corrupted):
     dist, profile = both(spark, d)
-    sample, out = last_run(profile), corrupted(profile)
-    rows = trust.usable(dist, sample, out)
-    members = trust.history_members(profile, sample, out)
-    return rows, trust.history_mean(rows.where(F.col("run_id") != sample), members), profile, members, sample
+    members = durable(trust.history_members(profile, last_run(profile), corrupted(profile)), "members")
+    rows = trust.usable(dist, members)
+    return rows, trust.history_mean(rows), members
 
 
 @query(f"{CHAIN_JSD} SELECT scope, var, col_idx, bucket, round(m, 12) AS m FROM mean")
 def history_mean(spark, d):
-    _, mean, *_ = _means(spark, d, lambda p: no_runs(spark))
+    _, mean, _ = _means(spark, d, lambda p: no_runs(spark))
     return mean.withColumn("m", F.round("m", 12))
 
 
 @query(f"""{CHAIN}, {jsd_sql(LAST, CORRUPTED_SQL)}
            SELECT scope, var, col_idx, bucket, round(m, 12) AS m FROM mean""")
 def mean_distribution(spark, d):
-    _, mean, *_ = _means(spark, d, known_corrupted)
+    _, mean, _ = _means(spark, d, known_corrupted)
     return mean.withColumn("m", F.round("m", 12))
 
 
 @query(f"""{CHAIN_JSD} SELECT scope, var, run_id, col_idx, bucket, round(p, 12) AS p, round(m, 12) AS m
            FROM used LEFT JOIN mean USING (scope, var, col_idx, bucket)""")
 def dist_align(spark, d):
-    rows, mean, *_ = _means(spark, d, lambda p: no_runs(spark))
+    rows, mean, _ = _means(spark, d, lambda p: no_runs(spark))
     aligned = trust.align(rows, mean)
     return aligned.select(*trust.RUN_COL, "bucket", F.round("p", 12).alias("p"), F.round("m", 12).alias("m"))
 
 
 def _divergences(spark, d, corrupted):
-    rows, mean, profile, members, sample = _means(spark, d, corrupted)
-    runs = trust.usable(profile, sample, corrupted(profile)).join(members.select(*trust.COL, "mass"), trust.COL)
-    return trust.jsd(trust.align(rows, mean), runs), sample
+    rows, mean, members = _means(spark, d, corrupted)
+    return trust.jsd(trust.align(rows, mean), members)
 
 
 @query(f"{CHAIN_JSD} SELECT scope, var, run_id, col_idx, round(jsd, 9) AS jsd FROM jsds")
 def jsd(spark, d):
-    values, _ = _divergences(spark, d, lambda p: no_runs(spark))
-    return values.withColumn("jsd", F.round("jsd", 9))
+    values = _divergences(spark, d, lambda p: no_runs(spark))
+    return values.select(*trust.RUN_COL, F.round("jsd", 9).alias("jsd"))
 
 
 @query(f"""{CHAIN}, {jsd_sql(LAST, CORRUPTED_SQL)}
            SELECT scope, var, col_idx, round(jsd, 9) AS jsd, round(mu, 9) AS mu, round(sd, 9) AS sd FROM stats""")
 def mean_stddev(spark, d):
-    values, sample = _divergences(spark, d, known_corrupted)
-    stats = trust.mean_stddev(values, sample)
+    stats = trust.mean_stddev(_divergences(spark, d, known_corrupted))
     return stats.select(*trust.COL, *[F.round(c, 9).alias(c) for c in ("jsd", "mu", "sd")])
 
 

@@ -74,9 +74,10 @@ def test_divergence_properties(spark):
     dist = spark.createDataFrame([("s", "v", r, 0, b, p) for r, d in runs.items() for b, p in d.items()], DIST)
     buckets = {b for d in runs.values() for b in d}
     mean = {b: sum(d.get(b, 0) for d in runs.values()) / len(runs) for b in buckets}
-    members = spark.createDataFrame([("s", "v", 0, len(runs))], "scope STRING, var STRING, col_idx INT, n_history LONG")
-    everyone = dist.select(*trust.RUN_COL).distinct().withColumn("mass", F.lit(1.0))
-    got = trust.jsd(trust.align(dist, trust.history_mean(dist, members)), everyone)
+    members = dist.select(*trust.RUN_COL).distinct().select(
+        "*", F.lit(False).alias("is_sample"), F.lit(len(runs)).alias("n_history"), F.lit(1.0).alias("mass"))
+    rows = trust.usable(dist, members)
+    got = trust.jsd(trust.align(rows, trust.history_mean(rows)), members)
 
     def slow(p):
         term = lambda x, y: x * math.log(x / y) if x else 0.0

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustweave.functions import scalar as S
+from trustweave.session import durable
 
 THRESHOLD = 1e-5
 MIN_HISTORY = 2
@@ -150,40 +151,58 @@ def history_select(captures: DataFrame, sample_run: str | Column, corrupted: Dat
     return others.join(corrupted.select(*RUN), RUN, "left_anti")
 
 
-def usable(table: DataFrame, sample_run: str | Column, corrupted: DataFrame) -> DataFrame:
-    """Rows of the sample and of its usable history."""
-    out = corrupted.where(F.col("run_id") != _col(sample_run)).select(*RUN)
-    return table.join(out, RUN, "left_anti")
+def history_members(profile: DataFrame, sample_run: str | Column, corrupted: DataFrame) -> DataFrame:
+    """The sample's and the usable history's profile rows, with the history's size.
+
+    Adds ``is_sample`` and, per column, ``n_found`` (other captures), ``n_history``
+    (those not corrupted) and ``mass``, the total of their mean distribution: 1
+    unless some capture has no usable value.
+    """
+    flagged = corrupted.select(*RUN).distinct().withColumn("_out", F.lit(True))
+    is_sample = F.col("run_id") == _col(sample_run)
+    marked = profile.join(flagged, RUN, "left").select(
+        *RUN_COL, "n", is_sample.alias("is_sample"), (is_sample | F.col("_out").isNull()).alias("_kept")
+    )
+    past = ~F.col("is_sample")
+    used = past & F.col("_kept")
+    count = lambda condition: F.count(F.when(condition, 1))
+    sizes = marked.groupBy(*COL).agg(
+        count(past).alias("n_found"),
+        count(used).alias("n_history"),
+        F.try_divide(count(used & (F.col("n") > 0)), count(used)).alias("mass"),
+    )
+    return marked.where("_kept").drop("n", "_kept").join(sizes, COL)
+
+
+def usable(dist: DataFrame, members: DataFrame) -> DataFrame:
+    """Distributions of the members."""
+    return dist.join(members.select(*RUN_COL, "is_sample", "n_history"), RUN_COL)
 
 
-def history_mean(dist: DataFrame, members: DataFrame) -> DataFrame:
-    """Mean distribution; a bucket absent from a run counts as 0 there.
+def history_mean(rows: DataFrame) -> DataFrame:
+    """Mean distribution of the history in ``rows``.
 
-    ``members`` has ``n_history`` per column, so runs with no usable value are
-    part of the divisor.
+    A bucket absent from a run counts as 0 there, so sums are divided by the
+    number of runs, those without any usable value included.
     """
-    sums = dist.groupBy(*COL, "bucket").agg(F.sum("p").alias("total_p"))
-    return sums.join(members.select(*COL, "n_history"), COL).select(
-        *COL, "bucket", (F.col("total_p") / F.col("n_history")).alias("m")
-    )
+    mean = F.sum("p") / F.max("n_history")
+    return rows.where(~F.col("is_sample")).groupBy(*COL, "bucket").agg(mean.alias("m"))
 
 
-def align(dist: DataFrame, mean: DataFrame) -> DataFrame:
+def align(rows: DataFrame, mean: DataFrame) -> DataFrame:
     """Each run's distribution next to the mean: ``p`` and ``m`` per bucket.
 
     Only buckets the run has are listed.  What the mean holds elsewhere enters
     the divergence through its total, which keeps the join at one row per
-    ``dist`` row instead of runs times buckets.
+    ``rows`` row instead of runs times buckets.
     """
-    return dist.join(mean, [*COL, "bucket"], "left")
+    return rows.join(mean, [*COL, "bucket"], "left")
 
 
-def jsd(aligned: DataFrame, runs: DataFrame) -> DataFrame:
-    """Jensen–Shannon divergence (nats) of each run's column from the mean.
+def jsd(aligned: DataFrame, members: DataFrame) -> DataFrame:
+    """Jensen–Shannon divergence (nats) of each member's column from the mean.
 
-    ``runs`` lists every ``(run, column)`` with ``mass``, the total of the mean
-    (1 unless some history capture is empty); runs without any bucket get the
-    divergence of an empty distribution.
+    Members without any bucket get the divergence of an empty distribution.
     """
     p, m = F.col("p"), F.col("m")
     middle = (p + m) / 2
@@ -192,35 +211,22 @@ def jsd(aligned: DataFrame, runs: DataFrame) -> DataFrame:
         F.sum(F.when(m.isNull(), p * S.LN2).otherwise(shared)).alias("terms"),
         F.sum(F.coalesce(m, F.lit(0.0))).alias("met"),
     )
-    rest = F.col("mass") - F.coalesce(F.col("met"), F.lit(0.0))
-    value = (F.coalesce(F.col("terms"), F.lit(0.0)) + rest * S.LN2) / 2
-    return runs.join(terms, RUN_COL, "left").select(
-        *RUN_COL, F.when(value < NOISE, F.lit(0.0)).otherwise(value).alias("jsd")
-    )
-
-
-def history_members(profile: DataFrame, sample_run: str | Column, corrupted: DataFrame) -> DataFrame:
-    """Per column: captures found, usable ones, and the mean's total mass."""
-    sample = _col(sample_run)
-    marked = profile.where(F.col("run_id") != sample).join(
-        corrupted.select(*RUN).distinct().withColumn("_out", F.lit(True)), RUN, "left"
-    )
-    kept = F.col("_out").isNull()
-    return marked.groupBy(*COL).agg(
-        F.count(F.lit(1)).alias("n_found"),
-        F.count(F.when(kept, 1)).alias("n_history"),
-        F.try_divide(
-            F.count(F.when(kept & (F.col("n") > 0), 1)), F.count(F.when(kept, 1))
-        ).alias("mass"),
+    rest = F.coalesce("mass", F.lit(0.0)) - F.coalesce("met", F.lit(0.0))
+    value = (F.coalesce("terms", F.lit(0.0)) + rest * S.LN2) / 2
+    return members.join(terms, RUN_COL, "left").select(
+        *members.columns, F.when(value < NOISE, F.lit(0.0)).otherwise(value).alias("jsd")
     )
 
 
-def mean_stddev(divergences: DataFrame, sample_run: str | Column) -> DataFrame:
-    """History's mean and sample standard deviation beside the sample's value."""
-    is_sample = F.col("run_id") == _col(sample_run)
-    past = F.when(~is_sample, F.col("jsd"))
+def mean_stddev(divergences: DataFrame) -> DataFrame:
+    """Per column: the sample's divergence, the history's mean and sample deviation."""
+    sample = F.col("is_sample")
+    past = F.when(~sample, F.col("jsd"))
     return divergences.groupBy(*COL).agg(
-        F.max(F.when(is_sample, F.col("jsd"))).alias("jsd"),
+        F.max(F.when(sample, F.col("run_id"))).alias("run_id"),
+        F.max("n_found").alias("n_found"),
+        F.max("n_history").alias("n_history"),
+        F.max(F.when(sample, F.col("jsd"))).alias("jsd"),
         F.avg(past).alias("mu"),
         F.stddev_samp(past).alias("sd"),
     )
@@ -235,30 +241,27 @@ def confidence(
     unusually close to the mean loses density as well.  ``log_density`` is kept
     because the density underflows to 0 for strong anomalies.
     """
-    sample = _col(sample_run)
-    members = history_members(profile, sample, corrupted)
-    rows = usable(dist, sample, corrupted)
-    mean = history_mean(rows.where(F.col("run_id") != sample), members)
-    runs = usable(profile, sample, corrupted).select(*RUN_COL).join(members.select(*COL, "mass"), COL)
-    stats = mean_stddev(jsd(align(rows, mean), runs), sample)
-    sampled = profile.where(F.col("run_id") == sample).select(*RUN_COL)
-    joined = sampled.join(members, COL, "left").join(stats, COL, "left")
-    found, n = (F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_found", "n_history"))
+    # one small row per captured column, used three times below
+    members = durable(history_members(profile, sample_run, corrupted), "members")
+    rows = usable(dist, members)
+    stats = mean_stddev(jsd(align(rows, history_mean(rows)), members)).where("run_id IS NOT NULL")
     status = (
-        F.when(found < MIN_HISTORY, "insufficient_history")
-        .when(n == 0, "all_history_corrupted")
-        .when(F.coalesce(F.col("sd"), F.lit(0.0)) <= NOISE, "degenerate_history")
+        F.when(F.col("n_found") < MIN_HISTORY, "insufficient_history")
+        .when(F.col("n_history") == 0, "all_history_corrupted")
+        .when(F.coalesce("sd", F.lit(0.0)) <= NOISE, "degenerate_history")
         .otherwise("ok")
     )
-    ok = F.col("status") == "ok"
-    log_density = F.when(ok, S.normal_log_density(F.col("jsd"), F.col("mu"), F.col("sd")))
+    log_density = F.when(
+        F.col("status") == "ok", S.normal_log_density(F.col("jsd"), F.col("mu"), F.col("sd"))
+    )
+    enough = F.col("n_found") >= MIN_HISTORY
     return (
-        joined.withColumn("status", status)
+        stats.withColumn("status", status)
         .withColumn("log_density", log_density)
         .select(
             *RUN_COL,
-            n.alias("n_history"),
-            *[F.when(found >= MIN_HISTORY, F.col(c)).alias(c) for c in ("jsd", "mu", "sd")],
+            "n_history",
+            *[F.when(enough, F.col(c)).alias(c) for c in ("jsd", "mu", "sd")],
             "log_density",
             F.exp("log_density").alias("confidence"),
             F.coalesce(F.exp("log_density") < THRESHOLD, F.lit(False)).alias("corrupted"),

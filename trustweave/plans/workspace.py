@@ -20,7 +20,7 @@ from trustweave import schema
 from trustweave.functions.scalar import confidence_string
 from trustweave.operators import lineage, search, trust
 from trustweave.plans.check import captured, check_run
-from trustweave.session import shared_path
+from trustweave.session import empty, shared_path
 from trustweave.sources import delimited
 from trustweave.sources.tables import CAPTURE_RUN, Tables
 
@@ -174,8 +174,7 @@ class Workspace:
             parts.append(operations.where(~captured()).join(lines, "path").select(
                 "scope", "run_id", F.col("dst_var").alias("dstvar"), "data"))
         if not parts:
-            empty = "scope STRING, run_id STRING, dstvar STRING, data STRING"
-            parts = [self.spark.createDataFrame([], empty)]
+            parts = [empty(self.spark, "scope STRING, run_id STRING, dstvar STRING, data STRING")]
         rows = reduce(DataFrame.unionByName, parts)
         return search.search_data(expanded, rows).select("run_id", "dstidx", "dstvar", "data")
 

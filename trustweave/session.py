@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_roots: dict[str, str] = {}
 
@@ -20,6 +22,7 @@ def local_session(app: str, cores: str | int = "*", memory: str = "8g", **conf)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -53,6 +56,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/trustweave/{label}-{uuid.uuid4().hex}"
 
 
+def empty(spark: SparkSession, columns: str) -> DataFrame:
+    """No rows; the optimizer knows, and drops the joins it takes part in."""
+    fields = T.StructType.fromDDL(columns)
+    row = [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    return spark.range(1).select(*row).where(F.lit(False))
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the table.
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trustweave import schema
+from trustweave.session import empty
 
 CAPTURE_RUN = "capture_run"
 _RUN_ID = re.compile(r"[A-Za-z0-9_.-]+")
@@ -51,7 +52,7 @@ class Tables:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], columns)
+            return empty(self.spark, columns)
         frame = frame.select(*_names(columns))
         return frame.distinct() if name in _REPEATABLE else frame
 
