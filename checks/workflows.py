@@ -8,7 +8,7 @@ from checks.common import ACCESS_SQL, access_lines, table
 from trustweave.plans import anomaly, qualify, wifi
 from trustweave.plans.workspace import Workspace
 from trustweave.session import shared_path
-from trustweave.sources.delimited import store_delimited
+from trustweave.sources.delimited import load_lines, store_delimited
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,8 +22,15 @@ def query(sql: str | None = None):
     return register
 
 
+def _log(spark, d) -> str:
+    """The access log as text files in the shared folder."""
+    path = shared_path(spark, "access-log")
+    access_lines(table(spark, d, "events")).write.text(path)
+    return path
+
+
 def _lines(spark, d):
-    return access_lines(table(spark, d, "events"))
+    return load_lines(spark, _log(spark, d))
 
 
 @query(f"WITH {ACCESS_SQL} SELECT LocationID, TotalDuration FROM sums ORDER BY TotalDuration DESC")
@@ -47,8 +54,7 @@ def wifi_density_rank(spark, d):
 @query(f"WITH {ACCESS_SQL} SELECT LocationID, {DENSITY}, 'density' AS srcvar FROM sums ORDER BY Density DESC")
 def wifi_rank_captured(spark, d):
     """The log is written as text, loaded, and captured after every step."""
-    path = shared_path(spark, "access-log")
-    _lines(spark, d).write.text(path)
+    path = _log(spark, d)
     ws = Workspace(spark)
     run = ws.start_run("wifi", "access ranking")
     ranked = wifi.captured_rank(run, path, part_rows=50)
