@@ -43,12 +43,13 @@ def register_operations(requests: DataFrame) -> DataFrame:
 
     ``requests`` has the columns of the operation log without indices.  Indices
     are assigned here and the sources resolved against earlier registrations.
+    The deduplicated log is written once, since resolving reads it three times.
     """
     first = _first_wins(requests)
     index = F.when(F.col("is_load"), loader_index(F.col("path"), F.col("dst_var"))).otherwise(
         operation_index(F.col("scope"), F.col("run_id"), F.col("dst_var"))
     )
-    return resolve_src_idx(first.withColumn("dst_idx", index))
+    return resolve_src_idx(durable(first.withColumn("dst_idx", index), "registered"))
 
 
 def _first_wins(requests: DataFrame) -> DataFrame:
