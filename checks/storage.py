@@ -53,8 +53,8 @@ def prov_load(spark, d):
     ws = Workspace(spark)
     run = ws.start_run("loads", "round trip")
     rows = run.load(path, "nation", "n_nationkey INT, n_name STRING, n_regionkey INT", column_types="s,n")
-    log = ws.tables.read("operations").where((F.col("run_id") == run.run_id) & F.col("is_load"))
-    return rows.join(log.select("operation", F.col("column_types").alias("kinds")))
+    log = ws.tables.read("operations").where((F.col("run_id") == run.run_id) & F.col("is_load")).first()
+    return rows.select("*", F.lit(log["operation"]).alias("operation"), F.lit(log["column_types"]).alias("kinds"))
 
 
 @query(PART_SQL)
@@ -120,8 +120,8 @@ def capture(spark, d):
     joined = suppliers.where("s_acctbal >= 0").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     rows = run.capture(joined.select("s_suppkey", "s_name", "n_name"), "located", ["supplier", "nation"], "JOIN",
                        inspected=["s_suppkey"])
-    log = ws.operations_view().where((F.col("run_id") == run.run_id) & (F.col("dstvar") == "located"))
-    return rows.join(log.select("srcvar", "operation"))
+    log = ws.operations_view().where((F.col("run_id") == run.run_id) & (F.col("dstvar") == "located")).first()
+    return rows.select("*", F.lit(log["srcvar"]).alias("srcvar"), F.lit(log["operation"]).alias("operation"))
 
 
 @query(f"""SELECT l_orderkey, l_quantity, l_extendedprice, l_returnflag FROM lineitem

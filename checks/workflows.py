@@ -59,8 +59,8 @@ def wifi_rank_captured(spark, d):
     run = ws.start_run("wifi", "access ranking")
     ranked = wifi.captured_rank(run, path, part_rows=50)
     run.finish()
-    log = ws.operations_view().where((F.col("run_id") == run.run_id) & (F.col("dstvar") == "density_scored"))
-    return ranked.join(log.select("srcvar"))
+    log = ws.operations_view().where((F.col("run_id") == run.run_id) & (F.col("dstvar") == "density_scored")).first()
+    return ranked.withColumn("srcvar", F.lit(log["srcvar"]))
 
 
 QUALIFIED_SQL = """
