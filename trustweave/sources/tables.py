@@ -98,6 +98,7 @@ class Tables:
         One distributed write.  Rows are rebalanced by run, so that a run with
         much of the data is written by several tasks.
         """
+        _check_names(df.drop(run_id))
         rows = df.withColumnRenamed(run_id, CAPTURE_RUN)
         (
             rows.hint("rebalance", CAPTURE_RUN)
