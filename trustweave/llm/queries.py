@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustweave.llm import pii, quality, secrets
+from trustweave.llm import near_dup, pii, quality, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,3 +32,8 @@ def op2_quality(spark, sf_dir):
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op8_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
