@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trustweave.llm import near_dup, pii, quality, secrets
+from trustweave.llm import near_dup, packing, pii, quality, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,3 +38,9 @@ def op6_secrets(spark, sf_dir):
 @query
 def op8_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op5_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
