@@ -129,11 +129,10 @@ def fences(sketch: DataFrame) -> DataFrame:
     fence = F.greatest(F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")), F.col("q50") + margin)
     table = quartiles.groupBy("level", "l", "s").agg(
         F.max("total").alias("total"), *[F.max(F.when(F.col("signal") == s, fence)).alias(s) for s in SIGNALS])
-    own = table.where("level = 0").select(F.col("l").alias("lang"), F.col("s").alias("source"), F.col("level").alias("own_level"), "total", F.struct(*SIGNALS).alias("own"))
+    own = table.where("level = 0").select(F.col("l").alias("lang"), F.col("s").alias("source"), "total", F.struct(*SIGNALS).alias("own"))
     lang = table.where("level = 1").select(F.col("l").alias("_l"), F.col("total").alias("_t"), F.struct(*SIGNALS).alias("up"))
-    every = table.where("level = 2").select(F.lit(0).alias("own_level"), F.struct(*SIGNALS).alias("top"))
-    # ``every`` is one row
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_l"))).join(F.broadcast(every), "own_level")
+    every = table.where("level = 2").select(F.struct(*SIGNALS))
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_l"))).withColumn("top", every.scalar())
     use = F.when(F.col("total") >= MIN_GROUP, F.col("own")).when(F.col("_t") >= MIN_GROUP, F.col("up")).otherwise(F.col("top"))
     return joined.select("lang", "source", use.alias("fence"))
 
