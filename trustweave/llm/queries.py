@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustweave.llm import chat, near_dup, packing, pii, quality, secrets
+from trustweave.llm import chat, hnsw, near_dup, packing, passages, pii, quality, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -73,3 +73,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>') + length(role) + 1 + length(text) + added + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id"""
+
+
+@query
+def op4_hnsw(spark, sf_dir):
+    return hnsw.search_table(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op9_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
