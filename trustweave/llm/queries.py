@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustweave.llm import chat, hnsw, near_dup, packing, passages, pii, quality, secrets
+from trustweave.llm import chat, hnsw, langid, near_dup, packing, passages, pieces, pii, quality, secrets
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +83,16 @@ def op4_hnsw(spark, sf_dir):
 @query
 def op9_passages(spark, sf_dir):
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_language(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return langid.identify(pages, table(spark, sf_dir, "documents").select("text", "lang")).drop("url", "html")
+
+
+@query
+def op7_pieces(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.decode(pieces.encode(docs, model), model))
