@@ -6,10 +6,13 @@ are searched.  A class has ``TREES`` signatures of ``DEPTH`` min-hashes; a tree
 of the forest is one sorted order of these signatures.
 
 Candidates are, in every tree,
-- the smallest class with the same first 3, 5 or 8 min-hashes, and then
+- the hub of all classes with the same first 3 min-hashes: the smallest one of
+  those that have the region's most frequent signature, which is the least
+  edited copy of a group rather than any of them, and then
 - neighbours in sorted order that are not yet known to belong together: a
   neighbour further away must share a longer prefix, so the depth follows the
-  density of the region (``REACH``).
+  density of the region (``REACH``).  Whole signatures must agree to within
+  ``MARGIN``, over three standard deviations, of the similarity asked for.
 Candidates are confirmed on full sets.  Two sets of similarity s share 3
 min-hashes in some of 16 trees with probability 1 - (1 - s^3)^16, which is
 0.99998 for s = 0.8 and higher above.
@@ -35,14 +38,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustweave.llm.components import components
-from trustweave.llm.shared import Scratch, per_batch
+from trustweave.llm.shared import Scratch, per_batch, quoted
 from trustweave.llm.shingles import WordHashes, shingle_set
 
 TREES, DEPTH = 16, 8
 SHALLOW = 3
-HUBS = (3, 5, 8)
 #: Common min-hashes, and how far apart in sorted order two classes with them may be.
-REACH = {3: 16, 4: 64, 5: 256, 6: 1024, 7: 2048, 8: 4096}
+REACH = {3: 8, 4: 16, 5: 32, 6: 64, 7: 128, 8: 512}
+MARGIN = 0.12
 _SEED = 20_240_229
 
 
@@ -94,14 +97,12 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 
 def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    pairs = None
-    for depth in HUBS:
-        keyed = rows.withColumn("key", _prefix(depth))
-        hub = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        found = keyed.join(hub.drop("c"), "key").where((F.col("rep") > F.col("hub.rep")) & _alike(F.col("n"), F.col("hub.n"), percent))
-        found = found.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-    return pairs.distinct()
+    alike = rows.groupBy("tree", "sign").agg(F.min(F.struct("rep", "n")).alias("low"), F.count(F.lit(1)).alias("c"))
+    rank = F.struct(F.col("c"), (-F.col("low.rep")).alias("r"))
+    hub = alike.groupBy(_prefix(SHALLOW).alias("key")).agg(F.max_by("low", rank).alias("hub"))
+    found = rows.withColumn("key", _prefix(SHALLOW)).join(hub, "key")
+    found = found.where((F.col("rep") != F.col("hub.rep")) & _alike(F.col("n"), F.col("hub.n"), percent))
+    return found.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
 
 
 def _neighbours(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
@@ -110,6 +111,8 @@ def _neighbours(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         return
     tree, rep, n, comp = [part.column(c).to_numpy() for c in ("tree", "rep", "n", "comp")]
     sign = part.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, DEPTH)
+    whole = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
+    agree = (percent / 100 - MARGIN) * TREES * DEPTH
     need = SHALLOW
     for step in range(1, min(len(rep), REACH[DEPTH] + 1)):
         while step > REACH[need]:
@@ -119,8 +122,10 @@ def _neighbours(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             return  # sorted order: rows further apart share no more
         a, b = n[:-step], n[step:]
         same &= (comp[step:] != comp[:-step]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-        if same.any():
-            x, y = rep[:-step][same], rep[step:][same]
+        at = np.flatnonzero(same)
+        at = at[(whole[at] == whole[at + step]).sum(axis=1) >= agree]
+        if len(at):
+            x, y = rep[at], rep[at + step]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
@@ -134,7 +139,7 @@ def _neighbour_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= 16 * overlap:
+            if count >= 32 * overlap:
                 part = pa.Table.from_batches(held)
                 yield from _neighbours(part, percent)
                 held = part.slice(part.num_rows - overlap).to_batches()  # seen again beside what follows
@@ -143,7 +148,7 @@ def _neighbour_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             yield from _neighbours(pa.Table.from_batches(held), percent)
 
     ordered = rows.repartitionByRange(parts, "tree", "sign", "rep").sortWithinPartitions("tree", "sign", "rep")
-    return ordered.select("tree", "sign", "rep", "n", "comp").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("tree", "sign", "rep", "n", "comp", "signature").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +191,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     keyed = named.withColumn("key", _prefix(SHALLOW))
     mixed = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_rows = scratch.keep(keyed.join(mixed, "key", "left_semi").select("tree", "sign", "rep", "n", "comp"))
+    open_rows = keyed.join(mixed, "key", "left_semi").select("tree", "sign", "rep", "n", "comp")
+    open_rows = scratch.keep(open_rows.join(classes.select("rep", "signature"), "rep"))
     second = _confirmed(_neighbour_pairs(open_rows, percent, parts), sets, percent)
     # a link of the first round stands for all links inside its component
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
@@ -203,4 +209,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the smallest ``doc_id``."""
     gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustweave.llm.shared import Scratch, packed, per_batch
+from trustweave.llm.shared import Scratch, packed, per_batch, restored
 from trustweave.llm.shingles import WIDTH, WordHashes, mixed, windows
 
 MIN_WORDS = 50
@@ -310,10 +310,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("was_cut", T.BooleanType())])
     out = per_batch(rows, run, schema).where("NOT was_cut OR text IS NULL OR text <> ''")
-    columns = {c: F.col("_doc")[c] for c in docs.columns if c != "text"} | {"text": F.col("text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("was_cut"), F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[columns[c].alias(c) for c in docs.columns])
+    return restored(out, docs, F.col("was_cut"))
 
 
 def _cut(text: str, cuts: list[dict]) -> str:

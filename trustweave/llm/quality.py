@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from trustweave.llm.shared import SPACES, Scratch, beside, packed, per_batch
+from trustweave.llm.shared import SPACES, Scratch, beside, packed, per_batch, restored
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
@@ -151,3 +151,10 @@ def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     rows = rows.select("_doc", *text, *COUNTS, base_failed().alias("base_failed"), reason.alias("reason"))
     new = [*COUNTS, "base_failed", "kept", "reason"]
     return rows.select(*beside(rows, ["text", *new]), *text, *COUNTS, "base_failed", F.col("reason").isNull().alias("kept"), "reason")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that the rules reject."""
+    lang, source = [F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")]
+    judged = judge(packed(docs, "text", text=F.col("text"), lang=lang, source=source))
+    return restored(judged.where("kept"), docs, F.lit(False))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustweave.llm import spans as S
-from trustweave.llm.shared import Scratch, beside, packed, text_of
+from trustweave.llm.shared import Scratch, beside, packed, restored, text_of
 
 BASE = ("assign", "access", "hex")
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+"""
@@ -150,6 +150,13 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def without_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret in a text replaced by its kind; ``n_chars`` follows."""
+    found = find_secrets(packed(docs, "text", text=F.col("text")), ledger_path, rules)
+    done = found.select("_doc", redacted(F.col("text"), F.col("secrets")).alias("text"), (F.size("secrets") > 0).alias("hit"))
+    return restored(done, docs, F.col("hit"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """One row per document: counts and digests of its spans."""
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

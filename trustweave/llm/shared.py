@@ -36,6 +36,14 @@ def beside(docs: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col("_doc")[f].alias(f) for f in fields if f.lower() not in new]
 
 
+def restored(rows: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``_doc`` and ``text``; ``n_chars`` follows a changed text."""
+    columns = {c: F.col("text") if c == "text" else F.col("_doc")[c] for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(n) for n, c in columns.items()])
+
+
 def text_of(docs: DataFrame) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col("text"), F.lit(""))
