@@ -50,7 +50,6 @@ _FACTORS = [np.uint64(2 * x + 1) for x in np.random.default_rng(77).integers(1,
 
 WINDOW = "value long, hash int, doc long, c int, l int, r int, right int, left int"
 _SIDE = "doc c l r".split()
-ANCHOR = "struct<hash:int,ac:int,al:int,ar:int,bc:int,bl:int,br:int>"
 PASSAGE = "doc_id long, start int, end int, source_doc_id long, source_start int, source_end int, similarity double"
 
 
@@ -93,6 +92,20 @@ def compact_windows(v: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.nda
     return c[wide], l[wide], r[wide] - 1
 
 
+def merged_windows(value: np.ndarray, owner: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping windows of one text with one min-hash become one: first ``c``, whole interval.
+
+    A line that repeats in a text many times gives a window each time.
+    """
+    order = np.lexsort((c, value, owner))
+    c, l, r, value, owner = (x[order] for x in (c, l, r, value, owner))
+    if not len(c):
+        return c, l, r
+    same = np.r_[False, (value[1:] == value[:-1]) & (owner[1:] == owner[:-1]) & (l[1:] <= r[:-1] + 1)]
+    first = np.flatnonzero(~same)
+    return c[first], np.minimum.reduceat(l, first), np.maximum.reduceat(r, first)
+
+
 def _at(values: np.ndarray, text: np.ndarray, c: np.ndarray, aside: int) -> np.ndarray:
     """Value ``aside`` positions from each ``c`` in the same text, else 0."""
     there = np.clip(c + aside, 0, len(values) - 1)
@@ -119,6 +132,7 @@ def all_windows(docs: DataFrame) -> DataFrame:
             for f, factor in enumerate(_FACTORS):
                 v = np.where(s == 0, s, mixed(s * factor) | np.uint64(1))
                 c, l, r = compact_windows(v)
+                c, l, r = merged_windows(v[c], owner[c], c, l, r)
                 at = place[c] - c
                 row = (v[c].view(np.int64), np.full(len(c), f), ids[owner[c]], place[c], l + at, r + at, _at(s, owner, c, ASIDE), _at(s, owner, c, -ASIDE))
                 for column, x in zip(columns, row):
@@ -212,19 +226,18 @@ def _segments(score: np.ndarray, at: int, least: int) -> Iterator[tuple[int, int
         todo += [(lo, lo + start), (lo + end, hi)]
 
 
-def _clusters(anchors: list[dict], agree: int) -> Iterator[tuple[int, int, int, int]]:
+def _clusters(anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int, int, int]]:
     """Intervals of both texts where windows of ``agree`` hash functions overlap."""
-    held: list[dict] = []
-    for x in [*sorted(anchors, key=lambda x: (x["bl"], x["br"])), None]:
-        if held and (x is None or x["bl"] > max(y["br"] for y in held)):
-            if len({y["hash"] for y in held}) >= agree:
-                yield min(y["al"] for y in held), max(y["ar"] for y in held), min(y["bl"] for y in held), max(y["br"] for y in held)
-            held = []
-        if x is not None:
-            held.append(x)
+    x = np.array(anchors)
+    x = x[np.lexsort((x[:, 4], x[:, 3]))]
+    reach = np.maximum.accumulate(x[:, 4])
+    first = np.flatnonzero(np.r_[True, x[1:, 3] > reach[:-1]])
+    for part in np.split(x, first[1:]):
+        if len(np.unique(part[:, 0])) >= agree:
+            yield part[:, 1].min(), part[:, 2].max(), part[:, 3].min(), part[:, 4].max()
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[dict], agree: int) -> Iterator[tuple[int, int, int, int, float]]:
+def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int, int, int, float]]:
     """``b`` start and end, ``a`` start and end (in words), similarity; from shingle sequences."""
     for al, ar, bl, br in _clusters(anchors, agree):
         there, here = a[al:ar + 1], b[bl:br + 1]
@@ -244,13 +257,13 @@ def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[dict], agree: int) -
             common = len(np.intersect1d(x, y, assume_unique=True))
             similarity = common / (len(x) + len(y) - common)
             if e - s >= SPAN and similarity >= SIMILAR:
-                yield start, end - 1 + WIDTH, s, e - 1 + WIDTH, similarity
+                yield int(start), int(end) - 1 + WIDTH, s, e - 1 + WIDTH, similarity
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -> DataFrame:
-    anchor = F.struct("hash", "ac", "al", "ar", F.col("c").alias("bc"), F.col("l").alias("bl"), F.col("r").alias("br"))
+    anchor = F.array("hash", "al", "ar", "l", "r")
     grouped = pairs.groupBy("adoc", "doc").agg(F.collect_set(anchor).alias("anchors"))
-    some = scratch.keep(grouped.where(F.size(F.array_distinct(F.transform("anchors", lambda x: x["hash"]))) >= agree))
+    some = scratch.keep(grouped.where(F.size(F.array_distinct(F.transform("anchors", lambda x: x[0]))) >= agree))
     named = some.select(F.col("adoc").alias("_id")).union(some.select("doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("text IS NOT NULL")
     texts = scratch.keep(texts.join(named, "_id", "left_semi"))
