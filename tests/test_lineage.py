@@ -65,31 +65,39 @@ def test_known_totals_over_all_customers(spark):
     assert tuple(paths.agg(F.count("*"), F.max("paths"), F.sum("paths")).first()) == (15000, 393, 107978)
 
 
-@pytest.mark.parametrize("small_run", [0, 8])
-def test_large_runs_give_the_same_counts(spark, small_run):
-    operations = order_operations(spark, "/root/testdata/sf0.001")
-    targets = last_nodes(operations).unionByName(last_nodes(operations.where("op_seq <= 3")))
-    for walk in (lineage.path_counts, lineage.lineage_ancestors):
-        one_pass, levels = walk(operations, targets), walk(operations, targets, small_run)
-        assert one_pass.exceptAll(levels).isEmpty() and levels.exceptAll(one_pass).isEmpty()
+def raw_log(spark, steps, run):
+    rows = [("s", run, i, var, src) for i, (var, src) in enumerate(steps, 1)]
+    return spark.createDataFrame(rows, "scope STRING, run_id STRING, op_seq LONG, dst_idx STRING, src_idxs ARRAY<STRING>")
+
+
+def aim(spark, run, *nodes):
+    return spark.createDataFrame([("s", run, n) for n in nodes], "scope STRING, run_id STRING, dst_idx STRING")
+
+
+@pytest.mark.parametrize("extra", [0, 297])
+def test_odd_sources_at_any_size(spark, extra):
+    """Null and unknown sources lead nowhere, a later one counts, in runs of 3 and of 300 operations."""
+    steps = [("a", [None, "unknown", "c"]), ("b", ["a"]), ("c", [])] + [(f"x{i}", ["c"]) for i in range(extra)]
+    operations = raw_log(spark, steps, "r")
+    targets = aim(spark, "r", "b", "unknown")
+    found = {(r["target_idx"], r["dst_idx"], r["paths"]) for r in lineage.path_counts(operations, targets).collect()}
+    assert found == {("b", "b", 1), ("b", "a", 1), ("b", "c", 1)}
+    assert lineage.lineage_ancestors(operations, targets).count() == 3
+
+
+@pytest.mark.parametrize("extra", [0, 297])
+def test_a_cycle_is_reported_at_any_size(spark, extra):
+    steps = [("a", ["b"]), ("b", ["c"]), ("c", ["a"])] + [(f"x{i}", ["x%d" % (i - 1)] if i else []) for i in range(extra)]
+    operations = raw_log(spark, steps, "r")
+    with pytest.raises(lineage.LineageCycle):
+        lineage.path_counts(operations, aim(spark, "r", "b"))
 
 
 def test_long_chain_and_wide_run(spark):
-    """Beyond the array size: 24 steps in a row, each read by the last one too."""
+    """24 steps in a row, each read by the last one too."""
     steps = [("v0", [])] + [(f"v{i}", [f"v{i - 1}"]) for i in range(1, 24)]
     steps.append(("end", [f"v{i}" for i in range(24)]))
     operations = log(spark, steps)
-    target = operations.where("dst_var = 'end'")
-    found = lineage.path_counts(operations, target, small_run=20)
+    found = lineage.path_counts(operations, operations.where("dst_var = 'end'"))
     assert found.where("dst_idx = 'p/v0#v0'").first()["paths"] == 24
     assert found.count() == 25
-
-
-def test_a_cycle_is_reported(spark, monkeypatch):
-    monkeypatch.setattr(lineage, "DEPTH_BEFORE_CYCLE_CHECK", 4)
-    looped = spark.createDataFrame(
-        [("s", "r", 1, "a", ["b"]), ("s", "r", 2, "b", ["a"])],
-        "scope STRING, run_id STRING, op_seq LONG, dst_idx STRING, src_idxs ARRAY<STRING>")
-    target = spark.createDataFrame([("s", "r", "b")], "scope STRING, run_id STRING, dst_idx STRING")
-    with pytest.raises(lineage.LineageCycle):
-        lineage.path_counts(looped, target, small_run=0)

@@ -1,8 +1,7 @@
 """Operation log, lineage edges and the spread of an evaluation over them.
 
 Everything is keyed by ``(scope, run_id)`` and handles any number of runs in
-one job.  Paths through ordinary runs are counted in one pass; only runs with
-unusually many operations go through a loop over lineage depth.
+one job.  Paths are counted by one loop over lineage depth, for runs of any size.
 """
 
 from __future__ import annotations
@@ -16,12 +15,7 @@ from pyspark.sql import functions as F
 from trustweave.session import durable, shared_path
 
 RUN = ["scope", "run_id"]
-# Runs up to this many operations, with at most SOURCES times as many sources,
-# are handled as one array per run.
-SMALL_RUN = 128
-SOURCES = 8
-LEVELS_PER_JOB = 2
-DEPTH_BEFORE_CYCLE_CHECK = 64
+LEVELS_PER_JOB = 3
 
 
 class LineageCycle(ValueError):
@@ -116,85 +110,52 @@ def lineage_edges(operations: DataFrame) -> DataFrame:
     return operations.select(*RUN, "dst_idx", F.explode("src_idxs").alias("src_idx"))
 
 
-def path_counts(operations: DataFrame, targets: DataFrame, small_run: int = SMALL_RUN) -> DataFrame:
+def path_counts(operations: DataFrame, targets: DataFrame) -> DataFrame:
     """Number of lineage paths from every ancestor to each target.
 
     ``targets`` has ``scope, run_id, dst_idx``.  The result has one row per
     target and ancestor, the target itself included with one path:
     ``scope, run_id, target_idx, dst_idx, paths``.
     """
-    return _upstream(operations, targets, small_run, count_paths=True)
+    return _upstream(operations, targets, count_paths=True)
 
 
-def lineage_ancestors(operations: DataFrame, targets: DataFrame, small_run: int = SMALL_RUN) -> DataFrame:
+def lineage_ancestors(operations: DataFrame, targets: DataFrame) -> DataFrame:
     """Everything upstream of each target, the target included, each once."""
-    return _upstream(operations, targets, small_run, count_paths=False).drop("paths")
-
-
-def _upstream(operations: DataFrame, targets: DataFrame, small_run: int, count_paths: bool) -> DataFrame:
-    """Send small runs through one pass and the others through the level loop."""
-    targets = targets.select(*RUN, F.col("dst_idx").alias("target_idx")).distinct()
-    log = operations.select(*RUN, "op_seq", "dst_idx", "src_idxs")
-    large = (
-        log.groupBy(*RUN)
-        .agg(F.count(F.lit(1)).alias("ops"), F.sum(F.size("src_idxs")).alias("sources"))
-        .where((F.col("ops") > small_run) | (F.col("sources") > SOURCES * small_run))
-        .select(*RUN)
-    )
-    found = _one_pass(log.join(large, RUN, "left_anti"), targets, count_paths)
-    if large.isEmpty():
-        return found
-    some = durable(large, "large-runs")
-    edges = lineage_edges(log.join(some, RUN, "left_semi"))
-    levels = _walk(edges, targets.join(some, RUN, "left_semi"), count_paths)
-    total = F.sum("paths") if count_paths else F.max("paths")
-    return found.unionByName(levels.groupBy(*RUN, "target_idx", "dst_idx").agg(total.alias("paths")))
+    return _upstream(operations, targets, count_paths=False).drop("paths")
 
 
-def _one_pass(log: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
-    """Path counts of runs whose operations fit into one array each.
+def _upstream(operations: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
+    """Levels of all runs together, whatever their sizes.
 
-    Sources always have a lower ``op_seq`` than what is made of them, so going
-    through a run's operations from the last to the first, an operation's count
-    is final when its turn comes and can be handed on to its sources.
+    An edge leads from an operation to a source that the same run registered,
+    earlier or later; null and unknown sources lead nowhere, and neither do
+    unknown targets.  A cycle upstream of a target is an error.
     """
-    step = F.struct("op_seq", "dst_idx", "src_idxs")
-    runs = log.groupBy(*RUN).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    ids = F.transform("steps", lambda s: s.dst_idx)
-    places = F.transform("steps", lambda s: F.transform(s.src_idxs, lambda i: F.array_position(F.col("ids"), i)))
-    placed = runs.withColumn("ids", ids).withColumn("places", places).drop("steps")
-
-    def hand_on(counts: Column, place: Column) -> Column:
-        mine = F.get(counts, place - 1)
-        sources = F.get(F.col("places"), place - 1)
-
-        def add(count: Column, at: Column) -> Column:
-            times = F.size(F.filter(sources, lambda p: p == at + 1)).cast("long")
-            return count + mine * times if count_paths else F.greatest(count, F.least(times, mine))
-
-        return F.when(mine == 0, counts).otherwise(F.transform(counts, add))
-
-    start = F.transform("ids", lambda i: (i == F.col("target_idx")).cast("long"))
-    backwards = F.sequence(F.size("ids"), F.lit(1), F.lit(-1))
-    counted = placed.join(targets, RUN).select(
-        *RUN, "target_idx",
-        F.inline(F.arrays_zip(F.col("ids").alias("dst_idx"), F.aggregate(backwards, start, hand_on).alias("paths"))),
-    )
-    return counted.toDF(*RUN, "target_idx", "dst_idx", "paths").where("paths > 0")
+    known = operations.select(*RUN, "dst_idx").distinct()
+    given = targets.select(*RUN, "dst_idx").distinct().join(known, [*RUN, "dst_idx"], "left_semi")
+    sources = known.withColumnRenamed("dst_idx", "src_idx")
+    edges = lineage_edges(operations).join(sources, [*RUN, "src_idx"], "left_semi")
+    levels = _walk(edges, given.withColumnRenamed("dst_idx", "target_idx"), count_paths)
+    total = F.sum("paths") if count_paths else F.max("paths")
+    return levels.groupBy(*RUN, "target_idx", "dst_idx").agg(total.alias("paths"))
 
 
 def _walk(edges: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
-    """Breadth-first levels of all runs together, written level by level.
+    """Breadth-first levels, written a few at a time.
 
     Paths are summed per node at every level, so a level never has more rows
     than its runs have nodes, however many paths there are.  Each job's levels
     are written to the shared folder and the next job starts from there.  Edges
     are hashed by node once, and only the frontier moves afterwards; a single
-    run's edges spread over all partitions.
+    run's edges spread over all partitions.  No path is longer than a run has
+    nodes, so a walk that goes on after that many levels has met a cycle.
     """
     spark = edges.sparkSession
     weighted = edges.groupBy(*RUN, "dst_idx", "src_idx").agg(F.count(F.lit(1)).alias("w"))
     stored = durable(weighted if count_paths else weighted.withColumn("w", F.lit(1).cast("long")), "edges")
+    nodes = stored.groupBy(*RUN).agg(F.countDistinct("dst_idx").alias("n"))
+    bound = nodes.agg(F.max("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hashed = stored.repartition(parts, *RUN, "dst_idx").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -208,7 +169,7 @@ def _walk(edges: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
 
     start = targets.select(*RUN, "target_idx", F.col("target_idx").alias("dst_idx"))
     frontier = start.withColumn("paths", F.lit(1).cast("long"))
-    tables, depth, bound, more = [], 0, None, True
+    tables, depth, more = [], 0, True
     try:
         while more:
             levels = [frontier.withColumn("level", F.lit(depth))] if depth == 0 else []
@@ -222,12 +183,8 @@ def _walk(edges: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
             tables.append(path)
             frontier = spark.read.schema(table.schema).parquet(path).where(F.col("level") == depth).drop("level")
             more = not frontier.isEmpty()
-            if more and depth >= DEPTH_BEFORE_CYCLE_CHECK:
-                if bound is None:
-                    nodes = stored.groupBy(*RUN).agg(F.countDistinct("dst_idx").alias("n"))
-                    bound = nodes.agg(F.max("n")).first()[0]
-                if depth > bound:
-                    raise LineageCycle(f"a lineage path is longer than the {bound} operations of any run")
+            if more and depth > bound:
+                raise LineageCycle(f"a lineage path is longer than the {bound} operations of any run")
     finally:
         hashed.unpersist()
     return spark.read.schema(table.schema).parquet(*tables)
@@ -261,6 +218,8 @@ def evaluate(operations: DataFrame, verdicts: DataFrame) -> DataFrame:
         operations.select(*RUN, F.col("dst_var").alias("var"), F.col("dst_idx").alias("target_idx")),
         [*RUN, "var"],
     ).select(*RUN, "target_idx", F.col("var").alias("evaluated_var"), "feedback")
-    concerned = operations.join(aimed.select(*RUN).distinct(), RUN, "left_semi")
+    # read several times by the walk, so taken out of the log once
+    log = operations.select(*RUN, "dst_idx", "src_idxs")
+    concerned = durable(log.join(aimed.select(*RUN).distinct(), RUN, "left_semi"), "concerned")
     targets = aimed.select(*RUN, F.col("target_idx").alias("dst_idx"))
     return propagate_score(path_counts(concerned, targets), aimed)
