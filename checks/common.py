@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustweave.operators import lineage, relational, trust
+from trustweave.operators import lineage, trust
+
+
+def registry() -> tuple[dict, dict, Callable]:
+    """Queries, their SQL twins, and the decorator that registers both."""
+    queries, oracles = {}, {}
+
+    def query(sql: str | None = None):
+        def register(fn):
+            queries[fn.__name__] = fn
+            if sql:
+                oracles[fn.__name__] = sql
+            return fn
+        return register
+
+    return queries, oracles, query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,12 +140,36 @@ result AS (SELECT scope, var, col_idx, n_history, jsd, mu, sd,
            FROM stats JOIN sizes USING (scope, var, col_idx))"""
 
 
+def ranked(df: DataFrame, key: str, order: Sequence[str], chunk: Column, name: str) -> DataFrame:
+    """1-based rank of each row within its key, in ``order``.
+
+    ``chunk`` is a monotone coarsening of the order (a month for a date).  Rows
+    are numbered inside (key, chunk) and shifted by the number of rows in the
+    key's earlier chunks, so a key with a large share of the rows is sorted by
+    many tasks instead of one.
+    """
+    cut = df.withColumn("_chunk", chunk)
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        cut.groupBy(key, "_chunk")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    )
+    inside = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
+    return (
+        cut.withColumn("_inside", inside)
+        .join(shifts, [key, "_chunk"])
+        .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("long"))
+        .drop("_chunk", "_inside", "_shift")
+    )
+
+
 # -- lineage: a run per customer, an operation per order ------------------------------
 
 def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their number ``k`` within the customer."""
     orders = table(spark, sf_dir, "orders")
-    return relational.ranked(
+    return ranked(
         orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"), "k"
     )
 
@@ -212,7 +253,7 @@ runs AS (SELECT CAST(c_custkey AS VARCHAR) AS run_id, c_mktsegment AS info, 1704
 def access_records(events: DataFrame) -> DataFrame:
     """First and last access as ``mm:ss.s`` text, and the number of accesses."""
     first = F.minute("ts") * 600 + F.expr("CAST(extract(SECOND FROM ts) * 10 AS BIGINT)")
-    last = F.least(first + F.floor(F.col("value") * 10), F.lit(35999))
+    last = (first + F.floor(F.col("value") * 10)) % 36000
     text = lambda t: F.format_string("%02d:%02d.%d", F.floor(t / 600), F.floor(t % 600 / 10), t % 10)
     return events.select(
         "event_id", "event_type", F.col("user_id").cast("string").alias("LocationID"),
@@ -237,11 +278,12 @@ CLOCK_SQL = """
 clocks AS (
   SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
     minute(ts) * 600 + (microsecond(ts) // 100000) AS a,
-    least(minute(ts) * 600 + (microsecond(ts) // 100000) + CAST(floor(value * 10) AS BIGINT), 35999) AS b
+    (minute(ts) * 600 + (microsecond(ts) // 100000) + CAST(floor(value * 10) AS BIGINT)) % 36000 AS b
   FROM events)"""
+SECONDS_SQL = "CAST(((b - a + 36000) % 36000) // 10 AS BIGINT)"
 
 ACCESS_SQL = f"""{CLOCK_SQL},
-named AS (SELECT CAST(user_id AS VARCHAR) AS LocationID, (b - a) // 10 AS Duration, k AS AccessCount FROM clocks
+named AS (SELECT CAST(user_id AS VARCHAR) AS LocationID, {SECONDS_SQL} AS Duration, k AS AccessCount FROM clocks
           WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND k > 90)),
 sums AS (SELECT LocationID, CAST(sum(Duration) AS BIGINT) AS TotalDuration,
            CAST(sum(AccessCount) AS BIGINT) AS TotalAccesses FROM named GROUP BY LocationID)"""

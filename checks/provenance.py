@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from checks.common import (
     NODES_SQL, PATHS_SQL, RUNS_SQL, customer_runs, last_nodes, order_nodes, order_operations,
-    order_requests, table,
+    order_requests, registry, table,
 )
 from trustweave.operators import lineage, search
 from trustweave.session import durable, shared_path
 from trustweave.sources.tables import Tables
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 SRC_SQL = "CASE WHEN k = 1 THEN '-' ELSE 'v' || (k - 1) || ',v' || (k // 2) END"

@@ -4,21 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import CLOCK_SQL, access_records, hash_sql, table
+from checks.common import CLOCK_SQL, SECONDS_SQL, access_records, hash_sql, registry, table
 from trustweave.functions import faults
 from trustweave.functions import scalar as S
 from trustweave.operators import relational as R
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 # -- projections ---------------------------------------------------------------
@@ -52,7 +43,7 @@ def flatten_tuple(spark, d):
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def flatten_bag(spark, d):
-    bags = R.group_bags(table(spark, d, "conversations"), ["conv_id"], part_rows=3, split_by=["conv_id", "turn"])
+    bags = R.group_bags(table(spark, d, "conversations"), ["conv_id"], part=F.col("turn") % 3)
     return R.flatten_bag(bags)
 
 
@@ -229,7 +220,7 @@ def parse_confidence(spark, d):
         "event_id", F.explode(S.parse_confidence(text)).alias("col_idx", "confidence"))
 
 
-@query(f"""WITH {CLOCK_SQL} SELECT event_id, CAST((b - a) // 10 AS BIGINT) AS seconds FROM clocks""")
+@query(f"""WITH {CLOCK_SQL} SELECT event_id, {SECONDS_SQL} AS seconds FROM clocks""")
 def duration(spark, d):
     return access_records(table(spark, d, "events")).select(
         F.col("event_id"), S.duration(F.col("FirstAccess"), F.col("LastAccess")).alias("seconds"))
@@ -265,7 +256,7 @@ def random_generate(spark, d):
 @query("SELECT l_returnflag, count(*) AS total, TRUE AS near_rate FROM lineitem GROUP BY l_returnflag")
 def drop(spark, d):
     items = table(spark, d, "lineitem")
-    kept = faults.drop(items, 0.4, seed=7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("kept"))
+    kept = faults.drop(items, 0.4, seed=7, key=["l_orderkey", "l_linenumber", "l_partkey"]).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("kept"))
     total = items.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("total"))
     near = F.abs(F.coalesce("kept", F.lit(0)) / F.col("total") - 0.4) < 4 / F.sqrt("total")
     return total.join(kept, "l_returnflag", "left").select("l_returnflag", "total", near.alias("near_rate"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.common import (
     COUNTS_SQL, NODES_SQL, OBS_SQL, QUARTER_SQL, RUNS_SQL, SHIPPED, SPEC_SQL,
-    customer_runs, day, first_run, order_operations, quarter, shipped, table,
+    customer_runs, day, first_run, order_operations, quarter, registry, shipped, table,
 )
 from trustweave.operators import search, trust
 from trustweave.plans.workspace import Workspace
@@ -14,20 +14,11 @@ from trustweave.session import durable, shared_path
 from trustweave.sources.delimited import load_delimited, store_delimited
 from trustweave.sources.tables import Tables
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registry()
 PART_SCHEMA = "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
 PART_SQL = "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part"
 
 
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return register
-
-
 def stored(spark, d, name: str, sep: str = ",", codec: str | None = None) -> str:
     """Write a given table as delimited text into the shared folder."""
     path = shared_path(spark, f"text-{name}")
@@ -47,12 +38,12 @@ def imported(spark, d) -> Workspace:
 
 # -- delimited text ---------------------------------------------------------------
 
-@query("""SELECT n_nationkey, n_name, n_regionkey, 'LOADER_nation' AS operation, 's,n' AS kinds FROM nation""")
+@query("""SELECT n_nationkey, n_name, n_regionkey, 'LOADER_nation' AS operation, 'n,s,n' AS kinds FROM nation""")
 def prov_load(spark, d):
     path = stored(spark, d, "nation")
     ws = Workspace(spark)
     run = ws.start_run("loads", "round trip")
-    rows = run.load(path, "nation", "n_nationkey INT, n_name STRING, n_regionkey INT", column_types="s,n")
+    rows = run.load(path, "nation", "n_nationkey INT, n_name STRING, n_regionkey INT", column_types="n,s,n")
     log = ws.tables.read("operations").where((F.col("run_id") == run.run_id) & F.col("is_load")).first()
     return rows.select("*", F.lit(log["operation"]).alias("operation"), F.lit(log["column_types"]).alias("kinds"))
 

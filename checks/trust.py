@@ -7,24 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VARIABLES, first_run, jsd_sql, shipped
+from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VARIABLES, first_run, jsd_sql, registry, shipped
 from trustweave.operators import trust
 from trustweave.session import durable, empty
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = registry()
 SAMPLES = ["20014", "20011", "19983"]
 CORRUPTED_SQL = "right(run_id, 1) = '3'"
 
 
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return register
-
-
 def both_counts(spark, d) -> DataFrame:
     """Bucket counts of both variables, written once: raw data is read once."""
     frames = []

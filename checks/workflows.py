@@ -4,22 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import ACCESS_SQL, access_lines, table
+from checks.common import ACCESS_SQL, access_lines, registry, table
 from trustweave.plans import anomaly, qualify, wifi
 from trustweave.plans.workspace import Workspace
 from trustweave.session import shared_path
 from trustweave.sources.delimited import load_lines, store_delimited
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-    return register
+QUERIES, ORACLES, query = registry()
 
 
 def _log(spark, d) -> str:
@@ -57,7 +48,7 @@ def wifi_rank_captured(spark, d):
     path = _log(spark, d)
     ws = Workspace(spark)
     run = ws.start_run("wifi", "access ranking")
-    ranked = wifi.captured_rank(run, path, part_rows=50)
+    ranked = wifi.captured_rank(run, path)
     run.finish()
     log = ws.operations_view().where((F.col("run_id") == run.run_id) & (F.col("dstvar") == "density_scored")).first()
     return ranked.withColumn("srcvar", F.lit(log["srcvar"]))
@@ -65,7 +56,7 @@ def wifi_rank_captured(spark, d):
 
 QUALIFIED_SQL = """
 standards AS (SELECT p_brand AS Platform, max(p_size) AS MaxMem, CAST(max(p_size) - 10 AS INTEGER) AS MinMem
-              FROM part WHERE p_size <= 45 GROUP BY p_brand),
+              FROM part GROUP BY p_brand),
 softwares AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice AS Name,
                 p_brand AS Platform, CAST(l_quantity AS INTEGER) AS MaxMem, p_size AS MinMem,
                 CAST(l_discount * 100 AS FLOAT) AS Rate FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -80,7 +71,7 @@ qualified AS (SELECT Name, Rate FROM softwares w JOIN standards s USING (Platfor
 def benchmark_qualify(spark, d):
     """Platforms are part brands; candidates are line items, one name each."""
     part = table(spark, d, "part")
-    standards = part.where("p_size <= 45").groupBy(F.col("p_brand").alias("Platform")).agg(
+    standards = part.groupBy(F.col("p_brand").alias("Platform")).agg(
         F.max("p_size").alias("MaxMem")).withColumn("MinMem", F.col("MaxMem") - 10)
     items = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     softwares = items.select(

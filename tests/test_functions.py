@@ -53,7 +53,7 @@ def test_confidence_text_both_ways(spark):
 
 
 def test_duration(spark):
-    cases = [("23:27.7", "56:36.5", 1988), ("24:05.1", "24:05.1", 0), ("30:09", "30:25.2", 16), ("x", "00:01.0", None)]
+    cases = [("23:27.7", "56:36.5", 1988), ("24:05.1", "24:05.1", 0), ("30:09", "30:25.2", 16), ("58:00.0", "02:00.0", 240), ("00:00.1", "00:00.0", 3599), ("x", "00:01.0", None)]
     df = spark.createDataFrame(cases, "a STRING, b STRING, want LONG")
     got = values(df.select(S.duration(F.col("a"), F.col("b")), "want"))
     assert all(a == b for a, b in got), got
@@ -88,3 +88,6 @@ def test_drop_keeps_the_given_share(spark):
     kept = faults.drop(spark.range(20_000), 0.25, seed=5).count()
     assert abs(kept / 20_000 - 0.25) < 0.02
     assert faults.drop(spark.range(100), 0.0, seed=5).count() == 0
+    three, five = [faults.drop(spark.range(2000).repartition(n), 0.4, seed=5) for n in (3, 5)]
+    assert three.exceptAll(five).isEmpty() and five.exceptAll(three).isEmpty()
+    assert faults.drop(spark.range(100), 1.0, seed=5).count() == 100

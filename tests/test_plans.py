@@ -4,9 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from checks.common import SHIPPED, shipped, table
+from checks.common import SHIPPED, ranked, shipped, table
 from trustweave.functions import scalar as S
-from trustweave.operators import relational as R
 from trustweave.operators import trust
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +53,7 @@ def test_a_capture_is_read_by_run(spark):
 
 def test_rank_does_not_put_a_key_into_one_task(spark):
     orders = table(spark, SF, "orders")
-    text = plan(R.ranked(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"), "k"))
+    text = plan(ranked(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.date_trunc("month", "o_orderdate"), "k"))
     assert re.search(r"hashpartitioning\(o_custkey#\d+L?, _chunk", text)
 
 

@@ -120,7 +120,7 @@ def test_check_reuses_profiles_and_leaves_out_corrupted_runs(workspace, spark):
     assert mass.where("abs(m - 1) > 1e-9").count() == 0
 
     # checking once more replaces the result and does not count rows twice
-    again = bad.finish()
+    again = workspace.check_run("checks", bad.run_id)
     assert again.count() == 2 and tables.read("profile").count() == 20
 
 
@@ -129,7 +129,7 @@ def test_incremental_check_opens_only_the_new_run(workspace, spark, monkeypatch)
         normal_run(workspace, spark, seed).finish()
     opened = []
     read = workspace.tables.read_captures
-    monkeypatch.setattr(workspace.tables, "read_captures", lambda s, v, r=None: opened.append(r) or read(s, v, r))
+    monkeypatch.setattr(workspace.tables, "read_captures", lambda s, v, r=None, c=None: opened.append(r) or read(s, v, r, c))
     last = normal_run(workspace, spark, 9)
     last.finish()
     assert opened == [[last.run_id]]
@@ -180,9 +180,80 @@ def test_anomaly_demo(workspace, tmp_path):
 
 
 def test_access_log_sample(spark):
-    from tests.test_relational import LOG
-
+    from tests.test_relational import LOG, SEEN
+
+    clock = lambda t: int(t[:2]) * 60 + float(t[3:])
+    seconds, accesses = {}, {}
+    for place, first, last, n in SEEN:
+        seconds[place] = seconds.get(place, 0) + int((clock(last) - clock(first)) % 3600)
+        accesses[place] = accesses.get(place, 0) + n
+    order = lambda d: sorted(d.items(), key=lambda x: -x[1])
     lines = spark.createDataFrame([(x,) for x in LOG], "value STRING")
-    assert [tuple(r) for r in wifi.time_rank(lines).collect()] == [("718", 3976)]
-    assert [tuple(r) for r in wifi.access_rank(lines).collect()] == [("718", 76)]
-    assert [tuple(r) for r in wifi.density_rank(lines).collect()] == [("718", 76 / 3976)]
+    assert [tuple(r) for r in wifi.time_rank(lines).collect()] == order(seconds)
+    assert [tuple(r) for r in wifi.access_rank(lines).collect()] == order(accesses)
+    density = {p: accesses[p] / seconds[p] for p in seconds}
+    assert [tuple(r) for r in wifi.density_rank(lines).collect()] == order(density)
+
+
+def test_search_reads_loads_by_their_format(workspace, spark, tmp_path):
+    nation = spark.read.parquet("/root/testdata/sf0.001/nation.parquet").select("n_nationkey", "n_name")
+    path = "/root/testdata/sf0.001/nation.parquet"
+    run = workspace.start_run("formats")
+    run.loaded(nation, path, "table", format="parquet")
+    (tmp_path / "log.txt").write_text("a,b\nc,d\n")
+    run.loaded(spark.read.text(str(tmp_path)), str(tmp_path), "lines", format="text")
+    run.loaded(spark.range(3), "memory://nowhere", "gone")
+    run.loaded(spark.range(3), str(tmp_path / "missing"), "missing", format="parquet")
+    run.capture(nation.where("n_nationkey < 2"), "two", ["table"], "FILTER")
+    data = workspace.search_data(workspace.search("SELECT * FROM records WHERE _type = 'run'"))
+    found = {}
+    for r in data.collect():
+        found.setdefault(r["dstvar"], []).append(r["data"])
+        assert r["run_id"] == run.run_id and r["dstidx"]
+    assert len(found["table"]) == 25 and found["table"][0].startswith("0,") and sorted(found["lines"]) == ["a,b", "c,d"]
+    assert found["gone"] == found["missing"] == [None] and len(found["two"]) == 2
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_refusals(workspace, spark):
+    from trustweave.plans.workspace import RunFinished
+
+    df = spark.range(3)
+    for bad in ("a/b", "", "x y"):
+        with pytest.raises(ValueError):
+            workspace.start_run("refused", run_id=bad or " ")
+    with pytest.raises(ValueError):
+        workspace.import_history("refused", "v", df.withColumn("r", F.lit("a/b")), "r", F.current_timestamp())
+    run = workspace.start_run("refused")
+    run.loaded(df, "p1", "in")
+    with pytest.raises(ValueError):
+        run.loaded(df, "p2", "in")
+    with pytest.raises(ValueError):
+        run.capture(df.withColumn("t", F.lit("x")), "out", ["in"], "OP", column_types="n")
+    for run_id, var in (("unknown", "in"), (run.run_id, "unknown")):
+        with pytest.raises(KeyError):
+            workspace.evaluate("refused", run_id, var, 1.0)
+    assert workspace.scores().count() == 0
+    run.finish()
+    for late in (lambda: run.finish(), lambda: run.capture(df, "late", ["in"], "OP"), lambda: workspace.run("refused", run.run_id).loaded(df, "p", "x")):
+        with pytest.raises(RunFinished):
+            late()
+
+
+def test_columns_are_found_by_name(workspace, spark):
+    """History with its columns in another order, or without one, is profiled on the right column."""
+    def one(seed, columns, shift=0.0):
+        df = spark.range(4000).select((F.randn(seed) + shift).alias("x"), F.lit(1).alias("k"), F.lit("c").alias("t")).select(*columns)
+        run = workspace.start_run("names", run_id=f"r{seed}")
+        run.loaded(df, "made", "in")
+        run.capture(df, "v", ["in"], "OP", inspected=["x"])
+        return run
+
+    for seed in range(4):
+        one(seed, ["k", "x", "t"] if seed % 2 else ["x", "k", "t"])
+    good = one(8, ["t", "x"]).finish().first()
+    assert (good["status"], good["col_idx"], good["n_history"]) == ("ok", 1, 4)
+    assert 0 < good["mu"] < 0.3 and good["jsd"] < 2 * good["mu"]
+    bad = one(9, ["t", "k", "x"], 4.0).finish().first()
+    assert bad["corrupted"] and bad["jsd"] > 2 * good["jsd"]

@@ -13,6 +13,8 @@ INT_MAX = 2147483647
 INT_MIN = -2147483648
 LN2 = 0.6931471805599453
 HALF_LN_2PI = 0.9189385332046727
+#: An hour in tenths of a second.
+HOUR = 36_000
 
 
 def to_double(value: Column) -> Column:
@@ -112,9 +114,13 @@ def clock_tenths(text: Column) -> Column:
 
 
 def duration(first: Column, last: Column) -> Column:
-    """Whole seconds from one ``mm:ss.s`` clock text to another."""
-    tenths = clock_tenths(last) - clock_tenths(first)
-    return (tenths / 10).cast("long")
+    """Whole seconds from one ``mm:ss.s`` clock text to another.
+
+    The clock shows no hours, so an end before the start is in the next hour; a
+    span of a full hour or more cannot be told from its remainder.
+    """
+    tenths = F.pmod(clock_tenths(last) - clock_tenths(first), F.lit(HOUR))
+    return F.floor(tenths / 10).cast("long")
 
 
 def density_ratio(accesses: Column, seconds: Column) -> Column:

@@ -68,36 +68,18 @@ def count_all(df: DataFrame, name: str = "cnt") -> DataFrame:
     return df.agg(F.count(first).alias(name), F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")
 
 
-def group_bags(
-    df: DataFrame,
-    keys: Sequence[str],
-    bag: str = "bag",
-    part_rows: int = 100_000,
-    split_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """Group rows into nested bags: ``keys..., part, bag``.
-
-    A bag is split into parts of about ``part_rows`` rows, because one key may
-    own a large share of a table and a single row must not hold all of it.  The
-    parts of a key together are its bag; ordinary keys have part 0 only.  Rows
-    go to parts by a hash of ``split_by`` (default: all columns), so a task run
-    again places them alike; name a unique column if many rows are equal.
+def group_bags(df: DataFrame, keys: Sequence[str], bag: str = "bag", part: Column | None = None) -> DataFrame:
+    """Group rows into nested bags: ``keys..., bag``, one row per key.
+
+    A bag is one field, so it must fit into a row.  Where a key may own much of
+    a table, name a ``part``: an expression over the rows that cuts every bag,
+    whatever its size; the result has one row per key and part, and the parts of
+    a key together are its bag.
     """
-    keys = list(keys)
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > part_rows)
-        .select(*keys, F.ceil(F.col("_n") / part_rows).alias("_parts"))
-    )
-    rows = df.alias("d").join(large.alias("g"), _null_safe(keys), "left")
-    salt = F.xxhash64(*[F.col(f"d.{c}") for c in (split_by or df.columns)])
-    part = F.when(F.col("g._parts").isNotNull(), F.pmod(salt, F.col("g._parts"))).otherwise(F.lit(0))
-    return (
-        rows.select(F.struct("d.*").alias("_row"), part.cast("int").alias("part"))
-        .groupBy(*[F.col(f"_row.{k}").alias(k) for k in keys], "part")
-        .agg(F.collect_list("_row").alias(bag))
-    )
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                     *([] if part is None else [part.alias("part")]))
+    names = [f"`{k}`" for k in keys] + ([] if part is None else ["part"])
+    return rows.groupBy(*names).agg(F.collect_list("_row").alias(bag))
 
 
 def flatten_bag(df: DataFrame, bag: str = "bag") -> DataFrame:
@@ -105,13 +87,6 @@ def flatten_bag(df: DataFrame, bag: str = "bag") -> DataFrame:
     return df.select(F.inline(bag))
 
 
-def _null_safe(keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(f"d.{key}").eqNullSafe(F.col(f"g.{key}"))
-    return condition
-
-
 def ordered_desc(df: DataFrame, column: str) -> DataFrame:
     """Global order by one column, largest first.
 
@@ -119,29 +94,3 @@ def ordered_desc(df: DataFrame, column: str) -> DataFrame:
     also cut through one value that many rows share.
     """
     return df.orderBy(F.desc(column), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-
-
-def ranked(df: DataFrame, key: str, order: Sequence[str], chunk: Column, name: str) -> DataFrame:
-    """1-based rank of each row within its key, in ``order``.
-
-    ``chunk`` is a monotone coarsening of the order (a month for a date).  Rows
-    are numbered inside (key, chunk) and shifted by the number of rows in the
-    key's earlier chunks, so a key with a large share of the rows is sorted by
-    many tasks instead of one.
-    """
-    from pyspark.sql import Window
-
-    cut = df.withColumn("_chunk", chunk)
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        cut.groupBy(key, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    )
-    inside = F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(*order))
-    return (
-        cut.withColumn("_inside", inside)
-        .join(shifts, [key, "_chunk"])
-        .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("long"))
-        .drop("_chunk", "_inside", "_shift")
-    )

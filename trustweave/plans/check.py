@@ -6,12 +6,17 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustweave.operators import trust
 from trustweave.session import durable
 from trustweave.sources.tables import CAPTURE_RUN, Tables
 
 
+#: Up to so many unprofiled runs of a variable are opened by their folders.
+LISTED_RUNS = 1000
+
+
 def captured() -> Column:
     """Operations whose rows were stored; other loads point at their source."""
     return F.col("path").contains(f"/{CAPTURE_RUN}=")
@@ -22,7 +27,8 @@ def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) ->
 
     Bucket specs and distributions are kept, so a check reads only captures that
     were not profiled before — normally the run itself.  What reaches the driver
-    is metadata: the run's own operations and the ids of unprofiled runs.  The
+    is metadata: the run's own operations, and ids of at most ``LISTED_RUNS``
+    unprofiled runs a variable.  The
     history is whatever captures exist now, unfinished and later runs included.
     """
     operations = tables.read("operations").where(F.col("scope") == scope)
@@ -31,7 +37,11 @@ def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) ->
         "scope", F.col("dst_var").alias("var"), F.col("inspected_columns").alias("columns"),
         F.split("column_types", ",").alias("kinds"),
     )
-    variables = {r["var"]: r for r in inspected.collect()}
+    variables = {}
+    for r in inspected.collect():
+        # other runs may have the columns in another order: their names count
+        schema = tables.read_capture(scope, r["var"], run_id).schema
+        variables[r["var"]] = {**r.asDict(), "fields": {i: schema[i] for i in r["columns"]}}
     if variables:
         _profile_pending(tables, scope, run_id, operations, variables, compat)
 
@@ -96,14 +106,18 @@ def _profile_pending(tables, scope, run_id, operations, variables, compat) -> No
     pending = wanted.join(corrupted.where(F.col("run_id") != run_id), trust.RUN, "left_anti").join(
         tables.read("profile").where(F.col("scope") == scope), trust.RUN_COL, "left_anti"
     )
-    todo = pending.groupBy("var").agg(F.collect_set("run_id").alias("runs")).collect()
+    pending = durable(pending, "pending")
+    todo = pending.groupBy("var").agg(F.countDistinct("run_id").alias("n")).collect()
     if not todo:
         return
     spec = tables.read("bucket_spec").where(F.col("scope") == scope)
     counts = []
     for row in todo:
         columns = testable[row["var"]]["columns"]
-        obs = _observe(tables, scope, row["var"], row["runs"], columns, testable[row["var"]]["kinds"])
+        runs = pending.where(F.col("var") == row["var"]).select("run_id").distinct()
+        if row["n"] <= LISTED_RUNS:  # their folders only
+            runs = [r["run_id"] for r in runs.collect()]
+        obs = _observe(tables, scope, row["var"], runs, columns, testable[row["var"]])
         counts.append(trust.histogram_counts(obs, spec, columns, scope, row["var"]))
     # captures are read once; distribution and profile both come from the counts
     counted = durable(reduce(DataFrame.unionByName, counts), "counts")
@@ -124,17 +138,22 @@ def _fill_specs(tables, scope, testable, first, compat) -> None:
     for var, row in testable.items():
         missing = [i for i in row["columns"] if (var, i) not in known]
         if missing and first[var]["run"] is not None:
-            obs = _observe(tables, scope, var, [first[var]["run"]], missing, row["kinds"])
+            obs = _observe(tables, scope, var, [first[var]["run"]], missing, row)
             specs.append(trust.bucket_spec(obs, scope, var, compat))
     if specs:
         tables.write("bucket_spec", reduce(DataFrame.unionByName, specs))
 
 
-def _observe(tables, scope, var, runs, columns, kinds) -> DataFrame:
-    frame = tables.read_captures(scope, var, sorted(runs))
+def _observe(tables, scope, var, runs, columns, row) -> DataFrame:
+    """Observations of some runs, given as a list or, if there are many, as a table."""
+    listed = isinstance(runs, list)
+    fields = T.StructType([row["fields"][i] for i in columns])
+    frame = tables.read_captures(scope, var, sorted(runs) if listed else None, fields)
+    if not listed:
+        frame = frame.join(runs.withColumnRenamed("run_id", CAPTURE_RUN), CAPTURE_RUN, "left_semi")
     return trust.observations(
         frame,
-        {i: frame.columns[i] for i in columns},
-        {i for i in columns if kinds[i] == "s"},
+        {i: row["fields"][i].name for i in columns},
+        {i for i in columns if row["kinds"][i] == "s"},
         CAPTURE_RUN,
     )

@@ -60,20 +60,27 @@ def density_rank(lines: DataFrame) -> DataFrame:
     return R.ordered_desc(both.select("LocationID", density), "Density")
 
 
-def captured_rank(run: Run, path: str, part_rows: int = 100_000) -> DataFrame:
-    """The density ranking with every intermediate table captured."""
-    lines = run.loaded(run.workspace.spark.read.text(path), path, "raw")
+def captured_rank(run: Run, path: str, parts: int = 64) -> DataFrame:
+    """The density ranking with every intermediate table captured.
+
+    Bags are always cut into ``parts`` by a hash of the row, so that a location
+    with a large share of the log does not become one row.
+    """
+    def bags_of(df: DataFrame, bag: str) -> DataFrame:
+        return R.group_bags(df, ["LocationID"], bag, F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+
+    lines = run.loaded(run.workspace.spark.read.text(path), path, "raw", format="text")
     cleaned = run.capture(clean(lines), "cleaned", ["raw"], "Cleaning")
     named = run.capture(name(cleaned), "named", ["cleaned"], "Naming", inspected=["AccessCount"])
     timed = run.capture(time(named), "timed", ["named"], "ConvertTime", inspected=["Duration"])
 
-    bags = R.group_bags(timed, ["LocationID"], "timed", part_rows)
+    bags = bags_of(timed, "timed")
     timed_bags = run.capture(bags, "timed_grouped", ["timed"], "TimeGrouping")
     timed_sums = run.capture(
         total(R.flatten_bag(timed_bags, "timed"), "Duration", "TotalDuration"),
         "timed_summed", ["timed_grouped"], "TimeAccumulation", inspected=["TotalDuration"])
 
-    bags = R.group_bags(named, ["LocationID"], "named", part_rows)
+    bags = bags_of(named, "named")
     access_bags = run.capture(bags, "access_grouped", ["named"], "AccessGrouping")
     access_sums = run.capture(
         total(R.flatten_bag(access_bags, "named"), "AccessCount", "TotalAccesses"),

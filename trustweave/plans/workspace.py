@@ -8,10 +8,13 @@ can be picked up again by its id from any driver.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +25,20 @@ from trustweave.operators import lineage, search, trust
 from trustweave.plans.check import captured, check_run
 from trustweave.session import empty, shared_path
 from trustweave.sources import delimited
-from trustweave.sources.tables import CAPTURE_RUN, Tables
+from trustweave.sources.tables import CAPTURE_RUN, RUN_ID, Tables, check_run_id
 
 LOAD_PREFIX = "LOADER_"
+LISTED_SCOPES = 1000
 
 
 class OrderViolation(ValueError):
     """A variable was registered before one of its sources."""
 
 
+class RunFinished(ValueError):
+    """A finished run takes no more loads, captures or finishes."""
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -41,6 +49,7 @@ class Workspace:
     def start_run(self, scope: str, info: str = "", run_id: str | None = None) -> Run:
         """Register a new run and give it an id."""
         run_id = run_id or str(uuid.uuid4())
+        check_run_id(run_id)
         self._run_event(scope, run_id, info, "start")
         return Run(self, scope, run_id)
 
@@ -71,6 +80,9 @@ class Workspace:
         ``run_id`` names the column that tells the runs apart, ``started`` is an
         aggregate giving each run's start.
         """
+        bad = df.where(~F.coalesce(F.col(run_id).cast("string").rlike(f"^{RUN_ID}$"), F.lit(False))).select(run_id).first()
+        if bad:
+            check_run_id(bad[0])
         data = df.drop(run_id)
         columns, kinds = inspect_columns(data, inspected), column_classes(data)
         runs = df.groupBy(F.col(run_id).alias("run_id")).agg(started.cast("timestamp").alias("at"))
@@ -117,8 +129,19 @@ class Workspace:
             "scope": scope, "run_id": run_id, "var": var, "feedback": float(verdict)}))
 
     def evaluate_many(self, verdicts: DataFrame) -> DataFrame:
-        """Credit many verdicts (``scope, run_id, var, feedback``); returns scores."""
-        self.tables.write("scores", lineage.evaluate(self.tables.read("operations"), verdicts))
+        """Credit many verdicts (``scope, run_id, var, feedback``); returns scores.
+
+        A verdict on a variable that its run has not registered refuses them all.
+        """
+        scopes = [r["scope"] for r in verdicts.select("scope").distinct().limit(LISTED_SCOPES + 1).collect()]
+        operations = self.tables.read("operations")
+        if len(scopes) <= LISTED_SCOPES:  # their folders only
+            operations = operations.where(F.col("scope").isin(scopes))
+        registered = operations.select(*lineage.RUN, F.col("dst_var").alias("var"))
+        unknown = verdicts.join(registered, [*lineage.RUN, "var"], "left_anti").first()
+        if unknown:
+            raise KeyError(f"run {unknown['run_id']!r} in scope {unknown['scope']!r} has no variable {unknown['var']!r}")
+        self.tables.write("scores", lineage.evaluate(operations, verdicts))
         return self.scores()
 
     def scores(self) -> DataFrame:
@@ -155,37 +178,60 @@ class Workspace:
     def search_data(self, hits: DataFrame) -> DataFrame:
         """Rows of the hit captures as ``run_id, dstidx, dstvar, data``.
 
-        One scan per variable, since variables differ in their columns; rows
-        are rendered as comma-joined fields.  A load that was not captured
-        shows the lines of the file it read.
+        Rows are rendered as comma-joined fields; run and variable come from
+        the folder a row was read from.  A load that was not captured is read
+        again as its format says: text and delimited files line by line.  One
+        that cannot be read, or whose format is unknown, is a hit without data.
+        The driver handles the hits, never their rows.
         """
-        expanded = search.search_hits(hits, self.operations_view())
-        operations = self.tables.read("operations").join(
-            expanded.select("scope", "run_id", F.col("dstvar").alias("dst_var")),
-            ["scope", "run_id", "dst_var"], "left_semi",
-        )
+        expanded = search.search_hits(hits, self.operations_view()).select(
+            "scope", "run_id", F.col("dstvar").alias("dst_var"))
+        key = ["scope", "run_id", "dst_var"]
+        found = self.tables.read("operations").join(expanded, key, "left_semi").join(
+            self.tables.read("loads").dropDuplicates(key), key, "left").withColumn("captured", captured())
+        variables, loads, lost = defaultdict(dict), defaultdict(list), []
+        for r in found.toLocalIterator():
+            if r["captured"]:
+                variables[r["scope"], r["dst_var"]][r["run_id"]] = r["dst_idx"]
+            else:
+                loads[r["path"], r["format"], r["columns"]].append((r["run_id"], r["dst_idx"], r["dst_var"]))
         parts = [
-            self._rendered(r["scope"], r["dst_var"])
-            for r in operations.where(captured()).select("scope", "dst_var").distinct().collect()
+            self._captured_rows(scope, var, dict(some))
+            for (scope, var), runs in variables.items() for some in _slices(list(runs.items()))
         ]
-        for r in operations.where(~captured()).select("path").distinct().collect():
-            lines = delimited.load_lines(self.spark, r["path"]).select(
-                F.lit(r["path"]).alias("path"), F.col("value").alias("data"))
-            parts.append(operations.where(~captured()).join(lines, "path").select(
-                "scope", "run_id", F.col("dst_var").alias("dstvar"), "data"))
-        if not parts:
-            parts = [empty(self.spark, "scope STRING, run_id STRING, dstvar STRING, data STRING")]
-        rows = reduce(DataFrame.unionByName, parts)
-        return search.search_data(expanded, rows).select("run_id", "dstidx", "dstvar", "data")
-
-    def _rendered(self, scope: str, var: str) -> DataFrame:
-        frame = self.tables.read_captures(scope, var)
-        fields = [_as_text(frame.schema[c]) for c in frame.columns if c != CAPTURE_RUN]
+        for (path, kind, columns), readers in loads.items():
+            rows = self._read_again(path, kind, columns)
+            if rows is None:
+                lost += [(*reader, None) for reader in readers]
+                continue
+            for some in _slices(readers):
+                hit = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(h, ("run_id", "dstidx", "dstvar"))]) for h in some])
+                parts.append(rows.select(F.explode(hit).alias("h"), "data").select("h.*", "data"))
+        columns = "run_id STRING, dstidx STRING, dstvar STRING, data STRING"
+        if lost:
+            parts.append(self.spark.createDataFrame(lost, columns))
+        return reduce(DataFrame.unionByName, parts) if parts else empty(self.spark, columns)
+
+    def _captured_rows(self, scope: str, var: str, runs: dict[str, str]) -> DataFrame:
+        """Rows of some runs' captures of a variable; only their folders are read."""
+        frame = self.tables.read_captures(scope, var, sorted(runs))
+        index = F.create_map(*[F.lit(x) for pair in runs.items() for x in pair])
         return frame.select(
-            F.lit(scope).alias("scope"), F.col(CAPTURE_RUN).alias("run_id"), F.lit(var).alias("dstvar"),
-            F.array_join(F.array(*fields), ",").alias("data"),
+            F.col(CAPTURE_RUN).alias("run_id"), index[F.col(CAPTURE_RUN)].alias("dstidx"), F.lit(var).alias("dstvar"),
+            _joined(frame.drop(CAPTURE_RUN)).alias("data"),
         )
 
+    def _read_again(self, path: str, kind: str | None, columns: str | None) -> DataFrame | None:
+        try:
+            if kind in ("text", "delimited"):
+                return delimited.load_lines(self.spark, path).select(F.col("value").alias("data"))
+            if kind is not None:
+                frame = self.spark.read.format(kind).schema(T.StructType.fromJson(json.loads(columns))).load(path)
+                return frame.select(_joined(frame).alias("data"))
+        except AnalysisException:  # the path is gone
+            pass
+        return None
+
 
 class Run:
     """One execution; load and capture return ordinary DataFrames."""
@@ -200,6 +246,8 @@ class Run:
             .where((F.col("scope") == scope) & (F.col("run_id") == run_id))
             .select("dst_var", "dst_idx").collect()
         }
+        own = self._tables.read("runs").where((F.col("scope") == scope) & (F.col("run_id") == run_id))
+        self._finished = not own.where("event = 'finish'").isEmpty()
 
     def load(
         self,
@@ -218,7 +266,7 @@ class Run:
         like any other variable.
         """
         df = delimited.load_delimited(self._spark, path, schema, sep, tag)
-        return self.loaded(df, path, var, inspected, column_types, keep)
+        return self.loaded(df, path, var, inspected, column_types, keep, "delimited")
 
     def loaded(
         self,
@@ -228,13 +276,25 @@ class Run:
         inspected: Sequence[str | int] = (),
         column_types: str | None = None,
         keep: bool = False,
+        format: str | None = None,
     ) -> DataFrame:
-        """Record a table read by other means as the load of ``var``."""
+        """Record a table read by other means as the load of ``var``.
+
+        ``format`` (``text``, ``delimited``, or a reader's name such as
+        ``parquet``) lets a search read an uncaptured load again.
+        """
+        self._open()
+        if var in self._known:
+            raise ValueError(f"'{var}' is registered in run {self.run_id} already")
+        check_classes(df, column_types)
         if keep:
             df = self._store(df, var)
         index = f"{path}#{var}"
         where = self._tables.capture_path(self.scope, var, self.run_id) if keep else path
         self._register(df, var, [], LOAD_PREFIX + var, inspected, column_types, index, where, True)
+        if format and not keep:
+            self._tables.write_row("loads", one_row(self._spark, schema.LOADS, {
+                "scope": self.scope, "run_id": self.run_id, "dst_var": var, "format": format, "columns": df.schema.json()}))
         return df
 
     def capture(
@@ -251,6 +311,8 @@ class Run:
         The returned DataFrame reads the stored rows, so nothing upstream is
         computed again.  Registering the same variable once more adds rows to it.
         """
+        self._open()
+        check_classes(df, column_types)
         if var in sources:
             raise OrderViolation(f"variable '{var}' names itself as a source")
         unknown = [s for s in sources if s not in self._known]
@@ -261,6 +323,10 @@ class Run:
         self._register(df, var, list(sources), operation, inspected, column_types, None, path, False)
         return stored
 
+    def _open(self) -> None:
+        if self._finished:
+            raise RunFinished(f"run {self.run_id} is finished")
+
     def _store(self, df: DataFrame, var: str) -> DataFrame:
         return self._tables.write_capture(df, self.scope, var, self.run_id, append=var in self._known)
 
@@ -281,7 +347,9 @@ class Run:
 
     def finish(self, check: bool = True, compat: bool = False) -> DataFrame | None:
         """Stamp the finish and test the run against earlier ones."""
+        self._open()
         self.workspace._run_event(self.scope, self.run_id, None, "finish")
+        self._finished = True
         return self.workspace.check_run(self.scope, self.run_id, compat) if check else None
 
     def evaluate(self, var: str, judge) -> DataFrame:
@@ -310,11 +378,27 @@ def inspect_columns(df: DataFrame, inspected: Sequence[str | int]) -> list[int]:
     return numbers
 
 
+def check_classes(df: DataFrame, column_types: str | None) -> None:
+    """Column types name a class, ``n`` or ``s``, for every column."""
+    if column_types is not None:
+        kinds = column_types.split(",")
+        if len(kinds) != len(df.columns) or not set(kinds) <= {"n", "s"}:
+            raise ValueError(f"column types {column_types!r} do not name one of n and s for each of {len(df.columns)} columns")
+
+
 def column_classes(df: DataFrame) -> str:
     """``n`` for numeric and ``s`` for textual columns, comma-joined."""
     return ",".join("s" if trust.is_textual(kind) else "n" for _, kind in df.dtypes)
 
 
+def _slices(items: list, size: int = 1000) -> list[list]:
+    return [items[i:i + size] for i in range(0, len(items), size)]
+
+
+def _joined(frame: DataFrame) -> Column:
+    return F.array_join(F.array(*[_as_text(f) for f in frame.schema]), ",")
+
+
 def _as_text(field: T.StructField) -> Column:
     value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):

@@ -14,6 +14,9 @@ OPERATIONS = (
     "started TIMESTAMP, path STRING"
 )
 
+# How an uncaptured load can be read again; ``columns`` is the schema as JSON.
+LOADS = "scope STRING, run_id STRING, dst_var STRING, format STRING, columns STRING"
+
 EDGES = "scope STRING, run_id STRING, dst_idx STRING, src_idx STRING"
 
 BUCKET_SPEC = "scope STRING, var STRING, col_idx INT, base DOUBLE, step DOUBLE"

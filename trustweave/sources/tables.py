@@ -18,11 +18,12 @@ from trustweave import schema
 from trustweave.session import empty
 
 CAPTURE_RUN = "capture_run"
-_RUN_ID = re.compile(r"[A-Za-z0-9_.-]+")
+RUN_ID = "[A-Za-z0-9_.-]+"
 
 _LAYOUT = {
     "runs": (schema.RUNS, ["scope"]),
     "operations": (schema.OPERATIONS, ["scope"]),
+    "loads": (schema.LOADS, ["scope"]),
     "scores": (schema.SCORES, ["scope"]),
     "bucket_spec": (schema.BUCKET_SPEC, ["scope", "var"]),
     "dist": (schema.DIST, ["scope", "var", "run_id"]),
@@ -85,8 +86,7 @@ class Tables:
 
     def write_capture(self, df: DataFrame, scope: str, var: str, run_id: str, append: bool = False) -> DataFrame:
         """Persist one variable of one run and return the stored rows."""
-        if not _RUN_ID.fullmatch(run_id):
-            raise ValueError(f"run id {run_id!r}: only letters, digits, '_', '.' and '-' are allowed")
+        check_run_id(run_id)
         _check_names(df)
         path = self.capture_path(scope, var, run_id)
         df.write.mode("append" if append else "overwrite").parquet(path)
@@ -112,17 +112,27 @@ class Tables:
         """Rows of one variable of one run; no other run is listed or opened."""
         return self.spark.read.parquet(self.capture_path(scope, var, run_id))
 
-    def read_captures(self, scope: str, var: str, run_ids: list[str] | None = None) -> DataFrame:
+    def read_captures(
+        self, scope: str, var: str, run_ids: list[str] | None = None, columns: T.StructType | None = None
+    ) -> DataFrame:
         """Rows of several runs with their run in ``capture_run``.
 
-        With ``run_ids`` only those runs' folders are listed.
+        With ``run_ids`` only those runs' folders are listed.  ``columns`` are
+        looked up by name in every capture; one that a capture lacks is null.
         """
         base = self.capture_path(scope, var)
         paths = [base] if run_ids is None else [self.capture_path(scope, var, r) for r in run_ids]
-        stored = self.spark.read.option("basePath", base).parquet(paths[0]).drop(CAPTURE_RUN).schema
+        if columns is None:
+            columns = self.spark.read.option("basePath", base).parquet(paths[0]).drop(CAPTURE_RUN).schema
         # declared, so that a run named 007 does not become the number 7
-        columns = T.StructType(stored.fields + [T.StructField(CAPTURE_RUN, T.StringType())])
-        return self.spark.read.option("basePath", base).schema(columns).parquet(*paths)
+        declared = T.StructType(columns.fields + [T.StructField(CAPTURE_RUN, T.StringType())])
+        return self.spark.read.option("basePath", base).schema(declared).parquet(*paths)
+
+
+def check_run_id(run_id: str) -> None:
+    """Run ids name folders."""
+    if run_id is None or not re.fullmatch(RUN_ID, str(run_id)):
+        raise ValueError(f"run id {run_id!r}: only letters, digits, '_', '.' and '-' are allowed")
 
 
 def _names(columns: str) -> list[str]:
