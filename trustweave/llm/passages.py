@@ -142,7 +142,7 @@ def all_windows(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, "value hash doc c l r right left".split())
 
     given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return per_batch(given, run, WINDOW, 1000)
+    return per_batch(given, run, WINDOW, 100)  # few texts at a time stay in the processor's cache
 
 
 # -- pairs with the representative of a value ------------------------------------
@@ -267,8 +267,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -
     named = some.select(F.col("adoc").alias("_id")).union(some.select("doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("text IS NOT NULL")
     texts = scratch.keep(texts.join(named, "_id", "left_semi"))
-    both = some.join(texts.select(F.col("_id").alias("adoc"), F.col("text").alias("atext")), "adoc").join(
-        texts.select(F.col("_id").alias("doc"), F.col("text").alias("btext")), "doc")
+    # joined with the source last, so that a source's pairs follow each other
+    both = some.join(texts.select(F.col("_id").alias("doc"), F.col("text").alias("btext")), "doc").join(
+        texts.select(F.col("_id").alias("adoc"), F.col("text").alias("atext")), "adoc")
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
