@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustweave.llm import chat, hnsw, langid, near_dup, packing, passages, pieces, pii, quality, secrets
+from trustweave.llm import chat, hnsw, langid, near_dup, oracles, packing, passages, pieces, pii, quality, secrets
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
+ORACLES = {"op2_quality": oracles.QUALITY, "op6_secrets": oracles.SECRETS, "op8_near_dup": oracles.NEAR_DUP}
 
 
 def query(function):
