@@ -13,7 +13,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_same_result_as_sql(spark, con, name):
     df = contract.queries()[name](spark, SF)
     assert differences(df, contract.oracle_sql()[name], con) == []
