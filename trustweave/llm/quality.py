@@ -31,7 +31,7 @@ SYMBOLS = b"#*$%&|<>"
 #: Signal, in thousandths: numerator, denominator, and the least distance of its fence from the median.
 SIGNALS = {
     "symbols": ("n_symbols", "n_words", 250),
-    "repeats": ("n_repeat_words", "n_words", 250),
+    "repeats": ("n_repeat_words", "n_words", 400),
     "lines": ("n_dup_lines", "n_words", 50),
     "length": ("word_chars", "n_words", 4000),
 }
