@@ -10,6 +10,7 @@ from checks.common import (
     order_requests, registry, table,
 )
 from trustweave.operators import lineage, search
+from trustweave.plans.workspace import Workspace
 from trustweave.session import durable, shared_path
 from trustweave.sources.tables import Tables
 
@@ -24,18 +25,18 @@ SCORE_SQL = """CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN -1.0 ELSE 0.5
 
 @query(f"WITH {RUNS_SQL} SELECT run_id, 'orders' AS scope, info, start_s FROM runs")
 def start_run(spark, d):
-    tables = Tables(spark, shared_path(spark, "runs"))
-    tables.write("runs", customer_runs(spark, d).where("event = 'start'"))
-    return tables.read("runs").select("run_id", "scope", "info", F.unix_seconds("at").alias("start_s"))
+    ws = Workspace(spark)
+    ws.start_runs(customer_runs(spark, d).where("event = 'start'"))
+    return ws.tables.read("runs").select("run_id", "scope", "info", F.unix_seconds("at").alias("start_s"))
 
 
 @query(f"WITH {RUNS_SQL} SELECT run_id, start_s, finish_s, finish_s IS NULL AS failed FROM runs")
 def finish_run(spark, d):
-    tables = Tables(spark, shared_path(spark, "runs"))
+    ws = Workspace(spark)
     events = customer_runs(spark, d)
-    tables.write("runs", events.where("event = 'start'"))
-    tables.write("runs", events.where("event = 'finish'"))
-    return search.current_runs(tables.read("runs")).select(
+    ws.start_runs(events.where("event = 'start'"))
+    ws.finish_runs(events.where("event = 'finish'"))
+    return ws.runs_view().select(
         "run_id", F.unix_seconds("start").alias("start_s"), F.unix_seconds("finish").alias("finish_s"),
         F.col("finish").isNull().alias("failed"))
 
@@ -48,7 +49,7 @@ def register_operation(spark, d):
     again = requests.where("o_orderstatus = 'F'").select(
         *[(F.col(c) + 1000).alias(c) if c == "op_seq" else F.lit("again").alias(c) if c == "operation" else c
           for c in requests.columns])
-    return lineage.register_operations(requests.unionByName(again)).select(
+    return Workspace(spark).register(requests.unionByName(again)).select(
         "run_id", "op_seq", "dst_var", "dst_idx", "operation", "o_orderkey", "is_load")
 
 

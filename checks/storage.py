@@ -60,9 +60,10 @@ def load_schema_cast(spark, d):
     return load_delimited(spark, stored(spark, d, "part"), schema)
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS _c0, s_name AS _c1, CAST(s_nationkey AS VARCHAR) AS _c2 FROM supplier""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS _c0, s_name AS _c1, CAST(s_nationkey AS VARCHAR) AS _c2,
+          CAST(s_acctbal AS VARCHAR) AS _c3 FROM supplier""")
 def load_noschema(spark, d):
-    return load_delimited(spark, stored(spark, d, "supplier"), 3)
+    return load_delimited(spark, stored(spark, d, "supplier"), 4)
 
 
 @query("SELECT s_suppkey, s_name, TRUE AS from_text, TRUE AS below_path FROM supplier")
@@ -153,7 +154,7 @@ def persist_distribution(spark, d):
         missing = part.join(tables.read("profile").select("run_id").distinct(), "run_id", "left_anti")
         counts = durable(trust.histogram_counts(missing, spec, list(SHIPPED), "sales", "shipped"), "counts")
         tables.write("dist", trust.relative_frequency(counts))
-        tables.write("profile", trust.profile_counts(counts))
+        tables.write("profile", trust.profile_counts(counts).withColumn("version", F.lit(0)))
     sums = tables.read("dist").groupBy(*trust.RUN_COL).agg(
         F.count(F.lit(1)).alias("buckets"), F.round(F.sum("p"), 9).alias("mass"))
     return sums.join(tables.read("profile").select(*trust.RUN_COL, "n"), trust.RUN_COL)

@@ -12,7 +12,13 @@ from trustweave.operators import trust
 from trustweave.session import durable, empty
 
 QUERIES, ORACLES, query = registry()
-SAMPLES = ["20014", "20011", "19983"]
+#: The last, the first and the middle run as samples.
+SAMPLES = [
+    "(SELECT max(run_id) FROM dist WHERE dist.var = 'shipped')",
+    "(SELECT min(run_id) FROM dist WHERE dist.var = 'shipped')",
+    """(SELECT r FROM (SELECT run_id AS r, row_number() OVER (ORDER BY run_id) AS i, count(*) OVER () AS n
+        FROM (SELECT DISTINCT run_id FROM dist WHERE dist.var = 'shipped')) WHERE i = (n + 1) // 2)""",
+]
 CORRUPTED_SQL = "right(run_id, 1) = '3'"
 
 
@@ -151,14 +157,16 @@ def _rounded(confidences: DataFrame) -> DataFrame:
            SELECT scope, var, {LAST} AS run_id, col_idx, n_history, {ROUNDED}, exp(log_density) < 1e-5 AS corrupted,
              'ok' AS status FROM result WHERE var = 'shipped'""")
 def confidence(spark, d):
-    dist, profile = both(spark, d)
+    spec = trust.bucket_spec(first_run(spark, d, shipped), "sales", "shipped")
+    counts = durable(trust.histogram_counts(shipped(spark, d), spec, list(SHIPPED), "sales", "shipped"), "counts")
+    dist, profile = trust.relative_frequency(counts), trust.profile_counts(counts)
     return _rounded(trust.confidence(dist, profile, last_run(profile), no_runs(spark)))
 
 
 def _flag_sql() -> str:
     parts = [
-        f"SELECT * FROM (WITH {jsd_sql(chr(39) + s + chr(39), CORRUPTED_SQL)} "
-        f"SELECT scope, var, '{s}' AS run_id, bool_or(exp(log_density) < 1e-5) AS corrupted "
+        f"SELECT * FROM (WITH {jsd_sql(s, CORRUPTED_SQL)} "
+        f"SELECT scope, var, {s} AS run_id, bool_or(exp(log_density) < 1e-5) AS corrupted "
         "FROM result WHERE var = 'shipped' GROUP BY scope, var)" for s in SAMPLES]
     return f"{CHAIN} " + " UNION ALL ".join(parts)
 
@@ -168,7 +176,10 @@ def flag_corrupted(spark, d):
     dist, profile = both(spark, d)
     out = known_corrupted(profile)
     dist, profile = durable(dist, "dist"), durable(profile, "profile")
-    checks = [trust.confidence(dist, profile, s, out) for s in SAMPLES]
+    runs = [r["run_id"] for r in profile.where("var = 'shipped'").select("run_id").distinct().orderBy("run_id").collect()]
+    samples = runs[-1], runs[0], runs[(len(runs) - 1) // 2]
+    tested = F.col("var") == "shipped"
+    checks = [trust.confidence(dist.where(tested), profile.where(tested), s, out) for s in samples]
     return trust.flag_corrupted(reduce(DataFrame.unionByName, checks))
 
 
@@ -186,5 +197,5 @@ def check_run(spark, d):
     frames = []
     for scope in ("sales", "web"):
         runs = ws.tables.read("runs").where(F.col("scope") == scope)
-        frames.append(ws.run(scope, runs.agg(F.max("run_id")).first()[0]).finish())
+        frames.append(ws.check_run(scope, runs.agg(F.max("run_id")).first()[0]))
     return _rounded(frames[0].unionByName(frames[1]))

@@ -31,7 +31,7 @@ def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) ->
     unprofiled runs a variable.  The
     history is whatever captures exist now, unfinished and later runs included.
     """
-    operations = tables.read("operations").where(F.col("scope") == scope)
+    operations = tables.read("operations", scope=scope)
     own = operations.where(F.col("run_id") == run_id)
     inspected = own.where(captured() & (F.size("inspected_columns") > 0)).select(
         "scope", F.col("dst_var").alias("var"), F.col("inspected_columns").alias("columns"),
@@ -45,12 +45,12 @@ def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) ->
     if variables:
         _profile_pending(tables, scope, run_id, operations, variables, compat)
 
-    here = (F.col("scope") == scope) & F.col("var").isin(list(variables))
+    named = F.col("var").isin(list(variables))
     result = trust.confidence(
-        tables.read("dist").where(here),
-        tables.read("profile").where(here),
+        tables.read("dist", compat, scope).where(named),
+        _current(tables, tables.read("profile", compat, scope).where(named), scope).drop("version"),
         run_id,
-        trust.corrupted_runs(tables.read("confidence").where(here)),
+        trust.corrupted_runs(tables.read("confidence", scope=scope).where(named)),
     ).drop("scope", "run_id")
     captures = operations.where(captured() & (F.col("run_id") != run_id)).groupBy(
         F.col("dst_var").alias("var")
@@ -70,12 +70,22 @@ def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) ->
         F.coalesce("status", missing).alias("status"),
     )
     tables.write("confidence", rows)
-    return tables.read("confidence").where((F.col("scope") == scope) & (F.col("run_id") == run_id))
+    return tables.read("confidence", scope=scope).where(F.col("run_id") == run_id)
+
+
+def _current(tables: Tables, rows: DataFrame, scope: str) -> DataFrame:
+    """Profiles, or captures without a ``version``, at the version of the stored rows."""
+    versions = tables.read("growths", scope=scope).groupBy(*trust.RUN).agg(F.count(F.lit(1)).alias("_v"))
+    version = F.coalesce("_v", F.lit(0)).cast("long")
+    joined = rows.join(versions, trust.RUN, "left")
+    if "version" in rows.columns:
+        return joined.where(F.col("version") == version).drop("_v")
+    return joined.withColumn("version", version).drop("_v")
 
 
 def _profile_pending(tables, scope, run_id, operations, variables, compat) -> None:
     """Fill in missing bucket specs and distributions of the run's variables."""
-    corrupted = trust.corrupted_runs(tables.read("confidence").where(F.col("scope") == scope))
+    corrupted = trust.corrupted_runs(tables.read("confidence", scope=scope))
     captures = operations.where(captured() & F.col("dst_var").isin(list(variables))).select(
         "scope", F.col("dst_var").alias("var"), "run_id", "started"
     )
@@ -103,14 +113,14 @@ def _profile_pending(tables, scope, run_id, operations, variables, compat) -> No
         [captures.where(F.col("var") == v).withColumn(
             "col_idx", F.explode(F.lit(list(r["columns"])).cast("array<int>"))) for v, r in testable.items()],
     ).select(*trust.RUN_COL)
-    pending = wanted.join(corrupted.where(F.col("run_id") != run_id), trust.RUN, "left_anti").join(
-        tables.read("profile").where(F.col("scope") == scope), trust.RUN_COL, "left_anti"
+    pending = _current(tables, wanted.join(corrupted.where(F.col("run_id") != run_id), trust.RUN, "left_anti"), scope).join(
+        tables.read("profile", compat, scope), [*trust.RUN_COL, "version"], "left_anti"
     )
     pending = durable(pending, "pending")
     todo = pending.groupBy("var").agg(F.countDistinct("run_id").alias("n")).collect()
     if not todo:
         return
-    spec = tables.read("bucket_spec").where(F.col("scope") == scope)
+    spec = tables.read("bucket_spec", compat, scope)
     counts = []
     for row in todo:
         columns = testable[row["var"]]["columns"]
@@ -122,17 +132,15 @@ def _profile_pending(tables, scope, run_id, operations, variables, compat) -> No
     # captures are read once; distribution and profile both come from the counts
     counted = durable(reduce(DataFrame.unionByName, counts), "counts")
     complete = pending.join(trust.profile_counts(counted), trust.RUN_COL, "left")
-    tables.write("dist", trust.relative_frequency(counted, compat))
-    tables.write("profile", complete.fillna(0, ["n", "n_bad"]))
+    tables.write("dist", trust.relative_frequency(counted, compat), compat)
+    tables.write("profile", complete.fillna(0, ["n", "n_bad"]), compat)
 
 
 def _fill_specs(tables, scope, testable, first, compat) -> None:
     """Freeze base and step of columns that have none, from the earliest good run."""
     known = {
         (r["var"], r["col_idx"])
-        for r in tables.read("bucket_spec")
-        .where((F.col("scope") == scope) & F.col("var").isin(list(testable)))
-        .collect()
+        for r in tables.read("bucket_spec", compat, scope).where(F.col("var").isin(list(testable))).collect()
     }
     specs = []
     for var, row in testable.items():
@@ -141,7 +149,7 @@ def _fill_specs(tables, scope, testable, first, compat) -> None:
             obs = _observe(tables, scope, var, [first[var]["run"]], missing, row)
             specs.append(trust.bucket_spec(obs, scope, var, compat))
     if specs:
-        tables.write("bucket_spec", reduce(DataFrame.unionByName, specs))
+        tables.write("bucket_spec", reduce(DataFrame.unionByName, specs), compat)
 
 
 def _observe(tables, scope, var, runs, columns, row) -> DataFrame:

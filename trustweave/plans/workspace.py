@@ -23,7 +23,7 @@ from trustweave import schema
 from trustweave.functions.scalar import confidence_string
 from trustweave.operators import lineage, search, trust
 from trustweave.plans.check import captured, check_run
-from trustweave.session import empty, shared_path
+from trustweave.session import durable, empty, shared_path
 from trustweave.sources import delimited
 from trustweave.sources.tables import CAPTURE_RUN, RUN_ID, Tables, check_run_id
 
@@ -55,11 +55,47 @@ class Workspace:
 
     def run(self, scope: str, run_id: str) -> Run:
         """An existing run with the variables it has registered so far."""
-        here = (F.col("scope") == scope) & (F.col("run_id") == run_id)
-        if self.tables.read("runs").where(here).isEmpty():
+        if self.tables.read("runs", scope=scope).where(F.col("run_id") == run_id).isEmpty():
             raise KeyError(f"unknown run {run_id!r} in scope {scope!r}")
         return Run(self, scope, run_id)
 
+    def start_runs(self, runs: DataFrame) -> None:
+        """Register many runs (``scope, run_id, info, at``) in one write."""
+        self._refuse_bad_ids(runs, "run_id")
+        self.tables.write("runs", runs.withColumn("event", F.lit("start")))
+
+    def register(self, requests: DataFrame) -> DataFrame:
+        """Register many operations in one write; returns what was registered.
+
+        ``requests`` has the columns of the operation log without indices.  The
+        first registration of a variable in a run stays.
+        """
+        registered = durable(lineage.register_operations(requests), "registered")
+        self.tables.write("operations", registered)
+        return registered
+
+    def finish_runs(self, runs: DataFrame) -> None:
+        """Stamp the finish of many runs (``scope, run_id, at``) in one write, without checks.
+
+        A run that was not started, or is finished already, refuses them all.
+        """
+        current = self.runs_view().where("finish IS NULL")
+        bad = runs.join(current, lineage.RUN, "left_anti").first()
+        if bad:
+            raise RunFinished(f"run {bad['run_id']!r} in scope {bad['scope']!r} is not running")
+        self.tables.write("runs", runs.withColumns({"info": F.lit(None).cast("string"), "event": F.lit("finish")}))
+
+    def compact(self) -> None:
+        """Put the many small files of single events together; nobody may write meanwhile."""
+        for name in ("runs", "operations", "scores", "loads", "growths"):
+            self.tables.compact(name)
+
+    def _refuse_bad_ids(self, df: DataFrame, column: str) -> None:
+        good = F.coalesce(F.col(column).cast("string").rlike(f"^{RUN_ID}$"), F.lit(False))
+        bad = df.where(~good).select(column).first()
+        if bad:
+            check_run_id(bad[0])
+
     def _run_event(self, scope: str, run_id: str, info: str | None, event: str) -> None:
         self.tables.write_row("runs", one_row(self.spark, schema.RUNS, {
             "scope": scope, "run_id": run_id, "info": info, "event": event, "at": F.current_timestamp(),
@@ -80,9 +116,7 @@ class Workspace:
         ``run_id`` names the column that tells the runs apart, ``started`` is an
         aggregate giving each run's start.
         """
-        bad = df.where(~F.coalesce(F.col(run_id).cast("string").rlike(f"^{RUN_ID}$"), F.lit(False))).select(run_id).first()
-        if bad:
-            check_run_id(bad[0])
+        self._refuse_bad_ids(df, run_id)
         data = df.drop(run_id)
         columns, kinds = inspect_columns(data, inspected), column_classes(data)
         runs = df.groupBy(F.col(run_id).alias("run_id")).agg(started.cast("timestamp").alias("at"))
@@ -242,11 +276,11 @@ class Run:
         # a script's variables: the driver keeps names and indices only
         self._known: dict[str, str] = {
             r["dst_var"]: r["dst_idx"]
-            for r in self._tables.read("operations")
-            .where((F.col("scope") == scope) & (F.col("run_id") == run_id))
+            for r in self._tables.read("operations", scope=scope)
+            .where(F.col("run_id") == run_id)
             .select("dst_var", "dst_idx").collect()
         }
-        own = self._tables.read("runs").where((F.col("scope") == scope) & (F.col("run_id") == run_id))
+        own = self._tables.read("runs", scope=scope).where(F.col("run_id") == run_id)
         self._finished = not own.where("event = 'finish'").isEmpty()
 
     def load(
@@ -328,6 +362,9 @@ class Run:
             raise RunFinished(f"run {self.run_id} is finished")
 
     def _store(self, df: DataFrame, var: str) -> DataFrame:
+        if var in self._known:
+            self._tables.write_row("growths", one_row(self._spark, schema.GROWTHS, {
+                "scope": self.scope, "var": var, "run_id": self.run_id, "at": F.current_timestamp()}))
         return self._tables.write_capture(df, self.scope, var, self.run_id, append=var in self._known)
 
     def _register(self, df, var, sources, operation, inspected, column_types, index, path, is_load) -> None:

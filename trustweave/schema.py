@@ -25,7 +25,11 @@ DIST = "scope STRING, var STRING, run_id STRING, col_idx INT, bucket INT, p DOUB
 
 # One row per profiled column of a capture.  A capture whose column holds no
 # usable value has no ``dist`` rows but still counts as a history member.
-PROFILE = "scope STRING, var STRING, run_id STRING, col_idx INT, n LONG, n_bad LONG"
+# ``version`` is how often the capture had grown when it was profiled.
+PROFILE = "scope STRING, var STRING, run_id STRING, col_idx INT, n LONG, n_bad LONG, version LONG"
+
+# A capture got more rows; its profile no longer holds.
+GROWTHS = "scope STRING, var STRING, run_id STRING, at TIMESTAMP"
 
 CONFIDENCE = (
     "scope STRING, var STRING, run_id STRING, col_idx INT, n_history LONG, "

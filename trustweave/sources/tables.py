@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trustweave import schema
-from trustweave.session import empty
+from trustweave.session import durable, empty
 
 CAPTURE_RUN = "capture_run"
 RUN_ID = "[A-Za-z0-9_.-]+"
@@ -24,6 +24,7 @@ _LAYOUT = {
     "runs": (schema.RUNS, ["scope"]),
     "operations": (schema.OPERATIONS, ["scope"]),
     "loads": (schema.LOADS, ["scope"]),
+    "growths": (schema.GROWTHS, ["scope"]),
     "scores": (schema.SCORES, ["scope"]),
     "bucket_spec": (schema.BUCKET_SPEC, ["scope", "var"]),
     "dist": (schema.DIST, ["scope", "var", "run_id"]),
@@ -42,14 +43,20 @@ class Tables:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _path(self, name: str, compat: bool) -> str:
+        return f"{self.root}/{name}{'_compat' if compat else ''}"
 
-    def read(self, name: str) -> DataFrame:
-        """A metadata or profile table as it is now; empty before its first write."""
+    def read(self, name: str, compat: bool = False, scope: str | None = None) -> DataFrame:
+        """A metadata or profile table as it is now; empty before its first write.
+
+        With ``scope`` only that scope's folder is listed.  ``compat`` names the
+        profiles made the original's way, which are kept apart.
+        """
         columns, _ = _LAYOUT[name]
+        base = self._path(name, compat)
+        path = base if scope is None else f"{base}/scope={_folder(scope)}"
         try:
-            frame = self.spark.read.schema(columns).parquet(self._path(name))
+            frame = self.spark.read.option("basePath", base).schema(columns).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -57,26 +64,32 @@ class Tables:
         frame = frame.select(*_names(columns))
         return frame.distinct() if name in _REPEATABLE else frame
 
-    def write(self, name: str, rows: DataFrame) -> None:
+    def write(self, name: str, rows: DataFrame, compat: bool = False) -> None:
         """Append rows, or replace the partitions they belong to.
 
         Rows are rebalanced by partition first: small partitions get one file,
         a large one is split over several tasks.
         """
         _, parts = _LAYOUT[name]
-        self._save(name, rows.hint("rebalance", *parts))
+        self._save(name, rows.hint("rebalance", *parts), compat)
 
     def write_row(self, name: str, row: DataFrame) -> None:
         """Append a single row."""
         self._save(name, row)
 
-    def _save(self, name: str, rows: DataFrame) -> None:
+    def compact(self, name: str) -> None:
+        """Rewrite an event table with few files per scope; nobody may write meanwhile."""
+        _, parts = _LAYOUT[name]
+        rows = durable(self.read(name), "compact")
+        self._save(name, rows.hint("rebalance", *parts), replace=True)
+
+    def _save(self, name: str, rows: DataFrame, compat: bool = False, replace: bool = False) -> None:
         columns, parts = _LAYOUT[name]
         writer = rows.select(*_names(columns)).write.partitionBy(*parts)
-        if name in _REPLACED:
-            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._path(name))
+        if replace or name in _REPLACED:
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._path(name, compat))
         else:
-            writer.mode("append").parquet(self._path(name))
+            writer.mode("append").parquet(self._path(name, compat))
 
     # -- captures ---------------------------------------------------------
 
@@ -129,6 +142,12 @@ class Tables:
         return self.spark.read.option("basePath", base).schema(declared).parquet(*paths)
 
 
+def _folder(value: str) -> str:
+    """A partition value as it is spelled in a folder's name."""
+    odd = set('"#%\'*/:=?\\{[]^\x7f')
+    return "".join(f"%{ord(c):02X}" if c in odd or ord(c) < 32 else c for c in value)
+
+
 def check_run_id(run_id: str) -> None:
     """Run ids name folders."""
     if run_id is None or not re.fullmatch(RUN_ID, str(run_id)):
