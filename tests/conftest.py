@@ -9,10 +9,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from trustweave.session import local_session
+    from trustweave.session import free_scratch, local_session
 
     session = local_session("tests", 8)
     yield session
+    free_scratch(session)
     session.stop()
 
 

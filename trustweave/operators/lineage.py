@@ -12,7 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustweave.session import durable, shared_path
+from trustweave.session import durable, scratch_path
 
 RUN = ["scope", "run_id"]
 LEVELS_PER_JOB = 3
@@ -177,7 +177,7 @@ def _walk(edges: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
                 frontier = step(frontier)
                 depth += 1
                 levels.append(frontier.withColumn("level", F.lit(depth)))
-            path = shared_path(spark, "levels")
+            path = scratch_path(spark, "levels")
             table = reduce(DataFrame.unionByName, levels)
             table.write.parquet(path)
             tables.append(path)

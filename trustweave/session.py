@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _local_roots: dict[str, str] = {}
+_scratch: list[str] = []
 
 
 def local_session(app: str, cores: str | int = "*", memory: str = "8g", **conf) -> SparkSession:
@@ -56,6 +57,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/trustweave/{label}-{uuid.uuid4().hex}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path for data that only results of this driver read; see :func:`free_scratch`."""
+    path = shared_path(spark, label)
+    _scratch.append(path)
+    return path
+
+
+def free_scratch(spark: SparkSession) -> None:
+    """Delete this driver's scratch tables; results that were not stored are lost with them."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def empty(spark: SparkSession, columns: str) -> DataFrame:
     """No rows; the optimizer knows, and drops the joins it takes part in."""
     fields = T.StructType.fromDDL(columns)
@@ -69,6 +85,6 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, not a recomputation
     of everything before.
     """
-    path = shared_path(df.sparkSession, label)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
