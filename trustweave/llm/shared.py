@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustweave.session import shared_path
+from trustweave.session import scratch_path
 
 #: ASCII white space; words are maximal runs of anything else.
 SPACES = b" \t\n\v\f\r"
@@ -57,7 +57,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, shared_path(spark, label), 0
+        self.spark, self.root, self.n = spark, scratch_path(spark, label), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
