@@ -197,6 +197,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # a link of the first round stands for all links inside its component
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     final = components(links, scratch)
+    # what remains of the tables has no signatures
+    prints, classes, old = scratch.keep(prints.drop("signature")), scratch.keep(classes.drop("signature")), (prints, classes)
+    scratch.free(*old, rows, sets, first, open_rows)
 
     reps = classes.select("set_hash", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     own = reps.select("set_hash", F.coalesce("component", "rep").alias("component_id"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trustweave.llm.shared import Scratch
+from trustweave.llm.shared import Scratch, bounded_batches
 
 WINDOW = 1024
 END = 0
@@ -80,6 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 yield cut(batch.slice(at, 1000), encode)
+        pa.default_memory_pool().release_unused()
 
     def cut(batch: pa.RecordBatch, encode: Callable[[str], list[int]]) -> pa.RecordBatch:
         rows, parts = [], []
@@ -97,6 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool
             arrays, names = [*arrays, pa.array(parts, pa.list_(pa.int32()))], [*names, "ids"]
         return pa.RecordBatch.from_arrays(arrays, names)
 
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 

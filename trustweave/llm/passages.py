@@ -195,7 +195,9 @@ def _first_pairs(found: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.keep(ordered.mapInArrow(run, PAIRED))
     # a value's first rows in neighbouring slices: two for each slice at most
     edges = _hub_pairs(rows.where("edge").select(*_NAMES).distinct(), ["value"])
-    return rows.where("NOT edge").drop("edge").unionByName(edges)
+    pairs = scratch.keep(rows.where("NOT edge").drop("edge").unionByName(edges))
+    scratch.free(rows)
+    return pairs
 
 
 def _hub_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -283,7 +285,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -
         names = [f.split()[0] for f in PASSAGE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
 
-    return scratch.keep(per_batch(both.select("adoc", "doc", "atext", "btext", "anchors"), run, PASSAGE, 200))
+    found = scratch.keep(per_batch(both.select("adoc", "doc", "atext", "btext", "anchors"), run, PASSAGE, 200))
+    scratch.free(some, texts)
+    return found
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -295,14 +299,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     found = scratch.keep(all_windows(docs))
-    pairs = scratch.keep(_first_pairs(found, scratch))
+    pairs = _first_pairs(found, scratch)
     scratch.free(found)
     first = _verified(pairs, docs, scratch, AGREE)
     covered = first.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("known")).withColumnRenamed("doc_id", "doc")
     inside = F.exists("known", lambda k: (k["start"] <= F.col("c")) & (F.col("c") < k["end"]))
     rest = scratch.keep(pairs.join(covered, "doc", "left").where(~F.coalesce(inside, F.lit(False))).select(*_NAMES).distinct())
     again = _hub_pairs(rest.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(rest.where("left <> 0"), ["value", "left"]))
+    scratch.free(pairs)
     second = _verified(again, docs, scratch, 1)
+    scratch.free(rest)
     return first.unionByName(second).distinct()
 
 

@@ -140,10 +140,12 @@ def fences(sketch: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``kept`` and the ``reason`` of a rejection."""
     scratch = Scratch(docs.sparkSession, "quality")
-    measured = scratch.keep(measure(docs, keep_text))
-    limits = fences(sketches(measured)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence")
+    # texts are measured twice rather than stored in between; sketches and fences are small tables
+    slim = docs.select([c for c in docs.columns if c in ("text", "lang", "source")])
+    sketch = scratch.keep(sketches(measure(slim, keep_text=False)))
+    limits = scratch.keep(fences(sketch)).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fence")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    rows = measured.join(limits, same, "left")
+    rows = measure(docs, keep_text).join(limits, same, "left")
     beyond = F.filter(F.array(*[
         F.when(_signal(s) > F.col("fence")[s], F.lit(s)) for s in SIGNALS]), lambda r: r.isNotNull())
     reason = F.when(F.col("n_words") < MIN_WORDS, "short").when(base_failed(), "repetitive").otherwise(F.get(beyond, F.lit(0)))

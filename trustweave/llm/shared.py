@@ -74,12 +74,21 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 2000) -> DataFrame:
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: fewer rows a batch than the default, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, rows)
+
+
+def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield function(batch.slice(at, rows))
+        pa.default_memory_pool().release_unused()  # workers outlive a task
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
