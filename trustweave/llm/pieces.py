@@ -66,32 +66,31 @@ class Encoder:
 
     def viterbi(self, text: str) -> list[int]:
         """Best segmentation of a text, spaces included."""
-        n = len(text)
+        n, unknown = len(text), self.unknown
         best = [0.0] + [float("-inf")] * n
-        last: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # piece (-1: bytes) and its length
+        piece, size = [-1] * (n + 1), [1] * (n + 1)  # the last piece (-1: bytes) and its length
         at = 0  # positions before this one are final
-        for end, (piece, length, score) in self.automaton.iter(text):
+        for end, (i, length, score) in self.automaton.iter(text):
             while at < end:
-                self._bytes(best, last, at)
+                total = best[at] + unknown
                 at += 1
-            total = best[end + 1 - length] + score
-            if total > best[end + 1] or (total == best[end + 1] and length > last[end + 1][1]):
-                best[end + 1], last[end + 1] = total, (piece, length)
+                if total > best[at]:
+                    best[at], piece[at], size[at] = total, -1, 1
+            end += 1
+            total = best[end - length] + score
+            if total > best[end] or (total == best[end] and length > size[end]):
+                best[end], piece[end], size[end] = total, i, length
         while at < n:
-            self._bytes(best, last, at)
+            total = best[at] + unknown
             at += 1
+            if total > best[at]:
+                best[at], piece[at], size[at] = total, -1, 1
         ids: list[int] = []
         while n:
-            piece, length = last[n]
-            ids += [piece] if piece >= 0 else [self.vocabulary.bytes[b] for b in reversed(text[n - 1].encode())]
-            n -= length
+            ids += [piece[n]] if piece[n] >= 0 else [self.vocabulary.bytes[b] for b in reversed(text[n - 1].encode())]
+            n -= size[n]
         return ids[::-1]
 
-    def _bytes(self, best: list[float], last: list[tuple[int, int]], at: int) -> None:
-        total = best[at] + self.unknown
-        if total > best[at + 1]:
-            best[at + 1], last[at + 1] = total, (-1, 1)
-
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
