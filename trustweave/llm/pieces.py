@@ -1,18 +1,23 @@
 """Encoding and decoding with a SentencePiece vocabulary.
 
-An Aho-Corasick automaton over all pieces reads a text once; at every position
-the pieces that end there come out along its output links, and each relaxes the
-best score of its end, so the pass yields the segmentation with the highest sum
-of piece scores (of equal ones, the one whose last piece is longer).  A
-character that no piece covers costs more than any piece and becomes its bytes.
+The model's kind decides how a text is cut, as in the sentencepiece library:
+
+- A unigram model maximizes the sum of piece scores.  An Aho-Corasick automaton
+  over all pieces reads a text once; at every position the pieces that end there
+  come out along its output links, and each relaxes the best score of its end (of
+  equal sums, the one whose last piece is longer counts).  A character that no
+  piece covers costs more than any piece and becomes its bytes.
+- A BPE model merges neighbours: of all pairs whose union is a piece, the one of
+  the highest score first, the left one of equals.  Its scores are only ranks of
+  merges, so their sum says nothing.  Characters left without a piece become bytes.
 
 No piece has a space after another character, so a text falls apart before each
 run of spaces; words are encoded once and remembered.  Where a vocabulary has
 such pieces, whole texts are encoded instead.
 
 Texts are taken as they are, with one space put before them, and ``decode``
-gives them back exactly.  The scores are the vocabulary's own; a model that
-merges pairs instead of maximizing scores may cut words differently.
+gives them back exactly.  So "▁" in a text stays itself; sentencepiece takes it
+for a space.
 
 Defined results: a null text has null ids and decodes to null; an empty text has
 no ids; texts of any length are encoded whole; repeated rows alike; an empty
@@ -22,6 +27,7 @@ table gives an empty one; columns of the input named like a result are replaced.
 from __future__ import annotations
 
 import re
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import pyarrow as pa
@@ -38,6 +44,39 @@ _UNITS = re.compile(" +[^ ]*|[^ ]+")
 _REMEMBERED, _LONGEST = 300_000, 64
 
 
+#: ``ModelProto.trainer_spec.model_type``
+_TRAINER, _TYPE, UNIGRAM, BPE = 2, 3, 1, 2
+
+
+def _fields(raw: bytes):
+    """Numbers and values of a protocol buffer's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, raw[at:at + size]
+            at += size
+
+
+def _model_type(model: str) -> int:
+    with open(model, "rb") as file:
+        trainer = next((v for k, v in _fields(file.read()) if k == _TRAINER), b"")
+    return next((v for k, v in _fields(trainer) if k == _TYPE), UNIGRAM)
+
+
 class Vocabulary:
     """Pieces and scores of a model file."""
 
@@ -49,6 +88,7 @@ class Vocabulary:
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in size if sp.is_byte(i)}
         special = {i for i in size if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.pieces = {i: (sp.id_to_piece(i).replace(SPACE, " "), sp.get_score(i)) for i in size if i not in special}
+        self.merges = _model_type(model) == BPE
         self.raw = {i: text.encode() for i, (text, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
 
@@ -91,12 +131,14 @@ class Encoder:
             n -= size[n]
         return ids[::-1]
 
+    cut = viterbi
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         text = " " + text
         if not self.apart:
-            return self.viterbi(text)
+            return self.cut(text)
         known = self.known
         if len(known) > _REMEMBERED:
             known.clear()
@@ -104,13 +146,52 @@ class Encoder:
         for unit in _UNITS.findall(text):
             found = known.get(unit)
             if found is None:
-                found = self.viterbi(unit)
+                found = self.cut(unit)
                 if len(unit) <= _LONGEST:
                     known[unit] = found
             ids += found
         return ids
 
 
+class Merger(Encoder):
+    """Encoder of a BPE model."""
+
+    def cut(self, text: str) -> list[int]:
+        n, piece = len(text), self.automaton.get
+        end = list(range(1, n + 1))  # of the symbol that starts here; 0: none does
+        before = list(range(-1, n))  # start of the symbol before the one that starts here
+        open_pairs = []
+        for i in range(n - 1):
+            found = piece(text[i:i + 2], None)
+            if found:
+                open_pairs.append((-found[2], i, i + 2))
+        heapify(open_pairs)
+        while open_pairs:
+            _, start, stop = heappop(open_pairs)
+            middle = end[start]
+            if not middle or middle >= n or end[middle] != stop:
+                continue  # one of the two has been merged since
+            end[start], end[middle], before[stop] = stop, 0, start
+            around = [(before[start], stop)] if start else []
+            if stop < n:
+                around.append((start, end[stop]))
+            for i, j in around:
+                found = piece(text[i:j], None)
+                if found:
+                    heappush(open_pairs, (-found[2], i, j))
+        ids: list[int] = []
+        at = 0
+        while at < n:
+            found = piece(text[at:end[at]], None)
+            ids += [found[0]] if found else [self.vocabulary.bytes[b] for b in text[at:end[at]].encode()]
+            at = end[at]
+        return ids
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    return Merger(vocabulary) if vocabulary.merges else Encoder(vocabulary)
+
+
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
     raw = vocabulary.raw
     return b"".join([raw[i] for i in ids]).decode()[1:]
@@ -124,7 +205,7 @@ class _Lazy:
 
     def __call__(self) -> Encoder:
         if self.made is None:
-            self.made = Encoder(Vocabulary(self.model))
+            self.made = encoder_of(Vocabulary(self.model))
         return self.made
 
 
