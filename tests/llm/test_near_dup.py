@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
+from trustweave.llm import near_dup
 from trustweave.llm.components import components
 from trustweave.llm.near_dup import deduplicated, near_duplicates
 from trustweave.llm.shared import Scratch
@@ -71,3 +74,17 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long")
     found = dict(map(tuple, components(df, Scratch(spark, "test")).collect()))
     assert found == {**{i: 100 for i in range(100, 161)}, 5: 5, 9: 5, 200: 200, 1000: 200, 1001: 200}
+
+
+def test_pairs_far_apart_in_a_dense_region():
+    n, draw = 700, np.random.default_rng(4)
+    whole = draw.integers(0, 2**31, (n, near_dup.TREES * near_dup.DEPTH)).astype(np.int32)
+    whole[-1] = whole[0]
+    whole[:, :3] = 7  # one bucket of the first tree
+    whole[:, 3] = np.arange(n)
+    columns = {"rep": np.arange(n), "n": np.full(n, 100), "comp": np.arange(n), "signature": list(whole)}
+    sorted_slice = pa.table({**columns, "tree": np.zeros(n, np.int32), "sign": list(whole[:, :near_dup.DEPTH])})
+    unit = pa.table({**columns, "unit": np.zeros(n, np.int64), "block": np.arange(n) % 2, "across": np.zeros(n, bool)})
+    pairs = lambda batches: [(r["a"], r["b"]) for b in batches for r in b.to_pylist()]
+    assert pairs(near_dup._neighbours(sorted_slice, 80)) == []  # within reach there is nothing
+    assert pairs(near_dup._block_pairs(unit, 80)) == [(0, n - 1)]

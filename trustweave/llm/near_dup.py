@@ -11,14 +11,17 @@ Candidates are, in every tree,
   edited copy of a group rather than any of them, and then
 - neighbours in sorted order that are not yet known to belong together: a
   neighbour further away must share a longer prefix, so the depth follows the
-  density of the region (``REACH``).  Whole signatures must agree to within
-  ``MARGIN``, over three standard deviations, of the similarity asked for.
-Candidates are confirmed on full sets.  Two sets of similarity s share 3
+  density of the region (``REACH``).  This only saves work in what follows:
+- all classes with the same first 3 min-hashes that are then still not known to
+  belong together, each with each.
+Of the last two, whole signatures must agree to within ``MARGIN``, over three
+standard deviations, of the similarity asked for.  Candidates are confirmed on full sets.  Two sets of similarity s share 3
 min-hashes in some of 16 trees with probability 1 - (1 - s^3)^16, which is
 0.99998 for s = 0.8 and higher above.
 
-No task gets a whole bucket: smallest members are pre-aggregated, and the sorted
-orders are cut by range.
+No task gets a whole bucket: smallest members are pre-aggregated, the sorted
+orders are cut by range, and the last step deals pairs of blocks of ``BLOCK``
+classes.  Its work grows with the square of what a bucket holds of unlinked classes.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text shorter than five words is one shingle; rows without ``doc_id``
@@ -46,6 +49,7 @@ SHALLOW = 3
 #: Common min-hashes, and how far apart in sorted order two classes with them may be.
 REACH = {3: 8, 4: 16, 5: 32, 6: 64, 7: 128, 8: 512}
 MARGIN = 0.12
+BLOCK = 1024
 _SEED = 20_240_229
 
 
@@ -151,6 +155,56 @@ def _neighbour_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     return ordered.select("tree", "sign", "rep", "n", "comp", "signature").mapInArrow(run, "a long, b long").distinct()
 
 
+def _block_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of whole units: each with each in a block, or one block with another."""
+    unit, block, rep, n, comp = [part.column(c).to_numpy() for c in ("unit", "block", "rep", "n", "comp")]
+    across = part.column("across").to_numpy()
+    whole = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
+    agree = (percent / 100 - MARGIN) * TREES * DEPTH
+    end = np.searchsorted(unit, unit, side="right")  # sorted by unit
+    live, step = np.arange(len(unit)), 0
+    while True:
+        step += 1
+        live = live[live + step < end[live]]
+        if not len(live):
+            return
+        a, b = n[live], n[live + step]
+        at = live[(comp[live] != comp[live + step]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                  & (~across[live] | (block[live] != block[live + step]))]
+        at = at[(whole[at] == whole[at + step]).sum(axis=1) >= agree]
+        if len(at):
+            x, y = rep[at], rep[at + step]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _all_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Classes of different components with the same ``key``, each with each; ``rows`` has ``key, rep, n, comp, signature``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= 8 * BLOCK:
+                part = pa.Table.from_batches(held)
+                unit = part.column("unit").to_numpy()
+                done = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+                yield from _block_pairs(part.slice(0, done), percent)
+                held = part.slice(done).to_batches()
+                count = part.num_rows - done
+        if held:
+            yield from _block_pairs(pa.Table.from_batches(held), percent)
+
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    units = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        (F.col("block") != F.col("other")).alias("across"), "block", "rep", "n", "comp", "signature")
+    dealt = units.repartition(parts, "unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets are similar enough."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a")
@@ -159,6 +213,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(100 * F.col("i") >= percent * (F.col("u") - F.col("i"))).select("a", "b")
 
 
+def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with ``comp`` and ``key``, where classes with one ``key`` are not all in one component."""
+    named = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    keyed = named.withColumn("key", _prefix(SHALLOW))
+    mixed = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return keyed.join(mixed, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
 
@@ -188,18 +250,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     first = scratch.keep(_confirmed(_hub_pairs(rows, percent), sets, percent))
     known = components(first, scratch)
-    named = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    keyed = named.withColumn("key", _prefix(SHALLOW))
-    mixed = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_rows = keyed.join(mixed, "key", "left_semi").select("tree", "sign", "rep", "n", "comp")
-    open_rows = scratch.keep(open_rows.join(classes.select("rep", "signature"), "rep"))
+    open_rows = scratch.keep(_open(rows, known).select("tree", "sign", "rep", "n", "comp").join(classes.select("rep", "signature"), "rep"))
     second = _confirmed(_neighbour_pairs(open_rows, percent, parts), sets, percent)
-    # a link of the first round stands for all links inside its component
+    # a link of the first rounds stands for all links inside its component
     links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
-    final = components(links, scratch)
+    known = components(links, scratch)
+    left = scratch.keep(_open(rows, known).select("key", "rep", "n", "comp").join(classes.select("rep", "signature"), "rep"))
+    third = _confirmed(_all_pairs(left, percent, parts), sets, percent)
+    final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(third), scratch)
     # what remains of the tables has no signatures
     prints, classes, old = scratch.keep(prints.drop("signature")), scratch.keep(classes.drop("signature")), (prints, classes)
-    scratch.free(*old, rows, sets, first, open_rows)
+    scratch.free(*old, rows, sets, first, open_rows, left)
 
     reps = classes.select("set_hash", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     own = reps.select("set_hash", F.coalesce("component", "rep").alias("component_id"))
