@@ -96,3 +96,38 @@ def test_nothing_to_find(spark):
     twice = " ".join(f"x{i}" for i in range(80))
     one = spark.createDataFrame([(1, twice + " " + twice), (1, twice)], "doc_id long, text string")
     assert P.repeated_passages(one).count() == 0
+
+
+def shingled(words):
+    return np.array([hash(tuple(words[i:i + 5])) & (2**63 - 1) for i in range(len(words) - 4)], np.uint64)
+
+
+def found_in(source, words):
+    a, b = shingled(source), shingled(words)
+    return sorted(P.passages_of(a, b, [[0, 0, len(a) - 1, 0, len(b) - 1]], 1))
+
+
+def test_changed_words_in_short_passages():
+    text = lambda name, n: [f"{name}{i}" for i in range(n)]
+    for n in (51, 55, 60, 70, 80):
+        source = text("x", 30) + text("p", n) + text("y", 30)
+        for places in [(i,) for i in range(n)] + [(i, j) for i in range(n) for j in range(i + 1, min(n, i + 9))]:
+            passage = text("p", n)
+            for i in places:
+                passage[i] = "changed"
+            words = text("v", 20) + passage + text("w", 20)
+            hits = [source[i] == w for i, w in zip(range(30, 30 + n), passage)]
+            a, b = set(shingled(text("p", n)).tolist()), set(shingled(passage).tolist())
+            found = found_in(source, words)
+            if len(a & b) / len(a | b) >= 0.8 and all(hits[:5]) and all(hits[-5:]):
+                assert found and found[0][1] - found[0][0] >= 50, (n, places)
+
+
+def test_stretches_with_gaps_in_the_source():
+    text = lambda name, n: [f"{name}{i}" for i in range(n)]
+    for here, there in ((0, 30), (5, 25), (8, 300)):
+        source = text("a", 60) + text("x", there) + text("b", 60)
+        words = text("v", 20) + text("a", 60) + text("y", here) + text("b", 60) + text("w", 20)
+        assert [f[:4] for f in found_in(source, words)] == [(20, 80, 0, 60), (80 + here, 140 + here, 60 + there, 120 + there)]
+    source, words = text("a", 100) + text("x", 60) + text("b", 100), text("a", 100) + text("b", 100)
+    assert [f[:4] for f in found_in(source, words)] == [(0, 100, 0, 100), (100, 200, 160, 260)]

@@ -14,9 +14,10 @@ Sorted slices are cut by range, so a very common value is no task's burden; the
 representatives of a value in neighbouring slices are paired afterwards.
 
 Pairs of documents whose windows agree in ``AGREE`` hash functions or more on
-overlapping intervals are verified on the whole texts: the segments in which at
-least four of five shingles recur, as long as ``SPAN`` and of similarity 0.8 to
-their source.  Windows that remain unexplained are paired once more within their
+overlapping intervals are verified on the whole texts: the segments of ``SPAN``
+shingles or more in which at least four of five recur, of similarity 0.8 to their
+source; where a segment as a whole is not, the longest passage between two runs of
+the source that is.  Windows that remain unexplained are paired once more within their
 value and a shingle 20 positions to the right, or left, of them, since a common
 shingle can have several sources.
 
@@ -208,24 +209,20 @@ def _hub_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- verification ------------------------------------------------------------------
 
-def _segments(score: np.ndarray, at: int, least: int) -> Iterator[tuple[int, int]]:
-    """Disjoint highest-scoring stretches of ``least`` positions or more, as ``[start, end)``."""
-    todo = [(0, len(score))]
-    while todo:
-        lo, hi = todo.pop()
-        if hi - lo < least:
-            continue
-        total = np.r_[0, np.cumsum(score[lo:hi])]
-        gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        if gain[end] <= 0:
-            continue
-        start = end - int(np.argmin(total[:end + 1][::-1]))
-        if end - start >= least:
-            yield at + lo + start, at + lo + end
-        elif gain[end] < least // 4:
-            continue
-        todo += [(lo, lo + start), (lo + end, hi)]
+def _stretch(score: np.ndarray, least: int) -> tuple[int, int] | None:
+    """``[start, end)`` of the highest sum among stretches of ``least`` positions or more, if it isn't negative."""
+    if len(score) < least:
+        return None
+    total = np.r_[0, np.cumsum(score)]
+    gain = total[least:] - np.minimum.accumulate(total)[:len(total) - least]
+    at = int(gain.argmax())
+    return (at - int(np.argmin(total[:at + 1][::-1])), at + least) if gain[at] >= 0 else None
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = np.unique(x), np.unique(y)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)
 
 
 def _clusters(anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int, int, int]]:
@@ -239,27 +236,87 @@ def _clusters(anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int,
             yield part[:, 1].min(), part[:, 2].max(), part[:, 3].min(), part[:, 4].max()
 
 
+def _whole(a: np.ndarray, b: np.ndarray, start: int, end: int, hit: np.ndarray, place: np.ndarray) -> tuple | None:
+    """A stretch of ``b`` beside its place in ``a``, if they are similar; ``hit`` and ``place`` belong to the stretch."""
+    at = np.flatnonzero(hit)
+    if not len(at) or at[-1] + 1 - at[0] < SPAN:
+        return None
+    shift = place[at] - at
+    close = np.abs(shift - np.median(shift)) <= (end - start) // 2
+    spots = place[at][close]
+    if not len(spots):
+        return None
+    start, end = start + int(at[0]), start + int(at[-1]) + 1
+    s, e = int(spots.min()), int(spots.max()) + 1
+    similarity = _similarity(a[s:e], b[start:end])
+    return (start, end, s, e, similarity) if e - s >= SPAN and similarity >= SIMILAR else None
+
+
+def _by_runs(a: np.ndarray, b: np.ndarray, al: int, ar: int, lo: int, hi: int, hit: np.ndarray, place: np.ndarray) -> tuple | None:
+    """Longest passage in ``b[lo:hi]`` that starts and ends with runs of ``a`` and is similar to what they enclose there."""
+    there, here = a[al:ar + 1].tolist(), b[lo:hi].tolist()
+    first, runs, q = (place - al).tolist(), [], -1
+    for p in np.flatnonzero(hit).tolist():
+        if runs and runs[-1][1] > p:
+            continue
+        if runs and runs[-1][1] == p and q + 1 < len(there) and there[q + 1] == here[p]:
+            q += 1
+            runs[-1][1] = p + 1
+            continue
+        q = first[p]
+        start, back = p, q
+        while start and back and there[back - 1] == here[start - 1]:
+            start, back = start - 1, back - 1
+        while runs and runs[-1][0] >= start:
+            runs.pop()
+        if runs:
+            runs[-1][1] = min(runs[-1][1], start)
+        runs.append([start, p + 1, back - start])
+    if not runs:
+        return None
+    bs, be, shift = np.array(runs).T
+    total = np.r_[0, np.cumsum(be - bs)]
+    able = []
+    for i in range(len(bs)):
+        mine, its = be[i:] - bs[i], be[i:] + shift[i:] - bs[i] - shift[i]
+        common = total[i + 1:] - total[i]
+        fits = (mine >= SPAN) & (its >= SPAN) & (common >= SIMILAR * (mine + its - common) - 1e-9)
+        able += [(int(mine[j]), i, i + int(j)) for j in np.flatnonzero(fits)]
+    for _, i, j in sorted(able, reverse=True):
+        start, end, s, e = lo + int(bs[i]), lo + int(be[j]), al + int(bs[i] + shift[i]), al + int(be[j] + shift[j])
+        similarity = _similarity(a[s:e], b[start:end])
+        if similarity >= SIMILAR:
+            return start, end, s, e, similarity
+    return None
+
+
 def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """``b`` start and end, ``a`` start and end (in words), similarity; from shingle sequences."""
+    """``b`` start and end, ``a`` start and end (in words), similarity; from shingle sequences.
+
+    Where the stretch of most hits is not similar to its source as a whole, the
+    source has gaps or jumps there, and its runs are looked at one by one.
+    """
     for al, ar, bl, br in _clusters(anchors, agree):
         there, here = a[al:ar + 1], b[bl:br + 1]
         order = np.argsort(there, kind="stable")
-        spot = np.searchsorted(there[order], here)
-        hit = there[order][np.minimum(spot, len(there) - 1)] == here
-        place = order[np.minimum(spot, len(there) - 1)] + al
-        for start, end in _segments(np.where(hit, 1, -MISS), bl, SPAN):
-            mine = hit[start - bl:end - bl]
-            shift = place[start - bl:end - bl][mine] - np.arange(start, end)[mine]
-            close = np.abs(shift - np.median(shift)) <= (end - start) // 2
-            spots = place[start - bl:end - bl][mine][close]
-            if not len(spots):
+        spot = np.minimum(np.searchsorted(there[order], here), len(there) - 1)
+        hit = there[order][spot] == here
+        place = order[spot] + al
+        score = np.where(hit, 1, -MISS)
+        todo = [(0, len(here))]
+        while todo:
+            lo, hi = todo.pop()
+            best = _stretch(score[lo:hi], SPAN)
+            if best is None:
+                continue
+            start, end = lo + best[0], lo + best[1]
+            found = _whole(a, b, bl + start, bl + end, hit[start:end], place[start:end])
+            found = found or _by_runs(a, b, al, ar, bl + lo, bl + hi, hit[lo:hi], place[lo:hi])
+            if found is None:
                 continue
-            s, e = int(spots.min()), int(spots.max()) + 1
-            x, y = np.unique(a[s:e]), np.unique(b[start:end])
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            similarity = common / (len(x) + len(y) - common)
-            if e - s >= SPAN and similarity >= SIMILAR:
-                yield int(start), int(end) - 1 + WIDTH, s, e - 1 + WIDTH, similarity
+            start, end, s, e, similarity = found
+            yield start, end - 1 + WIDTH, s, e - 1 + WIDTH, similarity
+            todo += [(lo, start - bl), (end - bl, hi)]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -> DataFrame:
