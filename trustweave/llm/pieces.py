@@ -27,9 +27,12 @@ table gives an empty one; columns of the input named like a result are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,9 +92,58 @@ class Vocabulary:
         special = {i for i in size if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.pieces = {i: (sp.id_to_piece(i).replace(SPACE, " "), sp.get_score(i)) for i in size if i not in special}
         self.merges = _model_type(model) == BPE
+        self.apart = not any(re.search("[^ ] ", text) for text, _ in self.pieces.values())
         self.raw = {i: text.encode() for i, (text, _) in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
 
+class Units:
+    """Ids of many texts at once.
+
+    Texts fall apart into words (or stay whole, if a piece goes beyond one); a word
+    is cut when it is first met, and its ids are kept in flat arrays, so a text's
+    ids are gathered from its words' numbers.  What is kept is dropped when it
+    grows beyond a bound.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, cut: Callable[[list[str]], list[list[int]]]):
+        self.cut, self.apart = cut, vocabulary.apart
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = _Numbers()
+        self.ids, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where each text's begin (and the last one's end)."""
+        if len(self.known) > _REMEMBERED or len(self.ids) > 16 * _REMEMBERED:
+            self._forget()
+        number, before, many = self.known.__getitem__, len(self.known), [0]
+        words: list[int] = []
+        for text in texts:
+            if text:
+                words += map(number, _UNITS.findall(" " + text) if self.apart else [" " + text])
+            many.append(len(words))
+        if len(self.known) > before:
+            found = self.cut(list(islice(self.known, before, None)))
+            size = np.array([len(f) for f in found], np.int64)
+            self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+            self.size = np.r_[self.size, size]
+            self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))]
+        which = np.array(words, np.int64)
+        size = self.size[which]
+        end = np.cumsum(size)
+        ids = self.ids[np.arange(size.sum()) + np.repeat(self.start[which] - (end - size), size)]
+        return ids, np.r_[0, end][many]
+
+
+class _Numbers(dict):
+    """Numbers words in the order they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -101,7 +153,7 @@ class Encoder:
         for i, (text, score) in vocabulary.pieces.items():
             self.automaton.add_word(text, (i, len(text), score))
         self.automaton.make_automaton()
-        self.apart = not any(re.search("[^ ] ", text) for text, _ in vocabulary.pieces.values())
+        self.apart = vocabulary.apart
         self.known: dict[str, list[int]] = {}
 
     def viterbi(self, text: str) -> list[int]:
