@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustweave.llm import chat, hnsw, langid, near_dup, oracles, packing, passages, pieces, pii, quality, secrets
+from trustweave.llm import align, chat, hnsw, langid, near_dup, near_vectors, oracles, packing, passages, pieces, pii, quality, secrets, whiten
 
 QUERIES = {}
 ORACLES = {"op2_quality": oracles.QUALITY, "op6_secrets": oracles.SECRETS, "op8_near_dup": oracles.NEAR_DUP}
@@ -97,3 +97,22 @@ def op7_pieces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.digest(pieces.decode(pieces.encode(docs, model), model))
+
+
+@query
+def op11_align(spark, sf_dir):
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align.digest(align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), *files))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whiten.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_near_vectors"] = oracles.NEAR_VECTORS
