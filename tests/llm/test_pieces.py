@@ -64,3 +64,33 @@ def test_ids_are_those_of_sentencepiece(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     differ = [r.text for r in pieces.encode(df, MODEL).collect() if r.ids != sp.encode(r.text)]
     assert differ == []
+
+
+MERGER, LIBRARY = pieces.Merger(ENCODER.vocabulary), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(
+    st.text(max_size=40), st.text("the internaliz\n of  é", max_size=60), st.lists(st.sampled_from(sorted(BY_TEXT)), max_size=8).map("".join),
+    st.tuples(st.text("a=-#x0", min_size=1, max_size=4), st.integers(1, 200)).map(lambda t: t[0] * t[1])))
+def test_one_pass_merges_like_sentencepiece(text):
+    text = text.replace(pieces.SPACE, "")
+    assert MERGER.encode(text) == LIBRARY.encode(text)
+
+
+def test_units_forget_and_gather(monkeypatch):
+    monkeypatch.setattr(pieces, "_REMEMBERED", 20)
+    units = pieces.Units(ENCODER.vocabulary, lambda words: [MERGER.cut(w) for w in words])
+    texts = [f"some words {i} and  {i % 7}" for i in range(100)] + ["", "x"]
+    for at in range(0, len(texts), 9):
+        ids, start = units.of(texts[at:at + 9])
+        assert [ids[a:b].tolist() for a, b in zip(start, start[1:])] == [LIBRARY.encode(t) for t in texts[at:at + 9]]
+    ids, start = units.of([])
+    assert len(ids) == 0 and start.tolist() == [0]
+
+
+def test_ids_that_spell_no_text(spark):
+    by_byte = ENCODER.vocabulary.bytes
+    rows = [(0, [by_byte[0x20], by_byte[0xC3], by_byte[0x41]]), (1, None), (2, []), (3, LIBRARY.encode("é x"))]
+    out = pieces.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), MODEL).orderBy("doc_id").collect()
+    assert [r.decoded for r in out] == ["\ufffdA", None, "", "é x"]

@@ -9,7 +9,9 @@ The model's kind decides how a text is cut, as in the sentencepiece library:
   piece covers costs more than any piece and becomes its bytes.
 - A BPE model merges neighbours: of all pairs whose union is a piece, the one of
   the highest score first, the left one of equals.  Its scores are only ranks of
-  merges, so their sum says nothing.  Characters left without a piece become bytes.
+  merges, so their sum says nothing, and the same pass over the automaton keeps at
+  each position the one piece that merging would leave as the last one of the
+  prefix (see ``Merger``).  Characters left without a piece become bytes.
 
 No piece has a space after another character, so a text falls apart before each
 run of spaces; words are encoded once and remembered.  Where a vocabulary has
@@ -26,25 +28,27 @@ table gives an empty one; columns of the input named like a result are replaced.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustweave.llm.shared import beside, packed, per_batch
+from trustweave.llm.shared import beside, bounded_batches, packed, slices
 
 SPACE = "▁"
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN = 10.0
 _UNITS = re.compile(" +[^ ]*|[^ ]+")
-_REMEMBERED, _LONGEST = 300_000, 64
+_REMEMBERED = 300_000
 
 
 #: ``ModelProto.trainer_spec.model_type``
@@ -153,8 +157,6 @@ class Encoder:
         for i, (text, score) in vocabulary.pieces.items():
             self.automaton.add_word(text, (i, len(text), score))
         self.automaton.make_automaton()
-        self.apart = vocabulary.apart
-        self.known: dict[str, list[int]] = {}
 
     def viterbi(self, text: str) -> list[int]:
         """Best segmentation of a text, spaces included."""
@@ -186,29 +188,26 @@ class Encoder:
     cut = viterbi
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = " " + text
-        if not self.apart:
-            return self.cut(text)
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        ids: list[int] = []
-        for unit in _UNITS.findall(text):
-            found = known.get(unit)
-            if found is None:
-                found = self.cut(unit)
-                if len(unit) <= _LONGEST:
-                    known[unit] = found
-            ids += found
-        return ids
+        return Units(self.vocabulary, lambda words: [self.cut(w) for w in words]).of([text])[0].tolist()
 
 
 class Merger(Encoder):
-    """Encoder of a BPE model."""
+    """Encoder of a BPE model.
 
-    def cut(self, text: str) -> list[int]:
+    Of the pieces that end at a position, one alone can be the last piece of the
+    prefix up to there: the one that merging leaves beside the piece before it.
+    Whether two pieces stay two depends on them only, so it is found by merging
+    the two once, and remembered.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary)
+        self.size = max(vocabulary.raw) + 1
+        self.text_of = {i: text for i, (text, _) in vocabulary.pieces.items()}
+        self.stays: dict[int, bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """The symbols that merging in the model's order leaves."""
         n, piece = len(text), self.automaton.get
         end = list(range(1, n + 1))  # of the symbol that starts here; 0: none does
         before = list(range(-1, n))  # start of the symbol before the one that starts here
@@ -231,59 +230,117 @@ class Merger(Encoder):
                 found = piece(text[i:j], None)
                 if found:
                     heappush(open_pairs, (-found[2], i, j))
-        ids: list[int] = []
-        at = 0
+        symbols, at = [], 0
         while at < n:
-            found = piece(text[at:end[at]], None)
-            ids += [found[0]] if found else [self.vocabulary.bytes[b] for b in text[at:end[at]].encode()]
+            symbols.append(text[at:end[at]])
             at = end[at]
-        return ids
+        return symbols
 
+    def _symbol(self, i: int) -> str:
+        """A piece, a character without one (numbered after all pieces), or nothing."""
+        return "" if i < 0 else self.text_of[i] if i < self.size else chr(i - self.size)
 
-def encoder_of(vocabulary: Vocabulary) -> Encoder:
-    return Merger(vocabulary) if vocabulary.merges else Encoder(vocabulary)
+    def _stay(self, before: int, piece: int) -> bool:
+        """Whether merging leaves the two (or a first one alone) as they are."""
+        x, y = self._symbol(before), self._symbol(piece)
+        if len(self.stays) > _REMEMBERED:
+            self.stays.clear()
+        stay = self.stays[before * self.size + piece] = self.merged(x + y) == [x, y][not x:]
+        return stay
 
+    def cut(self, text: str) -> list[int]:
+        n, size, get = len(text), self.size, self.stays.get
+        last, width = [-1] * (n + 1), [1] * (n + 1)  # the last piece of each prefix
+        at = 1  # prefixes shorter than this are final
+        for end, (piece, length, _) in self.automaton.iter(text):
+            while at <= end:  # no piece ended here: a character without one
+                if last[at] < 0:
+                    last[at] = size + ord(text[at - 1])
+                at += 1
+            end += 1
+            if last[end] < 0:
+                before = last[end - length]
+                stay = get(before * size + piece)
+                if self._stay(before, piece) if stay is None else stay:
+                    last[end], width[end] = piece, length
+        ids: list[int] = []
+        while n:
+            piece = last[n]
+            if 0 <= piece < size:
+                ids.append(piece)
+            else:
+                ids += [self.vocabulary.bytes[b] for b in reversed(text[n - 1].encode())]
+            n -= width[n]
+        return ids[::-1]
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
-    raw = vocabulary.raw
-    return b"".join([raw[i] for i in ids]).decode()[1:]
 
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    return Merger(vocabulary) if vocabulary.merges else Encoder(vocabulary)
 
-class _Lazy:
-    """A task's own encoder, built when it first needs one."""
 
-    def __init__(self, model: str):
-        self.model, self.made = model, None
+@functools.lru_cache(maxsize=1)
+def _units(model: str) -> Units:
+    """A worker's own encoder; what it remembers serves all its tasks."""
+    vocabulary = Vocabulary(model)
+    encoder = encoder_of(vocabulary)
+    return Units(vocabulary, lambda words: [encoder.cut(w) for w in words])
 
-    def __call__(self) -> Encoder:
-        if self.made is None:
-            self.made = encoder_of(Vocabulary(self.model))
-        return self.made
+
+def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
+    raw = vocabulary.raw
+    return b"".join([raw[i] for i in ids]).decode(errors="replace")[1:]
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with ``ids``."""
-    rows, encoder = packed(docs, "text", "ids", text=F.col("text")), _Lazy(model)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder()
-        ids = [None if t is None else own.encode(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["_doc", "text", "ids"])
-
-    out = per_batch(rows, run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]), 500)
+    rows = packed(docs, "text", "ids", text=F.col("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _units(model)
+        for batch in slices(batches, 500):
+            text = batch.column("text")
+            ids, start = units.of(text.to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids), mask=text.is_null())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["_doc", "text", "ids"])
+        pa.default_memory_pool().release_unused()
+
+    bounded_batches(docs.sparkSession)
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select(*beside(out, ["text", "ids"]), "text", "ids")
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """``encoded`` (``ids``) with ``decoded``."""
-    rows, encoder = packed(encoded, "ids", "decoded", ids=F.col("ids")), _Lazy(model)
+def _texts(vocabulary: Vocabulary, table: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """What lists of ids spell, without the space before."""
+    start = lists.offsets.to_numpy()
+    spelled = table.take(lists.values.slice(start[0], start[-1] - start[0]))
+    at = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1)[start - start[0]] if len(spelled) else np.zeros(len(start), np.int64)
+    data = np.frombuffer(spelled.buffers()[2], np.uint8, int(at[-1])) if at[-1] else np.empty(0, np.uint8)
+    some = np.diff(at) > 0
+    kept = np.ones(len(data), bool)
+    kept[at[:-1][some]] = False
+    offsets = (at - np.r_[0, np.cumsum(some)]).astype(np.int32)
+    texts = pa.StringArray.from_buffers(len(lists), pa.py_buffer(offsets), pa.py_buffer(data[kept]))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([decode_ids(vocabulary, i or []) for i in lists.to_pylist()], pa.string())
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = encoder().vocabulary
-        texts = [None if i is None else decode_ids(words, i) for i in batch.column("ids").to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["_doc", "ids", "decoded"])
 
-    out = per_batch(rows, run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]), 500)
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """``encoded`` (``ids``) with ``decoded``; bytes that are no UTF-8 become U+FFFD."""
+    rows = packed(encoded, "ids", "decoded", ids=F.col("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(model)
+        table = pa.array([vocabulary.raw.get(i, b"") for i in range(max(vocabulary.raw) + 1)], pa.large_binary())
+        for batch in slices(batches, 500):
+            texts = _texts(vocabulary, table, batch.column("ids"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["_doc", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
+
+    bounded_batches(encoded.sparkSession)
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
     return out.select(*beside(out, ["ids", "decoded"]), "ids", "decoded")
 
 

@@ -81,6 +81,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema, rows: int = 1000) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
 
