@@ -1,6 +1,7 @@
 """Near duplicates against all pairs on small tables."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def test_components(spark):
     assert found == {**{i: 100 for i in range(100, 161)}, 5: 5, 9: 5, 200: 200, 1000: 200, 1001: 200}
 
 
-def test_pairs_far_apart_in_a_dense_region():
+def test_pairs_far_apart_in_a_sparse_region():
     n, draw = 700, np.random.default_rng(4)
     whole = draw.integers(0, 2**31, (n, near_dup.TREES * near_dup.DEPTH)).astype(np.int32)
     whole[-1] = whole[0]
@@ -88,3 +89,63 @@ def test_pairs_far_apart_in_a_dense_region():
     pairs = lambda batches: [(r["a"], r["b"]) for b in batches for r in b.to_pylist()]
     assert pairs(near_dup._neighbours(sorted_slice, 80)) == []  # within reach there is nothing
     assert pairs(near_dup._block_pairs(unit, 80)) == [(0, n - 1)]
+
+
+def templates(n, draw):
+    """Texts that share most of their words: a template with fields, many not similar enough to each other."""
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in range(draw.choice([2, 4, 5, 6])):
+            at = draw.randrange(len(words))
+            words[at] = f"v{draw.randrange(10 ** 6)}"
+        if i % 3 == 0:
+            words = words[:draw.randrange(90, 121)]
+        rows.append(" ".join(words))
+        if i % 10 == 0:  # near to its predecessor, whatever the template's distance
+            rows.append(rows[-1] + " " + " ".join(f"x{draw.randrange(10 ** 6)}" for _ in range(draw.randrange(1, 20))))
+    return rows
+
+
+def test_dense_template_equals_all_pairs(spark):
+    rows = list(enumerate(templates(4600, random.Random(9))))
+    sets = [brute.shingles(t) for _, t in rows]
+    count = Counter(x for s in sets for x in s)
+    column = {x: k for k, x in enumerate(x for x in count if count[x] > 1)}
+    size, wide = np.array([len(s) for s in sets]), np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        wide[i, [column[x] for x in s if x in column]] = 1
+    both = wide @ wide.T
+    a, b = np.nonzero(100 * both >= 85 * (size[:, None] + size[None, :] - both))
+    low, before = np.arange(len(sets)), None
+    while not np.array_equal(low, before):
+        before = low.copy()
+        np.minimum.at(low, a, before[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 85).collect()}
+    assert found == {i: (int(size[i]), int(low[i])) for i, _ in rows}
+    assert len(set(low.tolist())) > 1000
+
+
+def test_rare_shingles_miss_no_pair(spark, monkeypatch):
+    """All regions count as dense: the result is that of all pairs."""
+    monkeypatch.setattr(near_dup, "DENSE", 0)
+    rows = list(enumerate(brute.ODD + planted()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, 80).collect()}
+    assert found == expected(rows, 80)
+
+
+def test_unlinked_copies_do_not_meet(spark):
+    """Copies with edits of their own, none near another: no candidate pairs from their rarest shingles."""
+    draw, base = random.Random(1), [f"t{i}" for i in range(120)]
+    sets = []
+    for i in range(300):
+        words = list(base)
+        for at in draw.sample(range(0, 120, 10), 6):
+            words[at] = f"v{i}x{at}"
+        sets.append((i, [hash(x) % 2**62 for x in brute.shingles(" ".join(words))]))
+    df = spark.createDataFrame(sets, "rep long, shingles array<long>")
+    none = spark.createDataFrame([], "node long, component long")
+    assert near_dup._paired(near_dup._rarest(df, none, 80), near_dup._rare_pairs, 80).count() == 0

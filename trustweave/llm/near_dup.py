@@ -5,23 +5,29 @@ sets are one class, found by a 128-bit hash of the whole set, and only classes
 are searched.  A class has ``TREES`` signatures of ``DEPTH`` min-hashes; a tree
 of the forest is one sorted order of these signatures.
 
-Candidates are, in every tree,
-- the hub of all classes with the same first 3 min-hashes: the smallest one of
-  those that have the region's most frequent signature, which is the least
-  edited copy of a group rather than any of them, and then
-- neighbours in sorted order that are not yet known to belong together: a
-  neighbour further away must share a longer prefix, so the depth follows the
-  density of the region (``REACH``).  This only saves work in what follows:
-- all classes with the same first 3 min-hashes that are then still not known to
-  belong together, each with each.
-Of the last two, whole signatures must agree to within ``MARGIN``, over three
-standard deviations, of the similarity asked for.  Candidates are confirmed on full sets.  Two sets of similarity s share 3
-min-hashes in some of 16 trees with probability 1 - (1 - s^3)^16, which is
-0.99998 for s = 0.8 and higher above.
-
-No task gets a whole bucket: smallest members are pre-aggregated, the sorted
-orders are cut by range, and the last step deals pairs of blocks of ``BLOCK``
-classes.  Its work grows with the square of what a bucket holds of unlinked classes.
+Candidates are found in three rounds, each on what the rounds before have not yet
+joined, and confirmed on full sets:
+
+- the hub of all classes of a region, that is with the same first 3 min-hashes: the
+  smallest one of those that have the region's most frequent signature, which is
+  the least edited copy of a group rather than any of them;
+- neighbours in sorted order, a neighbour further away only with a longer common
+  prefix (``REACH``), so the depth follows the density of the region;
+- in regions of up to ``DENSE`` classes all pairs, if their whole signatures agree to
+  within ``MARGIN``, over three standard deviations, of the similarity asked for.
+  Two sets of similarity s share 3 min-hashes in some of 16 trees with probability
+  1 - (1 - s^3)^16, which is 0.99998 for s = 0.8 and higher above;
+- for the classes of denser regions, those that share one of their rarest shingles.
+  Of a set of n shingles, a set of similarity s with at least as many has
+  2s/(1+s) n, and one with at most as many s n; so the smaller one holds a common
+  shingle among its n - 2s/(1+s) n + 1 rarest, and the larger one among its
+  n - s n + 1 rarest.  This misses nothing, and edited copies of one text that are
+  not near each other do not meet, since what is rarest in them are their own edits.
+
+The first two rounds only save work in the last two.  No task gets a whole region:
+smallest members are pre-aggregated, sorted orders are cut by range, and what
+shares a rare shingle is paired by blocks of ``BLOCK``.  The work grows with the square
+only of the unlinked classes that share even one of their rarest shingles.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text shorter than five words is one shingle; rows without ``doc_id``
@@ -47,8 +53,9 @@ from trustweave.llm.shingles import WordHashes, shingle_set
 TREES, DEPTH = 16, 8
 SHALLOW = 3
 #: Common min-hashes, and how far apart in sorted order two classes with them may be.
-REACH = {3: 8, 4: 16, 5: 32, 6: 64, 7: 128, 8: 512}
-MARGIN = 0.12
+REACH = {3: 2, 4: 4, 5: 6, 6: 8, 7: 12, 8: 16}
+MARGIN, NEAR = 0.12, 0.04
+DENSE = 24
 BLOCK = 1024
 _SEED = 20_240_229
 
@@ -116,7 +123,7 @@ def _neighbours(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     tree, rep, n, comp = [part.column(c).to_numpy() for c in ("tree", "rep", "n", "comp")]
     sign = part.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, DEPTH)
     whole = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
-    agree = (percent / 100 - MARGIN) * TREES * DEPTH
+    agree = (percent / 100 - NEAR) * TREES * DEPTH
     need = SHALLOW
     for step in range(1, min(len(rep), REACH[DEPTH] + 1)):
         while step > REACH[need]:
@@ -155,12 +162,10 @@ def _neighbour_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     return ordered.select("tree", "sign", "rep", "n", "comp", "signature").mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of whole units: each with each in a block, or one block with another."""
-    unit, block, rep, n, comp = [part.column(c).to_numpy() for c in ("unit", "block", "rep", "n", "comp")]
+def _unit_pairs(part: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the same unit that may be similar: each with each in a block, or one block with another."""
+    unit, block, n, comp = [part.column(c).to_numpy() for c in ("unit", "block", "n", "comp")]
     across = part.column("across").to_numpy()
-    whole = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
-    agree = (percent / 100 - MARGIN) * TREES * DEPTH
     end = np.searchsorted(unit, unit, side="right")  # sorted by unit
     live, step = np.arange(len(unit)), 0
     while True:
@@ -171,14 +176,33 @@ def _block_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         a, b = n[live], n[live + step]
         at = live[(comp[live] != comp[live + step]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
                   & (~across[live] | (block[live] != block[live + step]))]
-        at = at[(whole[at] == whole[at + step]).sum(axis=1) >= agree]
-        if len(at):
-            x, y = rep[at], rep[at + step]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        yield at, at + step
+
 
+def _block_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of whole units whose signatures agree."""
+    whole = part.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
+    agree = (percent / 100 - MARGIN) * TREES * DEPTH
+    for a, b in _unit_pairs(part, percent):
+        near = (whole[a] == whole[b]).sum(axis=1) >= agree
+        yield _pairs(part, a[near], b[near])
 
-def _all_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Classes of different components with the same ``key``, each with each; ``rows`` has ``key, rep, n, comp, signature``."""
+
+def _rare_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of whole units: the smaller set has the shingle among its very rarest."""
+    n, indexed = part.column("n").to_numpy(), part.column("indexed").to_numpy()
+    for a, b in _unit_pairs(part, percent):
+        meet = np.where(n[a] <= n[b], indexed[a], False) | np.where(n[b] <= n[a], indexed[b], False)
+        yield _pairs(part, a[meet], b[meet])
+
+
+def _pairs(part: pa.Table, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    rep = part.column("rep").to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+
+
+def _paired(rows: DataFrame, pairs, percent: int) -> DataFrame:
+    """Classes with the same ``key`` by ``pairs``; ``rows`` has ``key, rep, n, comp`` and what ``pairs`` needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -190,19 +214,37 @@ def _all_pairs(rows: DataFrame, percent: int, parts: int) -> DataFrame:
                 part = pa.Table.from_batches(held)
                 unit = part.column("unit").to_numpy()
                 done = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
-                yield from _block_pairs(part.slice(0, done), percent)
+                yield from pairs(part.slice(0, done), percent)
                 held = part.slice(done).to_batches()
                 count = part.num_rows - done
         if held:
-            yield from _block_pairs(pa.Table.from_batches(held), percent)
+            yield from pairs(pa.Table.from_batches(held), percent)
 
     blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     units = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-        (F.col("block") != F.col("other")).alias("across"), "block", "rep", "n", "comp", "signature")
-    dealt = units.repartition(parts, "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        (F.col("block") != F.col("other")).alias("across"), "block", *[c for c in rows.columns if c != "key"])
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
+
+
+def _rarest(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``key`` (a shingle), ``rep, n, comp, indexed`` for the rarest shingles of every set of ``sets`` (``rep, shingles``).
+
+    Shingles that no other set has come first and lead nowhere.
+    """
+    own = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ranked = own.join(shared, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("ranked"))
+    least = lambda over, under: F.ceil(F.col("n") * over / under)
+    lone = F.col("n") - F.size("ranked")
+    larger = F.col("n") - least(percent, 100) + 1 - lone
+    smaller = F.col("n") - least(2 * percent, 100 + percent) + 1 - lone
+    rows = ranked.select("rep", "n", smaller.alias("smaller"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(larger, F.lit(0)).cast("int"))).alias("at", "shingle"))
+    rows = rows.select(F.col("shingle.key").alias("key"), "rep", F.col("n").cast("long").alias("n"), (F.col("at") < F.col("smaller")).alias("indexed"))
+    named = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    useful = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("any")).where("any AND low <> high")
+    return named.join(useful.select("key"), "key", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,6 +263,11 @@ def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
     return keyed.join(mixed, "key", "left_semi")
 
 
+def _stars(known: DataFrame) -> DataFrame:
+    """Links that stand for all links inside the components known."""
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
 
@@ -252,15 +299,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     known = components(first, scratch)
     open_rows = scratch.keep(_open(rows, known).select("tree", "sign", "rep", "n", "comp").join(classes.select("rep", "signature"), "rep"))
     second = _confirmed(_neighbour_pairs(open_rows, percent, parts), sets, percent)
-    # a link of the first rounds stands for all links inside its component
-    links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
-    known = components(links, scratch)
-    left = scratch.keep(_open(rows, known).select("key", "rep", "n", "comp").join(classes.select("rep", "signature"), "rep"))
-    third = _confirmed(_all_pairs(left, percent, parts), sets, percent)
-    final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(third), scratch)
+    known = components(_stars(known).union(second), scratch)
+    left = scratch.keep(_open(rows, known).select("key", "rep", "n", "comp"))
+    crowd = left.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    dense = crowd.where(F.col("c") > DENSE).select("key")
+    sparse = left.join(dense, "key", "left_anti").join(classes.select("rep", "signature"), "rep")
+    third = _confirmed(_paired(sparse, _block_pairs, percent), sets, percent)
+    crowded = sets.join(left.join(dense, "key", "left_semi").select("rep").distinct(), "rep", "left_semi")
+    rare = scratch.keep(_rarest(crowded, known, percent))
+    fourth = _confirmed(_paired(rare, _rare_pairs, percent), sets, percent)
+    final = components(_stars(known).union(third).union(fourth), scratch)
     # what remains of the tables has no signatures
     prints, classes, old = scratch.keep(prints.drop("signature")), scratch.keep(classes.drop("signature")), (prints, classes)
-    scratch.free(*old, rows, sets, first, open_rows, left)
+    scratch.free(*old, rows, sets, first, open_rows, left, rare)
 
     reps = classes.select("set_hash", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     own = reps.select("set_hash", F.coalesce("component", "rep").alias("component_id"))
