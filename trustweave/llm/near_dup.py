@@ -189,10 +189,16 @@ def _block_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_pairs(part: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of whole units: the smaller set has the shingle among its very rarest."""
-    n, indexed = part.column("n").to_numpy(), part.column("indexed").to_numpy()
+    """Candidate pairs of whole units: the smaller set has the shingle among its very rarest.
+
+    If this is the rarest shingle two sets have in common, all they have in common is
+    what each has from there on; where that is too little, they are not similar
+    or meet at a rarer one.
+    """
+    n, rest, indexed = [part.column(c).to_numpy() for c in ("n", "rest", "indexed")]
     for a, b in _unit_pairs(part, percent):
-        meet = np.where(n[a] <= n[b], indexed[a], False) | np.where(n[b] <= n[a], indexed[b], False)
+        meet = ((n[a] <= n[b]) & indexed[a]) | ((n[b] <= n[a]) & indexed[b])
+        meet &= (100 + percent) * np.minimum(rest[a], rest[b]) >= percent * (n[a] + n[b])
         yield _pairs(part, a[meet], b[meet])
 
 
@@ -229,9 +235,10 @@ def _paired(rows: DataFrame, pairs, percent: int) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``key`` (a shingle), ``rep, n, comp, indexed`` for the rarest shingles of every set of ``sets`` (``rep, shingles``).
+    """``key`` (a shingle), ``rep, n, rest, comp, indexed`` for the rarest shingles of every set of ``sets`` (``rep, shingles``).
 
-    Shingles that no other set has come first and lead nowhere.
+    ``rest`` is how many shingles, this one included, are no rarer.  Shingles that
+    no other set has come first and lead nowhere.
     """
     own = sets.select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -240,8 +247,9 @@ def _rarest(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     lone = F.col("n") - F.size("ranked")
     larger = F.col("n") - least(percent, 100) + 1 - lone
     smaller = F.col("n") - least(2 * percent, 100 + percent) + 1 - lone
-    rows = ranked.select("rep", "n", smaller.alias("smaller"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(larger, F.lit(0)).cast("int"))).alias("at", "shingle"))
-    rows = rows.select(F.col("shingle.key").alias("key"), "rep", F.col("n").cast("long").alias("n"), (F.col("at") < F.col("smaller")).alias("indexed"))
+    rows = ranked.select("rep", "n", smaller.alias("smaller"), lone.alias("lone"), F.posexplode(F.slice("ranked", F.lit(1), F.greatest(larger, F.lit(0)).cast("int"))).alias("at", "shingle"))
+    rows = rows.select(F.col("shingle.key").alias("key"), "rep", F.col("n").cast("long").alias("n"),
+                       (F.col("n") - F.col("lone") - F.col("at")).cast("long").alias("rest"), (F.col("at") < F.col("smaller")).alias("indexed"))
     named = rows.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     useful = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("any")).where("any AND low <> high")
     return named.join(useful.select("key"), "key", "left_semi")
