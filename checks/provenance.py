@@ -105,7 +105,7 @@ def lineage_ancestors(spark, d):
 def path_counts(spark, d):
     operations = durable(order_operations(spark, d), "operations")
     counted = lineage.path_counts(operations, last_nodes(operations))
-    return _named(counted, operations).select("run_id", "target", "dst_var", "paths")
+    return _named(counted, operations).select("run_id", "target", "dst_var", F.col("paths").cast("long").alias("paths"))
 
 
 def verdicts(operations: DataFrame) -> DataFrame:

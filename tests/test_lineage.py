@@ -1,8 +1,13 @@
+import random
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.common import last_nodes, order_operations
 from trustweave.operators import lineage
+from trustweave.session import durable
 
 NINE = [
     ("raw", []), ("measured", ["raw"]), ("cleaned", ["raw"]), ("count", ["measured"]), ("ldata", ["cleaned"]),
@@ -74,8 +79,13 @@ def aim(spark, run, *nodes):
     return spark.createDataFrame([("s", run, n) for n in nodes], "scope STRING, run_id STRING, dst_idx STRING")
 
 
+@pytest.fixture(params=[lineage.TASK_SIZE, 0], ids=["in tasks", "over tasks"])
+def either_way(request, monkeypatch):
+    monkeypatch.setattr(lineage, "TASK_SIZE", request.param)
+
+
 @pytest.mark.parametrize("extra", [0, 297])
-def test_odd_sources_at_any_size(spark, extra):
+def test_odd_sources_at_any_size(spark, either_way, extra):
     """Null and unknown sources lead nowhere, a later one counts, in runs of 3 and of 300 operations."""
     steps = [("a", [None, "unknown", "c"]), ("b", ["a"]), ("c", [])] + [(f"x{i}", ["c"]) for i in range(extra)]
     operations = raw_log(spark, steps, "r")
@@ -86,11 +96,14 @@ def test_odd_sources_at_any_size(spark, extra):
 
 
 @pytest.mark.parametrize("extra", [0, 297])
-def test_a_cycle_is_reported_at_any_size(spark, extra):
+def test_a_cycle_is_reported_at_any_size(spark, either_way, extra):
+    extra = extra if lineage.TASK_SIZE else extra // 12
     steps = [("a", ["b"]), ("b", ["c"]), ("c", ["a"])] + [(f"x{i}", ["x%d" % (i - 1)] if i else []) for i in range(extra)]
     operations = raw_log(spark, steps, "r")
     with pytest.raises(lineage.LineageCycle):
         lineage.path_counts(operations, aim(spark, "r", "b"))
+    if extra:  # nothing wrong upstream of others
+        assert lineage.path_counts(operations, aim(spark, "r", "x9")).count() == 10
 
 
 def test_long_chain_and_wide_run(spark):
@@ -101,3 +114,45 @@ def test_long_chain_and_wide_run(spark):
     found = lineage.path_counts(operations, operations.where("dst_var = 'end'"))
     assert found.where("dst_idx = 'p/v0#v0'").first()["paths"] == 24
     assert found.count() == 25
+
+
+def test_more_paths_than_a_long_holds(spark, either_way):
+    steps = [("v0", [])] + [(f"v{i}", [f"v{i - 1}"] * 2) for i in range(1, 70)]
+    operations = raw_log(spark, steps, "r")
+    found = {r["dst_idx"]: r["paths"] for r in lineage.path_counts(operations, aim(spark, "r", "v69")).collect()}
+    assert found["v0"] == 2.0**69 and found["v69"] == 1 and len(found) == 70
+
+
+def test_a_cycle_in_a_run_of_100000(spark, monkeypatch):
+    rows = spark.range(100_000).select(
+        F.lit("s").alias("scope"), F.lit("r").alias("run_id"), F.col("id").alias("op_seq"), F.concat(F.lit("v"), "id").alias("dst_idx"),
+        F.array(F.concat(F.lit("v"), F.when(F.col("id") == 0, 7).otherwise(F.floor(F.col("id") / 7)).cast("string"))).alias("src_idxs"))
+    operations = durable(rows, "operations")
+    with pytest.raises(lineage.LineageCycle):  # v1 reads v0, v7 reads v1, v0 reads v7
+        lineage.path_counts(operations, aim(spark, "r", "v99999"))
+    monkeypatch.setattr(lineage, "TASK_SIZE", 0)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    with pytest.raises(lineage.LineageCycle):
+        lineage.path_counts(operations, aim(spark, "r", "v99999"))
+    after = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert len(set(after) - set(jobs)) < 60
+
+
+def test_many_targets_and_runs_in_one_task(spark, monkeypatch):
+    """Every node a target, runs cut into slices: as many paths as a plain count finds."""
+    monkeypatch.setattr(lineage, "ROWS", 50)
+    draw, logs, targets, expected = random.Random(4), [], [], {}
+    for run in range(12):
+        steps = [(f"n{i}", [f"n{draw.randrange(i)}" for _ in range(draw.randrange(4))] if i else []) for i in range(20)]
+        steps.append((None, ["n1"]))
+        logs.append(raw_log(spark, steps, f"r{run}"))
+        targets.append(aim(spark, f"r{run}", *[v for v, _ in steps if v]))
+        for at, (target, _) in enumerate(steps[:-1]):
+            paths = {target: 1}
+            for var, src in reversed(steps[:at + 1]):
+                for x in src:
+                    if var in paths:
+                        paths[x] = paths.get(x, 0) + paths[var]
+            expected |= {(f"r{run}", target, k): v for k, v in paths.items()}
+    found = lineage.path_counts(reduce(DataFrame.unionByName, logs).coalesce(3), reduce(DataFrame.unionByName, targets)).collect()
+    assert {(r["run_id"], r["target_idx"], r["dst_idx"]): r["paths"] for r in found} == expected and len(found) == len(expected)

@@ -1,13 +1,17 @@
 """Operation log, lineage edges and the spread of an evaluation over them.
 
 Everything is keyed by ``(scope, run_id)`` and handles any number of runs in
-one job.  Paths are counted by one loop over lineage depth, for runs of any size.
+one job.  Runs are dealt to tasks whole, and a task peels the graphs of many runs
+at once; only a run too large for that is walked level by level over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +20,15 @@ from trustweave.session import durable, scratch_path
 
 RUN = ["scope", "run_id"]
 LEVELS_PER_JOB = 3
+#: A run whose operations and sources times its targets are more is walked over all tasks.
+TASK_SIZE = 2_000_000
+#: Rows of whole runs that a task takes at a time.
+ROWS = 100_000
+PATHS = "scope string, run_id string, target_idx string, dst_idx string, paths double"
 
 
 class LineageCycle(ValueError):
-    """The edges of some run form a cycle."""
+    """The edges upstream of some target form a cycle."""
 
 
 def operation_index(scope: Column, run_id: Column, dst_var: Column) -> Column:
@@ -115,60 +124,229 @@ def path_counts(operations: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has ``scope, run_id, dst_idx``.  The result has one row per
     target and ancestor, the target itself included with one path:
-    ``scope, run_id, target_idx, dst_idx, paths``.
+    ``scope, run_id, target_idx, dst_idx, paths``.  Counts are doubles: exact up to
+    2^53, beyond that each addition rounds once (a relative error of at most
+    2^-53 per edge on a path), and what exceeds 1.8e308 is infinite.
     """
-    return _upstream(operations, targets, count_paths=True)
+    return _upstream(operations, targets)
 
 
 def lineage_ancestors(operations: DataFrame, targets: DataFrame) -> DataFrame:
     """Everything upstream of each target, the target included, each once."""
-    return _upstream(operations, targets, count_paths=False).drop("paths")
+    return _upstream(operations, targets).drop("paths")
 
 
-def _upstream(operations: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
-    """Levels of all runs together, whatever their sizes.
+def _upstream(operations: DataFrame, targets: DataFrame) -> DataFrame:
+    """All runs together, whatever their sizes.
 
     An edge leads from an operation to a source that the same run registered,
     earlier or later; null and unknown sources lead nowhere, and neither do
     unknown targets.  A cycle upstream of a target is an error.
     """
-    known = operations.select(*RUN, "dst_idx").distinct()
-    given = targets.select(*RUN, "dst_idx").distinct().join(known, [*RUN, "dst_idx"], "left_semi")
+    given = targets.select(*RUN, "dst_idx").distinct()
+    log = operations.select(*RUN, "dst_idx", "src_idxs", *[c for c in operations.columns if c == "op_seq"])
+    aims = given.groupBy(*RUN).agg(F.count(F.lit(1)).alias("targets"))
+    size = log.groupBy(*RUN).agg(F.sum(1 + F.greatest(F.size("src_idxs"), F.lit(0))).alias("size"))
+    large = aims.join(size, RUN).where(F.col("targets") * F.col("size") > TASK_SIZE).select(*RUN)
+    named = large.limit(2).collect()
+    if not named:
+        return _in_tasks(log.join(aims.select(*RUN), RUN, "left_semi"), given)
+    large = durable(large, "large-runs")
+    small = aims.select(*RUN).join(large, RUN, "left_anti")
+    inside = _in_tasks(log.join(small, RUN, "left_semi"), given.join(large, RUN, "left_anti"))
+    return inside.unionByName(_over_tasks(log.join(large, RUN, "left_semi"), given.join(large, RUN, "left_semi")))
+
+
+def _in_tasks(log: DataFrame, targets: DataFrame) -> DataFrame:
+    """Runs that fit into a task: one shuffle by run, and one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= ROWS:
+                table = pa.Table.from_batches(held)
+                done = int(np.searchsorted(number := _run_numbers(table), number[-1]))  # the last run may go on
+                yield from _counted(table.slice(0, done))
+                held, count = table.slice(done).to_batches(), table.num_rows - done
+        if held:
+            yield from _counted(pa.Table.from_batches(held))
+
+    none = F.array().cast("array<string>")
+    rows = log.drop("op_seq").withColumn("is_target", F.lit(False)).unionByName(
+        targets.withColumns({"src_idxs": none, "is_target": F.lit(True)}))
+    dealt = rows.repartition(*RUN).sortWithinPartitions(*RUN)
+    given = dealt.select(*RUN, "dst_idx", F.coalesce("src_idxs", none).alias("src_idxs"), "is_target")
+    counted = durable(given.mapInArrow(run, PATHS), "paths")
+    bad = counted.where("paths IS NULL").first()
+    if bad:
+        raise LineageCycle(f"a cycle lies upstream of {bad['target_idx']!r} in run {bad['run_id']!r}")
+    return counted
+
+
+def _run_numbers(table: pa.Table) -> np.ndarray:
+    """0, 0, 0, 1, ...: the run of each row, for rows sorted by run."""
+    new = np.zeros(table.num_rows, np.int64)
+    for c in RUN:
+        code = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def _counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Paths of whole runs: their operations numbered as one graph."""
+    if not table.num_rows:
+        return
+    run, aimed = _run_numbers(table), table.column("is_target").to_numpy()
+    sources = table.column("src_idxs").combine_chunks()
+    name = pa.concat_arrays([table.column("dst_idx").combine_chunks(), sources.flatten()]).dictionary_encode()
+    code, size = name.indices.fill_null(-1).to_numpy().astype(np.int64), max(1, len(name.dictionary))
+    key = run * size + code[:len(run)]
+    nodes = np.unique(key[~aimed & (code[:len(run)] >= 0)])
+    if not len(nodes):
+        return
+    row = np.repeat(np.arange(len(run)), np.diff(sources.offsets.to_numpy()))
+    source = np.where(code[len(run):] >= 0, run[row] * size + code[len(run):], -1)
+    at = lambda keys: np.minimum(np.searchsorted(nodes, keys), len(nodes) - 1)
+    known = (nodes[at(source)] == source) & (code[row] >= 0)
+    edge, weight = np.unique(at(key[row[known]]) * len(nodes) + at(source[known]), return_counts=True)
+    target = at(key[aimed])[nodes[at(key[aimed])] == key[aimed]]
+    first = np.searchsorted(nodes, np.arange(run[-1] + 2) * size)  # nodes of a run stand together
+    of_run = nodes // size
+    step = (first[of_run[target] + 1] - first[of_run[target]]).cumsum()
+    row_of = np.full(run[-1] + 1, 0)
+    row_of[run] = np.arange(len(run))  # some row of each run
+    for part in np.split(target, np.searchsorted(step, np.arange(1, step[-1] // TASK_SIZE + 1) * TASK_SIZE)) if len(target) else []:
+        which, node, paths = _peeled(edge // len(nodes), edge % len(nodes), weight, part, first[of_run[part]], first[of_run[part] + 1])
+        text = lambda k: name.dictionary.take(pa.array(nodes[k] % size))
+        where = pa.array(row_of[of_run[node]])
+        yield pa.RecordBatch.from_arrays(
+            [table.column("scope").combine_chunks().take(where), table.column("run_id").combine_chunks().take(where), text(part[which]), text(node), paths],
+            ["scope", "run_id", "target_idx", "dst_idx", "paths"])
+
+
+def _fanned(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and the numbers of all ranges ``start, start + 1, ...``."""
+    which = np.repeat(np.arange(len(start)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + start[which]
+
+
+def _peeled(consumer: np.ndarray, source: np.ndarray, weight: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Target, node and paths of everything upstream of each target; no count for a target above a cycle.
+
+    Edges are sorted by consumer; the nodes of target i's run are ``low[i]`` to ``high[i]``.
+    What is upstream is marked first; then a node is done when all of its
+    consumers upstream are, so each edge counts once.  Nodes left over form cycles.
+    """
+    base = np.cumsum(high - low) - (high - low) - low  # state of a node for a target
+    begin = np.searchsorted(consumer, np.arange(high.max(initial=0) + 1))
+
+    def sources(which: np.ndarray, node: np.ndarray):
+        own, edge = _fanned(begin[node], begin[node + 1] - begin[node])
+        return own, which[own], source[edge], weight[edge]
+
+    total = int((high - low).sum())
+    seen, open_edges, paths = np.zeros(total, bool), np.zeros(total, np.int64), np.zeros(total)
+    start = np.arange(len(target)), target
+    seen[base + target] = True
+    which, node = start
+    while len(node):
+        _, which, node, _ = sources(which, node)
+        state = base[which] + node
+        np.add.at(open_edges, state, 1)
+        state, at = np.unique(state, return_index=True)
+        new = ~seen[state]
+        seen[state[new]] = True
+        which, node = which[at[new]], node[at[new]]
+    paths[base + target] = 1
+    free = open_edges[base + target] == 0
+    which, node = start[0][free], start[1][free]
+    found = []
+    while len(node):
+        found.append((which, node))
+        own, to, up, times = sources(which, node)
+        state = base[to] + up
+        np.add.at(paths, state, paths[base[which] + node][own] * times)
+        np.subtract.at(open_edges, state, 1)
+        state, at = np.unique(state, return_index=True)
+        ready = open_edges[state] == 0
+        which, node = to[at[ready]], up[at[ready]]
+    which, node = (np.concatenate([start[k][:0], *[f[k] for f in found]]) for k in (0, 1))
+    marked = np.r_[0, np.cumsum(seen)]
+    stuck = np.bincount(which, minlength=len(target)) < marked[base + high] - marked[base + low]
+    whole = ~stuck[which]
+    bad = np.flatnonzero(stuck)
+    counts = pa.array(np.r_[paths[base[which] + node][whole], np.zeros(len(bad))], mask=np.r_[np.zeros(whole.sum(), bool), np.ones(len(bad), bool)])
+    return np.r_[which[whole], bad], np.r_[node[whole], target[bad]], counts
+
+
+def _over_tasks(log: DataFrame, targets: DataFrame) -> DataFrame:
+    """Runs too large for a task: breadth-first levels over all of them."""
+    known = durable(log.select(*RUN, "dst_idx").distinct(), "nodes")
+    given = targets.join(known, [*RUN, "dst_idx"], "left_semi")
     sources = known.withColumnRenamed("dst_idx", "src_idx")
-    edges = lineage_edges(operations).join(sources, [*RUN, "src_idx"], "left_semi")
-    levels = _walk(edges, given.withColumnRenamed("dst_idx", "target_idx"), count_paths)
-    total = F.sum("paths") if count_paths else F.max("paths")
-    return levels.groupBy(*RUN, "target_idx", "dst_idx").agg(total.alias("paths"))
-
-
-def _walk(edges: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
-    """Breadth-first levels, written a few at a time.
+    edges = durable(
+        lineage_edges(log).join(sources, [*RUN, "src_idx"], "left_semi")
+        .groupBy(*RUN, "dst_idx", "src_idx").agg(F.count(F.lit(1)).alias("w")), "edges")
+    if not _in_order(edges, log):
+        _refuse_cycles(edges, given)
+    levels = _walk(edges, given.withColumnRenamed("dst_idx", "target_idx"))
+    return levels.groupBy(*RUN, "target_idx", "dst_idx").agg(F.sum("paths").alias("paths"))
+
+
+def _in_order(edges: DataFrame, log: DataFrame) -> bool:
+    """Whether every source was registered before its consumer, so that there is no cycle."""
+    if "op_seq" not in log.columns:
+        return False
+    number = log.groupBy(*RUN, "dst_idx").agg(F.min("op_seq").alias("first"), F.max("op_seq").alias("last"))
+    consumers = edges.join(number.select(*RUN, "dst_idx", F.col("first").alias("read")), [*RUN, "dst_idx"])
+    sources = number.select(*RUN, F.col("dst_idx").alias("src_idx"), F.col("last").alias("written"))
+    return consumers.join(sources, [*RUN, "src_idx"]).where("coalesce(written >= read, true)").isEmpty()
+
+
+def _refuse_cycles(edges: DataFrame, targets: DataFrame) -> None:
+    """Take away operations without sources until none is left or nothing changes.
+
+    What remains has a cycle upstream; rounds grow with the depth, not with the
+    number of operations.
+    """
+    left = edges.select(*RUN, "dst_idx", "src_idx")
+    before, count = None, left.count()
+    while count and count != before:
+        for _ in range(LEVELS_PER_JOB):
+            consumers = left.select(*RUN, F.col("dst_idx").alias("src_idx")).distinct()
+            left = left.join(consumers, [*RUN, "src_idx"], "left_semi")
+        left = durable(left, "peeled")
+        before, count = count, left.count()
+    bad = targets.join(left, [*RUN, "dst_idx"], "left_semi").first() if count else None
+    if bad:
+        raise LineageCycle(f"a cycle lies upstream of {bad['dst_idx']!r} in run {bad['run_id']!r}")
+
+
+def _walk(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Breadth-first levels of acyclic runs, written a few at a time.
 
     Paths are summed per node at every level, so a level never has more rows
     than its runs have nodes, however many paths there are.  Each job's levels
     are written to the shared folder and the next job starts from there.  Edges
     are hashed by node once, and only the frontier moves afterwards; a single
-    run's edges spread over all partitions.  No path is longer than a run has
-    nodes, so a walk that goes on after that many levels has met a cycle.
+    run's edges spread over all partitions.
     """
     spark = edges.sparkSession
-    weighted = edges.groupBy(*RUN, "dst_idx", "src_idx").agg(F.count(F.lit(1)).alias("w"))
-    stored = durable(weighted if count_paths else weighted.withColumn("w", F.lit(1).cast("long")), "edges")
-    nodes = stored.groupBy(*RUN).agg(F.countDistinct("dst_idx").alias("n"))
-    bound = nodes.agg(F.max("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = stored.repartition(parts, *RUN, "dst_idx").persist(StorageLevel.MEMORY_AND_DISK)
+    hashed = edges.repartition(parts, *RUN, "dst_idx").persist(StorageLevel.MEMORY_AND_DISK)
 
     def step(frontier: DataFrame) -> DataFrame:
-        through = F.sum(F.col("paths") * F.col("w")) if count_paths else F.max("paths")
         return (
             frontier.join(hashed, [*RUN, "dst_idx"])
             .groupBy(*RUN, "target_idx", F.col("src_idx").alias("dst_idx"))
-            .agg(through.alias("paths"))
+            .agg(F.sum(F.col("paths") * F.col("w")).alias("paths"))
         )
 
     start = targets.select(*RUN, "target_idx", F.col("target_idx").alias("dst_idx"))
-    frontier = start.withColumn("paths", F.lit(1).cast("long"))
+    frontier = start.withColumn("paths", F.lit(1.0))
     tables, depth, more = [], 0, True
     try:
         while more:
@@ -183,8 +361,6 @@ def _walk(edges: DataFrame, targets: DataFrame, count_paths: bool) -> DataFrame:
             tables.append(path)
             frontier = spark.read.schema(table.schema).parquet(path).where(F.col("level") == depth).drop("level")
             more = not frontier.isEmpty()
-            if more and depth > bound:
-                raise LineageCycle(f"a lineage path is longer than the {bound} operations of any run")
     finally:
         hashed.unpersist()
     return spark.read.schema(table.schema).parquet(*tables)
@@ -218,8 +394,5 @@ def evaluate(operations: DataFrame, verdicts: DataFrame) -> DataFrame:
         operations.select(*RUN, F.col("dst_var").alias("var"), F.col("dst_idx").alias("target_idx")),
         [*RUN, "var"],
     ).select(*RUN, "target_idx", F.col("var").alias("evaluated_var"), "feedback")
-    # read several times by the walk, so taken out of the log once
-    log = operations.select(*RUN, "dst_idx", "src_idxs")
-    concerned = durable(log.join(aimed.select(*RUN).distinct(), RUN, "left_semi"), "concerned")
     targets = aimed.select(*RUN, F.col("target_idx").alias("dst_idx"))
-    return propagate_score(path_counts(concerned, targets), aimed)
+    return propagate_score(path_counts(operations, targets), aimed)
