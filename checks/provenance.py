@@ -49,7 +49,9 @@ def register_operation(spark, d):
     again = requests.where("o_orderstatus = 'F'").select(
         *[(F.col(c) + 1000).alias(c) if c == "op_seq" else F.lit("again").alias(c) if c == "operation" else c
           for c in requests.columns])
-    return Workspace(spark).register(requests.unionByName(again)).select(
+    ws = Workspace(spark)
+    ws.start_runs(customer_runs(spark, d).where("event = 'start'"))
+    return ws.register(requests.unionByName(again)).select(
         "run_id", "op_seq", "dst_var", "dst_idx", "operation", "o_orderkey", "is_load")
 
 

@@ -305,3 +305,67 @@ def test_many_operations_are_written_and_compacted(workspace, spark):
     with pytest.raises(ValueError):
         workspace.finish_runs(runs.drop("info"))
     assert workspace.evaluate("a/b:c", "r", "v100", 1.0).count() == 100
+
+
+def batch(spark, *steps, run="r"):
+    rows = [("s", run, seq, src, "OP", var, not src, "n", [], f"p/{var}") for seq, var, src in steps]
+    return spark.createDataFrame(
+        rows, "scope STRING, run_id STRING, op_seq LONG, src_vars ARRAY<STRING>, operation STRING, dst_var STRING, is_load BOOLEAN, "
+        "column_types STRING, inspected_columns ARRAY<INT>, path STRING").withColumn("started", F.current_timestamp())
+
+
+def test_registration_in_batches(workspace, spark):
+    workspace.start_run("s", run_id="r")
+    workspace.start_run("s", run_id="done").finish(check=False)
+    workspace.register(batch(spark, (1, "v1", []), (2, "v2", ["v1"])))
+    second = workspace.register(batch(spark, (1, "v3", ["v1", "v2"]), (2, "v1", []), (3, "v4", ["v3"])))
+    assert {r["dst_var"] for r in second.collect()} == {"v3", "v4"}  # v1 stays as it was
+    stored = {r["dst_var"]: r for r in workspace.tables.read("operations").collect()}
+    assert len(stored) == 4 == workspace.tables.read("operations").count()
+    assert stored["v3"]["src_idxs"] == ["p/v1#v1", stored["v2"]["dst_idx"]] and stored["v4"]["src_idxs"] == [stored["v3"]["dst_idx"]]
+    assert workspace.evaluate("s", "r", "v4", 1.0).where("score = 2").count() == 1  # v1, along two paths
+    for wrong in [(4, "v5", ["v6"])], [(4, "v5", ["v5"])], [(4, "v6", ["v7"]), (5, "v7", [])]:
+        with pytest.raises(OrderViolation):
+            workspace.register(batch(spark, *wrong))
+    for run in ("nobody", "done"):
+        with pytest.raises(KeyError):
+            workspace.register(batch(spark, (1, "v1", []), run=run))
+    assert workspace.tables.read("operations").count() == 4
+
+
+def test_a_load_of_another_runs_capture_is_no_capture(workspace, spark):
+    rows = spark.createDataFrame([(1.0,), (2.0,)], "x DOUBLE")
+    first = workspace.start_run("one")
+    first.loaded(rows, "memory", "raw")
+    first.capture(rows, "kept", ["raw"], "OP")
+    first.finish(check=False)
+    second = workspace.start_run("two")
+    path = workspace.tables.capture_path("one", "kept", first.run_id)
+    second.loaded(spark.read.parquet(path), path, "given", inspected=["x"], format="parquet")
+    assert second.finish().where("status = 'not_inspected'").count() >= 0
+    found = workspace.search_data(workspace.search("SELECT * FROM records WHERE scope = 'two' AND dstvar = 'given'")).collect()
+    assert sorted(r["data"] for r in found) == ["1.0", "2.0"]
+
+
+def test_a_load_without_stored_rows_takes_none(workspace, spark):
+    rows = spark.createDataFrame([(1,)], "x INT")
+    run = workspace.start_run("one")
+    run.loaded(rows, "memory", "raw")
+    run.loaded(rows, "memory", "kept", keep=True)
+    with pytest.raises(ValueError):
+        run.capture(rows, "raw", ["kept"], "OP")
+    again = workspace.run("one", run.run_id)
+    with pytest.raises(ValueError):
+        again.capture(rows, "raw", ["kept"], "OP")
+    assert again.capture(rows, "kept", ["raw"], "OP").count() == 2
+
+
+def test_history_is_imported_once(workspace, spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "run STRING, x INT")
+    started = F.max(F.lit("2024-01-01"))
+    workspace.import_history("s", "v", rows, "run", started, ["x"])
+    with pytest.raises(ValueError):
+        workspace.import_history("s", "v", rows.where("run = 'b'"), "run", started, ["x"])
+    workspace.import_history("s", "w", rows, "run", started, ["x"])
+    assert workspace.tables.read("runs").count() == 4 and workspace.tables.read("operations").count() == 4
+    assert workspace.runs_view().where("finish IS NOT NULL").count() == 2

@@ -41,18 +41,27 @@ def loader_index(path: Column, dst_var: Column) -> Column:
     return F.concat(path, F.lit("#"), dst_var)
 
 
-def register_operations(requests: DataFrame) -> DataFrame:
+def register_operations(requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """One operation per ``(run, dst_var)``: the first registration wins.
 
     ``requests`` has the columns of the operation log without indices.  Indices
     are assigned here and the sources resolved against earlier registrations.
+    ``stored`` (``scope, run_id, dst_var, dst_idx``) is what the runs registered
+    before: it comes before all requests, so it wins and resolves them.
     The deduplicated log is written once, since resolving reads it three times.
     """
     first = _first_wins(requests)
+    if stored is not None:
+        first = first.join(stored.select(*RUN, "dst_var"), [*RUN, "dst_var"], "left_anti")
     index = F.when(F.col("is_load"), loader_index(F.col("path"), F.col("dst_var"))).otherwise(
         operation_index(F.col("scope"), F.col("run_id"), F.col("dst_var"))
     )
-    return resolve_src_idx(durable(first.withColumn("dst_idx", index), "registered"))
+    return resolve_src_idx(durable(first.withColumn("dst_idx", index), "registered"), stored)
+
+
+def _before(stored: DataFrame) -> DataFrame:
+    """Stored registrations as sources that come before all others."""
+    return stored.select(*RUN, F.col("dst_var").alias("src_var"), F.col("dst_idx").alias("src_idx"), F.lit(-(2**63)).alias("src_seq"))
 
 
 def _first_wins(requests: DataFrame) -> DataFrame:
@@ -70,8 +79,8 @@ def _sources(operations: DataFrame) -> DataFrame:
     )
 
 
-def resolve_src_idx(operations: DataFrame) -> DataFrame:
-    """Look up each source variable's index among the run's earlier operations.
+def resolve_src_idx(operations: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Look up each source variable's index among the run's earlier and ``stored`` operations.
 
     A source without an earlier registration leaves a null in ``src_idxs``;
     :func:`validate_order` reports it.
@@ -80,6 +89,8 @@ def resolve_src_idx(operations: DataFrame) -> DataFrame:
         *RUN, F.col("dst_var").alias("src_var"), F.col("dst_idx").alias("src_idx"),
         F.col("op_seq").alias("src_seq"),
     )
+    if stored is not None:
+        known = known.unionByName(_before(stored))
     found = _sources(operations).join(known, [*RUN, "src_var"], "left")
     idx = F.when(F.col("src_seq") < F.col("op_seq"), F.col("src_idx"))
     # a list per operation, as long as the operation's own source list
@@ -95,14 +106,19 @@ def resolve_src_idx(operations: DataFrame) -> DataFrame:
     )
 
 
-def validate_order(operations: DataFrame, runs: DataFrame) -> DataFrame:
-    """Violations: unknown run, a source not registered before, a self source."""
+def validate_order(operations: DataFrame, runs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Violations: unknown run, a source not registered before, a self source.
+
+    ``stored`` is what the runs registered before these operations.
+    """
     unknown = (
         operations.join(runs.select(*RUN).distinct(), RUN, "left_anti")
         .select(*RUN, "op_seq", "dst_var", F.lit(None).cast("string").alias("src_var"),
                 F.lit("unknown_run").alias("violation"))
     )
     first = operations.groupBy(*RUN, F.col("dst_var").alias("src_var")).agg(F.min("op_seq").alias("src_seq"))
+    if stored is not None:
+        first = first.unionByName(_before(stored).drop("src_idx"))
     is_self = F.col("src_var") == F.col("dst_var")
     late = F.col("src_seq").isNull() | (F.col("src_seq") >= F.col("op_seq"))
     order = (

@@ -18,8 +18,11 @@ LISTED_RUNS = 1000
 
 
 def captured() -> Column:
-    """Operations whose rows were stored; other loads point at their source."""
-    return F.col("path").contains(f"/{CAPTURE_RUN}=")
+    """Operations whose rows were stored; other loads point at their source.
+
+    Logs written before there was a column for it say so by the path.
+    """
+    return F.coalesce(F.col("captured"), F.col("path").contains(f"/{CAPTURE_RUN}="))
 
 
 def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) -> DataFrame:

@@ -68,12 +68,36 @@ class Workspace:
         """Register many operations in one write; returns what was registered.
 
         ``requests`` has the columns of the operation log without indices.  The
-        first registration of a variable in a run stays.
+        first registration of a variable in a run stays, also across batches, and
+        sources may stem from an earlier batch.  ``op_seq`` orders a batch; what is
+        stored comes before it.  An unknown or finished run, a variable that names
+        itself, or a source that is not registered before refuses them all.
+        Only the folders of the batch's scopes are read.
         """
-        registered = durable(lineage.register_operations(requests), "registered")
+        if "captured" not in requests.columns:
+            requests = requests.withColumn("captured", F.lit(False))
+        scopes = self._scopes(requests)
+        batch = requests.select(*lineage.RUN).distinct()
+        stored = self._within(self.tables.read("operations"), scopes).join(batch, lineage.RUN, "left_semi").select(*lineage.RUN, "dst_var", "dst_idx")
+        running = search.current_runs(self._within(self.tables.read("runs"), scopes)).where("finish IS NULL")
+        registered = durable(lineage.register_operations(requests, stored), "registered")
+        bad = lineage.validate_order(registered, running, stored).orderBy("violation", "op_seq").first()
+        if bad and bad["violation"] == "unknown_run":
+            raise KeyError(f"run {bad['run_id']!r} in scope {bad['scope']!r} is not running")
+        if bad:
+            raise OrderViolation(f"{bad['dst_var']!r} of run {bad['run_id']!r}: source {bad['src_var']!r} ({bad['violation']})")
         self.tables.write("operations", registered)
         return registered
 
+    def _scopes(self, rows: DataFrame) -> list[str] | None:
+        """The scopes of some rows, or none if there are too many to name."""
+        scopes = [r["scope"] for r in rows.select("scope").distinct().limit(LISTED_SCOPES + 1).collect()]
+        return scopes if len(scopes) <= LISTED_SCOPES else None
+
+    def _within(self, table: DataFrame, scopes: list[str] | None) -> DataFrame:
+        """Only the folders of some scopes."""
+        return table if scopes is None else table.where(F.col("scope").isin(scopes))
+
     def finish_runs(self, runs: DataFrame) -> None:
         """Stamp the finish of many runs (``scope, run_id, at``) in one write, without checks.
 
@@ -114,15 +138,21 @@ class Workspace:
         """Take a table with one or more finished runs in it as captures of ``var``.
 
         ``run_id`` names the column that tells the runs apart, ``started`` is an
-        aggregate giving each run's start.
+        aggregate giving each run's start.  Runs may get several variables one by
+        one; one that has ``var`` already refuses them all.
         """
         self._refuse_bad_ids(df, run_id)
         data = df.drop(run_id)
         columns, kinds = inspect_columns(data, inspected), column_classes(data)
-        runs = df.groupBy(F.col(run_id).alias("run_id")).agg(started.cast("timestamp").alias("at"))
+        runs = durable(df.groupBy(F.col(run_id).cast("string").alias("run_id")).agg(started.cast("timestamp").alias("at")), "imported")
+        has = self.tables.read("operations", scope=scope).where(F.col("dst_var") == var)
+        again = runs.join(has, "run_id", "left_semi").first()
+        if again:
+            raise ValueError(f"run {again['run_id']!r} in scope {scope!r} has '{var}' already")
+        new = durable(runs.join(self.tables.read("runs", scope=scope), "run_id", "left_anti"), "new-runs")
         self.tables.write_captures(df.select(*[f"`{c}`" for c in data.columns], run_id), scope, var, run_id)
         events = F.explode(F.array(F.lit("start"), F.lit("finish")))
-        self.tables.write("runs", runs.select(
+        self.tables.write("runs", new.select(
             F.lit(scope).alias("scope"), "run_id", F.lit("").alias("info"), events.alias("event"), "at"))
         base = self.tables.capture_path(scope, var)
         self.tables.write("operations", runs.select(
@@ -134,7 +164,7 @@ class Workspace:
             F.lit(True).alias("is_load"), F.lit(kinds).alias("column_types"),
             F.lit(columns).cast("array<int>").alias("inspected_columns"),
             F.col("at").alias("started"),
-            F.concat(F.lit(f"{base}/{CAPTURE_RUN}="), F.col("run_id")).alias("path"),
+            F.concat(F.lit(f"{base}/{CAPTURE_RUN}="), F.col("run_id")).alias("path"), F.lit(True).alias("captured"),
         ))
 
     # -- checks and verdicts ----------------------------------------------
@@ -167,10 +197,7 @@ class Workspace:
 
         A verdict on a variable that its run has not registered refuses them all.
         """
-        scopes = [r["scope"] for r in verdicts.select("scope").distinct().limit(LISTED_SCOPES + 1).collect()]
-        operations = self.tables.read("operations")
-        if len(scopes) <= LISTED_SCOPES:  # their folders only
-            operations = operations.where(F.col("scope").isin(scopes))
+        operations = self._within(self.tables.read("operations"), self._scopes(verdicts))
         registered = operations.select(*lineage.RUN, F.col("dst_var").alias("var"))
         unknown = verdicts.join(registered, [*lineage.RUN, "var"], "left_anti").first()
         if unknown:
@@ -274,12 +301,10 @@ class Run:
         self.workspace, self.scope, self.run_id = workspace, scope, run_id
         self._spark, self._tables = workspace.spark, workspace.tables
         # a script's variables: the driver keeps names and indices only
-        self._known: dict[str, str] = {
-            r["dst_var"]: r["dst_idx"]
-            for r in self._tables.read("operations", scope=scope)
-            .where(F.col("run_id") == run_id)
-            .select("dst_var", "dst_idx").collect()
-        }
+        rows = self._tables.read("operations", scope=scope).where(F.col("run_id") == run_id).select(
+            "dst_var", "dst_idx", captured().alias("captured")).collect()
+        self._known: dict[str, str] = {r["dst_var"]: r["dst_idx"] for r in rows}
+        self._stored = {r["dst_var"] for r in rows if r["captured"]}
         own = self._tables.read("runs", scope=scope).where(F.col("run_id") == run_id)
         self._finished = not own.where("event = 'finish'").isEmpty()
 
@@ -325,7 +350,7 @@ class Run:
             df = self._store(df, var)
         index = f"{path}#{var}"
         where = self._tables.capture_path(self.scope, var, self.run_id) if keep else path
-        self._register(df, var, [], LOAD_PREFIX + var, inspected, column_types, index, where, True)
+        self._register(df, var, [], LOAD_PREFIX + var, inspected, column_types, index, where, True, keep)
         if format and not keep:
             self._tables.write_row("loads", one_row(self._spark, schema.LOADS, {
                 "scope": self.scope, "run_id": self.run_id, "dst_var": var, "format": format, "columns": df.schema.json()}))
@@ -343,9 +368,12 @@ class Run:
         """Store all rows of ``var`` and record ``sources -> operation -> var``.
 
         The returned DataFrame reads the stored rows, so nothing upstream is
-        computed again.  Registering the same variable once more adds rows to it.
+        computed again.  Registering the same variable once more adds rows to it;
+        a load that was not stored takes none, since no search would find them.
         """
         self._open()
+        if var in self._known and var not in self._stored:
+            raise ValueError(f"'{var}' of run {self.run_id} is a load without stored rows")
         check_classes(df, column_types)
         if var in sources:
             raise OrderViolation(f"variable '{var}' names itself as a source")
@@ -354,7 +382,7 @@ class Run:
             raise OrderViolation(f"'{var}': sources {unknown} are not registered in run {self.run_id}")
         stored = self._store(df, var)
         path = self._tables.capture_path(self.scope, var, self.run_id)
-        self._register(df, var, list(sources), operation, inspected, column_types, None, path, False)
+        self._register(df, var, list(sources), operation, inspected, column_types, None, path, False, True)
         return stored
 
     def _open(self) -> None:
@@ -367,7 +395,7 @@ class Run:
                 "scope": self.scope, "var": var, "run_id": self.run_id, "at": F.current_timestamp()}))
         return self._tables.write_capture(df, self.scope, var, self.run_id, append=var in self._known)
 
-    def _register(self, df, var, sources, operation, inspected, column_types, index, path, is_load) -> None:
+    def _register(self, df, var, sources, operation, inspected, column_types, index, path, is_load, stored) -> None:
         if var in self._known:
             return
         columns = inspect_columns(df, inspected)
@@ -377,10 +405,11 @@ class Run:
             "src_vars": sources, "src_idxs": [self._known[s] for s in sources],
             "operation": operation, "dst_var": var, "dst_idx": idx, "is_load": is_load,
             "column_types": column_types or column_classes(df), "inspected_columns": columns,
-            "started": F.current_timestamp(), "path": path,
+            "started": F.current_timestamp(), "path": path, "captured": stored,
         })
         self._tables.write_row("operations", row)
         self._known[var] = index or row.first()["dst_idx"]
+        self._stored |= {var} if stored else set()
 
     def finish(self, check: bool = True, compat: bool = False) -> DataFrame | None:
         """Stamp the finish and test the run against earlier ones."""

@@ -11,7 +11,7 @@ OPERATIONS = (
     "scope STRING, run_id STRING, op_seq LONG, src_vars ARRAY<STRING>, "
     "src_idxs ARRAY<STRING>, operation STRING, dst_var STRING, dst_idx STRING, "
     "is_load BOOLEAN, column_types STRING, inspected_columns ARRAY<INT>, "
-    "started TIMESTAMP, path STRING"
+    "started TIMESTAMP, path STRING, captured BOOLEAN"
 )
 
 # How an uncaptured load can be read again; ``columns`` is the schema as JSON.
