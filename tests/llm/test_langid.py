@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, and each kind of evidence."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trustweave.llm import langid
@@ -9,7 +10,11 @@ SF = "/root/testdata/sf0.1"
 
 def test_visible_text():
     assert langid.visible("a<b>c</b><script>x<y</script>d<!-- e > f -->g<style>h").split() == ["a", "c", "d", "g"]
-    assert langid.visible("İ<SCRIPT>x</Script >y < z").split() == ["İ", "y"]
+    assert langid.visible("İ<SCRIPT>x</Script >y < z").split() == ["İ", "y", "<", "z"]
+    assert langid.visible("x < y das ist <3 gut").split() == ["x", "<", "y", "das", "ist", "<3", "gut"]
+    assert langid.visible("if a < b then <b>und</b> <!-- x").split() == ["if", "a", "<", "b", "then", "und"]
+    assert langid.visible("a <b c d").split() == ["a", "<b", "c", "d"] and langid.visible("a<") == "a<"
+    assert len(langid.visible("<a" * 200_000)) == 400_000 and len(langid.visible("< " * 200_000)) == 400_000
     assert langid.visible("") == "" and langid.trigrams("").size == 0
 
 
@@ -42,3 +47,10 @@ def test_evidence_is_fused(spark):
     assert found[204].lang in ("de", "en") and found[204].posterior < 0.9
     assert langid.identify(df, labelled).count() == len(rows) and langid.identify(df.limit(0), labelled).count() == 0
     assert {r.lang for r in langid.identify(df, labelled.limit(0)).collect()} == {None}
+
+
+def test_too_many_languages_are_refused(spark):
+    labelled = spark.createDataFrame([("some words", "a"), ("other words", "b"), ("more words", "c")], "text string, lang string")
+    assert langid.train(labelled, 3)[0] == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        langid.train(labelled, 2)

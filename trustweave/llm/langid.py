@@ -47,21 +47,33 @@ NEW = ["host", "declared", "text_lang", "lang", "posterior"]
 # -- text ------------------------------------------------------------------------
 
 def visible(html: str) -> str:
-    """Text outside tags, scripts, styles and comments, in one pass."""
-    low, out, at = html.lower() if html.isascii() else _lower(html), [], 0
+    """Text outside tags, scripts, styles and comments, in one pass.
+
+    A tag opens where a letter, "/", "!" or "?" follows its "<"; any other "<" is text,
+    and so is a tag that never closes.  An open comment, script or style goes on to
+    the end.
+    """
+    low, out, at, seek = html.lower() if html.isascii() else _lower(html), [], 0, 0
     while True:
-        start = html.find("<", at)
+        start = html.find("<", max(at, seek))
         if start < 0:
             out.append(html[at:])
             return " ".join(out)
-        out.append(html[at:start])
+        follows = html[start + 1:start + 2]
+        if not (follows.isascii() and follows.isalpha() or follows and follows in "/!?"):
+            seek = start + 1
+            continue
+        name = next((n for n in _UNREAD if low.startswith(n, start + 1)), None)
         if html.startswith("<!--", start):
             end, skip = html.find("-->", start + 4), 3
         else:
-            name = next((n for n in _UNREAD if low.startswith(n, start + 1)), None)
             end, skip = (low.find(f"</{name}", start) if name else html.find(">", start)), 1
             if name and end >= 0:
                 end = html.find(">", end)
+            if not name and end < 0:  # nothing closes any more
+                out.append(html[at:])
+                return " ".join(out)
+        out.append(html[at:start])
         if end < 0:
             return " ".join(out)
         at = end + skip
@@ -108,14 +120,15 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, max_languages: int = 100) -> tuple[list[str], np.ndarray]:
-    """Languages, and log-probabilities of the buckets in each."""
+    """Languages, and log-probabilities of the buckets in each; more languages than the bound are refused."""
     counts = Scratch(labelled.sparkSession, "langid").keep(trigram_counts(labelled))
-    langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
+    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").limit(max_languages + 1).collect()]
+    if len(langs) > max_languages:
+        raise ValueError(f"texts have more than {max_languages} languages: raise max_languages")
     table = np.ones((len(langs), BUCKETS))
-    for r in counts.where(F.col("lang").isin(langs)).toLocalIterator():  # max_languages x BUCKETS rows at most
+    for r in counts.toLocalIterator():  # max_languages x BUCKETS rows at most
         table[langs.index(r["lang"]), r["bucket"]] += r["n"]
-    order = np.argsort(langs)
-    return [langs[i] for i in order], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)[order]
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 # -- evidence of a page --------------------------------------------------------------
