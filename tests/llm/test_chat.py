@@ -1,6 +1,7 @@
 """Chat formatting: folding events, escaping, reading back."""
 
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,3 +61,23 @@ def test_escaping_is_reversible(spark, texts):
     for r in df.select("text", chat.escaped(F.col("text")).alias("e"), chat.unescaped(chat.escaped(F.col("text"))).alias("back")).collect():
         assert r.back == r.text
         assert "<|" not in r.e and "[INST]" not in r.e and "<s" not in r.e
+
+
+def test_every_row_is_a_turn(spark):
+    """Rows with equal and null turns all stay."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 1, "assistant", "c"), (1, 1, "assistant", None),
+            (2, None, "assistant", "x"), (2, None, "assistant", "y"), (2, 3, None, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = {r.conv_id: r for r in chat.parse(chat.format_chats(chat.numbered(df))).collect()}
+    assert [tuple(t) for t in found[1].turns] == [("user", "a"), ("user", "b"), ("user", "b"), ("assistant", ""), ("assistant", "c")]
+    assert found[2].learned == ["x", "y"] and [tuple(t) for t in found[2].turns][-1] == ("", "z")
+
+
+def test_a_conversation_of_many_turns(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                               F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|text "), "id").alias("text"))
+    start = time.time()
+    r = chat.parse(chat.format_chats(chat.numbered(df))).first()
+    assert time.time() - start < 60
+    assert len(r.turns) == n and r.learned == [f"é<|text {i}" for i in range(1, n, 2)]

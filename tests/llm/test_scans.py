@@ -1,10 +1,14 @@
 """Personal data, secrets and quality counts against plain Python."""
 
+import itertools
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trustweave.llm import pii, quality, secrets
+from trustweave.llm import pii, quality, secrets, spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, spans string, kept int, _doc string"
 
@@ -103,3 +107,35 @@ def test_sketch_buckets_and_fences(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert pii.find_pii(none).count() == quality.judge(none).count() == secrets.find_secrets(none).count() == 0
+
+
+def test_running_and_between(spark):
+    draw = random.Random(3)
+    arrays = [[draw.randrange(50) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000, 70_000)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>")
+    found = {r.i: r for r in df.select("i", spans.running(F.col("a")).alias("s"), spans.running(F.col("a"), F.greatest).alias("m")).collect()}
+    for i, a in enumerate(arrays):
+        assert found[i].s == list(itertools.accumulate(a)) and found[i].m == list(itertools.accumulate(a, max))
+    text = "".join(draw.choice("ab\n é\U0001f600") for _ in range(20_000))
+    places = [(0, 0), (0, 1), (4095, 4097), (4096, 4096), (8192, 20_000), (0, 20_000), (19_999, 20_000), (20_000, 20_000)]
+    df = spark.createDataFrame([(text, x, y) for x, y in places], "text string, x int, y int")
+    got = df.select("x", "y", spans.between(spans.blocks(F.col("text")), F.col("x"), F.col("y")).alias("t")).collect()
+    assert all(r.t == text[r.x:r.y] for r in got)
+
+
+def test_texts_with_very_many_spans(spark):
+    """Time grows with the text, not with its square."""
+    def text(n):
+        return "".join(f"é write a{i}@b.co token=abc{i}defgh " for i in range(n))
+
+    seconds = []
+    for n in (3_000, 30_000):
+        df = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        start = time.time()
+        found = pii.digest(pii.find_pii(df)).first()
+        hidden = secrets.without_secrets(df).first().text
+        seconds.append(time.time() - start)
+        expected = brute.spans(text(n), brute.PII)
+        assert found.n_email == n and found.base_sha256 == brute.sha(expected)
+        assert hidden == "".join(f"é write a{i}@b.co [assign] " for i in range(n))
+    assert seconds[1] < 12 * seconds[0] + 5

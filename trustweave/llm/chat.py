@@ -17,7 +17,7 @@ another common one, can appear in them: a backslash follows every ``\``, every
 ``<`` before ``|``, ``/``, ``s`` or ``<``, and the bracket of ``[INST]`` and
 ``[/INST]``; in roles a line feed becomes ``\n``.  ``parse`` undoes this.
 
-Only column expressions and one shuffle by conversation.  A conversation is one
+Only column expressions, and two shuffles: by turn, then by conversation.  A conversation is one
 output string, so it must fit into a row; nothing else is gathered.
 
 Defined results: a null text or role is empty; null events count as messages;
@@ -31,9 +31,10 @@ an empty one; other columns of the input are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trustweave.llm.spans import running
+from trustweave.llm import spans as S
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 RESETS = ("message", "edit", "regenerate", "delete")
@@ -79,7 +80,7 @@ def render(spoken: DataFrame, learned: str = "assistant") -> DataFrame:
         "turn", head.alias("head"), body.alias("body"), (F.col("role") == learned).alias("learn")).alias("part"))
     talk = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(STOP)
-    talk = talk.withColumn("ends", running(F.transform("parts", size)))
+    talk = talk.withColumn("ends", S.running(F.transform("parts", size)))
     spans = F.zip_with("parts", "ends", lambda p, e: F.struct(
         (e - len(STOP) - F.length(p["body"])).alias("start"), (e - len(STOP)).alias("end"), p["learn"].alias("learn")))
     loss = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
@@ -87,6 +88,16 @@ def render(spoken: DataFrame, learned: str = "assistant") -> DataFrame:
     return talk.select("conv_id", text.alias("formatted"), loss.alias("loss"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """A log of ``conv_id, turn, role, text`` in which every row is a message and a turn of its own.
+
+    Rows go by turn (null first), role and text; rows alike in all three may stand in any order.
+    """
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    place = F.row_number().over(order).cast("long")
+    return rows.select("conv_id", place.alias("turn"), place.alias("seq"), F.lit("message").alias("event"), "role", "text")
+
+
 def format_chats(events: DataFrame, learned: str = "assistant") -> DataFrame:
     """Formatted conversations of an event log."""
     return render(turns(events), learned)
@@ -100,7 +111,7 @@ def parse(formatted: DataFrame) -> DataFrame:
     turn = lambda p: F.struct(
         unescaped(F.substring_index(body(p), "\n", 1)).alias("role"),
         unescaped(F.substr(body(p), F.length(F.substring_index(body(p), "\n", 1)) + 2)).alias("text"))
-    under = F.transform("loss", lambda s: unescaped(F.substr(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
+    under = S.let(S.blocks(F.col("formatted")), lambda cut: F.transform("loss", lambda s: unescaped(S.between(cut, s["start"], s["end"]))))
     return formatted.select("*", F.transform(pieces, turn).alias("turns"), under.alias("learned"))
 
 

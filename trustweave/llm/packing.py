@@ -66,7 +66,9 @@ def encoder(tokenizer: str) -> Callable[[str], list[int]]:
             return slow(text)
         try:
             return fast.encode_ordinary(text)
-        except BaseException:  # its pattern engine gives up on some texts
+        except (KeyboardInterrupt, SystemExit, GeneratorExit):
+            raise
+        except BaseException:  # the pattern engine gives up on some texts, and its panic is no Exception
             return slow(text)
 
     return encode

@@ -97,15 +97,14 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, base: tuple[str,
     rows = rows.select("*", *[S.placed(F.col("text"), k.pattern, F.col(f"_m_{k.name}")).alias(f"_p_{k.name}") for k in kinds])
 
     def scored(k: Kind) -> Column:
-        def near(s: Column) -> Column:
-            before = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            around = F.substr(F.col("text"), before + 1, s["start"] - before)
-            after = F.substr(F.col("text"), s["end"] + 1, F.lit(CONTEXT))
+        def near(s: Column, cut: Column) -> Column:
+            around = S.between(cut, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"])
+            after = S.between(cut, s["end"], s["end"] + CONTEXT)
             return F.lower(F.concat(around, F.lit(" "), after)).rlike(k.context)
 
-        spans = F.transform(F.filter(F.col(f"_p_{k.name}"), lambda s: k.valid(s["text"])), lambda s: F.struct(
+        spans = S.let(S.blocks(F.col("text")), lambda cut: F.transform(F.filter(F.col(f"_p_{k.name}"), lambda s: k.valid(s["text"])), lambda s: F.struct(
             F.lit(k.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.when(near(s), F.lit(k.score + k.lift)).otherwise(F.lit(k.score)).alias("score"), s["text"].alias("text")))
+            F.when(near(s, cut), F.lit(k.score + k.lift)).otherwise(F.lit(k.score)).alias("score"), s["text"].alias("text"))))
         return spans if k.name in base else F.filter(spans, lambda s: s["score"] >= threshold)
 
     found = F.flatten(F.array(*[F.when(F.size(f"_p_{k.name}") > 0, scored(k)).otherwise(F.array().cast(f"array<{SPAN}>")) for k in kinds]))

@@ -54,9 +54,9 @@ CONTROL_TURN = "</s>[INST] ok [/INST]"
 @query
 def op10_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    control = spark.createDataFrame(
-        [(-7, 0, "user", CONTROL_TURN), (-7, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string")
-    log = rows.unionByName(control).withColumn("seq", F.col("turn")).withColumn("event", F.lit("message"))
+    control = spark.sql(
+        f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL_TURN}'), (-7L, 1L, 'assistant', '{CONTROL_TURN}') AS t(conv_id, turn, role, text)")
+    log = chat.numbered(rows.unionByName(control))
     return chat.digest(chat.parse(chat.format_chats(log)))
 
 

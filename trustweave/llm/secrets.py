@@ -122,9 +122,12 @@ def find_secrets(versions: DataFrame, ledger_path: str | None = None, rules: tup
         # of a kind's findings only those that a current rule version made
         .select(F.col("blob").alias("_blob"), F.explode(F.arrays_zip(F.col("scanned"))).alias("z"), "findings")
         .where(F.col("z.scanned").isin(names))
-        .select("_blob", F.expr("filter(findings, f -> f.kind = split(z.scanned, '@')[0])").alias("part"))
+        .select("_blob", F.col("z.scanned").alias("by"), F.split("z.scanned", "@")[0].alias("kind"), "findings")
+        .select("_blob", "by", F.filter("findings", lambda f: f["kind"] == F.col("kind")).alias("part"))
         .where(F.size("part") > 0)
-        .groupBy("_blob").agg(in_order(F.array_distinct(F.flatten(F.collect_list("part"))), rules).alias("_secrets"))
+        .groupBy("_blob").agg(F.collect_list("part").alias("parts"), F.collect_list("by").alias("by"))
+        # two drivers may have scanned a blob with the same rule version: its first findings count
+        .select("_blob", in_order(F.flatten(F.filter("parts", lambda _, i: F.array_position("by", F.get("by", i)) == i + 1)), rules).alias("_secrets"))
     )
     rows = packed(versions, blob=address(text_of(versions)))
     rows = rows.join(found, F.col("blob") == F.col("_blob"), "left")
@@ -139,14 +142,17 @@ def _exists(spark, path: str) -> bool:
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by ``[kind]``; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    def cut(blocks: Column, own: Column, upto: Column) -> Column:
+        """``upto`` is how far the spans up to each one reach."""
+        def part(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0)).otherwise(F.get(upto, i - 1))
+            return S.let(before, lambda b: F.when(
+                s["start"] >= b, F.concat(S.between(blocks, b, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit("")))
 
-    def step(acc: Column, s: Column) -> Column:
-        clear = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(clear, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+        return F.concat(F.array_join(F.transform(own, part), ""), F.substr(text, F.element_at(upto, -1) + 1))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1)))
+    reach = S.running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    done = S.let(S.blocks(text), lambda blocks: S.let(reach, lambda upto: cut(blocks, spans, upto)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
