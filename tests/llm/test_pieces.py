@@ -78,9 +78,8 @@ def test_one_pass_merges_like_sentencepiece(text):
     assert MERGER.encode(text) == LIBRARY.encode(text)
 
 
-def test_units_forget_and_gather(monkeypatch):
-    monkeypatch.setattr(pieces, "_REMEMBERED", 20)
-    units = pieces.Units(ENCODER.vocabulary, lambda words: [MERGER.cut(w) for w in words])
+def test_units_forget_and_gather():
+    units = pieces.Units(ENCODER.vocabulary, lambda words: [MERGER.cut(w) for w in words], 20)
     texts = [f"some words {i} and  {i % 7}" for i in range(100)] + ["", "x"]
     for at in range(0, len(texts), 9):
         ids, start = units.of(texts[at:at + 9])

@@ -48,7 +48,8 @@ SPACE = "▁"
 #: A character without a piece costs this much more than the worst piece.
 UNKNOWN = 10.0
 _UNITS = re.compile(" +[^ ]*|[^ ]+")
-_REMEMBERED = 300_000
+#: Words (some 200 bytes each) and pairs of pieces that a worker remembers.
+_WORDS, _PAIRS = 800_000, 300_000
 
 
 #: ``ModelProto.trainer_spec.model_type``
@@ -109,8 +110,8 @@ class Units:
     grows beyond a bound.
     """
 
-    def __init__(self, vocabulary: Vocabulary, cut: Callable[[list[str]], list[list[int]]]):
-        self.cut, self.apart = cut, vocabulary.apart
+    def __init__(self, vocabulary: Vocabulary, cut: Callable[[list[str]], list[list[int]]], remembered: int = 200_000):
+        self.cut, self.apart, self.remembered = cut, vocabulary.apart, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -119,7 +120,7 @@ class Units:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (and the last one's end)."""
-        if len(self.known) > _REMEMBERED or len(self.ids) > 16 * _REMEMBERED:
+        if len(self.known) > self.remembered or len(self.ids) > 16 * self.remembered:
             self._forget()
         number, before, many = self.known.__getitem__, len(self.known), [0]
         words: list[int] = []
@@ -243,7 +244,7 @@ class Merger(Encoder):
     def _stay(self, before: int, piece: int) -> bool:
         """Whether merging leaves the two (or a first one alone) as they are."""
         x, y = self._symbol(before), self._symbol(piece)
-        if len(self.stays) > _REMEMBERED:
+        if len(self.stays) > _PAIRS:
             self.stays.clear()
         stay = self.stays[before * self.size + piece] = self.merged(x + y) == [x, y][not x:]
         return stay
@@ -283,7 +284,7 @@ def _units(model: str) -> Units:
     """A worker's own encoder; what it remembers serves all its tasks."""
     vocabulary = Vocabulary(model)
     encoder = encoder_of(vocabulary)
-    return Units(vocabulary, lambda words: [encoder.cut(w) for w in words])
+    return Units(vocabulary, lambda words: [encoder.cut(w) for w in words], _WORDS)
 
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str:
