@@ -2,8 +2,9 @@
 
 All operators work on long-form tables keyed by ``(scope, var)`` so that one
 job handles every inspected column of a variable and every run.  The shuffle
-keys are (run, column, bucket): a partial aggregate leaves at most about a
-thousand rows per run and column in each map task, whatever the table's size.
+keys are (run, column, bucket): within the range of the first run a partial
+aggregate leaves about a thousand rows per run and column in each map task;
+values outside it have buckets of their own, without a limit.
 """
 
 from __future__ import annotations
