@@ -141,6 +141,32 @@ result AS (SELECT scope, var, col_idx, n_history, jsd, mu, sd,
            FROM stats JOIN sizes USING (scope, var, col_idx))"""
 
 
+def all_jsd_sql() -> str:
+    """Every run as a sample: its history is all other runs."""
+    return """
+runs AS (SELECT DISTINCT scope, var, run_id, col_idx FROM dist),
+pairs AS (SELECT s.scope, s.var, s.col_idx, s.run_id AS sample, r.run_id
+          FROM runs s JOIN runs r USING (scope, var, col_idx)),
+sizes AS (SELECT scope, var, col_idx, sample, count(*) - 1 AS n_history FROM pairs GROUP BY ALL),
+used AS (SELECT scope, var, col_idx, sample, run_id, bucket, p FROM dist JOIN pairs USING (scope, var, col_idx, run_id)),
+mean AS (SELECT scope, var, col_idx, sample, bucket, sum(p) / any_value(n_history) AS m
+         FROM used JOIN sizes USING (scope, var, col_idx, sample) WHERE run_id <> sample
+         GROUP BY scope, var, col_idx, sample, bucket),
+terms AS (
+  SELECT u.scope, u.var, u.col_idx, u.sample, u.run_id, m,
+    CASE WHEN m IS NULL THEN p * ln(2)
+         ELSE p * ln(2 * p / (p + m)) + m * ln(2 * m / (p + m)) END AS t
+  FROM used u LEFT JOIN mean USING (scope, var, col_idx, sample, bucket)),
+jsds AS (SELECT scope, var, col_idx, sample, run_id, greatest((sum(t) + ln(2) * (1 - sum(coalesce(m, 0)))) / 2, 0) AS jsd
+         FROM terms GROUP BY ALL),
+stats AS (SELECT scope, var, col_idx, sample, max(jsd) FILTER (run_id = sample) AS jsd,
+            avg(jsd) FILTER (run_id <> sample) AS mu, stddev_samp(jsd) FILTER (run_id <> sample) AS sd
+          FROM jsds GROUP BY ALL),
+result AS (SELECT scope, var, col_idx, sample AS run_id, n_history, jsd, mu, sd,
+             -0.5 * ((jsd - mu) / sd) ** 2 - ln(sd) - 0.5 * ln(2 * pi()) AS log_density
+           FROM stats JOIN sizes USING (scope, var, col_idx, sample))"""
+
+
 def ranked(df: DataFrame, key: str, order: Sequence[str], chunk: Column, name: str) -> DataFrame:
     """1-based rank of each row within its key, in ``order``.
 

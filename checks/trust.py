@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VARIABLES, first_run, jsd_sql, registry, shipped
+from checks.common import COUNTS_SQL, OBS_SQL, SHIPPED, SPEC_SQL, VARIABLES, all_jsd_sql, first_run, jsd_sql, registry, shipped
 from trustweave.operators import trust
 from trustweave.session import durable, empty
 
@@ -199,3 +199,13 @@ def check_run(spark, d):
         runs = ws.tables.read("runs").where(F.col("scope") == scope)
         frames.append(ws.check_run(scope, runs.agg(F.max("run_id")).first()[0]))
     return _rounded(frames[0].unionByName(frames[1]))
+
+
+@query(f"""{CHAIN}, {all_jsd_sql()}
+SELECT scope, var, run_id, col_idx + 1 AS col_idx, n_history, {ROUNDED}, exp(log_density) < 1e-5 AS corrupted, 'ok' AS status
+FROM result WHERE var = 'shipped'""")
+def check_runs(spark, d):
+    """All quarters tested in one job, each against all others."""
+    from checks.storage import imported
+    ws = imported(spark, d)
+    return _rounded(ws.check_runs("sales", ws.tables.read("runs", scope="sales").select("run_id")))

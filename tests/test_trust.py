@@ -122,3 +122,29 @@ def test_lineitem_quarters(spark):
     rows = registered.QUERIES["confidence"](spark, "/root/testdata/sf0.01").where("col_idx = 1").collect()
     assert [(r["run_id"], r["n_history"], r["jsd"], r["mu"], r["sd"], r["log_density"], r["corrupted"]) for r in rows] == [
         ("20014", 27, 0.202075477, 0.071185081, 0.004718615, pytest.approx(-380.29313, abs=2e-5), True)]
+
+
+def test_many_samples_at_once_equal_one_by_one(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows, profile = [], []
+    for var in "vw":
+        for r in range(9):
+            empty = (var, r) == ("w", 4)
+            weights = {} if empty else {rnd.randrange(12): rnd.random() for _ in range(8)}
+            total = sum(weights.values())
+            rows += [("s", var, f"r{r}", 1, b, w / total) for b, w in weights.items()]
+            profile.append(("s", var, f"r{r}", 1, 0 if empty else 8, 0))
+    dist = spark.createDataFrame(rows, DIST)
+    profile = spark.createDataFrame(profile, "scope STRING, var STRING, run_id STRING, col_idx INT, n LONG, n_bad LONG")
+    flagged = spark.createDataFrame([("s", "v", "r2"), ("s", "w", "r7")], RUNS)
+    samples = profile.where("run_id IN ('r0', 'r2', 'r4')").select("scope", "var", "run_id")
+    many = trust.confidence(dist, profile, samples.union(samples), flagged).orderBy("var", "run_id").collect()
+    single = [r for run in ("r0", "r2", "r4") for r in trust.confidence(dist, profile, run, flagged).collect()]
+    assert len(many) == 6
+    for got, want in zip(many, sorted(single, key=lambda r: (r["var"], r["run_id"]))):
+        assert [got[c] for c in (*trust.RUN_COL, "n_history", "status", "corrupted")] == [
+            want[c] for c in (*trust.RUN_COL, "n_history", "status", "corrupted")]
+        assert [got[c] for c in ("jsd", "mu", "sd", "log_density")] == pytest.approx(
+            [want[c] for c in ("jsd", "mu", "sd", "log_density")], rel=1e-9)

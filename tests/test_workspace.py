@@ -369,3 +369,38 @@ def test_history_is_imported_once(workspace, spark):
     workspace.import_history("s", "w", rows, "run", started, ["x"])
     assert workspace.tables.read("runs").count() == 4 and workspace.tables.read("operations").count() == 4
     assert workspace.runs_view().where("finish IS NOT NULL").count() == 2
+
+
+def test_runs_finished_in_bulk_are_checked(workspace, spark):
+    for seed in range(6):
+        normal_run(workspace, spark, seed, run_id=f"r{seed}")
+    normal_run(workspace, spark, 6, shift=4.0, run_id="bad")
+    other = workspace.start_run("other", run_id="r0")
+    other.loaded(spark.range(3), "p", "in", keep=True)
+    ends = spark.createDataFrame(
+        [("checks", r) for r in ("r3", "r4", "bad")] + [("other", "r0")], "scope STRING, run_id STRING").withColumn("at", F.current_timestamp())
+    rows = workspace.finish_runs(ends, check=True).collect()
+    assert {(r["scope"], r["run_id"], r["col_idx"]): r["corrupted"] for r in rows if r["status"] != "not_inspected"} == {
+        ("checks", r, c): (r, c) == ("bad", 0) for r in ("r3", "r4", "bad") for c in (0, 1)}
+    assert [(r["scope"], r["status"]) for r in rows if r["status"] == "not_inspected"] == [("other", "not_inspected")]
+    assert {r["n_history"] for r in rows if r["run_id"] in ("r3", "r4")} == {6}
+    assert workspace.tables.read("profile").count() == 14  # every capture once
+    # the flag holds from now on; a run checked alone gets what a batch of one gets
+    alone = workspace.check_run("checks", "r5").orderBy("col_idx").collect()
+    assert {r["n_history"] for r in alone} == {5}
+    batch = workspace.check_runs("checks", spark.createDataFrame([("r5",)], "run_id STRING")).orderBy("col_idx").collect()
+    assert [a["status"] for a in alone] == ["ok", "degenerate_history"] == [b["status"] for b in batch]
+    assert [a["jsd"] for a in alone] == pytest.approx([b["jsd"] for b in batch], abs=1e-12)
+    assert alone[0]["log_density"] == pytest.approx(batch[0]["log_density"], rel=1e-6)
+    assert workspace.check_runs("checks", spark.createDataFrame([], "run_id STRING")).count() == 0
+
+
+def test_a_variable_registered_in_several_ways_is_checked_in_bulk(workspace, spark):
+    for seed in range(6):
+        df = spark.range(500).select(F.randn(seed).alias("x"), F.randn(seed + 50).alias("y"))
+        run = workspace.start_run("ways", run_id=f"r{seed}")
+        run.loaded(df, "p", "in", inspected=["x", "y"] if seed % 2 else ["x"], keep=True)
+    runs = workspace.tables.read("runs").select("run_id").distinct()
+    rows = workspace.check_runs("ways", runs).collect()
+    assert {(r["run_id"], r["col_idx"]) for r in rows} == {(f"r{s}", c) for s in range(6) for c in range(1 + s % 2)}
+    assert {(r["status"], r["n_history"]) for r in rows} == {("ok", 5)}

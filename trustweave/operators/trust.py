@@ -5,6 +5,11 @@ job handles every inspected column of a variable and every run.  The shuffle
 keys are (run, column, bucket): within the range of the first run a partial
 aggregate leaves about a thousand rows per run and column in each map task;
 values outside it have buckets of their own, without a limit.
+
+A sample is one run, or a table of runs (``scope, var, run_id``) that are all
+tested at once; the tables in between then have a ``sample`` column.  Every
+sample has a mean of its own, the history without it, so testing s samples
+against r runs takes s times r divergences.
 """
 
 from __future__ import annotations
@@ -152,7 +157,7 @@ def history_select(captures: DataFrame, sample_run: str | Column, corrupted: Dat
     return others.join(corrupted.select(*RUN), RUN, "left_anti")
 
 
-def history_members(profile: DataFrame, sample_run: str | Column, corrupted: DataFrame) -> DataFrame:
+def history_members(profile: DataFrame, sample_run: str | Column | DataFrame, corrupted: DataFrame) -> DataFrame:
     """The sample's and the usable history's profile rows, with the history's size.
 
     Adds ``is_sample`` and, per column, ``n_found`` (other captures), ``n_history``
@@ -160,24 +165,29 @@ def history_members(profile: DataFrame, sample_run: str | Column, corrupted: Dat
     unless some capture has no usable value.
     """
     flagged = corrupted.select(*RUN).distinct().withColumn("_out", F.lit(True))
+    known = profile.join(flagged, RUN, "left")
+    if isinstance(sample_run, DataFrame):
+        samples = sample_run.select(*VAR, F.col("run_id").alias("sample")).distinct()
+        known, sample_run = known.join(samples, VAR), F.col("sample")
     is_sample = F.col("run_id") == _col(sample_run)
-    marked = profile.join(flagged, RUN, "left").select(
-        *RUN_COL, "n", is_sample.alias("is_sample"), (is_sample | F.col("_out").isNull()).alias("_kept")
+    marked = known.select(
+        *RUN_COL, *_sample(known), "n", is_sample.alias("is_sample"), (is_sample | F.col("_out").isNull()).alias("_kept")
     )
     past = ~F.col("is_sample")
     used = past & F.col("_kept")
     count = lambda condition: F.count(F.when(condition, 1))
-    sizes = marked.groupBy(*COL).agg(
+    key = [*COL, *_sample(marked)]
+    sizes = marked.groupBy(*key).agg(
         count(past).alias("n_found"),
         count(used).alias("n_history"),
         F.try_divide(count(used & (F.col("n") > 0)), count(used)).alias("mass"),
     )
-    return marked.where("_kept").drop("n", "_kept").join(sizes, COL)
+    return marked.where("_kept").drop("n", "_kept").join(sizes, key)
 
 
 def usable(dist: DataFrame, members: DataFrame) -> DataFrame:
     """Distributions of the members."""
-    return dist.join(members.select(*RUN_COL, "is_sample", "n_history"), RUN_COL)
+    return dist.join(members.select(*RUN_COL, *_sample(members), "is_sample", "n_history"), RUN_COL)
 
 
 def history_mean(rows: DataFrame) -> DataFrame:
@@ -187,7 +197,7 @@ def history_mean(rows: DataFrame) -> DataFrame:
     number of runs, those without any usable value included.
     """
     mean = F.sum("p") / F.max("n_history")
-    return rows.where(~F.col("is_sample")).groupBy(*COL, "bucket").agg(mean.alias("m"))
+    return rows.where(~F.col("is_sample")).groupBy(*COL, *_sample(rows), "bucket").agg(mean.alias("m"))
 
 
 def align(rows: DataFrame, mean: DataFrame) -> DataFrame:
@@ -197,7 +207,7 @@ def align(rows: DataFrame, mean: DataFrame) -> DataFrame:
     the divergence through its total, which keeps the join at one row per
     ``rows`` row instead of runs times buckets.
     """
-    return rows.join(mean, [*COL, "bucket"], "left")
+    return rows.join(mean, [*COL, *_sample(rows), "bucket"], "left")
 
 
 def jsd(aligned: DataFrame, members: DataFrame) -> DataFrame:
@@ -208,13 +218,14 @@ def jsd(aligned: DataFrame, members: DataFrame) -> DataFrame:
     p, m = F.col("p"), F.col("m")
     middle = (p + m) / 2
     shared = S.jsd_term(p, middle) + S.jsd_term(m, middle)
-    terms = aligned.groupBy(*RUN_COL).agg(
+    key = [*RUN_COL, *_sample(members)]
+    terms = aligned.groupBy(*key).agg(
         F.sum(F.when(m.isNull(), p * S.LN2).otherwise(shared)).alias("terms"),
         F.sum(F.coalesce(m, F.lit(0.0))).alias("met"),
     )
     rest = F.coalesce("mass", F.lit(0.0)) - F.coalesce("met", F.lit(0.0))
     value = (F.coalesce("terms", F.lit(0.0)) + rest * S.LN2) / 2
-    return members.join(terms, RUN_COL, "left").select(
+    return members.join(terms, key, "left").select(
         *members.columns, F.when(value < NOISE, F.lit(0.0)).otherwise(value).alias("jsd")
     )
 
@@ -223,7 +234,7 @@ def mean_stddev(divergences: DataFrame) -> DataFrame:
     """Per column: the sample's divergence, the history's mean and sample deviation."""
     sample = F.col("is_sample")
     past = F.when(~sample, F.col("jsd"))
-    return divergences.groupBy(*COL).agg(
+    return divergences.groupBy(*COL, *_sample(divergences)).agg(
         F.max(F.when(sample, F.col("run_id"))).alias("run_id"),
         F.max("n_found").alias("n_found"),
         F.max("n_history").alias("n_history"),
@@ -234,9 +245,9 @@ def mean_stddev(divergences: DataFrame) -> DataFrame:
 
 
 def confidence(
-    dist: DataFrame, profile: DataFrame, sample_run: str | Column, corrupted: DataFrame
+    dist: DataFrame, profile: DataFrame, sample_run: str | Column | DataFrame, corrupted: DataFrame
 ) -> DataFrame:
-    """Confidence of one run's columns against the rest of the history.
+    """Confidence of one run's columns against the rest of the history, or of many runs'.
 
     The confidence is a two-sided density: it may exceed 1, and a sample that is
     unusually close to the mean loses density as well.  ``log_density`` is kept
@@ -281,5 +292,10 @@ def corrupted_runs(confidences: DataFrame) -> DataFrame:
     return confidences.where("corrupted").select(*RUN).distinct()
 
 
+def _sample(rows: DataFrame) -> list[str]:
+    """The further key of tables about many samples."""
+    return ["sample"] if "sample" in rows.columns else []
+
+
 def _col(value: str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value)

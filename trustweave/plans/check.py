@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,46 +35,71 @@ def check_run(tables: Tables, scope: str, run_id: str, compat: bool = False) ->
     unprofiled runs a variable.  The
     history is whatever captures exist now, unfinished and later runs included.
     """
+    return _check(tables, scope, run_id, compat)
+
+
+def check_runs(tables: Tables, scope: str, runs: DataFrame, compat: bool = False) -> DataFrame:
+    """Confidence of all inspected columns of many runs (``run_id``) in one job; also stored.
+
+    Each run is tested against all others but those flagged before, whether or
+    not they are in ``runs``; flags of this check hold for later ones only, so
+    the result does not depend on an order.  Captures are profiled once for all
+    samples.  Divergences are runs times samples per variable, since every sample
+    has a mean of its own.  What reaches the driver are the ways in which
+    variables were registered (normally one each), not the runs.
+    """
+    return _check(tables, scope, durable(runs.select("run_id").distinct(), "samples"), compat)
+
+
+def _check(tables: Tables, scope: str, sample: str | DataFrame, compat: bool) -> DataFrame:
     operations = tables.read("operations", scope=scope)
-    own = operations.where(F.col("run_id") == run_id)
-    inspected = own.where(captured() & (F.size("inspected_columns") > 0)).select(
-        "scope", F.col("dst_var").alias("var"), F.col("inspected_columns").alias("columns"),
-        F.split("column_types", ",").alias("kinds"),
-    )
-    variables = {}
-    for r in inspected.collect():
+    own = _of(operations, sample).where(captured())
+    kinds = ["var", "columns", "kinds"]
+    inspected = own.where(F.size("inspected_columns") > 0).select(
+        F.col("dst_var").alias("var"), F.col("inspected_columns").alias("columns"),
+        F.split("column_types", ",").alias("kinds"), "run_id", "started",
+    ).groupBy(*kinds).agg(F.max_by("run_id", F.struct("started", "run_id")).alias("run_id"), F.max("started").alias("at"))
+    variables = []
+    for r in sorted(inspected.collect(), key=lambda r: (r["var"], r["at"], r["run_id"])):
         # other runs may have the columns in another order: their names count
-        schema = tables.read_capture(scope, r["var"], run_id).schema
-        variables[r["var"]] = {**r.asDict(), "fields": {i: schema[i] for i in r["columns"]}}
-    if variables:
-        _profile_pending(tables, scope, run_id, operations, variables, compat)
-
-    named = F.col("var").isin(list(variables))
+        schema = tables.read_capture(scope, r["var"], r["run_id"]).schema
+        variables.append({**r.asDict(), "fields": {i: schema[i] for i in r["columns"]}})
+    ways = defaultdict(dict)  # a variable registered in several ways is profiled in as many steps
+    for v in variables:
+        ways[sum(x["var"] == v["var"] for x in variables[:variables.index(v)])][v["var"]] = v
+    for way in ways.values():
+        _profile_pending(tables, scope, sample, operations, way, compat)
+
+    named = F.col("var").isin(sorted({v["var"] for v in variables}))
+    samples = sample if isinstance(sample, str) else own.select("scope", F.col("dst_var").alias("var"), "run_id")
     result = trust.confidence(
         tables.read("dist", compat, scope).where(named),
         _current(tables, tables.read("profile", compat, scope).where(named), scope).drop("version"),
-        run_id,
+        samples,
         trust.corrupted_runs(tables.read("confidence", scope=scope).where(named)),
-    ).drop("scope", "run_id")
-    captures = operations.where(captured() & (F.col("run_id") != run_id)).groupBy(
-        F.col("dst_var").alias("var")
-    ).agg(F.count(F.lit(1)).alias("n_found"))
+    ).drop("scope")
+    captures = operations.where(captured()).groupBy(F.col("dst_var").alias("var")).agg(
+        (F.count(F.lit(1)) - 1).alias("n_found"))
     listed = (
-        own.where(captured())
-        .select(F.col("dst_var").alias("var"), F.explode_outer("inspected_columns").alias("col_idx"))
+        own.select(F.col("dst_var").alias("var"), "run_id", F.explode_outer("inspected_columns").alias("col_idx"))
         .join(captures, "var", "left")
-        .join(result, ["var", "col_idx"], "left")
+        .join(result, ["var", "run_id", "col_idx"], "left")
     )
     missing = F.when(F.col("col_idx").isNull(), "not_inspected").otherwise("insufficient_history")
     rows = listed.select(
-        F.lit(scope).alias("scope"), "var", F.lit(run_id).alias("run_id"), "col_idx",
+        F.lit(scope).alias("scope"), "var", "run_id", "col_idx",
         F.coalesce("n_history", "n_found", F.lit(0)).cast("long").alias("n_history"),
         "jsd", "mu", "sd", "log_density", "confidence",
         F.coalesce("corrupted", F.lit(False)).alias("corrupted"),
         F.coalesce("status", missing).alias("status"),
     )
     tables.write("confidence", rows)
-    return tables.read("confidence", scope=scope).where(F.col("run_id") == run_id)
+    return _of(tables.read("confidence", scope=scope), sample)
+
+
+def _of(rows: DataFrame, sample: str | DataFrame) -> DataFrame:
+    """The rows of the tested run or runs."""
+    return rows.where(F.col("run_id") == sample) if isinstance(sample, str) else rows.join(sample, "run_id", "left_semi")
 
 
 def _current(tables: Tables, rows: DataFrame, scope: str) -> DataFrame:
@@ -86,20 +112,25 @@ def _current(tables: Tables, rows: DataFrame, scope: str) -> DataFrame:
     return joined.withColumn("version", version).drop("_v")
 
 
-def _profile_pending(tables, scope, run_id, operations, variables, compat) -> None:
-    """Fill in missing bucket specs and distributions of the run's variables."""
+def _profile_pending(tables, scope, sample, operations, variables, compat) -> None:
+    """Fill in missing bucket specs and distributions of the tested runs' variables.
+
+    Specs stem from the earliest good run that is not tested itself, or from a
+    tested one if there is no other.
+    """
     corrupted = trust.corrupted_runs(tables.read("confidence", scope=scope))
+    tested = _of(operations, sample).select("run_id").distinct().withColumn("_tested", F.lit(True))
     captures = operations.where(captured() & F.col("dst_var").isin(list(variables))).select(
         "scope", F.col("dst_var").alias("var"), "run_id", "started"
     )
-    others = captures.where(F.col("run_id") != run_id)
     first = {
         r["var"]: r
-        for r in others.join(corrupted.withColumn("_out", F.lit(True)), trust.RUN, "left")
+        for r in captures.join(corrupted.withColumn("_out", F.lit(True)), trust.RUN, "left").join(tested, "run_id", "left")
         .groupBy("var")
         .agg(
-            F.count(F.lit(1)).alias("n_found"),
-            F.min_by("run_id", F.when(F.col("_out").isNull(), F.struct("started", "run_id"))).alias("run"),
+            (F.count(F.lit(1)) - 1).alias("n_found"),
+            F.min_by("run_id", F.when(F.col("_out").isNull(), F.struct(
+                F.col("_tested").isNotNull(), "started", "run_id"))).alias("run"),
         )
         .collect()
     }
@@ -116,7 +147,8 @@ def _profile_pending(tables, scope, run_id, operations, variables, compat) -> No
         [captures.where(F.col("var") == v).withColumn(
             "col_idx", F.explode(F.lit(list(r["columns"])).cast("array<int>"))) for v, r in testable.items()],
     ).select(*trust.RUN_COL)
-    pending = _current(tables, wanted.join(corrupted.where(F.col("run_id") != run_id), trust.RUN, "left_anti"), scope).join(
+    out = corrupted.join(tested, "run_id", "left_anti")
+    pending = _current(tables, wanted.join(out, trust.RUN, "left_anti"), scope).join(
         tables.read("profile", compat, scope), [*trust.RUN_COL, "version"], "left_anti"
     )
     pending = durable(pending, "pending")

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from trustweave import schema
 from trustweave.functions.scalar import confidence_string
 from trustweave.operators import lineage, search, trust
-from trustweave.plans.check import captured, check_run
+from trustweave.plans.check import captured, check_run, check_runs
 from trustweave.session import durable, empty, shared_path
 from trustweave.sources import delimited
 from trustweave.sources.tables import CAPTURE_RUN, RUN_ID, Tables, check_run_id
@@ -98,16 +98,22 @@ class Workspace:
         """Only the folders of some scopes."""
         return table if scopes is None else table.where(F.col("scope").isin(scopes))
 
-    def finish_runs(self, runs: DataFrame) -> None:
-        """Stamp the finish of many runs (``scope, run_id, at``) in one write, without checks.
+    def finish_runs(self, runs: DataFrame, check: bool = False, compat: bool = False) -> DataFrame | None:
+        """Stamp the finish of many runs (``scope, run_id, at``) in one write; with ``check``, test them too.
 
         A run that was not started, or is finished already, refuses them all.
+        The checks are one job a scope, see :meth:`check_runs`.
         """
         current = self.runs_view().where("finish IS NULL")
         bad = runs.join(current, lineage.RUN, "left_anti").first()
         if bad:
             raise RunFinished(f"run {bad['run_id']!r} in scope {bad['scope']!r} is not running")
         self.tables.write("runs", runs.withColumns({"info": F.lit(None).cast("string"), "event": F.lit("finish")}))
+        if not check:
+            return None
+        scopes = sorted(r["scope"] for r in runs.select("scope").distinct().collect())
+        checked = [self.check_runs(s, runs.where(F.col("scope") == s), compat) for s in scopes]
+        return reduce(DataFrame.unionByName, checked) if checked else empty(self.spark, schema.CONFIDENCE)
 
     def compact(self) -> None:
         """Put the many small files of single events together; nobody may write meanwhile."""
@@ -173,6 +179,10 @@ class Workspace:
         """Confidence of the run's inspected columns against its history."""
         return check_run(self.tables, scope, run_id, compat)
 
+    def check_runs(self, scope: str, runs: DataFrame, compat: bool = False) -> DataFrame:
+        """Confidence of many runs (``run_id``) of a scope, tested in one job."""
+        return check_runs(self.tables, scope, runs, compat)
+
     def evaluate(
         self, scope: str, run_id: str, var: str, judge: float | Callable[[DataFrame], float | Column]
     ) -> DataFrame:
