@@ -153,7 +153,7 @@ def persist_distribution(spark, d):
     for part in (obs.where(early), obs):
         missing = part.join(tables.read("profile").select("run_id").distinct(), "run_id", "left_anti")
         counts = durable(trust.histogram_counts(missing, spec, list(SHIPPED), "sales", "shipped"), "counts")
-        tables.write("dist", trust.relative_frequency(counts))
+        tables.write("dist", trust.relative_frequency(counts, keep=True).withColumn("version", F.lit(0)))
         tables.write("profile", trust.profile_counts(counts).withColumn("version", F.lit(0)))
     sums = tables.read("dist").groupBy(*trust.RUN_COL).agg(
         F.count(F.lit(1)).alias("buckets"), F.round(F.sum("p"), 9).alias("mass"))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trustweave.operators import trust
 from trustweave.plans import anomaly, qualify, wifi
 from trustweave.plans.workspace import OrderViolation
 from trustweave.sources.tables import CAPTURE_RUN
@@ -259,17 +260,60 @@ def test_columns_are_found_by_name(workspace, spark):
     assert bad["corrupted"] and bad["jsd"] > 0.3
 
 
-def test_a_grown_capture_is_profiled_again(workspace, spark):
+def test_a_grown_capture_is_counted_on(workspace, spark, monkeypatch):
     for seed in range(5):
         normal_run(workspace, spark, seed)
     run = normal_run(workspace, spark, 9)
     before = workspace.check_run("checks", run.run_id).where("col_idx = 0").first()
+    read, opened = workspace.tables.read_captures, []
+    monkeypatch.setattr(workspace.tables, "read_captures", lambda s, v, r=None, c=None, writes=None: (
+        opened.append((r, read(s, v, r, c, writes=writes).count())) or read(s, v, r, c, writes=writes)))
     run.capture(spark.range(4000).select((F.randn(5) + 6).alias("x"), F.lit("t0").alias("t")), "out", ["in"], "OP", inspected=["x", "t"])
     after = workspace.check_run("checks", run.run_id).where("col_idx = 0").first()
     assert after["jsd"] > 2 * before["jsd"]
     tables = workspace.tables
     grown = tables.read("profile").where((F.col("run_id") == run.run_id) & (F.col("col_idx") == 0))
     assert {(r["version"], r["n"]) for r in grown.collect()} == {(0, 4000), (1, 8000)}
+    # only the new files were read; the distribution is that of all rows
+    assert opened == [([run.run_id], 4000)]
+    whole = tables.read_capture("checks", "out", run.run_id)
+    spec = tables.read("bucket_spec")
+    obs = trust.observations(whole.withColumn("run_id", F.lit(run.run_id)), {0: "x", 1: "t"}, [1])
+    want = trust.histogram(obs, spec, [0, 1], "checks", "out")
+    got = tables.read("dist").where(F.col("run_id") == run.run_id).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+    # unusable values are counted on as well; without the names of a growth all is read
+    run.capture(spark.createDataFrame([(None, "t0")] * 3, "x DOUBLE, t STRING"), "out", ["in"], "OP")
+    workspace.check_run("checks", run.run_id)
+    writes = tables.writes
+    monkeypatch.setattr(tables, "writes", lambda *a: None)
+    run.capture(spark.createDataFrame([(None, "t0")] * 2, "x DOUBLE, t STRING"), "out", ["in"], "OP")
+    monkeypatch.setattr(tables, "writes", writes)
+    workspace.check_run("checks", run.run_id)
+    assert opened[1:] == [([run.run_id], 3), ([run.run_id], 8005)]
+    bad = tables.read("profile").where((F.col("run_id") == run.run_id) & (F.col("col_idx") == 0)).orderBy("version")
+    assert [(r["n"], r["n_bad"]) for r in bad.collect()] == [(4000, 0), (8000, 0), (8000, 3), (8000, 5)]
+
+
+def test_the_first_driver_freezes_a_spec(workspace, spark, monkeypatch):
+    from trustweave import schema
+    from trustweave.sources import tables as module
+
+    spec = lambda *bases: spark.createDataFrame([("a/b:c", "v=1", i, b, 0.1) for i, b in enumerate(bases)], schema.BUCKET_SPEC)
+    first, second = workspace.tables, module.Tables(spark, workspace.tables.root)
+    first.write("bucket_spec", spec(1 / 3, float("-inf")))
+    second.write("bucket_spec", spec(9.0, 9.0, 7.0))
+    want = [("a/b:c", "v=1", 0, 1 / 3, 0.1), ("a/b:c", "v=1", 1, float("-inf"), 0.1), ("a/b:c", "v=1", 2, 7.0, 0.1)]
+    for rows in first.read("bucket_spec"), second.read("bucket_spec", scope="a/b:c"):
+        assert sorted(map(tuple, rows.collect())) == want
+    assert first.read("bucket_spec", compat=True).count() == 0 == first.read("bucket_spec", scope="a").count()
+    # a driver that died between creating its file and writing it is reported, not taken for a column without values
+    path = first.read("bucket_spec").inputFiles()[0].removeprefix("file:").replace("%25", "%").replace("///", "/")
+    open(path, "w").close()
+    monkeypatch.setattr(module, "SPEC_SECONDS", 0.2)
+    with pytest.raises(RuntimeError, match="begun and not written"):
+        second.write("bucket_spec", spec(9.0, 9.0, 7.0))
 
 
 def test_both_ways_of_profiling_are_kept_apart(workspace, spark):
@@ -404,3 +448,4 @@ def test_a_variable_registered_in_several_ways_is_checked_in_bulk(workspace, spa
     rows = workspace.check_runs("ways", runs).collect()
     assert {(r["run_id"], r["col_idx"]) for r in rows} == {(f"r{s}", c) for s in range(6) for c in range(1 + s % 2)}
     assert {(r["status"], r["n_history"]) for r in rows} == {("ok", 5)}
+    assert workspace.tables.read("dist").select("run_id", "col_idx").distinct().count() == 12

@@ -129,9 +129,11 @@ def profile_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def relative_frequency(counts: DataFrame, compat: bool = False) -> DataFrame:
+def relative_frequency(counts: DataFrame, compat: bool = False, keep: bool = False) -> DataFrame:
     """Counts to probabilities: the sparse distribution of each run's column.
 
+    ``keep`` leaves the counts beside them.
+
     Both inputs of the join derive from the same aggregate, so its exchange is
     computed once.
     """
@@ -140,7 +142,7 @@ def relative_frequency(counts: DataFrame, compat: bool = False) -> DataFrame:
     return (
         counts.join(totals, RUN_COL)
         .where(F.col("bucket").isNotNull())
-        .select(*RUN_COL, "bucket", (S.six_digits(p) if compat else p).alias("p"))
+        .select(*RUN_COL, "bucket", (S.six_digits(p) if compat else p).alias("p"), *(["n"] if keep else []))
     )
 
 

@@ -104,7 +104,7 @@ def _of(rows: DataFrame, sample: str | DataFrame) -> DataFrame:
 
 def _current(tables: Tables, rows: DataFrame, scope: str) -> DataFrame:
     """Profiles, or captures without a ``version``, at the version of the stored rows."""
-    versions = tables.read("growths", scope=scope).groupBy(*trust.RUN).agg(F.count(F.lit(1)).alias("_v"))
+    versions = tables.read("growths", scope=scope).where("writes IS NULL").groupBy(*trust.RUN).agg(F.count(F.lit(1)).alias("_v"))
     version = F.coalesce("_v", F.lit(0)).cast("long")
     joined = rows.join(versions, trust.RUN, "left")
     if "version" in rows.columns:
@@ -156,21 +156,88 @@ def _profile_pending(tables, scope, sample, operations, variables, compat) -> No
     if not todo:
         return
     spec = tables.read("bucket_spec", compat, scope)
-    counts = []
+    counts, merged = [], False
     for row in todo:
-        columns = testable[row["var"]]["columns"]
-        runs = pending.where(F.col("var") == row["var"]).select("run_id").distinct()
-        if row["n"] <= LISTED_RUNS:  # their folders only
-            runs = [r["run_id"] for r in runs.collect()]
-        obs = _observe(tables, scope, row["var"], runs, columns, testable[row["var"]])
-        counts.append(trust.histogram_counts(obs, spec, columns, scope, row["var"]))
+        var, way = row["var"], testable[row["var"]]
+        of_var = pending.where(F.col("var") == var)
+        runs, grown = of_var.select("run_id").distinct(), {}
+        if row["n"] <= LISTED_RUNS:  # their folders only, and of what grew only the new files
+            grown = _grown(tables, scope, of_var, var, compat)
+            runs = [r["run_id"] for r in runs.collect() if r["run_id"] not in grown]
+        if runs:
+            obs = _observe(tables, scope, var, runs, way["columns"], way)
+            counts.append(trust.histogram_counts(obs, spec, way["columns"], scope, var))
+        if grown:
+            merged = True
+            new = sorted({w for writes in grown.values() for w in writes})
+            if new:
+                obs = _observe(tables, scope, var, sorted(grown), way["columns"], way, new)
+                counts.append(trust.histogram_counts(obs, spec, way["columns"], scope, var))
+            counts.append(_counted_before(tables, scope, var, sorted(grown), compat))
+    counted = reduce(DataFrame.unionByName, counts)
+    if merged:
+        counted = counted.groupBy(*trust.RUN_COL, "bucket").agg(F.sum("n").alias("n"))
     # captures are read once; distribution and profile both come from the counts
-    counted = durable(reduce(DataFrame.unionByName, counts), "counts")
+    counted = durable(counted, "counts")
     complete = pending.join(trust.profile_counts(counted), trust.RUN_COL, "left")
-    tables.write("dist", trust.relative_frequency(counted, compat), compat)
+    frequencies = trust.relative_frequency(counted, compat, keep=True)
+    # a run's distributions are replaced together: those of its other columns are written again
+    others = tables.read("dist", compat, scope).join(pending.select(*trust.RUN).distinct(), trust.RUN, "left_semi")
+    others = durable(others.join(pending, trust.RUN_COL, "left_anti"), "others")
+    frequencies = frequencies.join(pending.select(*trust.RUN_COL, "version"), trust.RUN_COL)
+    tables.write("dist", frequencies.unionByName(others), compat)
     tables.write("profile", complete.fillna(0, ["n", "n_bad"]), compat)
 
 
+def _last_profiles(tables, scope, var, compat) -> DataFrame:
+    """The latest profile of each column of a variable's captures."""
+    rows = tables.read("profile", compat, scope).where(F.col("var") == var)
+    return rows.groupBy(*trust.RUN_COL).agg(
+        F.max("version").alias("version"), F.max_by("n", "version").alias("n"), F.max_by("n_bad", "version").alias("n_bad"))
+
+
+def _grown(tables, scope, pending, var, compat) -> dict[str, list[str]]:
+    """Runs whose counts can be carried on, with the writes since; pending runs are few.
+
+    All pending columns must have been counted at the same version, their stored
+    counts must be those of that version and complete, and every later growth must
+    have named its writes.  Any other run is read whole.
+    """
+    runs = pending.select("run_id").distinct()
+    growths = tables.read("growths", scope=scope).where(F.col("var") == var).join(runs, "run_id", "left_semi")
+    events = defaultdict(dict)
+    for r in growths.orderBy("at", F.col("writes").isNotNull()).collect():
+        events[r["run_id"]].setdefault(r["growth"], None)
+        if r["writes"] is not None:
+            events[r["run_id"]][r["growth"]] = r["writes"]
+    if not events:
+        return {}
+    stored = tables.read("dist", compat, scope).where(F.col("var") == var).groupBy(*trust.RUN_COL, "version").agg(
+        F.sum("n").alias("stored"))
+    last = _last_profiles(tables, scope, var, compat).join(stored, [*trust.RUN_COL, "version"], "left").select(
+        *trust.RUN_COL, F.when(F.coalesce("stored", F.lit(0)) == F.col("n"), F.col("version")).alias("at_version"))
+    bases = pending.join(last, trust.RUN_COL, "left").groupBy("run_id").agg(
+        F.min("at_version").alias("lo"), F.max("at_version").alias("hi"), F.count("at_version").alias("n"),
+        F.count(F.lit(1)).alias("columns")).collect()
+    grown = {}
+    for b in bases:
+        if b["n"] < b["columns"] or b["lo"] != b["hi"] or b["run_id"] not in events:
+            continue
+        since = list(events[b["run_id"]].values())[b["lo"]:]
+        if all(writes is not None for writes in since):
+            grown[b["run_id"]] = [w for writes in since for w in writes]
+    return grown
+
+
+def _counted_before(tables, scope, var, runs, compat) -> DataFrame:
+    """Stored counts of some runs of a variable, unusable values included."""
+    some = (F.col("var") == var) & F.col("run_id").isin(runs)
+    dist = tables.read("dist", compat, scope).where(some).select(*trust.RUN_COL, "bucket", "n")
+    bad = _last_profiles(tables, scope, var, compat).where(some).select(
+        *trust.RUN_COL, F.lit(None).cast("int").alias("bucket"), F.col("n_bad").alias("n"))
+    return dist.unionByName(bad.where("n > 0"))
+
+
 def _fill_specs(tables, scope, testable, first, compat) -> None:
     """Freeze base and step of columns that have none, from the earliest good run."""
     known = {
@@ -187,11 +254,12 @@ def _fill_specs(tables, scope, testable, first, compat) -> None:
         tables.write("bucket_spec", reduce(DataFrame.unionByName, specs), compat)
 
 
-def _observe(tables, scope, var, runs, columns, row) -> DataFrame:
+def _observe(tables, scope, var, runs, columns, row, writes=None) -> DataFrame:
     """Observations of some runs, given as a list or, if there are many, as a table."""
     listed = isinstance(runs, list)
     fields = T.StructType([row["fields"][i] for i in columns])
-    frame = tables.read_captures(scope, var, sorted(runs) if listed else None, fields)
+    only = {} if writes is None else {"writes": writes}
+    frame = tables.read_captures(scope, var, sorted(runs) if listed else None, fields, **only)
     if not listed:
         frame = frame.join(runs.withColumnRenamed("run_id", CAPTURE_RUN), CAPTURE_RUN, "left_semi")
     return trust.observations(

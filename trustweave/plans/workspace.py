@@ -400,10 +400,18 @@ class Run:
             raise RunFinished(f"run {self.run_id} is finished")
 
     def _store(self, df: DataFrame, var: str) -> DataFrame:
-        if var in self._known:
-            self._tables.write_row("growths", one_row(self._spark, schema.GROWTHS, {
-                "scope": self.scope, "var": var, "run_id": self.run_id, "at": F.current_timestamp()}))
-        return self._tables.write_capture(df, self.scope, var, self.run_id, append=var in self._known)
+        if var not in self._known:
+            return self._tables.write_capture(df, self.scope, var, self.run_id)
+        growth = {"scope": self.scope, "var": var, "run_id": self.run_id, "growth": str(uuid.uuid4())}
+        event = lambda writes: self._tables.write_row("growths", one_row(
+            self._spark, schema.GROWTHS, {**growth, "at": F.current_timestamp(), "writes": writes}))
+        event(None)
+        before = self._tables.writes(self.scope, var, self.run_id)
+        stored = self._tables.write_capture(df, self.scope, var, self.run_id, append=True)
+        after = self._tables.writes(self.scope, var, self.run_id)
+        if before is not None and after is not None:
+            event(sorted(after - before))
+        return stored
 
     def _register(self, df, var, sources, operation, inspected, column_types, index, path, is_load, stored) -> None:
         if var in self._known:

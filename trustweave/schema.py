@@ -21,15 +21,17 @@ EDGES = "scope STRING, run_id STRING, dst_idx STRING, src_idx STRING"
 
 BUCKET_SPEC = "scope STRING, var STRING, col_idx INT, base DOUBLE, step DOUBLE"
 
-DIST = "scope STRING, var STRING, run_id STRING, col_idx INT, bucket INT, p DOUBLE"
+# ``n`` and ``version`` let a capture that grew be counted on from what it was.
+DIST = "scope STRING, var STRING, run_id STRING, col_idx INT, bucket INT, p DOUBLE, n LONG, version LONG"
 
 # One row per profiled column of a capture.  A capture whose column holds no
 # usable value has no ``dist`` rows but still counts as a history member.
 # ``version`` is how often the capture had grown when it was profiled.
 PROFILE = "scope STRING, var STRING, run_id STRING, col_idx INT, n LONG, n_bad LONG, version LONG"
 
-# A capture got more rows; its profile no longer holds.
-GROWTHS = "scope STRING, var STRING, run_id STRING, at TIMESTAMP"
+# A capture got more rows; its profile no longer holds.  A growth has a row without
+# ``writes`` before its rows are stored, and one that names them afterwards.
+GROWTHS = "scope STRING, var STRING, run_id STRING, at TIMESTAMP, growth STRING, writes ARRAY<STRING>"
 
 CONFIDENCE = (
     "scope STRING, var STRING, run_id STRING, col_idx INT, n_history LONG, "

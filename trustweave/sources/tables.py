@@ -3,13 +3,17 @@
 All of it is parquet below one root folder.  Metadata tables only ever grow;
 what a repeated job would write again (captures, distributions, confidences) is
 partitioned so that the repetition replaces its own partition and nothing else.
+Bucket specs are small files of their own, which only the first writer can create.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import time
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -19,6 +23,10 @@ from trustweave.session import durable, empty
 
 CAPTURE_RUN = "capture_run"
 RUN_ID = "[A-Za-z0-9_.-]+"
+#: What the files of one write have in common in their names.
+WRITE = re.compile("[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+#: So long a spec of another driver may be empty before it counts as given up.
+SPEC_SECONDS = 10.0
 
 _LAYOUT = {
     "runs": (schema.RUNS, ["scope"]),
@@ -26,12 +34,13 @@ _LAYOUT = {
     "loads": (schema.LOADS, ["scope"]),
     "growths": (schema.GROWTHS, ["scope"]),
     "scores": (schema.SCORES, ["scope"]),
-    "bucket_spec": (schema.BUCKET_SPEC, ["scope", "var"]),
+    "bucket_spec": (schema.BUCKET_SPEC, ["scope", "var", "col_idx"]),
     "dist": (schema.DIST, ["scope", "var", "run_id"]),
     "profile": (schema.PROFILE, ["scope", "var"]),
     "confidence": (schema.CONFIDENCE, ["scope", "run_id"]),
 }
 _REPLACED = {"dist", "confidence"}
+_FROZEN = {"bucket_spec"}
 # A repeated job writes the same rows once more; they are the same in every column.
 _REPEATABLE = {"profile"}
 
@@ -56,7 +65,8 @@ class Tables:
         base = self._path(name, compat)
         path = base if scope is None else f"{base}/scope={_folder(scope)}"
         try:
-            frame = self.spark.read.option("basePath", base).schema(columns).parquet(path)
+            reader = self.spark.read.option("basePath", base).schema(columns)
+            frame = reader.json(path) if name in _FROZEN else reader.parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -67,11 +77,44 @@ class Tables:
     def write(self, name: str, rows: DataFrame, compat: bool = False) -> None:
         """Append rows, or replace the partitions they belong to.
 
-        Rows are rebalanced by partition first: small partitions get one file,
+        Bucket specs are neither: one that is there already stays.  Rows are rebalanced by partition first: small partitions get one file,
         a large one is split over several tasks.
         """
         _, parts = _LAYOUT[name]
-        self._save(name, rows.hint("rebalance", *parts), compat)
+        if name in _FROZEN:
+            self._freeze(name, rows, compat)
+        else:
+            self._save(name, rows.hint("rebalance", *parts), compat)
+
+    def _freeze(self, name: str, rows: DataFrame, compat: bool) -> None:
+        """Create a file per key unless there is one; of several drivers the first wins.
+
+        As atomic as the store's creation of files without overwriting.  The driver
+        handles the rows: one per inspected column of a script's variables.
+        """
+        columns, parts = _LAYOUT[name]
+        context = self.spark.sparkContext
+        lost = []
+        for row in rows.select(*_names(columns)).collect():
+            folders = "/".join(f"{c}={_folder(str(row[c]))}" for c in parts)
+            path = context._jvm.org.apache.hadoop.fs.Path(f"{self._path(name, compat)}/{folders}/spec.json")
+            store = path.getFileSystem(context._jsc.hadoopConfiguration())
+            text = json.dumps({c: row[c] for c in _names(columns) if c not in parts})
+            try:
+                out = store.create(path, False)
+            except Py4JJavaError as error:
+                if not store.exists(path):
+                    raise error
+                lost.append((store, path))
+                continue
+            out.write(text.encode())
+            out.close()
+        until = time.monotonic() + SPEC_SECONDS
+        for store, path in lost:  # another driver may be about to write its content
+            while store.getFileStatus(path).getLen() == 0:
+                if time.monotonic() > until:
+                    raise RuntimeError(f"{path} was begun and not written; delete it if its driver is gone")
+                time.sleep(0.1)
 
     def write_row(self, name: str, row: DataFrame) -> None:
         """Append a single row."""
@@ -126,11 +169,13 @@ class Tables:
         return self.spark.read.parquet(self.capture_path(scope, var, run_id))
 
     def read_captures(
-        self, scope: str, var: str, run_ids: list[str] | None = None, columns: T.StructType | None = None
+        self, scope: str, var: str, run_ids: list[str] | None = None, columns: T.StructType | None = None,
+        writes: list[str] | None = None,
     ) -> DataFrame:
         """Rows of several runs with their run in ``capture_run``.
 
-        With ``run_ids`` only those runs' folders are listed.  ``columns`` are
+        With ``run_ids`` only those runs' folders are listed, with ``writes`` only
+        files of these writes are read.  ``columns`` are
         looked up by name in every capture; one that a capture lacks is null.
         """
         base = self.capture_path(scope, var)
@@ -139,7 +184,16 @@ class Tables:
             columns = self.spark.read.option("basePath", base).parquet(paths[0]).drop(CAPTURE_RUN).schema
         # declared, so that a run named 007 does not become the number 7
         declared = T.StructType(columns.fields + [T.StructField(CAPTURE_RUN, T.StringType())])
-        return self.spark.read.option("basePath", base).schema(declared).parquet(*paths)
+        reader = self.spark.read.option("basePath", base).schema(declared)
+        if writes is not None:
+            reader = reader.option("pathGlobFilter", "*{" + ",".join(writes) + "}*")
+        return reader.parquet(*paths)
+
+    def writes(self, scope: str, var: str, run_id: str) -> set[str] | None:
+        """The writes a capture consists of, by its files' names; none if a name does not tell."""
+        names = [f.rsplit("/", 1)[-1] for f in self.read_capture(scope, var, run_id).inputFiles()]
+        found = [WRITE.search(n) for n in names]
+        return {m[0] for m in found} if all(found) else None
 
 
 def _folder(value: str) -> str:
