@@ -131,3 +131,55 @@ def test_stretches_with_gaps_in_the_source():
         assert [f[:4] for f in found_in(source, words)] == [(20, 80, 0, 60), (80 + here, 140 + here, 60 + there, 120 + there)]
     source, words = text("a", 100) + text("x", 60) + text("b", 100), text("a", 100) + text("b", 100)
     assert [f[:4] for f in found_in(source, words)] == [(0, 100, 0, 100), (100, 200, 160, 260)]
+
+
+def repeated_words(texts):
+    """Brute force: words of each document in a 50-word stretch that a smaller document has."""
+    first = {}
+    for i in sorted(texts):
+        for at in range(len(texts[i]) - 49):
+            first.setdefault(tuple(texts[i][at:at + 50]), i)
+    return {i: {at + k for at in range(len(w) - 49) if first[tuple(w[at:at + 50])] < i for k in range(50)} for i, w in texts.items()}
+
+
+def test_parts_in_other_documents_hide_no_passage(spark):
+    draw = random.Random(4)
+    text = lambda n: ["w%d" % draw.randrange(3000) for _ in range(n)]
+    texts, i = {}, 0
+    for _ in range(60):
+        passage = text(draw.randrange(50, 110))
+        parts = [passage[at:at + draw.randrange(25, 50)] for at in range(0, len(passage), 12)]
+        for words in [*[text(30) + p + text(draw.randrange(60)) for p in parts], *[text(draw.randrange(90)) + passage + text(40) for _ in range(3)]]:
+            texts[i] = words
+            i += 1
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(5)
+    covered = {i: set() for i in texts}
+    for r in P.repeated_passages(df).collect():
+        covered[r.doc_id] |= set(range(r.start, r.end))
+        a, b = set(shingled(texts[r.source_doc_id][r.source_start:r.source_end]).tolist()), set(shingled(texts[r.doc_id][r.start:r.end]).tolist())
+        assert r.source_doc_id < r.doc_id and abs(len(a & b) / len(a | b) - r.similarity) < 1e-9 and r.similarity >= 0.8
+    expected = repeated_words(texts)
+    assert sum(map(bool, expected.values())) == 120
+    assert all(expected[i] <= covered[i] for i in texts)
+
+
+def test_given_documents_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    texts = {r.doc_id: brute.words(r.text) for r in docs.select("doc_id", "text").collect()}
+    covered = {i: set() for i in texts}
+    for r in P.repeated_passages(docs).collect():
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    expected = repeated_words(texts)
+    assert any(expected.values())
+    missed = sum(len(w - covered[i]) for i, w in expected.items())
+    assert missed <= 0.005 * sum(map(len, expected.values())), missed
+
+
+def test_halves_and_stretches():
+    s = np.random.default_rng(1).integers(1, 9, 120).astype(np.uint64)
+    starts, keys = P.blocks_around(s, np.array([3, 70]))
+    assert starts.tolist() == [0, 1, 2, 3, *range(25, 71)]
+    assert len(set(keys.tolist())) == len({tuple(s[a:a + P.SPAN].tolist()) for a in starts})
+    at, runs = P.halves(s, np.array([0, 30, 119]))
+    assert at.tolist() == [0, 30, 30, 119] and runs[2] != runs[1]
+    assert P.places(s, (P.mixed((s[5:6] | np.uint64(1)) * P._FACTORS[2]) | np.uint64(1))).tolist() == np.flatnonzero((s | np.uint64(1)) == (s[5] | np.uint64(1))).tolist()

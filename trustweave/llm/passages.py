@@ -21,6 +21,13 @@ the source that is.  Windows that remain unexplained are paired once more within
 value and a shingle 20 positions to the right, or left, of them, since a common
 shingle can have several sources.
 
+What is still unexplained then is searched exactly: every stretch of 50 words around
+such a window's position gets a hash of its own, and meets the first document that
+has the same stretch.  So a passage that recurs word for word is not lost if other
+documents have parts of it; a changed one can be, if parts of it hide it in both
+rounds.  Equal stretches are explained by their first document, so this round pairs
+a group of n with one, too.
+
 Defined results: null, empty and short texts have no passages; texts of any
 length are searched whole; rows without ``doc_id`` take no part; rows that share
 a ``doc_id`` are one document, and repeats inside one document do not count; an
@@ -29,7 +36,7 @@ empty table gives an empty one; other columns of the input do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -347,6 +354,108 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -
     return found
 
 
+# -- whole stretches ---------------------------------------------------------------
+
+HALF = SPAN // 2
+
+
+def run_hashes(shingles: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` shingles from each position on."""
+    n = len(shingles) - length + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for at in [*range(0, length - 1, WIDTH), length - 1]:  # shingles side by side cover all words
+        h = mixed(h * _FACTORS[0] + shingles[at:at + n])
+    return h
+
+
+def places(shingles: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Positions whose shingle has one of ``values`` under any hash function."""
+    own, wanted = shingles | np.uint64(1), np.unique(values)
+    at = np.zeros(len(shingles), bool)
+    for factor in _FACTORS:
+        v = mixed(own * factor) | np.uint64(1)
+        at |= wanted[np.minimum(np.searchsorted(wanted, v), len(wanted) - 1)] == v
+    return np.flatnonzero(at)
+
+
+def halves(shingles: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the ``HALF`` shingles that start, or end, at each of ``c``; one of them lies in any stretch around it."""
+    h = run_hashes(shingles, HALF)
+    right, left = c[c < len(h)], c[c >= HALF - 1]
+    return np.r_[right, left], np.r_[h[right], mixed(h[left - HALF + 1])]
+
+
+def blocks_around(shingles: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the stretches of ``MIN_WORDS`` words that hold a shingle at one of ``c``."""
+    held = np.zeros(len(shingles) + 1, np.int64)
+    held[c + 1] = 1
+    held = np.cumsum(held)
+    starts = np.flatnonzero(held[SPAN:] > held[:-SPAN])
+    return starts, run_hashes(shingles, SPAN)[starts]
+
+
+def _hashed(texts: DataFrame, function: Callable, inside: Callable) -> DataFrame:
+    """``function`` of a text's shingles and the row's ``given`` numbers: ``at`` and ``key``; ``new`` unless ``inside`` a known passage."""
+    hashes = WordHashes()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key, doc, at, new = [], [], [], []
+        for i, text, given, known in zip(*[batch.column(x).to_pylist() for x in ("doc", "text", "given", "known")]):
+            s = windows(hashes.of(text))
+            if len(s) < SPAN:
+                continue
+            place, h = function(s, np.array(given, np.int64))
+            fresh = np.ones(len(place), bool)
+            for k in known or []:
+                fresh &= ~inside(place, k["start"], k["end"])
+            for column, x in zip((key, doc, at, new), (h.view(np.int64), np.full(len(place), i), place, fresh)):
+                column.append(x)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        arrays = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip((key, doc, at, new), types)]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "doc", "at", "new"])
+
+    return per_batch(texts.select("doc", "text", "given", "known"), run, "key long, doc long, at int, new boolean", 100)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Keys of several documents, one of them new to it after the first, beside their first place."""
+    hub = rows.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("h"), F.max(F.when(F.col("new"), F.col("doc"))).alias("last"))
+    return hub.where("h.doc < last").select("key", "h")
+
+
+def _block_pairs(rest: DataFrame, pairs: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Anchors of stretches around windows with a value of ``rest``, in all documents of ``pairs``: each beside the same stretch of the first document that has it.
+
+    Stretches inside ``known`` passages stand for others, but look for none.  Before
+    all 46 stretches around a position are looked at, half of one must recur.  A
+    position counts as inside only if all stretches around it are.
+    """
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    held = pairs.join(rest.select("value").distinct(), "value", "left_semi")
+    holders = held.select("value", "doc").union(held.select("value", "adoc"))
+    values = holders.groupBy("doc").agg(F.collect_set("value").alias("given"))
+    texts = scratch.keep(texts.join(values, "doc").join(known, "doc", "left"))
+    half = scratch.keep(_hashed(texts, lambda s, v: halves(s, places(s, v.view(np.uint64))), lambda c, start, end: (start <= c - SPAN + 1) & (c + MIN_WORDS <= end)))
+    spots = half.join(_shared(half), "key", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("given"))
+    blocks = scratch.keep(_hashed(texts.drop("given").join(spots, "doc"), blocks_around, lambda s, start, end: (start <= s) & (s + MIN_WORDS <= end)))
+    met = blocks.where("new").join(_shared(blocks), "key").where("doc <> h.doc")
+    shift = met.groupBy(F.col("h.doc").alias("adoc"), "doc", (F.col("at") - F.col("h.at")).alias("shift")).agg(
+        F.min("at").alias("l"), (F.max("at") + F.lit(SPAN - 1)).alias("r"))
+    found = scratch.keep(shift.select("adoc", "doc", F.lit(0).alias("hash"), (F.col("l") - F.col("shift")).alias("al"), (F.col("r") - F.col("shift")).alias("ar"), "l", "r"))
+    scratch.free(texts, half, blocks)
+    return found
+
+
+def _unexplained(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows whose window's position lies in no passage known of the document."""
+    inside = F.exists("known", lambda k: (k["start"] <= F.col("c")) & (F.col("c") < k["end"]))
+    return pairs.join(known, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("known")
+
+
+def _known(passages: DataFrame) -> DataFrame:
+    return passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("known"))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per passage of a document that repeats one of a smaller ``doc_id``.
 
@@ -359,14 +468,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = _first_pairs(found, scratch)
     scratch.free(found)
     first = _verified(pairs, docs, scratch, AGREE)
-    covered = first.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("known")).withColumnRenamed("doc_id", "doc")
-    inside = F.exists("known", lambda k: (k["start"] <= F.col("c")) & (F.col("c") < k["end"]))
-    rest = scratch.keep(pairs.join(covered, "doc", "left").where(~F.coalesce(inside, F.lit(False))).select(*_NAMES).distinct())
-    again = _hub_pairs(rest.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(rest.where("left <> 0"), ["value", "left"]))
-    scratch.free(pairs)
+    rest = scratch.keep(_unexplained(pairs, _known(first)).distinct())
+    side = rest.select(*_NAMES).distinct()
+    again = _hub_pairs(side.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(side.where("left <> 0"), ["value", "left"]))
     second = _verified(again, docs, scratch, 1)
-    scratch.free(rest)
-    return first.unionByName(second).distinct()
+    found = first.unionByName(second)
+    known = _known(found)
+    third = _verified(_block_pairs(_unexplained(rest, known), pairs, docs, known, scratch), docs, scratch, 1)
+    scratch.free(pairs, rest)
+    return found.unionByName(third).distinct()
 
 
 # -- taking effect --------------------------------------------------------------------
