@@ -175,11 +175,11 @@ def test_given_documents_against_brute_force(spark):
     assert missed == 0
 
 
-def test_halves_and_stretches():
-    s = np.random.default_rng(1).integers(1, 9, 120).astype(np.uint64)
-    starts, keys = P.blocks_around(s, np.array([3, 70]))
-    assert starts.tolist() == [0, 1, 2, 3, *range(25, 71)]
+def test_stretches_by_min_hash():
+    s = np.random.default_rng(1).integers(1, 99, 200).astype(np.uint64)
+    v = (P.mixed((s | np.uint64(1)) * P._FACTORS[0]) | np.uint64(1)).tolist()
+    least = [min(v[a:a + P.SPAN]) for a in range(len(v) - P.SPAN + 1)]
+    wanted = set(least[::40])
+    starts, keys = P.blocks_of(s, np.array(sorted(wanted), np.uint64))
+    assert starts.tolist() == [a for a, x in enumerate(least) if x in wanted]
     assert len(set(keys.tolist())) == len({tuple(s[a:a + P.SPAN].tolist()) for a in starts})
-    at, runs = P.halves(s, np.array([0, 30, 119]))
-    assert at.tolist() == [0, 30, 30, 119] and runs[2] != runs[1]
-    assert P.places(s, (P.mixed((s[5:6] | np.uint64(1)) * P._FACTORS[2]) | np.uint64(1))).tolist() == np.flatnonzero((s | np.uint64(1)) == (s[5] | np.uint64(1))).tolist()

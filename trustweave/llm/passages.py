@@ -21,12 +21,12 @@ the source that is.  Windows that remain unexplained are paired once more within
 value and a shingle 20 positions to the right, or left, of them, since a common
 shingle can have several sources.
 
-What is still unexplained then is searched exactly: every stretch of 50 words around
-such a window's position gets a hash of its own, and meets the first document that
-has the same stretch.  So a passage that recurs word for word is not lost if other
-documents have parts of it; a changed one can be, if parts of it hide it in both
-rounds.  Equal stretches are explained by their first document, so this round pairs
-a group of n with one, too.
+What is still unexplained then is searched exactly: every stretch of 50 words
+whose min-hash under the first function is that of such a window gets a hash of its
+own, and meets the first document that has the same stretch.  A stretch has the same
+min-hash wherever it recurs, so no passage that recurs word for word is lost if other
+documents have parts of it, unless the first two rounds found passages that overlap
+it; a changed one can be, if parts of it hide it in both rounds.  A group of n equal stretches is n pairs here, too.
 
 Defined results: null, empty and short texts have no passages; texts of any
 length are searched whole; rows without ``doc_id`` take no part; rows that share
@@ -40,7 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,8 @@ SIMILAR = 0.8
 MISS = 4
 _FACTORS = [np.uint64(2 * x + 1) for x in np.random.default_rng(77).integers(1, 2**62, HASHES)]
 
-WINDOW = "value long, hash int, doc long, c int, l int, r int, right int, left int"
+WINDOW = "value long, hash int, doc long, c int, l int, r int, right int, left int, many boolean"
+_NAMES = [f.split()[0] for f in WINDOW.split(", ")]
 _SIDE = "doc c l r".split()
 PASSAGE = "doc_id long, start int, end int, source_doc_id long, source_start int, source_end int, similarity double"
 
@@ -100,18 +101,18 @@ def compact_windows(v: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.nda
     return c[wide], l[wide], r[wide] - 1
 
 
-def merged_windows(value: np.ndarray, owner: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping windows of one text with one min-hash become one: first ``c``, whole interval.
+def merged_windows(value: np.ndarray, owner: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping windows of one text with one min-hash become one: first ``c``, whole interval, and whether they were many.
 
     A line that repeats in a text many times gives a window each time.
     """
     order = np.lexsort((c, value, owner))
     c, l, r, value, owner = (x[order] for x in (c, l, r, value, owner))
     if not len(c):
-        return c, l, r
+        return c, l, r, c > 0
     same = np.r_[False, (value[1:] == value[:-1]) & (owner[1:] == owner[:-1]) & (l[1:] <= r[:-1] + 1)]
     first = np.flatnonzero(~same)
-    return c[first], np.minimum.reduceat(l, first), np.maximum.reduceat(r, first)
+    return c[first], np.minimum.reduceat(l, first), np.maximum.reduceat(r, first), np.diff(np.r_[first, len(c)]) > 1
 
 
 def _at(values: np.ndarray, text: np.ndarray, c: np.ndarray, aside: int) -> np.ndarray:
@@ -134,20 +135,20 @@ def all_windows(docs: DataFrame) -> DataFrame:
                 shingles += [s | np.uint64(1), gap]
                 owner.append(np.full(len(s) + 1, i))
                 place.append(np.arange(len(s) + 1))
-        columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
         if shingles:
             s, owner, place = map(np.concatenate, (shingles, owner, place))
             for f, factor in enumerate(_FACTORS):
                 v = np.where(s == 0, s, mixed(s * factor) | np.uint64(1))
                 c, l, r = compact_windows(v)
-                c, l, r = merged_windows(v[c], owner[c], c, l, r)
+                c, l, r, many = merged_windows(v[c], owner[c], c, l, r)
                 at = place[c] - c
-                row = (v[c].view(np.int64), np.full(len(c), f), ids[owner[c]], place[c], l + at, r + at, _at(s, owner, c, ASIDE), _at(s, owner, c, -ASIDE))
+                row = (v[c].view(np.int64), np.full(len(c), f), ids[owner[c]], place[c], l + at, r + at, _at(s, owner, c, ASIDE), _at(s, owner, c, -ASIDE), many)
                 for column, x in zip(columns, row):
                     column.append(x)
-        types = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5]
+        types = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.bool_()]
         arrays = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(columns, types)]
-        return pa.RecordBatch.from_arrays(arrays, "value hash doc c l r right left".split())
+        return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
     given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     return per_batch(given, run, WINDOW, 100)  # few texts at a time stay in the processor's cache
@@ -155,36 +156,38 @@ def all_windows(docs: DataFrame) -> DataFrame:
 
 # -- pairs with the representative of a value ------------------------------------
 
-_NAMES = [f.split()[0] for f in WINDOW.split(", ")]
 PAIRED = WINDOW + ", adoc long, ac int, al int, ar int, edge boolean"
 
 
 def _paired(table: pa.Table, hub: tuple | None) -> tuple[pa.RecordBatch, tuple]:
-    """Rows of a sorted slice beside their value's first row; that row at the slice's end."""
+    """Rows of a sorted slice beside their value's first row, which is beside itself; that row at the slice's end.
+
+    A value of one row is left out unless it ends the slice.
+    """
     value, doc, c, l, r = [table.column(x).to_numpy() for x in ("value", "doc", "c", "l", "r")]
     new = np.r_[True, value[1:] != value[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
     sides = [x[first] for x in (doc, c, l, r)]
     if hub is not None and hub[0] == value[0]:
         goes_on = value == value[0]
-        sides = [np.where(goes_on, h, s) for h, s in zip(hub[1:], sides)]
-    keep = sides[0] != doc
+        sides = [np.where(goes_on, h, s) for h, s in zip(hub[2:], sides)]
+    keep = (sides[0] != doc) | (sides[1] != c) | np.r_[value[1:] == value[:-1], True]
     out = pa.RecordBatch.from_arrays(
         [table.column(x).combine_chunks().filter(pa.array(keep)) for x in _NAMES]
         + [pa.array(s[keep], t) for s, t in zip(sides, [pa.int64(), *[pa.int32()] * 3])]
         + [pa.array(np.zeros(keep.sum(), bool))], [*_NAMES, "adoc", "ac", "al", "ar", "edge"])
-    return out, (value[-1], *[s[-1] for s in sides])
+    return out, (value[-1], table.column("hash")[-1].as_py(), *[s[-1] for s in sides])
 
 
 def _edge(hub: tuple) -> pa.RecordBatch:
-    value, doc, c, l, r = hub
-    row = {"value": value, "hash": 0, "doc": doc, "c": c, "l": l, "r": r, "right": 0, "left": 0, "adoc": doc, "ac": c, "al": l, "ar": r, "edge": True}
-    schema = pa.schema([(n, pa.int64() if n in ("value", "doc", "adoc") else pa.bool_() if n == "edge" else pa.int32()) for n in row])
+    value, function, doc, c, l, r = hub
+    row = {"value": value, "hash": function, "doc": doc, "c": c, "l": l, "r": r, "right": 0, "left": 0, "many": True, "adoc": doc, "ac": c, "al": l, "ar": r, "edge": True}
+    schema = pa.schema([(n, pa.int64() if n in ("value", "doc", "adoc") else pa.bool_() if n in ("edge", "many") else pa.int32()) for n in row])
     return pa.RecordBatch.from_pylist([row], schema)
 
 
 def _first_pairs(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every window beside the first window of its value, if that is in another document."""
+    """Every window of a value with several beside the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
@@ -192,7 +195,7 @@ def _first_pairs(found: DataFrame, scratch: Scratch) -> DataFrame:
             if batch.num_rows:
                 out, last = _paired(pa.Table.from_batches([batch]), hub)
                 if hub is None:
-                    yield _edge(tuple(batch.column(x)[0].as_py() for x in ("value", *_SIDE)))
+                    yield _edge(tuple(batch.column(x)[0].as_py() for x in ("value", "hash", *_SIDE)))
                 hub = last
                 yield out
         if hub is not None:
@@ -211,7 +214,7 @@ def _first_pairs(found: DataFrame, scratch: Scratch) -> DataFrame:
 def _hub_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows beside the first row with the same keys."""
     hub = rows.groupBy(*keys).agg(F.min(F.struct(*_SIDE)).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(hub, keys).where("doc <> h.doc").select(*_NAMES, *[F.col("h")[x].alias("a" + x) for x in _SIDE])
+    return rows.join(hub, keys).where("doc <> h.doc OR c <> h.c").select(*_NAMES, *[F.col("h")[x].alias("a" + x) for x in _SIDE])
 
 
 # -- verification ------------------------------------------------------------------
@@ -328,7 +331,7 @@ def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[list[int]], agree: i
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -> DataFrame:
     anchor = F.array("hash", "al", "ar", "l", "r")
-    grouped = pairs.groupBy("adoc", "doc").agg(F.collect_set(anchor).alias("anchors"))
+    grouped = pairs.where("doc <> adoc").groupBy("adoc", "doc").agg(F.collect_set(anchor).alias("anchors"))
     some = scratch.keep(grouped.where(F.size(F.array_distinct(F.transform("anchors", lambda x: x[0]))) >= agree))
     named = some.select(F.col("adoc").alias("_id")).union(some.select("doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("text IS NOT NULL")
@@ -356,106 +359,100 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -
 
 # -- whole stretches ---------------------------------------------------------------
 
-HALF = SPAN // 2
-
-
-def run_hashes(shingles: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` shingles from each position on."""
-    n = len(shingles) - length + 1
+def block_hashes(shingles: np.ndarray) -> np.ndarray:
+    """Hash of the ``MIN_WORDS`` words from each position on."""
+    n = len(shingles) - SPAN + 1
     h = np.zeros(max(n, 0), np.uint64)
-    for at in [*range(0, length - 1, WIDTH), length - 1]:  # shingles side by side cover all words
+    for at in range(0, SPAN, WIDTH):  # shingles side by side cover all words
         h = mixed(h * _FACTORS[0] + shingles[at:at + n])
     return h
 
 
-def places(shingles: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Positions whose shingle has one of ``values`` under any hash function."""
-    own, wanted = shingles | np.uint64(1), np.unique(values)
-    at = np.zeros(len(shingles), bool)
-    for factor in _FACTORS:
-        v = mixed(own * factor) | np.uint64(1)
-        at |= wanted[np.minimum(np.searchsorted(wanted, v), len(wanted) - 1)] == v
-    return np.flatnonzero(at)
-
-
-def halves(shingles: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the ``HALF`` shingles that start, or end, at each of ``c``; one of them lies in any stretch around it."""
-    h = run_hashes(shingles, HALF)
-    right, left = c[c < len(h)], c[c >= HALF - 1]
-    return np.r_[right, left], np.r_[h[right], mixed(h[left - HALF + 1])]
-
-
-def blocks_around(shingles: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the stretches of ``MIN_WORDS`` words that hold a shingle at one of ``c``."""
-    held = np.zeros(len(shingles) + 1, np.int64)
-    held[c + 1] = 1
-    held = np.cumsum(held)
-    starts = np.flatnonzero(held[SPAN:] > held[:-SPAN])
-    return starts, run_hashes(shingles, SPAN)[starts]
+def blocks_of(shingles: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the stretches of ``MIN_WORDS`` words whose min-hash, by the first function, is one of ``values``."""
+    least, step = mixed((shingles | np.uint64(1)) * _FACTORS[0]) | np.uint64(1), 1
+    n = len(shingles) - SPAN + 1
+    while step * 2 <= SPAN:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    least = np.minimum(least[:n], least[SPAN - step:SPAN - step + n])
+    wanted = np.unique(values)
+    starts = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)] == least)
+    return starts, block_hashes(shingles)[starts]
 
 
-def _hashed(texts: DataFrame, function: Callable, inside: Callable) -> DataFrame:
-    """``function`` of a text's shingles and the row's ``given`` numbers: ``at`` and ``key``; ``new`` unless ``inside`` a known passage."""
+def _blocks(texts: DataFrame) -> DataFrame:
+    """Stretches whose min-hash is one of ``values``; ``fresh`` ones are not inside a ``known`` passage."""
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, doc, at, new = [], [], [], []
-        for i, text, given, known in zip(*[batch.column(x).to_pylist() for x in ("doc", "text", "given", "known")]):
+        key, doc, at, fresh = [], [], [], []
+        for i, text, values, known in zip(*[batch.column(x).to_pylist() for x in ("doc", "text", "values", "known")]):
             s = windows(hashes.of(text))
             if len(s) < SPAN:
                 continue
-            place, h = function(s, np.array(given, np.int64))
-            fresh = np.ones(len(place), bool)
+            start, h = blocks_of(s, np.array(values, np.int64).view(np.uint64))
+            new = np.ones(len(start), bool)
             for k in known or []:
-                fresh &= ~inside(place, k["start"], k["end"])
-            for column, x in zip((key, doc, at, new), (h.view(np.int64), np.full(len(place), i), place, fresh)):
+                new &= (start < k["start"]) | (start + MIN_WORDS > k["end"])
+            for column, x in zip((key, doc, at, fresh), (h.view(np.int64), np.full(len(start), i), start, new)):
                 column.append(x)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-        arrays = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip((key, doc, at, new), types)]
-        return pa.RecordBatch.from_arrays(arrays, ["key", "doc", "at", "new"])
+        arrays = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip((key, doc, at, fresh), types)]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "doc", "c", "fresh"])
 
-    return per_batch(texts.select("doc", "text", "given", "known"), run, "key long, doc long, at int, new boolean", 100)
+    return per_batch(texts.select("doc", "text", "values", "known"), run, "key long, doc long, c int, fresh boolean", 100)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Keys of several documents, one of them new to it after the first, beside their first place."""
-    hub = rows.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("h"), F.max(F.when(F.col("new"), F.col("doc"))).alias("last"))
-    return hub.where("h.doc < last").select("key", "h")
+def _met(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """``fresh`` rows beside ``h``, the first place of any row with the same keys, if that is in a smaller document."""
+    ends = rows.groupBy(*keys).agg(F.min("doc").alias("_first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("_last"))
+    some = rows.join(ends.where("_first < _last").drop("_last"), keys)
+    first = some.where("doc = _first").groupBy(*keys).agg(F.min(F.struct(*place)).alias("h"))
+    return some.where("fresh AND doc <> _first").drop("_first").join(first, keys)
 
 
-def _block_pairs(rest: DataFrame, pairs: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Anchors of stretches around windows with a value of ``rest``, in all documents of ``pairs``: each beside the same stretch of the first document that has it.
+def _block_pairs(held: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Anchors of stretches with a min-hash in ``held`` (``doc, value``): each beside the same stretch of the first document that has it.
 
-    Stretches inside ``known`` passages stand for others, but look for none.  Before
-    all 46 stretches around a position are looked at, half of one must recur.  A
-    position counts as inside only if all stretches around it are.
+    Stretches inside ``known`` passages stand for others, but look for none.
     """
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    held = pairs.join(rest.select("value").distinct(), "value", "left_semi")
-    holders = held.select("value", "doc").union(held.select("value", "adoc"))
-    values = holders.groupBy("doc").agg(F.collect_set("value").alias("given"))
-    texts = scratch.keep(texts.join(values, "doc").join(known, "doc", "left"))
-    half = scratch.keep(_hashed(texts, lambda s, v: halves(s, places(s, v.view(np.uint64))), lambda c, start, end: (start <= c - SPAN + 1) & (c + MIN_WORDS <= end)))
-    spots = half.join(_shared(half), "key", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("given"))
-    blocks = scratch.keep(_hashed(texts.drop("given").join(spots, "doc"), blocks_around, lambda s, start, end: (start <= s) & (s + MIN_WORDS <= end)))
-    met = blocks.where("new").join(_shared(blocks), "key").where("doc <> h.doc")
-    shift = met.groupBy(F.col("h.doc").alias("adoc"), "doc", (F.col("at") - F.col("h.at")).alias("shift")).agg(
-        F.min("at").alias("l"), (F.max("at") + F.lit(SPAN - 1)).alias("r"))
+    blocks = scratch.keep(_blocks(texts.join(held.groupBy("doc").agg(F.collect_set("value").alias("values")), "doc").join(known, "doc", "left")))
+    met = _met(blocks, ["key"], ["doc", "c"])
+    shift = met.groupBy(F.col("h.doc").alias("adoc"), "doc", (F.col("c") - F.col("h.c")).alias("shift")).agg(
+        F.min("c").alias("l"), (F.max("c") + F.lit(SPAN - 1)).alias("r"))
     found = scratch.keep(shift.select("adoc", "doc", F.lit(0).alias("hash"), (F.col("l") - F.col("shift")).alias("al"), (F.col("r") - F.col("shift")).alias("ar"), "l", "r"))
-    scratch.free(texts, half, blocks)
+    scratch.free(blocks)
     return found
 
 
-def _unexplained(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose window's position lies in no passage known of the document."""
-    inside = F.exists("known", lambda k: (k["start"] <= F.col("c")) & (F.col("c") < k["end"]))
-    return pairs.join(known, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("known")
+def _flagged(rows: DataFrame, known: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Rows with ``fresh``: whether no passage known of the document holds the words from ``first`` to ``last``."""
+    inside = F.exists("known", lambda k: (k["start"] <= first) & (last < k["end"]))
+    return rows.join(known, "doc", "left").withColumn("fresh", ~F.coalesce(inside, F.lit(False))).drop("known")
 
 
 def _known(passages: DataFrame) -> DataFrame:
     return passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("known"))
 
 
+def _held(members: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc, value`` of windows around which a stretch can recur whose words the later document has in no ``known`` passage.
+
+    Such a stretch has the shingle ``ASIDE`` positions to the right of its window's
+    position, or the one to the left.  Windows with many positions go by value alone.
+    """
+    span = [F.when(F.col("many"), F.col(end)).otherwise(F.col("c")) for end in ("l", "r")]
+    rows = _flagged(members, known, *span)
+    side = lambda rows, name, key: rows.select("value", "doc", "fresh", F.lit(name).alias("side"), key.alias("key"))
+    several = rows.join(rows.where("many").select("value").distinct(), "value", "left_semi")
+    sides = side(rows, 1, F.col("right")).union(side(rows, 2, F.col("left"))).where("key <> 0").union(side(several, 0, F.lit(0)))
+    keys = ["value", "side", "key"]
+    ends = sides.groupBy(*keys).agg(F.min("doc").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("last"))
+    return sides.join(ends.where("first < last"), keys, "left_semi").select("doc", "value")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per passage of a document that repeats one of a smaller ``doc_id``.
 
@@ -468,14 +465,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = _first_pairs(found, scratch)
     scratch.free(found)
     first = _verified(pairs, docs, scratch, AGREE)
-    rest = scratch.keep(_unexplained(pairs, _known(first)).distinct())
-    side = rest.select(*_NAMES).distinct()
-    again = _hub_pairs(side.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(side.where("left <> 0"), ["value", "left"]))
+    position = F.col("c"), F.col("c")
+    rest = scratch.keep(_flagged(pairs.where("doc <> adoc").select(*_NAMES), _known(first), *position).where("fresh").drop("fresh").distinct())
+    members = scratch.keep(pairs.where("hash = 0").select("value", "doc", "c", "l", "r", "right", "left", "many"))
+    scratch.free(pairs)
+    again = _hub_pairs(rest.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(rest.where("left <> 0"), ["value", "left"]))
     second = _verified(again, docs, scratch, 1)
+    scratch.free(rest)
     found = first.unionByName(second)
-    known = _known(found)
-    third = _verified(_block_pairs(_unexplained(rest, known), pairs, docs, known, scratch), docs, scratch, 1)
-    scratch.free(pairs, rest)
+    known = scratch.keep(_known(found))
+    third = _verified(_block_pairs(_held(members, known), docs, known, scratch), docs, scratch, 1)
+    scratch.free(members, known)
     return found.unionByName(third).distinct()
 
 
