@@ -36,7 +36,7 @@ empty table gives an empty one; other columns of the input do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,9 +160,10 @@ PAIRED = WINDOW + ", adoc long, ac int, al int, ar int, edge boolean"
 
 
 def _paired(table: pa.Table, hub: tuple | None) -> tuple[pa.RecordBatch, tuple]:
-    """Rows of a sorted slice beside their value's first row, which is beside itself; that row at the slice's end.
+    """Rows of a sorted slice beside their value's first row; that row at the slice's end.
 
-    A value of one row is left out unless it ends the slice.
+    Rows of the first row's document are kept for the first hash function only, and
+    not if they are a value's only row, unless they end the slice.
     """
     value, doc, c, l, r = [table.column(x).to_numpy() for x in ("value", "doc", "c", "l", "r")]
     new = np.r_[True, value[1:] != value[:-1]]
@@ -171,7 +172,8 @@ def _paired(table: pa.Table, hub: tuple | None) -> tuple[pa.RecordBatch, tuple]:
     if hub is not None and hub[0] == value[0]:
         goes_on = value == value[0]
         sides = [np.where(goes_on, h, s) for h, s in zip(hub[2:], sides)]
-    keep = (sides[0] != doc) | (sides[1] != c) | np.r_[value[1:] == value[:-1], True]
+    alone = (sides[0] == doc) & (sides[1] == c) & ~np.r_[value[1:] == value[:-1], True]
+    keep = (sides[0] != doc) | ((table.column("hash").to_numpy() == 0) & ~alone)
     out = pa.RecordBatch.from_arrays(
         [table.column(x).combine_chunks().filter(pa.array(keep)) for x in _NAMES]
         + [pa.array(s[keep], t) for s, t in zip(sides, [pa.int64(), *[pa.int32()] * 3])]
@@ -186,8 +188,8 @@ def _edge(hub: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([row], schema)
 
 
-def _first_pairs(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every window of a value with several beside the first one."""
+def _first_pairs(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every window of a value with several beside the first one: rows of the slices, rows across slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None
@@ -205,10 +207,7 @@ def _first_pairs(found: DataFrame, scratch: Scratch) -> DataFrame:
     ordered = found.repartitionByRange(parts, "value", "doc", "c").sortWithinPartitions("value", "doc", "c")
     rows = scratch.keep(ordered.mapInArrow(run, PAIRED))
     # a value's first rows in neighbouring slices: two for each slice at most
-    edges = _hub_pairs(rows.where("edge").select(*_NAMES).distinct(), ["value"])
-    pairs = scratch.keep(rows.where("NOT edge").drop("edge").unionByName(edges))
-    scratch.free(rows)
-    return pairs
+    return rows, scratch.keep(_hub_pairs(rows.where("edge").select(*_NAMES).distinct(), ["value"]))
 
 
 def _hub_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -404,14 +403,6 @@ def _blocks(texts: DataFrame) -> DataFrame:
     return per_batch(texts.select("doc", "text", "values", "known"), run, "key long, doc long, c int, fresh boolean", 100)
 
 
-def _met(rows: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
-    """``fresh`` rows beside ``h``, the first place of any row with the same keys, if that is in a smaller document."""
-    ends = rows.groupBy(*keys).agg(F.min("doc").alias("_first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("_last"))
-    some = rows.join(ends.where("_first < _last").drop("_last"), keys)
-    first = some.where("doc = _first").groupBy(*keys).agg(F.min(F.struct(*place)).alias("h"))
-    return some.where("fresh AND doc <> _first").drop("_first").join(first, keys)
-
-
 def _block_pairs(held: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """Anchors of stretches with a min-hash in ``held`` (``doc, value``): each beside the same stretch of the first document that has it.
 
@@ -419,11 +410,15 @@ def _block_pairs(held: DataFrame, docs: DataFrame, known: DataFrame, scratch: Sc
     """
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     blocks = scratch.keep(_blocks(texts.join(held.groupBy("doc").agg(F.collect_set("value").alias("values")), "doc").join(known, "doc", "left")))
-    met = _met(blocks, ["key"], ["doc", "c"])
+    ends = blocks.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("last"))
+    some = scratch.keep(blocks.join(ends.where("first < last").drop("last"), "key"))  # few
+    scratch.free(blocks)
+    first = some.where("doc = first").groupBy("key").agg(F.min(F.struct("doc", "c")).alias("h"))
+    met = some.where("fresh AND doc <> first").join(first, "key")
     shift = met.groupBy(F.col("h.doc").alias("adoc"), "doc", (F.col("c") - F.col("h.c")).alias("shift")).agg(
         F.min("c").alias("l"), (F.max("c") + F.lit(SPAN - 1)).alias("r"))
     found = scratch.keep(shift.select("adoc", "doc", F.lit(0).alias("hash"), (F.col("l") - F.col("shift")).alias("al"), (F.col("r") - F.col("shift")).alias("ar"), "l", "r"))
-    scratch.free(blocks)
+    scratch.free(some)
     return found
 
 
@@ -462,13 +457,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     found = scratch.keep(all_windows(docs))
-    pairs = _first_pairs(found, scratch)
+    rows, across = _first_pairs(found, scratch)
+    pairs = rows.where("NOT edge").drop("edge").unionByName(across)
     scratch.free(found)
     first = _verified(pairs, docs, scratch, AGREE)
     position = F.col("c"), F.col("c")
     rest = scratch.keep(_flagged(pairs.where("doc <> adoc").select(*_NAMES), _known(first), *position).where("fresh").drop("fresh").distinct())
     members = scratch.keep(pairs.where("hash = 0").select("value", "doc", "c", "l", "r", "right", "left", "many"))
-    scratch.free(pairs)
+    scratch.free(rows, across)
     again = _hub_pairs(rest.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(rest.where("left <> 0"), ["value", "left"]))
     second = _verified(again, docs, scratch, 1)
     scratch.free(rest)
