@@ -411,14 +411,15 @@ def _block_pairs(held: DataFrame, docs: DataFrame, known: DataFrame, scratch: Sc
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     blocks = scratch.keep(_blocks(texts.join(held.groupBy("doc").agg(F.collect_set("value").alias("values")), "doc").join(known, "doc", "left")))
     ends = blocks.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("last"))
-    some = scratch.keep(blocks.join(ends.where("first < last").drop("last"), "key"))  # few
+    ends = scratch.keep(ends.where("first < last").drop("last"))  # written, so that a hot key's rows can be split in the join
+    some = scratch.keep(blocks.join(ends, "key"))
     scratch.free(blocks)
     first = some.where("doc = first").groupBy("key").agg(F.min(F.struct("doc", "c")).alias("h"))
     met = some.where("fresh AND doc <> first").join(first, "key")
     shift = met.groupBy(F.col("h.doc").alias("adoc"), "doc", (F.col("c") - F.col("h.c")).alias("shift")).agg(
         F.min("c").alias("l"), (F.max("c") + F.lit(SPAN - 1)).alias("r"))
     found = scratch.keep(shift.select("adoc", "doc", F.lit(0).alias("hash"), (F.col("l") - F.col("shift")).alias("al"), (F.col("r") - F.col("shift")).alias("ar"), "l", "r"))
-    scratch.free(some)
+    scratch.free(ends, some)
     return found
 
 
@@ -432,7 +433,7 @@ def _known(passages: DataFrame) -> DataFrame:
     return passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start", "end")).alias("known"))
 
 
-def _held(members: DataFrame, known: DataFrame) -> DataFrame:
+def _held(members: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc, value`` of windows around which a stretch can recur whose words the later document has in no ``known`` passage.
 
     Such a stretch has the shingle ``ASIDE`` positions to the right of its window's
@@ -445,7 +446,10 @@ def _held(members: DataFrame, known: DataFrame) -> DataFrame:
     sides = side(rows, 1, F.col("right")).union(side(rows, 2, F.col("left"))).where("key <> 0").union(side(several, 0, F.lit(0)))
     keys = ["value", "side", "key"]
     ends = sides.groupBy(*keys).agg(F.min("doc").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("last"))
-    return sides.join(ends.where("first < last"), keys, "left_semi").select("doc", "value")
+    ends = scratch.keep(ends.where("first < last").select(*keys))
+    held = scratch.keep(sides.join(ends, keys, "left_semi").select("doc", "value").distinct())
+    scratch.free(ends)
+    return held
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -470,8 +474,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     scratch.free(rest)
     found = first.unionByName(second)
     known = scratch.keep(_known(found))
-    third = _verified(_block_pairs(_held(members, known), docs, known, scratch), docs, scratch, 1)
-    scratch.free(members, known)
+    held = _held(members, known, scratch)
+    scratch.free(members)
+    third = _verified(_block_pairs(held, docs, known, scratch), docs, scratch, 1)
+    scratch.free(held, known)
     return found.unionByName(third).distinct()
 
 
