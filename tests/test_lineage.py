@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.common import last_nodes, order_operations
+from checks.common import last_nodes, order_operations, order_requests
 from trustweave.operators import lineage
 from trustweave.session import durable
 
@@ -156,3 +156,14 @@ def test_many_targets_and_runs_in_one_task(spark, monkeypatch):
             expected |= {(f"r{run}", target, k): v for k, v in paths.items()}
     found = lineage.path_counts(reduce(DataFrame.unionByName, logs).coalesce(3), reduce(DataFrame.unionByName, targets)).collect()
     assert {(r["run_id"], r["target_idx"], r["dst_idx"]): r["paths"] for r in found} == expected and len(found) == len(expected)
+
+
+def test_an_operation_log_can_be_stored_as_it_is(spark, workspace):
+    requests = order_requests(spark, "/root/testdata/sf0.001")
+    assert "captured" not in requests.columns
+    workspace.tables.write("operations", lineage.register_operations(requests))
+    stored = workspace.tables.read("operations")
+    assert stored.where("captured").isEmpty() and stored.where("captured IS NULL").isEmpty()
+    assert stored.count() == requests.count()
+    said = lineage.register_operations(requests.withColumn("captured", F.col("is_load")))
+    assert said.where("captured").count() == requests.where("is_load").count() > 0

@@ -46,10 +46,13 @@ def register_operations(requests: DataFrame, stored: DataFrame | None = None) ->
 
     ``requests`` has the columns of the operation log without indices.  Indices
     are assigned here and the sources resolved against earlier registrations.
+    Without the column ``captured``, no rows of theirs are stored.
     ``stored`` (``scope, run_id, dst_var, dst_idx``) is what the runs registered
     before: it comes before all requests, so it wins and resolves them.
     The deduplicated log is written once, since resolving reads it three times.
     """
+    if "captured" not in requests.columns:
+        requests = requests.withColumn("captured", F.lit(False))
     first = _first_wins(requests)
     if stored is not None:
         first = first.join(stored.select(*RUN, "dst_var"), [*RUN, "dst_var"], "left_anti")
