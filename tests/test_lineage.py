@@ -167,3 +167,22 @@ def test_an_operation_log_can_be_stored_as_it_is(spark, workspace):
     assert stored.count() == requests.count()
     said = lineage.register_operations(requests.withColumn("captured", F.col("is_load")))
     assert said.where("captured").count() == requests.where("is_load").count() > 0
+
+
+def test_a_run_and_its_targets_meet_in_one_task(spark):
+    """Joins by shuffle, whose small partitions are put together."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "24",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    operations = durable(order_operations(spark, "/root/testdata/sf0.01"), "operations")
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        paths = lineage.path_counts(operations, last_nodes(operations))
+        assert tuple(paths.agg(F.count("*"), F.max("paths"), F.sum("paths")).first()) == (15000, 393, 107978)
+        assert lineage.lineage_ancestors(operations, last_nodes(operations)).count() == 15000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

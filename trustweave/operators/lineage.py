@@ -196,7 +196,9 @@ def _in_tasks(log: DataFrame, targets: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     rows = log.drop("op_seq").withColumn("is_target", F.lit(False)).unionByName(
         targets.withColumns({"src_idxs": none, "is_target": F.lit(True)}))
-    dealt = rows.repartition(*RUN).sortWithinPartitions(*RUN)
+    # by a hash of the run: a plain repartition by columns by which both sides of the union are already dealt
+    # would be left out of the plan, and adaptive execution then coalesces the sides apart from each other
+    dealt = rows.repartition(F.xxhash64(*RUN)).sortWithinPartitions(*RUN)
     given = dealt.select(*RUN, "dst_idx", F.coalesce("src_idxs", none).alias("src_idxs"), "is_target")
     counted = durable(given.mapInArrow(run, PATHS), "paths")
     bad = counted.where("paths IS NULL").first()
