@@ -139,7 +139,7 @@ def evaluate(spark, d):
     loads = operations.where("is_load").select(
         "scope", "run_id", F.col("dst_var").alias("var"), F.lit(2.0).alias("feedback"))
     for round_ in (verdicts(operations), loads):
-        tables.write("scores", lineage.evaluate(operations, round_))
+        tables.write("scores", lineage.evaluate(operations, round_), dealt=True)  # one scope
     names = operations.select("scope", "run_id", "dst_idx", "dst_var")
     return lineage.scores(tables.read("scores")).join(names, ["scope", "run_id", "dst_idx"]).drop("scope")
 

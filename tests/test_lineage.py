@@ -1,4 +1,5 @@
 import random
+import re
 from functools import reduce
 
 import pytest
@@ -186,3 +187,47 @@ def test_a_run_and_its_targets_meet_in_one_task(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_verdicts_go_with_their_targets(spark, either_way, monkeypatch):
+    """Several verdicts on a variable and on a run; nothing is joined with the paths of runs that fit into a task."""
+    monkeypatch.setattr(lineage, "FEW", 0)
+    operations = durable(log(spark, NINE), "operations")
+    given = spark.createDataFrame(
+        [("s", "r", "matched", 1.0), ("s", "r", "matched", 0.5), ("s", "r", "ldata", 4.0), ("s", "r", "ldata", None), ("t", "r", "raw", 9.0)],
+        "scope STRING, run_id STRING, var STRING, feedback DOUBLE")
+    events = lineage.evaluate(operations, given)
+    if lineage.TASK_SIZE:
+        assert "Exchange" not in plan(events) and "Join" not in plan(events)
+    names = {r["dst_idx"]: r["dst_var"] for r in operations.collect()}
+    found = sorted((names[r["dst_idx"]], r["evaluated_var"], r["delta"]) for r in events.where("delta IS NOT NULL").collect())
+    expected = [(v, "matched", x * n) for x in (1.0, 0.5) for v, n in (("raw", 2), ("cleaned", 2), ("ldata", 1), ("rdata", 1), ("matched", 1))]
+    assert found == sorted(expected + [(v, "ldata", 4.0) for v in ("raw", "cleaned", "ldata")])
+    assert events.where("delta IS NULL").count() == 3
+
+
+def test_runs_without_targets_are_dropped_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "FEW", 0)
+    monkeypatch.setattr(lineage, "ROWS", 40)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    logs = reduce(DataFrame.unionByName, [raw_log(spark, [("v0", [])] + [(f"v{i}", [f"v{i - 1}"]) for i in range(1, 25)], f"r{n}") for n in range(9)])
+    logs = logs.unionByName(raw_log(spark, [("v9", ["v9"])], None))
+    targets = reduce(DataFrame.unionByName, [aim(spark, f"r{n}", "v9") for n in (0, 3, 4, 8)] + [aim(spark, None, "v9")])
+    spark.conf.set(size, "7")
+    try:
+        found = lineage.path_counts(durable(logs, "log"), targets).groupBy("run_id").count().collect()
+    finally:
+        spark.conf.set(size, before)
+    assert {tuple(r) for r in found} == {(f"r{n}", 10) for n in (0, 3, 4, 8)}
+
+
+def test_indices_that_names_give_are_not_moved(spark):
+    requests = order_requests(spark, "/root/testdata/sf0.001")
+    text = plan(lineage.register_operations(requests))
+    read = re.findall(r"ReadSchema: struct<([^\n]*)", text)
+    assert read and not any("idx" in columns for columns in read)

@@ -24,6 +24,8 @@ LEVELS_PER_JOB = 3
 TASK_SIZE = 2_000_000
 #: Rows of whole runs that a task takes at a time.
 ROWS = 100_000
+#: So many targets are sent to all tasks, which then read the log of their runs only.
+FEW = 10_000
 PATHS = "scope string, run_id string, target_idx string, dst_idx string, paths double"
 
 
@@ -49,22 +51,34 @@ def register_operations(requests: DataFrame, stored: DataFrame | None = None) ->
     Without the column ``captured``, no rows of theirs are stored.
     ``stored`` (``scope, run_id, dst_var, dst_idx``) is what the runs registered
     before: it comes before all requests, so it wins and resolves them.
-    The deduplicated log is written once, since resolving reads it three times.
+    The deduplicated log is written once, since resolving reads it three times;
+    indices that names give are made afterwards and not moved.
     """
     if "captured" not in requests.columns:
         requests = requests.withColumn("captured", F.lit(False))
     first = _first_wins(requests)
     if stored is not None:
         first = first.join(stored.select(*RUN, "dst_var"), [*RUN, "dst_var"], "left_anti")
-    index = F.when(F.col("is_load"), loader_index(F.col("path"), F.col("dst_var"))).otherwise(
-        operation_index(F.col("scope"), F.col("run_id"), F.col("dst_var"))
-    )
-    return resolve_src_idx(durable(first.withColumn("dst_idx", index), "registered"), stored)
+    first = durable(first, "registered")
+    loaded = F.when(F.col("is_load"), loader_index(F.col("path"), F.col("dst_var")))
+    index = F.when(F.col("is_load"), loaded).otherwise(operation_index(F.col("scope"), F.col("run_id"), F.col("dst_var")))
+    known = first.select(
+        *RUN, F.col("dst_var").alias("src_var"), (~F.coalesce("is_load", F.lit(False))).alias("named"),
+        loaded.alias("src_idx"), F.col("op_seq").alias("src_seq"))
+    return _resolved(first, known, stored).withColumn("dst_idx", index)
+
+
+def _known(operations: DataFrame, seq: Column) -> DataFrame:
+    """Registrations as sources; an index that the name gives is not spelled out."""
+    named = F.coalesce(F.col("dst_idx") == operation_index(F.col("scope"), F.col("run_id"), F.col("dst_var")), F.lit(False))
+    return operations.select(
+        *RUN, F.col("dst_var").alias("src_var"), named.alias("named"),
+        F.when(~named, F.col("dst_idx")).alias("src_idx"), seq.alias("src_seq"))
 
 
 def _before(stored: DataFrame) -> DataFrame:
     """Stored registrations as sources that come before all others."""
-    return stored.select(*RUN, F.col("dst_var").alias("src_var"), F.col("dst_idx").alias("src_idx"), F.lit(-(2**63)).alias("src_seq"))
+    return _known(stored, F.lit(-(2**63)))
 
 
 def _first_wins(requests: DataFrame) -> DataFrame:
@@ -88,25 +102,24 @@ def resolve_src_idx(operations: DataFrame, stored: DataFrame | None = None) -> D
     A source without an earlier registration leaves a null in ``src_idxs``;
     :func:`validate_order` reports it.
     """
-    known = operations.select(
-        *RUN, F.col("dst_var").alias("src_var"), F.col("dst_idx").alias("src_idx"),
-        F.col("op_seq").alias("src_seq"),
-    )
+    return _resolved(operations, _known(operations, F.col("op_seq")), stored)
+
+
+def _resolved(operations: DataFrame, known: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Operations with ``src_idxs``; ``known`` is what they register themselves."""
     if stored is not None:
         known = known.unionByName(_before(stored))
     found = _sources(operations).join(known, [*RUN, "src_var"], "left")
-    idx = F.when(F.col("src_seq") < F.col("op_seq"), F.col("src_idx"))
+    earlier = F.col("src_seq") < F.col("op_seq")
+    source = F.struct("pos", F.when(earlier, F.col("named")).alias("named"), F.when(earlier, F.col("src_idx")).alias("idx"))
     # a list per operation, as long as the operation's own source list
-    resolved = (
-        found.groupBy(*RUN, "dst_var")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", idx.alias("idx")))).alias("_pairs"))
-        .select(*RUN, "dst_var", F.transform("_pairs", lambda x: x.idx).alias("src_idxs"))
-    )
+    resolved = found.groupBy(*RUN, "dst_var").agg(F.array_sort(F.collect_list(source)).alias("_pairs"))
+    index = lambda x: F.when(x.named, operation_index(F.col("scope"), F.col("run_id"), F.get("src_vars", x.pos))).otherwise(x.idx)
     kept = operations.drop("src_idxs")
     empty = F.array().cast("array<string>")
     return kept.join(resolved, [*RUN, "dst_var"], "left").withColumn(
-        "src_idxs", F.coalesce("src_idxs", empty)
-    )
+        "src_idxs", F.coalesce(F.transform("_pairs", index), empty)
+    ).drop("_pairs")
 
 
 def validate_order(operations: DataFrame, runs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -121,7 +134,7 @@ def validate_order(operations: DataFrame, runs: DataFrame, stored: DataFrame | N
     )
     first = operations.groupBy(*RUN, F.col("dst_var").alias("src_var")).agg(F.min("op_seq").alias("src_seq"))
     if stored is not None:
-        first = first.unionByName(_before(stored).drop("src_idx"))
+        first = first.unionByName(_before(stored).drop("src_idx", "named"))
     is_self = F.col("src_var") == F.col("dst_var")
     late = F.col("src_seq").isNull() | (F.col("src_seq") >= F.col("op_seq"))
     order = (
@@ -161,19 +174,27 @@ def _upstream(operations: DataFrame, targets: DataFrame) -> DataFrame:
     An edge leads from an operation to a source that the same run registered,
     earlier or later; null and unknown sources lead nowhere, and neither do
     unknown targets.  A cycle upstream of a target is an error.
+    ``targets`` may have a column ``note``: then each of them counts, and its note
+    stands in all of its rows.
     """
-    given = targets.select(*RUN, "dst_idx").distinct()
+    noted = [c for c in targets.columns if c == "note"]
+    given = targets.select(*RUN, "dst_idx", *noted).dropna(subset=RUN)
+    given = durable(given if noted else given.distinct(), "targets")
     log = operations.select(*RUN, "dst_idx", "src_idxs", *[c for c in operations.columns if c == "op_seq"])
     aims = given.groupBy(*RUN).agg(F.count(F.lit(1)).alias("targets"))
+    if given.limit(FEW + 1).count() <= FEW:
+        log = log.join(F.broadcast(aims.select(*RUN)), RUN, "left_semi")  # otherwise tasks drop what is not aimed at
     size = log.groupBy(*RUN).agg(F.sum(1 + F.greatest(F.size("src_idxs"), F.lit(0))).alias("size"))
     large = aims.join(size, RUN).where(F.col("targets") * F.col("size") > TASK_SIZE).select(*RUN)
-    named = large.limit(2).collect()
-    if not named:
-        return _in_tasks(log.join(aims.select(*RUN), RUN, "left_semi"), given)
+    if not large.limit(2).collect():
+        return _in_tasks(log, given)
     large = durable(large, "large-runs")
-    small = aims.select(*RUN).join(large, RUN, "left_anti")
-    inside = _in_tasks(log.join(small, RUN, "left_semi"), given.join(large, RUN, "left_anti"))
-    return inside.unionByName(_over_tasks(log.join(large, RUN, "left_semi"), given.join(large, RUN, "left_semi")))
+    inside = _in_tasks(log.join(large, RUN, "left_anti"), given.join(large, RUN, "left_anti"))
+    some = given.join(large, RUN, "left_semi")
+    outside = _over_tasks(log.join(large, RUN, "left_semi"), some.drop("note").distinct())
+    if noted:
+        outside = outside.join(some.withColumnRenamed("dst_idx", "target_idx"), [*RUN, "target_idx"])
+    return inside.unionByName(outside)
 
 
 def _in_tasks(log: DataFrame, targets: DataFrame) -> DataFrame:
@@ -181,10 +202,11 @@ def _in_tasks(log: DataFrame, targets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count = 0
+        count, last = 0, (None, False)
         for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
+            some, last = _aimed(batch, *last)
+            held.append(some)
+            count += some.num_rows
             if count >= ROWS:
                 table = pa.Table.from_batches(held)
                 done = int(np.searchsorted(number := _run_numbers(table), number[-1]))  # the last run may go on
@@ -195,18 +217,32 @@ def _in_tasks(log: DataFrame, targets: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<string>")
     rows = log.drop("op_seq").withColumn("is_target", F.lit(False)).unionByName(
-        targets.withColumns({"src_idxs": none, "is_target": F.lit(True)}))
+        targets.withColumns({"src_idxs": none, "is_target": F.lit(True)}), allowMissingColumns=True)
     # by a hash of the run: a plain repartition by columns by which both sides of the union are already dealt
     # would be left out of the plan, and adaptive execution then coalesces the sides apart from each other
-    dealt = rows.repartition(F.xxhash64(*RUN)).sortWithinPartitions(*RUN)
-    given = dealt.select(*RUN, "dst_idx", F.coalesce("src_idxs", none).alias("src_idxs"), "is_target")
-    counted = durable(given.mapInArrow(run, PATHS), "paths")
+    dealt = rows.repartition(F.xxhash64(*RUN)).sortWithinPartitions(*RUN, F.desc("is_target"))
+    noted = [c for c in targets.columns if c == "note"]
+    given = dealt.select(*RUN, "dst_idx", F.coalesce("src_idxs", none).alias("src_idxs"), "is_target", *noted)
+    columns = PATHS + "".join(f", {c} {targets.schema[c].dataType.simpleString()}" for c in noted)
+    counted = durable(given.mapInArrow(run, columns), "paths")
     bad = counted.where("paths IS NULL").first()
     if bad:
         raise LineageCycle(f"a cycle lies upstream of {bad['target_idx']!r} in run {bad['run_id']!r}")
     return counted
 
 
+def _aimed(batch: pa.RecordBatch, last: tuple | None, last_aimed: bool) -> tuple[pa.RecordBatch, tuple]:
+    """Rows of runs that have a target, which comes first; ``last`` is the run of the row before and whether it has one."""
+    if not batch.num_rows:
+        return batch, (last, last_aimed)
+    number = _run_numbers(pa.Table.from_batches([batch]))
+    name = lambda row: tuple(batch.column(c)[row].as_py() for c in RUN)
+    aimed = batch.column("is_target").to_numpy(zero_copy_only=False)[np.flatnonzero(np.r_[True, number[1:] != number[:-1]])]
+    if name(0) == last:
+        aimed[0] = last_aimed
+    return batch.filter(pa.array(aimed[number])), (name(batch.num_rows - 1), bool(aimed[-1]))
+
+
 def _run_numbers(table: pa.Table) -> np.ndarray:
     """0, 0, 0, 1, ...: the run of each row, for rows sorted by run."""
     new = np.zeros(table.num_rows, np.int64)
@@ -233,19 +269,23 @@ def _counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
     at = lambda keys: np.minimum(np.searchsorted(nodes, keys), len(nodes) - 1)
     known = (nodes[at(source)] == source) & (code[row] >= 0)
     edge, weight = np.unique(at(key[row[known]]) * len(nodes) + at(source[known]), return_counts=True)
-    target = at(key[aimed])[nodes[at(key[aimed])] == key[aimed]]
+    asked = np.flatnonzero(aimed)[nodes[at(key[aimed])] == key[aimed]]  # rows
+    target = at(key[asked])
     first = np.searchsorted(nodes, np.arange(run[-1] + 2) * size)  # nodes of a run stand together
     of_run = nodes // size
     step = (first[of_run[target] + 1] - first[of_run[target]]).cumsum()
     row_of = np.full(run[-1] + 1, 0)
     row_of[run] = np.arange(len(run))  # some row of each run
-    for part in np.split(target, np.searchsorted(step, np.arange(1, step[-1] // TASK_SIZE + 1) * TASK_SIZE)) if len(target) else []:
+    for rows in np.split(asked, np.searchsorted(step, np.arange(1, step[-1] // TASK_SIZE + 1) * TASK_SIZE)) if len(target) else []:
+        part = at(key[rows])
         which, node, paths = _peeled(edge // len(nodes), edge % len(nodes), weight, part, first[of_run[part]], first[of_run[part] + 1])
         text = lambda k: name.dictionary.take(pa.array(nodes[k] % size))
         where = pa.array(row_of[of_run[node]])
+        noted = [c for c in table.column_names if c == "note"]
         yield pa.RecordBatch.from_arrays(
-            [table.column("scope").combine_chunks().take(where), table.column("run_id").combine_chunks().take(where), text(part[which]), text(node), paths],
-            ["scope", "run_id", "target_idx", "dst_idx", "paths"])
+            [table.column("scope").combine_chunks().take(where), table.column("run_id").combine_chunks().take(where), text(part[which]), text(node), paths,
+             *[table.column(c).combine_chunks().take(pa.array(rows[which])) for c in noted]],
+            ["scope", "run_id", "target_idx", "dst_idx", "paths", *noted])
 
 
 def _fanned(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,15 +427,15 @@ def _walk(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return spark.read.schema(table.schema).parquet(*tables)
 
 
-def propagate_score(paths: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Score events: ``feedback`` times the paths from each ancestor.
+def propagate_score(paths: DataFrame) -> DataFrame:
+    """Score events: a target's verdicts times the paths from each ancestor.
 
-    ``feedback`` has ``scope, run_id, target_idx, evaluated_var, feedback``.
+    ``paths`` are noted with ``evaluated_var`` and all ``feedback`` of the target.
     """
-    return paths.join(feedback, [*RUN, "target_idx"]).select(
+    return paths.select(*RUN, "dst_idx", "paths", "note.evaluated_var", F.explode("note.feedback").alias("feedback")).select(
         *RUN,
         "dst_idx",
-        (F.col("paths") * F.col("feedback").cast("double")).alias("delta"),
+        (F.col("paths") * F.col("feedback")).alias("delta"),
         "evaluated_var",
         F.current_timestamp().alias("at"),
     )
@@ -411,9 +451,7 @@ def evaluate(operations: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     Every run named takes part whether it is finished or not.
     """
-    aimed = verdicts.join(
-        operations.select(*RUN, F.col("dst_var").alias("var"), F.col("dst_idx").alias("target_idx")),
-        [*RUN, "var"],
-    ).select(*RUN, "target_idx", F.col("var").alias("evaluated_var"), "feedback")
-    targets = aimed.select(*RUN, F.col("target_idx").alias("dst_idx"))
-    return propagate_score(path_counts(operations, targets), aimed)
+    given = verdicts.groupBy(*RUN, "var").agg(F.collect_list(F.struct(F.col("feedback").cast("double").alias("x"))).alias("feedback"))
+    targets = given.join(operations.select(*RUN, F.col("dst_var").alias("var"), "dst_idx"), [*RUN, "var"]).select(
+        *RUN, "dst_idx", F.struct(F.col("var").alias("evaluated_var"), F.col("feedback.x").alias("feedback")).alias("note"))
+    return propagate_score(_upstream(operations, targets))

@@ -29,6 +29,8 @@ from trustweave.sources.tables import CAPTURE_RUN, RUN_ID, Tables, check_run_id
 
 LOAD_PREFIX = "LOADER_"
 LISTED_SCOPES = 1000
+#: Tables of so few scopes are written without being rebalanced by scope.
+FEW_SCOPES = 4
 
 
 class OrderViolation(ValueError):
@@ -79,12 +81,16 @@ class Workspace:
         stored = self._within(self.tables.read("operations"), scopes).join(batch, lineage.RUN, "left_semi").select(*lineage.RUN, "dst_var", "dst_idx")
         running = search.current_runs(self._within(self.tables.read("runs"), scopes)).where("finish IS NULL")
         registered = durable(lineage.register_operations(requests, stored), "registered")
-        bad = lineage.validate_order(registered, running, stored).orderBy("violation", "op_seq").first()
+        bad = None
+        # a source that was not registered before has no index, and an unknown run none that runs: else all is well
+        if not registered.where("exists(src_idxs, x -> x IS NULL)").isEmpty() or not registered.select(*lineage.RUN).distinct().join(
+                running.select(*lineage.RUN), lineage.RUN, "left_anti").isEmpty():
+            bad = lineage.validate_order(registered, running, stored).orderBy("violation", "op_seq").first()
         if bad and bad["violation"] == "unknown_run":
             raise KeyError(f"run {bad['run_id']!r} in scope {bad['scope']!r} is not running")
         if bad:
             raise OrderViolation(f"{bad['dst_var']!r} of run {bad['run_id']!r}: source {bad['src_var']!r} ({bad['violation']})")
-        self.tables.write("operations", registered)
+        self.tables.write("operations", registered, dealt=_few(scopes))
         return registered
 
     def _scopes(self, rows: DataFrame) -> list[str] | None:
@@ -205,12 +211,13 @@ class Workspace:
 
         A verdict on a variable that its run has not registered refuses them all.
         """
-        operations = self._within(self.tables.read("operations"), self._scopes(verdicts))
+        scopes = self._scopes(verdicts)
+        operations = self._within(self.tables.read("operations"), scopes)
         registered = operations.select(*lineage.RUN, F.col("dst_var").alias("var"))
         unknown = verdicts.join(registered, [*lineage.RUN, "var"], "left_anti").first()
         if unknown:
             raise KeyError(f"run {unknown['run_id']!r} in scope {unknown['scope']!r} has no variable {unknown['var']!r}")
-        self.tables.write("scores", lineage.evaluate(operations, verdicts))
+        self.tables.write("scores", lineage.evaluate(operations, verdicts), dealt=_few(scopes))
         return self.scores()
 
     def scores(self) -> DataFrame:
@@ -473,6 +480,10 @@ def column_classes(df: DataFrame) -> str:
     return ",".join("s" if trust.is_textual(kind) else "n" for _, kind in df.dtypes)
 
 
+def _few(scopes: list[str] | None) -> bool:
+    return scopes is not None and len(scopes) <= FEW_SCOPES
+
+
 def _slices(items: list, size: int = 1000) -> list[list]:
     return [items[i:i + size] for i in range(0, len(items), size)]
 

@@ -86,5 +86,5 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     of everything before.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -74,17 +74,18 @@ class Tables:
         frame = frame.select(*_names(columns))
         return frame.distinct() if name in _REPEATABLE else frame
 
-    def write(self, name: str, rows: DataFrame, compat: bool = False) -> None:
+    def write(self, name: str, rows: DataFrame, compat: bool = False, dealt: bool = False) -> None:
         """Append rows, or replace the partitions they belong to.
 
         Bucket specs are neither: one that is there already stays.  Rows are rebalanced by partition first: small partitions get one file,
-        a large one is split over several tasks.
+        a large one is split over several tasks.  Rows that are ``dealt``, read from few
+        files and of few partitions, are written as they are.
         """
         _, parts = _LAYOUT[name]
         if name in _FROZEN:
             self._freeze(name, rows, compat)
         else:
-            self._save(name, rows.hint("rebalance", *parts), compat)
+            self._save(name, rows if dealt else rows.hint("rebalance", *parts), compat)
 
     def _freeze(self, name: str, rows: DataFrame, compat: bool) -> None:
         """Create a file per key unless there is one; of several drivers the first wins.
