@@ -85,7 +85,7 @@ def benchmark_qualify(spark, d):
     paths = {}
     for name, df in (("standards", standards), ("softwares", softwares)):
         paths[name] = shared_path(spark, name)
-        store_delimited(df, paths[name], ",")
+        store_delimited(df, paths[name], ",", codec="gzip")
     loaded = [
         run.load(paths["standards"], "standards", "Platform STRING, MaxMem INT, MinMem INT"),
         run.load(paths["softwares"], "softwares", "Name STRING, Platform STRING, MaxMem INT, MinMem INT, Rate FLOAT"),

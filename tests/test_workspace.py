@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from trustweave.operators import trust
 from trustweave.plans import anomaly, qualify, wifi
 from trustweave.plans.workspace import OrderViolation
+from trustweave.session import durable
 from trustweave.sources.tables import CAPTURE_RUN
 
 STANDARDS = "Windows,4096,512\nLinux,8192,256\nMac,1024,128\n"
@@ -449,3 +450,36 @@ def test_a_variable_registered_in_several_ways_is_checked_in_bulk(workspace, spa
     assert {(r["run_id"], r["col_idx"]) for r in rows} == {(f"r{s}", c) for s in range(6) for c in range(1 + s % 2)}
     assert {(r["status"], r["n_history"]) for r in rows} == {("ok", 5)}
     assert workspace.tables.read("dist").select("run_id", "col_idx").distinct().count() == 12
+
+
+def test_what_is_stored_is_compressed(workspace, spark):
+    """Captures, metadata and intermediate tables, in zstd."""
+    run = workspace.start_run("s")
+    rows = run.loaded(spark.range(50), "p", "a")
+    run.capture(rows, "b", ["a"], "op")
+    workspace.import_history("h", "x", rows.withColumn("r", (F.col("id") % 2).cast("string")), "r", F.lit("2024-01-01 00:00:00"))
+    tables = workspace.tables
+    for stored in (tables.read_capture("s", "b", run.run_id), tables.read_captures("h", "x"), tables.read("operations"), durable(rows, "rows")):
+        files = stored.inputFiles()
+        assert files and all(".zstd." in f for f in files)
+
+
+def test_a_batch_in_order_is_not_validated_source_by_source(workspace, spark, monkeypatch):
+    columns = ("scope STRING, run_id STRING, op_seq LONG, src_vars ARRAY<STRING>, operation STRING, dst_var STRING, is_load BOOLEAN, "
+               "column_types STRING, inspected_columns ARRAY<INT>, started TIMESTAMP, path STRING")
+    steps = lambda run, *steps: spark.createDataFrame(
+        [("s", run, i, src, "op", var, not src, "n", [], None, "p") for i, (var, src) in enumerate(steps)], columns)
+    workspace.start_runs(spark.createDataFrame([("s", "r", "", None)], "scope STRING, run_id STRING, info STRING, at TIMESTAMP"))
+    with monkeypatch.context() as patched:
+        patched.setattr("trustweave.operators.lineage.validate_order", lambda *_: pytest.fail("joined"))
+        workspace.register(steps("r", ("a", []), ("b", ["a", "a"])))
+        workspace.register(steps("r", ("c", ["b"]), ("a", ["zz"])))  # a is there already
+    for bad, error in (
+        (steps("r", ("d", ["zz"])), OrderViolation), (steps("r", ("d", ["d"])), OrderViolation),
+        (steps("r", ("d", ["e"]), ("e", ["a"])), OrderViolation), (steps("q", ("d", [])), KeyError),
+    ):
+        with pytest.raises(error):
+            workspace.register(bad)
+    log = {r["dst_var"]: r["src_idxs"] for r in workspace.tables.read("operations").collect()}
+    b = workspace.tables.read("operations").where("dst_var = 'b'").first()["dst_idx"]
+    assert log == {"a": [], "b": ["p#a", "p#a"], "c": [b]}

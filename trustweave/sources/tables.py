@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from trustweave import schema
-from trustweave.session import durable, empty
+from trustweave.session import CODEC, durable, empty
 
 CAPTURE_RUN = "capture_run"
 RUN_ID = "[A-Za-z0-9_.-]+"
@@ -129,7 +129,7 @@ class Tables:
 
     def _save(self, name: str, rows: DataFrame, compat: bool = False, replace: bool = False) -> None:
         columns, parts = _LAYOUT[name]
-        writer = rows.select(*_names(columns)).write.partitionBy(*parts)
+        writer = rows.select(*_names(columns)).write.option("compression", CODEC).partitionBy(*parts)
         if replace or name in _REPLACED:
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self._path(name, compat))
         else:
@@ -146,7 +146,7 @@ class Tables:
         check_run_id(run_id)
         _check_names(df)
         path = self.capture_path(scope, var, run_id)
-        df.write.mode("append" if append else "overwrite").parquet(path)
+        df.write.option("compression", CODEC).mode("append" if append else "overwrite").parquet(path)
         return self.read_capture(scope, var, run_id)
 
     def write_captures(self, df: DataFrame, scope: str, var: str, run_id: str) -> None:
@@ -160,6 +160,7 @@ class Tables:
         (
             rows.hint("rebalance", CAPTURE_RUN)
             .write.mode("overwrite")
+            .option("compression", CODEC)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(CAPTURE_RUN)
             .parquet(self.capture_path(scope, var))
