@@ -483,3 +483,22 @@ def test_a_batch_in_order_is_not_validated_source_by_source(workspace, spark, mo
     log = {r["dst_var"]: r["src_idxs"] for r in workspace.tables.read("operations").collect()}
     b = workspace.tables.read("operations").where("dst_var = 'b'").first()["dst_idx"]
     assert log == {"a": [], "b": ["p#a", "p#a"], "c": [b]}
+
+
+def test_requests_are_computed_once(workspace, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("s", "r", i, ["a"] if i else [], "op", "abc"[i], not i, "n", [], None, "p") for i in range(3)]
+    requests = spark.createDataFrame(rows, (
+        "scope STRING, run_id STRING, op_seq LONG, src_vars ARRAY<STRING>, operation STRING, dst_var STRING, is_load BOOLEAN, "
+        "column_types STRING, inspected_columns ARRAY<INT>, started TIMESTAMP, path STRING"))
+    workspace.start_runs(spark.createDataFrame([("s", "r", "", None)], "scope STRING, run_id STRING, info STRING, at TIMESTAMP"))
+    assert workspace.register(requests.mapInArrow(counted, requests.schema)).count() == 3
+    assert seen.value == 3
+    assert workspace.register(requests.mapInArrow(counted, requests.schema)).count() == 0
+    assert seen.value == 6

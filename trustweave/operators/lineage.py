@@ -54,12 +54,20 @@ def register_operations(requests: DataFrame, stored: DataFrame | None = None) ->
     The deduplicated log is written once, since resolving reads it three times;
     indices that names give are made afterwards and not moved.
     """
+    return resolve_registrations(first_registrations(requests), stored)
+
+
+def first_registrations(requests: DataFrame) -> DataFrame:
+    """The first of the requests for each ``(run, dst_var)``, written once."""
     if "captured" not in requests.columns:
         requests = requests.withColumn("captured", F.lit(False))
-    first = _first_wins(requests)
-    if stored is not None:
-        first = first.join(stored.select(*RUN, "dst_var"), [*RUN, "dst_var"], "left_anti")
-    first = durable(first, "registered")
+    return durable(_first_wins(requests), "requested")
+
+
+def resolve_registrations(first: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Operations from first registrations, see :func:`register_operations`."""
+    if stored is not None and not stored.isEmpty():
+        first = durable(first.join(stored.select(*RUN, "dst_var"), [*RUN, "dst_var"], "left_anti"), "registered")
     loaded = F.when(F.col("is_load"), loader_index(F.col("path"), F.col("dst_var")))
     index = F.when(F.col("is_load"), loaded).otherwise(operation_index(F.col("scope"), F.col("run_id"), F.col("dst_var")))
     known = first.select(

@@ -74,13 +74,14 @@ class Workspace:
         sources may stem from an earlier batch.  ``op_seq`` orders a batch; what is
         stored comes before it.  An unknown or finished run, a variable that names
         itself, or a source that is not registered before refuses them all.
-        Only the folders of the batch's scopes are read.
+        Only the folders of the batch's scopes are read, and ``requests`` is computed once.
         """
-        scopes = self._scopes(requests)
-        batch = requests.select(*lineage.RUN).distinct()
+        first = lineage.first_registrations(requests)
+        scopes = self._scopes(first)
+        batch = first.select(*lineage.RUN).distinct()
         stored = self._within(self.tables.read("operations"), scopes).join(batch, lineage.RUN, "left_semi").select(*lineage.RUN, "dst_var", "dst_idx")
         running = search.current_runs(self._within(self.tables.read("runs"), scopes)).where("finish IS NULL")
-        registered = durable(lineage.register_operations(requests, stored), "registered")
+        registered = durable(lineage.resolve_registrations(first, stored), "registered")
         bad = None
         # a source that was not registered before has no index, and an unknown run none that runs: else all is well
         if not registered.where("exists(src_idxs, x -> x IS NULL)").isEmpty() or not registered.select(*lineage.RUN).distinct().join(
