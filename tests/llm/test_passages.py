@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from trustweave.llm import passages as P
+from trustweave.llm.shared import Scratch
 
 
 def tree(v, lo, hi, span, out):
@@ -183,3 +184,43 @@ def test_stretches_by_min_hash():
     starts, keys = P.blocks_of(s, np.array(sorted(wanted), np.uint64))
     assert starts.tolist() == [a for a, x in enumerate(least) if x in wanted]
     assert len(set(keys.tolist())) == len({tuple(s[a:a + P.SPAN].tolist()) for a in starts})
+
+
+def test_documents_are_read_and_shuffled_once_for_all_rounds(spark, tmp_path, monkeypatch):
+    rows, _ = corpus()
+    at = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(at)
+    tables, scans = set(spark.catalog.listTables()), []
+    for name in ("keep", "keep_by"):
+        def spied(self, df, *a, keep=getattr(Scratch, name)):
+            scans.append(any(at in f for f in df.inputFiles()))
+            return keep(self, df, *a)
+        monkeypatch.setattr(Scratch, name, spied)
+    assert P.repeated_passages(spark.read.parquet(at)).count() > 0
+    assert sum(scans) == 2  # once for windows, once to deal the texts out
+    assert set(spark.catalog.listTables()) == tables
+
+
+def test_buckets_spare_a_shuffle(spark):
+    scratch = Scratch(spark, "buckets", tidy=True)
+    texts = scratch.keep_by(spark.range(1000).selectExpr("id AS doc", "repeat('x', 100) AS text"), "doc")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        both = spark.range(500).selectExpr("id * 2 AS doc").join(texts, "doc")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and both.count() == 500
+    finally:
+        spark.conf.set(key, before)
+    scratch.free(texts)
+
+
+def test_windows_survive_their_packing():
+    least, most = -2**31, 2**31 - 1
+    c, l, r = np.array([5, 0, 2**30]), np.array([0, 0, 2**30 - 7]), np.array([50, 0, 2**30 + 9])
+    function, many, right, left = np.array([4, 0, 3]), np.array([True, False, True]), np.array([least, most, -1]), np.array([-1, least, 7])
+    dense = P.packed_windows(np.array([-1, 2, least]), np.array([7, -8, 2**62]), function, c, l, r, right.astype(np.int32), left.astype(np.int32), many)
+    back = P._spread(dense)
+    for name, x in zip("hash c l r right left many".split(), (function, c, l, r, right, left, many)):
+        assert back.column(name).to_pylist() == x.tolist(), name

@@ -58,6 +58,9 @@ _FACTORS = [np.uint64(2 * x + 1) for x in np.random.default_rng(77).integers(1,
 
 WINDOW = "value long, hash int, doc long, c int, l int, r int, right int, left int, many boolean"
 _NAMES = [f.split()[0] for f in WINDOW.split(", ")]
+#: A window as it is shuffled: ``place`` holds c, hash and many, ``reach`` how far l and r are from c, ``sides`` right and left.
+DENSE = "value long, doc long, place long, reach long, sides long"
+_DENSE = [f.split()[0] for f in DENSE.split(", ")]
 _SIDE = "doc c l r".split()
 PASSAGE = "doc_id long, start int, end int, source_doc_id long, source_start int, source_end int, similarity double"
 
@@ -73,8 +76,11 @@ def compact_windows(v: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.nda
     none = np.empty(0, np.int64)
     if n < span:
         return none, none, none
-    least = [v]  # least[k][i]: minimum of the 2^k values from i on
-    while 2 ** len(least) <= n:
+    longest = int(np.diff(np.r_[-1, np.flatnonzero(v == 0), n]).max()) - 1
+    if longest < span:
+        return none, none, none
+    least = [v]  # least[k][i]: minimum of the 2^k values from i on; no range is longer than a text
+    while 2 ** len(least) <= longest:
         low, step = least[-1], 2 ** (len(least) - 1)
         least.append(np.minimum(low[:-step], low[step:]))
     k = span.bit_length() - 1
@@ -121,8 +127,14 @@ def _at(values: np.ndarray, text: np.ndarray, c: np.ndarray, aside: int) -> np.n
     return np.where((text[there] == text[c]) & (there == c + aside), values[there], np.uint64(0)).astype(np.uint32).view(np.int32)
 
 
+def packed_windows(value, doc, function, c, l, r, right: np.ndarray, left: np.ndarray, many) -> pa.RecordBatch:
+    """``DENSE`` columns of ``WINDOW`` ones."""
+    columns = value, doc, (c << 4) | (function << 1) | many, ((c - l) << 32) | (r - c), (right.astype(np.int64) << 32) | left.view(np.uint32)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], _DENSE)
+
+
 def all_windows(docs: DataFrame) -> DataFrame:
-    """Compact windows of every text under every hash function; no shuffle."""
+    """Compact windows of every text under every hash function, as ``DENSE``; no shuffle."""
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -135,7 +147,7 @@ def all_windows(docs: DataFrame) -> DataFrame:
                 shingles += [s | np.uint64(1), gap]
                 owner.append(np.full(len(s) + 1, i))
                 place.append(np.arange(len(s) + 1))
-        columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+        found = []
         if shingles:
             s, owner, place = map(np.concatenate, (shingles, owner, place))
             for f, factor in enumerate(_FACTORS):
@@ -143,15 +155,11 @@ def all_windows(docs: DataFrame) -> DataFrame:
                 c, l, r = compact_windows(v)
                 c, l, r, many = merged_windows(v[c], owner[c], c, l, r)
                 at = place[c] - c
-                row = (v[c].view(np.int64), np.full(len(c), f), ids[owner[c]], place[c], l + at, r + at, _at(s, owner, c, ASIDE), _at(s, owner, c, -ASIDE), many)
-                for column, x in zip(columns, row):
-                    column.append(x)
-        types = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5, pa.bool_()]
-        arrays = [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(columns, types)]
-        return pa.RecordBatch.from_arrays(arrays, _NAMES)
+                found.append(packed_windows(v[c].view(np.int64), ids[owner[c]], f, place[c], l + at, r + at, _at(s, owner, c, ASIDE), _at(s, owner, c, -ASIDE), many))
+        return pa.concat_batches(found) if found else pa.RecordBatch.from_pylist([], pa.schema([(n, pa.int64()) for n in _DENSE]))
 
     given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return per_batch(given, run, WINDOW, 100)  # few texts at a time stay in the processor's cache
+    return per_batch(given, run, DENSE, 20)  # few texts at a time stay in the processor's cache
 
 
 # -- pairs with the representative of a value ------------------------------------
@@ -159,6 +167,16 @@ def all_windows(docs: DataFrame) -> DataFrame:
 PAIRED = WINDOW + ", adoc long, ac int, al int, ar int, edge boolean"
 
 
+def _spread(dense: pa.RecordBatch) -> pa.RecordBatch:
+    """``WINDOW`` columns of ``DENSE`` ones."""
+    value, doc, place, reach, sides = [x.to_numpy() for x in dense.columns]
+    c, many = place >> 4, (place & 1).astype(bool)
+    ints = [(place >> 1) & 7, c, c - (reach >> 32), c + (reach & 0xFFFFFFFF), sides >> 32]
+    function, c, l, r, right = [pa.array(x.astype(np.int32)) for x in ints]
+    left = pa.array(sides.astype(np.uint32).view(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(value), function, pa.array(doc), c, l, r, right, left, pa.array(many)], _NAMES)
+
+
 def _paired(table: pa.Table, hub: tuple | None) -> tuple[pa.RecordBatch, tuple]:
     """Rows of a sorted slice beside their value's first row; that row at the slice's end.
 
@@ -195,6 +213,7 @@ def _first_pairs(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
         hub = None
         for batch in batches:
             if batch.num_rows:
+                batch = _spread(batch)
                 out, last = _paired(pa.Table.from_batches([batch]), hub)
                 if hub is None:
                     yield _edge(tuple(batch.column(x)[0].as_py() for x in ("value", "hash", *_SIDE)))
@@ -204,7 +223,7 @@ def _first_pairs(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
             yield _edge(tuple(int(x) for x in hub))
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartitionByRange(parts, "value", "doc", "c").sortWithinPartitions("value", "doc", "c")
+    ordered = found.repartitionByRange(parts, "value", "doc", "place").sortWithinPartitions("value", "doc", "place")
     rows = scratch.keep(ordered.mapInArrow(run, PAIRED))
     # a value's first rows in neighbouring slices: two for each slice at most
     return rows, scratch.keep(_hub_pairs(rows.where("edge").select(*_NAMES).distinct(), ["value"]))
@@ -218,30 +237,37 @@ def _hub_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- verification ------------------------------------------------------------------
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... values."""
+    total = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=total[1:])
+    return total
+
+
 def _stretch(score: np.ndarray, least: int) -> tuple[int, int] | None:
     """``[start, end)`` of the highest sum among stretches of ``least`` positions or more, if it isn't negative."""
     if len(score) < least:
         return None
-    total = np.r_[0, np.cumsum(score)]
+    total = _sums(score)
     gain = total[least:] - np.minimum.accumulate(total)[:len(total) - least]
     at = int(gain.argmax())
     return (at - int(np.argmin(total[:at + 1][::-1])), at + least) if gain[at] >= 0 else None
 
 
 def _similarity(x: np.ndarray, y: np.ndarray) -> float:
-    x, y = np.unique(x), np.unique(y)
-    common = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = set(x.tolist()), set(y.tolist())
+    common = len(x & y)
     return common / (len(x) + len(y) - common)
 
 
-def _clusters(anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int, int, int]]:
+def _clusters(anchors: list[list[int]] | np.ndarray, agree: int) -> Iterator[tuple[int, int, int, int]]:
     """Intervals of both texts where windows of ``agree`` hash functions overlap."""
-    x = np.array(anchors)
+    x = np.asarray(anchors)
     x = x[np.lexsort((x[:, 4], x[:, 3]))]
     reach = np.maximum.accumulate(x[:, 4])
-    first = np.flatnonzero(np.r_[True, x[1:, 3] > reach[:-1]])
-    for part in np.split(x, first[1:]):
-        if len(np.unique(part[:, 0])) >= agree:
+    edges = [0, *(np.flatnonzero(x[1:, 3] > reach[:-1]) + 1).tolist(), len(x)]
+    for part in map(x.__getitem__, map(slice, edges, edges[1:])):
+        if len(set(part[:, 0].tolist())) >= agree:
             yield part[:, 1].min(), part[:, 2].max(), part[:, 3].min(), part[:, 4].max()
 
 
@@ -251,7 +277,9 @@ def _whole(a: np.ndarray, b: np.ndarray, start: int, end: int, hit: np.ndarray,
     if not len(at) or at[-1] + 1 - at[0] < SPAN:
         return None
     shift = place[at] - at
-    close = np.abs(shift - np.median(shift)) <= (end - start) // 2
+    ranked, half = np.sort(shift), len(shift) // 2
+    middle = (ranked[half] + ranked[-half - 1]) / 2
+    close = np.abs(shift - middle) <= (end - start) // 2
     spots = place[at][close]
     if not len(spots):
         return None
@@ -264,27 +292,25 @@ def _whole(a: np.ndarray, b: np.ndarray, start: int, end: int, hit: np.ndarray,
 def _by_runs(a: np.ndarray, b: np.ndarray, al: int, ar: int, lo: int, hi: int, hit: np.ndarray, place: np.ndarray) -> tuple | None:
     """Longest passage in ``b[lo:hi]`` that starts and ends with runs of ``a`` and is similar to what they enclose there."""
     there, here = a[al:ar + 1].tolist(), b[lo:hi].tolist()
-    first, runs, q = (place - al).tolist(), [], -1
+    first, runs, end = (place - al).tolist(), [], 0
     for p in np.flatnonzero(hit).tolist():
-        if runs and runs[-1][1] > p:
-            continue
-        if runs and runs[-1][1] == p and q + 1 < len(there) and there[q + 1] == here[p]:
-            q += 1
-            runs[-1][1] = p + 1
+        if p < end:
             continue
         q = first[p]
-        start, back = p, q
+        start, back, end, on = p, q, p + 1, q + 1
+        while end < len(here) and on < len(there) and there[on] == here[end]:
+            end, on = end + 1, on + 1
         while start and back and there[back - 1] == here[start - 1]:
             start, back = start - 1, back - 1
         while runs and runs[-1][0] >= start:
             runs.pop()
         if runs:
             runs[-1][1] = min(runs[-1][1], start)
-        runs.append([start, p + 1, back - start])
+        runs.append([start, end, back - start])
     if not runs:
         return None
     bs, be, shift = np.array(runs).T
-    total = np.r_[0, np.cumsum(be - bs)]
+    total = _sums(be - bs)
     able = []
     for i in range(len(bs)):
         mine, its = be[i:] - bs[i], be[i:] + shift[i:] - bs[i] - shift[i]
@@ -299,7 +325,7 @@ def _by_runs(a: np.ndarray, b: np.ndarray, al: int, ar: int, lo: int, hi: int, h
     return None
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[list[int]], agree: int) -> Iterator[tuple[int, int, int, int, float]]:
+def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[list[int]] | np.ndarray, agree: int) -> Iterator[tuple[int, int, int, int, float]]:
     """``b`` start and end, ``a`` start and end (in words), similarity; from shingle sequences.
 
     Where the stretch of most hits is not similar to its source as a whole, the
@@ -328,31 +354,31 @@ def passages_of(a: np.ndarray, b: np.ndarray, anchors: list[list[int]], agree: i
             todo += [(lo, start - bl), (end - bl, hi)]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, agree: int) -> DataFrame:
-    anchor = F.array("hash", "al", "ar", "l", "r")
-    grouped = pairs.where("doc <> adoc").groupBy("adoc", "doc").agg(F.collect_set(anchor).alias("anchors"))
-    some = scratch.keep(grouped.where(F.size(F.array_distinct(F.transform("anchors", lambda x: x[0]))) >= agree))
-    named = some.select(F.col("adoc").alias("_id")).union(some.select("doc")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("text IS NOT NULL")
-    texts = scratch.keep(texts.join(named, "_id", "left_semi"))
+def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, agree: int) -> DataFrame:
+    anchor = F.struct("hash", "al", "ar", "l", "r")
+    grouped = pairs.where("doc <> adoc").groupBy("adoc", "doc").agg(F.collect_list(anchor).alias("anchors"))
+    some = scratch.keep(grouped.where(F.size(F.array_distinct("anchors.hash")) >= agree))
+    # written, so that the pairs of a common source can be split in the join
+    sources = scratch.keep(texts.join(some.select(F.col("adoc").alias("doc")).distinct(), "doc", "left_semi"))
     # joined with the source last, so that a source's pairs follow each other
-    both = some.join(texts.select(F.col("_id").alias("doc"), F.col("text").alias("btext")), "doc").join(
-        texts.select(F.col("_id").alias("adoc"), F.col("text").alias("atext")), "adoc")
+    both = some.join(texts.withColumnRenamed("text", "btext"), "doc").join(sources.select(F.col("doc").alias("adoc"), F.col("text").alias("atext")), "adoc")
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, last = [], (None, None)
-        for adoc, doc, atext, btext, anchors in zip(*[batch.column(x).to_pylist() for x in ("adoc", "doc", "atext", "btext", "anchors")]):
+        lists = batch.column("anchors")
+        flat, ends = np.column_stack([x.to_numpy() for x in lists.flatten().flatten()]), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for i, (adoc, doc, atext, btext) in enumerate(zip(*[batch.column(x).to_pylist() for x in ("adoc", "doc", "atext", "btext")])):
             if last[0] != atext:
                 last = (atext, windows(hashes.of(atext)))
             b = windows(hashes.of(btext))
-            rows += [(doc, bs, be, adoc, s, e, sim) for bs, be, s, e, sim in passages_of(last[1], b, anchors, agree)]
+            rows += [(doc, bs, be, adoc, s, e, sim) for bs, be, s, e, sim in passages_of(last[1], b, flat[ends[i]:ends[i + 1]], agree)]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
         names = [f.split()[0] for f in PASSAGE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
 
     found = scratch.keep(per_batch(both.select("adoc", "doc", "atext", "btext", "anchors"), run, PASSAGE, 200))
-    scratch.free(some, texts)
+    scratch.free(some, sources)
     return found
 
 
@@ -403,12 +429,11 @@ def _blocks(texts: DataFrame) -> DataFrame:
     return per_batch(texts.select("doc", "text", "values", "known"), run, "key long, doc long, c int, fresh boolean", 100)
 
 
-def _block_pairs(held: DataFrame, docs: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+def _block_pairs(held: DataFrame, texts: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """Anchors of stretches with a min-hash in ``held`` (``doc, value``): each beside the same stretch of the first document that has it.
 
     Stretches inside ``known`` passages stand for others, but look for none.
     """
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     blocks = scratch.keep(_blocks(texts.join(held.groupBy("doc").agg(F.collect_set("value").alias("values")), "doc").join(known, "doc", "left")))
     ends = blocks.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("fresh"), F.col("doc"))).alias("last"))
     ends = scratch.keep(ends.where("first < last").drop("last"))  # written, so that a hot key's rows can be split in the join
@@ -459,25 +484,26 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     a passage is the source of the others.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "passages")
+    scratch = Scratch(spark, "passages", tidy=True)
     found = scratch.keep(all_windows(docs))
     rows, across = _first_pairs(found, scratch)
     pairs = rows.where("NOT edge").drop("edge").unionByName(across)
     scratch.free(found)
-    first = _verified(pairs, docs, scratch, AGREE)
+    texts = scratch.keep_by(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc")
+    first = _verified(pairs, texts, scratch, AGREE)
     position = F.col("c"), F.col("c")
     rest = scratch.keep(_flagged(pairs.where("doc <> adoc").select(*_NAMES), _known(first), *position).where("fresh").drop("fresh").distinct())
     members = scratch.keep(pairs.where("hash = 0").select("value", "doc", "c", "l", "r", "right", "left", "many"))
     scratch.free(rows, across)
     again = _hub_pairs(rest.where("right <> 0"), ["value", "right"]).unionByName(_hub_pairs(rest.where("left <> 0"), ["value", "left"]))
-    second = _verified(again, docs, scratch, 1)
+    second = _verified(again, texts, scratch, 1)
     scratch.free(rest)
     found = first.unionByName(second)
     known = scratch.keep(_known(found))
     held = _held(members, known, scratch)
     scratch.free(members)
-    third = _verified(_block_pairs(held, docs, known, scratch), docs, scratch, 1)
-    scratch.free(held, known)
+    third = _verified(_block_pairs(held, texts, known, scratch), texts, scratch, 1)
+    scratch.free(held, known, texts)
     return found.unionByName(third).distinct()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,21 +54,47 @@ class Scratch:
     """Tables in the shared folder that one operator writes and reads again.
 
     A written table cuts the lineage: a lost executor costs a re-read.  ``free``
-    deletes a table that no later result depends on.
+    deletes a table that no later result depends on.  With ``tidy`` the shuffle files
+    behind a table go as soon as it is written, not when the driver collects its garbage.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, scratch_path(spark, label), 0
+    def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
+        self.spark, self.root, self.n, self.tidy = spark, scratch_path(spark, label), 0, tidy
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        path = self._path()
+        self._write(lambda: df.write.parquet(path))
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch = path
         return kept
 
+    def keep_by(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` in buckets by ``key``: joins by it shuffle the other side only."""
+        path, table = self._path(), f"scratch_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._write(lambda: df.repartition(parts, key).write.bucketBy(parts, key).option("path", path).saveAsTable(table, format="parquet"))
+        kept = self.spark.table(table)
+        kept._scratch, kept._table = path, table
+        return kept
+
+    def _path(self) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n}"
+
+    def _write(self, write: Callable[[], None]) -> None:
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        if self.tidy:
+            self.spark.conf.set(key, "true")
+        try:
+            write()
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
+
     def free(self, *tables: DataFrame | None) -> None:
+        for table in [t._table for t in tables if hasattr(t, "_table")]:
+            self.spark.sql(f"DROP TABLE {table}")
         for path in [t._scratch for t in tables if t is not None]:
             jvm = self.spark._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
