@@ -121,3 +121,68 @@ def test_rows_without_id_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "some words"), (1, "some words"), (1, "some words")], "doc_id long, text string")
     rows = align.digest(align.aligned(df, RANKS, JSON, MODEL)).collect()
     assert len(rows) == 3 and {r.count_sum for r in rows} == {6} and {r.n_best for r in rows} == {2}
+
+
+def test_rows_of_chunks_stay_small(spark):
+    """No row holds a whole chunk, and a chunk goes on over batches."""
+    draw = np.random.default_rng(4)
+    texts = [" ".join("".join(chr(97 + c) for c in draw.integers(0, 26, 6)) for _ in range(100)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, 5)
+    try:
+        rows = align.chunked(align.aligned(df, RANKS, JSON, MODEL)).collect()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    pairs = [r.pairs for r in rows if r.pairs is not None]
+    assert max(map(len, pairs)) <= 4096 < sum(map(len, pairs))
+    assert sorted(r.doc_id for r in rows if r.pairs is None) == list(range(40))
+    assert len({r.chunk for r in rows}) == 1 and len({p for part in pairs for p in part}) == sum(map(len, pairs))
+
+
+def test_a_worker_forgets_words():
+    a, b = align.ranked(RANKS, JSON), align.pieced(MODEL)
+    texts = [" ".join(f"x{i}q" for i in range(500 * k, 500 * k + 500)) for k in range(300)]
+    known = []
+    for rows in align._slices(np.array([len(t) for t in texts])):
+        align._cut(texts[rows], a, b)
+        known.append(len(b.of.__self__.known))
+    assert max(known) < 110_000
+
+
+def test_small_chunks_in_small_batches(tokens, monkeypatch):
+    """Without Spark, so that the bounds can be set."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    texts = [t for t in [*ODD, *MORE, "", None, *ODD] if len(t or "") < 5000]
+    a, b = align.ranked(RANKS, JSON), align.pieced(MODEL)
+    for k, v in {"CHUNK": 400, "PART": 100, "BLOCK": 7, "TaskContext": SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2))}.items():
+        monkeypatch.setattr(align, k, v)
+    names = ["doc_id", "ids_a", "ids_b", "cuts_a", "cuts_b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(texts)))[i:i + 3], *[align._lists(*x) for x in align._cut(texts[i:i + 3], a, b)]], names) for i in range(0, len(texts), 3)]
+    run = align.chunked(SimpleNamespace(mapInArrow=lambda function, schema: function))
+    rows = [r for batch in run(iter(batches)) for r in batch.to_pylist()]
+    assert len({r["chunk"] for r in rows}) > 5 and all(r["chunk"] >> 32 == 2 for r in rows)
+    count = Counter()
+    for r in rows:
+        if r["pairs"] is not None:
+            assert 0 < len(r["pairs"]) <= 7
+            count.update(dict(zip(r["pairs"], r["held"])))
+    best = {}
+    for pair, n in count.items():
+        best[pair >> 32] = max(n, best.get(pair >> 32, 0))
+    told = []
+    for r in rows:
+        if r["pairs"] is None:
+            told.append((r["chunk"], None, None, {k: r[k] for k in (*align.KNOWN, "groups_sha256", "which", "times")}))
+        else:
+            told += [(r["chunk"], r["first"] + i, 2 * count[p] + (count[p] == best[p >> 32]), None) for i, p in enumerate(r["pairs"])]
+    told.sort(key=lambda t: (t[0], 1 << 40 if t[1] is None else t[1]))
+    doc = pa.struct([*[(k, pa.int64()) for k in align.KNOWN], ("groups_sha256", pa.string()), ("which", pa.binary()), ("times", pa.binary())])
+    table = pa.Table.from_pylist([dict(zip(align.TOLD, t)) for t in told], pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("told", pa.int64()), ("doc", doc)]))
+    expected = dict(enumerate(brute(texts, tokens)))
+    for size in (3, 50, 10**6):
+        got = [r for batch in align._scores(iter(table.to_batches(size))) for r in batch.to_pylist()]
+        assert {r["doc_id"]: tuple(r.values())[1:] for r in got} == expected and len(got) == len(texts)

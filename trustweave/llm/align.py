@@ -20,6 +20,11 @@ counts, documents are taken together in chunks of about ``CHUNK`` bytes: a chunk
 adds up its pairs before they are shuffled, and gets their counts back once.  So
 a pair that occurs everywhere is one row a chunk; no row is made per link.
 
+Memory does not grow with the table or a chunk: a worker cuts and links ``PART`` bytes
+at a time (or one longer text) and only numbers the pairs of its open chunk.  A row
+holds one document or ``BLOCK`` pairs, and row groups are small, since Spark reads a
+group's rows together.  For the scores a chunk's counts come sorted before its documents.
+
 Defined results: null and empty texts, and texts whose bytes a tokenizer does not
 give back, have no tokens, no groups and no links; texts of any length are cut
 whole; every row counts as a document of its own, also if rows repeat or have no
@@ -35,6 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,16 +48,23 @@ from pyspark.sql import functions as F
 
 from trustweave.llm.packing import SPLIT
 from trustweave.llm.pieces import Units, Vocabulary
-from trustweave.llm.shared import Scratch, bounded_batches
+from trustweave.llm.shared import Scratch, bounded_batches, released
 
 STRETCH = 256
 CHUNK = 2_000_000
+#: Bytes of text that a worker takes at a time; pairs in a row; words that a worker remembers.
+PART, BLOCK, WORDS = 250_000, 4096, 60_000
+#: Arrow batches hold no more than this (or one row).
+BATCH = "4m"
+#: Of the written chunks; the size is looked at every few rows, as one can be large.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "10"}
 #: Groups with more links than this are counted by distinct ids.
 LARGE = 4096
 ALIGNED = "doc_id long, ids_a array<int>, ids_b array<int>, cuts_a array<int>, cuts_b array<int>"
+#: A row is a document (``which`` pairs of its chunk it holds, and how many ``times``) or, from ``first`` on, some of a chunk's pairs.
 COUNTED = (
-    "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
-    "pairs array<long>, held array<long>, start array<int>, which array<int>, times array<long>"
+    "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, which binary, times binary, "
+    "first int, pairs array<long>, held array<long>"
 )
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -104,7 +117,7 @@ def pieced(model: str) -> Side:
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     space = next(i for i, (text, _) in words.pieces.items() if text == " ")
     cut = lambda units: [ids or [space] for ids in library.encode([u[1:] for u in units], num_threads=1)]  # it adds the space itself
-    return Side(words.raw, Units(words, cut).of)
+    return Side(words.raw, Units(words, cut, WORDS).of)
 
 
 def _exact(side: Side, ids: np.ndarray, start: np.ndarray, raw: list[bytes]) -> np.ndarray:
@@ -167,10 +180,10 @@ def _lists(values: np.ndarray, start: np.ndarray) -> pa.ListArray:
 
 
 def _slices(sizes: np.ndarray) -> Iterator[slice]:
-    """Rows of about ``CHUNK`` bytes; a longer row is one of its own."""
+    """Rows of about ``PART`` bytes; a longer row is one of its own."""
     at, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if i > at and total + size > CHUNK:
+        if i > at and total + size > PART:
             yield slice(at, i)
             at, total = i, 0
         total += size
@@ -181,17 +194,20 @@ def _slices(sizes: np.ndarray) -> Iterator[slice]:
 def aligned(docs: DataFrame, ranks: str, tokenizer: str, model: str) -> DataFrame:
     """``doc_id, ids_a, ids_b, cuts_a, cuts_b``; a cut is the number of tokens up to it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ranked(ranks, tokenizer), pieced(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for rows in _slices(np.array([len(t or "") for t in texts])):
-                found = [_lists(*x) for x in _cut(texts[rows], a, b)]
-                ids = batch.column("doc_id").slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([ids, *found], ["doc_id", "ids_a", "ids_b", "cuts_a", "cuts_b"])
-        pa.default_memory_pool().release_unused()
-
-    bounded_batches(docs.sparkSession)
+            text = batch.column("text")
+            for rows in _slices(pc.binary_length(text).fill_null(0).to_numpy()):
+                part = batch.slice(rows.start, rows.stop - rows.start)
+                found = [_lists(*x) for x in _cut(part.column("text").to_pylist(), a, b)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *found], ["doc_id", "ids_a", "ids_b", "cuts_a", "cuts_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cut(batches)
+        released()
+
+    bounded_batches(docs.sparkSession, size=BATCH)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ALIGNED)
 
 
@@ -261,28 +277,75 @@ class Linked:
         return [hashlib.sha256(data[x:y - 1]).hexdigest() if y > x else "" for x, y in zip(at[:-1], at[1:])]
 
 
+class Numbered:
+    """The distinct pairs of a chunk, numbered as they come, and how many documents hold each."""
+
+    def __init__(self):
+        self.size, self.pairs, self.held = 0, pa.array([], pa.int64()), np.empty(0, np.int64)
+
+    def of(self, distinct: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Numbers of distinct pairs, each held by so many more documents."""
+        number = pc.index_in(pa.array(distinct, pa.int64()), value_set=self.pairs).fill_null(-1).to_numpy().astype(np.int64)
+        new = number < 0
+        number[new] = len(self.pairs) + np.arange(new.sum())
+        self.pairs = pa.concat_arrays([self.pairs, pa.array(distinct[new], pa.int64())])
+        self.held = np.r_[self.held, np.zeros(new.sum(), np.int64)]
+        self.held[number] += held
+        return number
+
+
+def _counted(chunk: int, rows: int, **known) -> pa.RecordBatch:
+    """Rows of ``COUNTED``; columns that are not given are null."""
+    fields = [("chunk", pa.int64()), *[(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()),
+              ("which", pa.binary()), ("times", pa.binary()), ("first", pa.int32()), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))]
+    known["chunk"] = np.full(rows, chunk)
+    return pa.RecordBatch.from_arrays([pa.array(known[n], k) if n in known else pa.nulls(rows, k) for n, k in fields], [n for n, _ in fields])
+
+
+def _small(times: np.ndarray) -> np.ndarray:
+    """In as few bytes each as the largest one needs."""
+    return times.astype(next(k for k in ("<i1", "<i2", "<i4", "<i8") if times.max(initial=0) <= np.iinfo(k).max))
+
+
 def chunked(documents: DataFrame, size_a: int = 1 << 17, size_b: int = 1 << 17) -> DataFrame:
-    """Aligned documents by chunk: what is known of each, the chunk's pairs of ids, and who holds them how often."""
+    """Aligned documents with their chunk: what is known of each, who holds which pairs of ids how often, and the chunks' pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = lambda size, ends: [f"{i}{end}".encode() for end in ends for i in range(size)]
-        table = pa.array(spell(size_a, ",|") + spell(size_b, ",;"), pa.large_binary())
-        number = TaskContext.get().partitionId() << 32
+    def spell(size: int, end: str) -> pa.Array:
+        kind = pa.large_string()
+        return pc.binary_join_element_wise(pa.array(np.arange(size)).cast(kind), pa.scalar(end, kind), pa.scalar("", kind)).cast(pa.large_binary())
+
+    def pairs(number: int, chunk: Numbered) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(chunk.pairs), BLOCK):
+            part = slice(at, at + BLOCK)
+            yield _counted(number, 1, first=[at], pairs=[chunk.pairs[part].to_numpy()], held=[chunk.held[part]])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_arrays([spell(size_a, ","), spell(size_a, "|"), spell(size_b, ","), spell(size_b, ";")])
+        number, chunk = TaskContext.get().partitionId() << 32, Numbered()
         for batch in batches:
             tokens = [np.diff(batch.column(c).offsets.to_numpy().astype(np.int64)) for c in ("ids_a", "ids_b")]
-            for rows in _slices(2 * (tokens[0] + tokens[1])):
+            sizes = 2 * (tokens[0] + tokens[1])
+            for rows in _slices(sizes):
+                size = int(sizes[rows].sum())
+                if chunk.size and chunk.size + size > CHUNK:
+                    yield from pairs(number, chunk)
+                    number, chunk = number + 1, Numbered()
+                chunk.size += size
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 linked = Linked(part)
-                pairs, start, which, times = linked.pairs()
-                size = np.r_[0, np.cumsum(linked.n_a * linked.n_b)]
-                own = [
-                    part.column("doc_id").to_pylist(), tokens[0][rows], tokens[1][rows], np.diff(linked.first), np.diff(size[linked.first]),
-                    linked.spelled(table, size_a, size_b), pairs, np.bincount(which, minlength=len(pairs)), start, which, times]
-                kinds = [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-                arrays = [pa.array([x], pa.list_(k)) for x, k in zip(own, kinds)]
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *arrays], [c.split()[0] for c in COUNTED.split(", ")])
-                number += 1
-        pa.default_memory_pool().release_unused()
+                distinct, start, which, times = linked.pairs()
+                which = chunk.of(distinct, np.bincount(which, minlength=len(distinct)))[which].astype("<i4")
+                links = np.r_[0, np.cumsum(linked.n_a * linked.n_b)]
+                own = list(zip(start[:-1].tolist(), start[1:].tolist()))
+                yield _counted(
+                    number, part.num_rows, doc_id=part.column("doc_id"), n_a=tokens[0][rows], n_b=tokens[1][rows], n_groups=np.diff(linked.first),
+                    n_links=np.diff(links[linked.first]), groups_sha256=linked.spelled(table, size_a, size_b),
+                    which=[which[x:y].tobytes() for x, y in own], times=[_small(times[x:y]).tobytes() for x, y in own])
+        yield from pairs(number, chunk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from counted(batches)
+        released()
 
     return documents.mapInArrow(run, COUNTED)
 
@@ -296,32 +359,53 @@ def link_counts(chunks: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("documents") == F.max("documents").over(W.partitionBy("id_a")))
 
 
-def _scores(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for row in range(batch.num_rows):
-        get = lambda c: batch.column(c).slice(row, 1).flatten()
-        start, which, times = get("start").to_numpy().astype(np.int64), get("which").to_numpy(), get("times").to_numpy()
-        at, count, best = (get("counts").field(k).to_numpy(zero_copy_only=False) for k in range(3))
-        documents, top = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-        documents[at], top[at] = count, best
-        sums = lambda x: np.diff(np.r_[0, np.cumsum(x)][start])
-        known = [get(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-        yield pa.RecordBatch.from_arrays(
-            [*known, pa.array(sums(times * top[which]), pa.int64()), pa.array(sums(times * documents[which]), pa.int64()), get("groups_sha256")],
-            [c.split()[0] for c in SCORED.split(", ")])
+#: What the scores need: a chunk's counts (twice the documents, plus whether it is the best) by number, then its documents.
+TOLD = ["chunk", "at", "told", "doc"]
+KNOWN = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of documents, from rows sorted by chunk and number."""
+    now, told, counts, top = None, [], np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        chunk, docs = batch.column("chunk").to_numpy(), batch.column("doc").is_valid().to_numpy(zero_copy_only=False)
+        edges = np.r_[0, 1 + np.flatnonzero(np.diff(chunk) | np.diff(docs)), len(chunk)]
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if x == y:
+                continue
+            if chunk[x] != now:
+                now, told, counts, top = chunk[x], [], np.empty(0, np.int64), np.empty(0, np.int64)
+            if not docs[x]:
+                told.append(batch.column("told").slice(x, y - x).to_numpy())
+                continue
+            if told:
+                counts, told = np.concatenate(told), []
+                counts, top = counts >> 1, counts & 1
+            doc = batch.column("doc").slice(x, y - x)
+            get = dict(zip([f.name for f in doc.type], doc.flatten()))
+            n_best, count_sum = [], []
+            for which, times in zip(get["which"], get["times"]):
+                which, times = np.frombuffer(which.as_buffer(), "<i4"), times.as_buffer()
+                times = np.frombuffer(times, f"<i{times.size // max(1, len(which)) or 1}").astype(np.int64)
+                n_best.append(int(times @ top[which]))
+                count_sum.append(int(times @ counts[which]))
+            yield pa.RecordBatch.from_arrays(
+                [*[get[c] for c in KNOWN], pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), get["groups_sha256"]],
+                [c.split()[0] for c in SCORED.split(", ")])
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """One row per aligned document: tokens, groups, links, how common its links are, and the hash of its groups."""
     scratch = Scratch(documents.sparkSession, "align")
-    chunks = scratch.keep(chunked(documents))
-    counts = scratch.keep(link_counts(chunks).select("pair", "documents", "best"))
-    asked = chunks.select("chunk", F.posexplode("pairs").alias("at", "pair"))
-    told = asked.join(counts, "pair").groupBy("chunk").agg(F.collect_list(F.struct("at", "documents", "best")).alias("counts"))
-    none = F.array().cast("array<struct<at:int,documents:bigint,best:boolean>>")
-    whole = chunks.drop("pairs", "held").join(told, "chunk", "left").withColumn("counts", F.coalesce("counts", none))
+    chunks = scratch.keep(chunked(documents), **ROW_GROUPS)
+    counts = scratch.keep(link_counts(chunks).select("pair", F.expr("2 * documents + int(best)").alias("told")))
+    asked = chunks.where("pairs IS NOT NULL").select("chunk", "first", F.posexplode("pairs").alias("at", "pair"))
+    told = asked.join(counts, "pair").select("chunk", (F.col("first") + F.col("at")).alias("at"), "told")
+    docs = chunks.where("pairs IS NULL").select("chunk", F.struct(*KNOWN, "groups_sha256", "which", "times").alias("doc"))
+    whole = told.unionByName(docs, allowMissingColumns=True).select(*TOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from _scores(batch)
+        yield from _scores(batches)
+        released()
 
-    return whole.mapInArrow(run, SCORED)
+    return whole.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last()).mapInArrow(run, SCORED)

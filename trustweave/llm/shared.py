@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,9 +63,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str, tidy: bool = False):
         self.spark, self.root, self.n, self.tidy = spark, scratch_path(spark, label), 0, tidy
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         path = self._path()
-        self._write(lambda: df.write.parquet(path))
+        self._write(lambda: df.write.options(**options).parquet(path))
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch = path
         return kept
@@ -101,11 +103,18 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: fewer rows a batch than the default, unless the session says how many."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, rows)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str | None = None) -> None:
+    """Texts can be long: fewer rows (and bytes) a batch than the default, unless the session says how many."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if most is not None and spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
+def released() -> None:
+    """Gives what a task has freed back to the system; workers outlive a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
